@@ -96,9 +96,13 @@ SPACE[[32, *range(9, 14)]] = True
 WORD_VALUES = byte_values(11, fold_case=True)
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end of each word (run without ASCII white space inside a row), and each row's first word."""
-    gap = SPACE[data]
+#: Runs of letters and digits: every other ASCII byte parts words.
+NOT_WORD = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
+
+
+def word_spans(data: np.ndarray, offsets: np.ndarray, gaps: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of each word (run without gap bytes, else ASCII white space, inside a row), and each row's first word."""
+    gap = gaps[data]
     begins = np.empty(len(data), dtype=bool)
     if len(data):
         begins[0] = True
@@ -117,9 +121,9 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return start, end, np.searchsorted(start, offsets)
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, offsets: np.ndarray, gaps: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hash (A-Z folded), start and end of each word, and each row's first word. Sections bound the memory for a very long row."""
-    start, end, first = word_spans(data, offsets)
+    start, end, first = word_spans(data, offsets, gaps)
     out = np.empty(len(start), dtype=np.uint64)
     i = 0
     while i < len(start):
