@@ -34,18 +34,18 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", size.alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-def _word_bpe() -> str:
+def word_bpe() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("word_bpe_49k.json")
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.token_report(table(spark, sf_dir, "documents"), _word_bpe(), groups=["lang"])
+    return token_counts.token_report(table(spark, sf_dir, "documents"), word_bpe(), groups=["lang"])
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), _word_bpe(), capacity=4096, end_id=1, keep_ids=False)
+    return packing.pack(table(spark, sf_dir, "documents"), word_bpe(), capacity=4096, end_id=1, keep_ids=False)
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
