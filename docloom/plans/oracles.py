@@ -158,7 +158,7 @@ ORACLES: dict[str, str] = {
     "vector_topk": f"WITH {_vectors('q.vec_id % 50 = 0', 10)} SELECT query_id, doc_id, score, rank FROM vector_rank",
     "hybrid_rrf": f"""WITH {_bm25(False, 30)}, {_vectors("q.vec_id IN (SELECT item_id FROM benchmark)", 30)},
         z AS (SELECT query_id, doc_id, CAST(sum(CAST(round(1e6 / (60 + rank)) AS BIGINT)) AS BIGINT) AS score FROM (SELECT query_id, doc_id, rank FROM text_rank UNION ALL SELECT query_id, doc_id, rank FROM vector_rank) GROUP BY ALL),
-        h AS (SELECT z.*, coalesce(sha256(coalesce(text, '')), 'vector ' || z.doc_id) AS content FROM z LEFT JOIN documents d ON d.doc_id = z.doc_id),
+        h AS (SELECT z.*, CASE WHEN d.doc_id IS NULL THEN 'vector ' || z.doc_id ELSE sha256(coalesce(text, '')) END AS content FROM z LEFT JOIN documents d ON d.doc_id = z.doc_id),
         f AS (SELECT query_id, doc_id, score FROM h QUALIFY row_number() OVER (PARTITION BY query_id, content ORDER BY score DESC, doc_id) = 1)
         SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM f QUALIFY rank <= 10""",
     "dedup_exact": "SELECT sha256(coalesce(text, '')) AS content_hash, min(doc_id) AS first_doc, count(*) AS copies FROM documents GROUP BY 1 HAVING count(*) > 1",
