@@ -46,10 +46,6 @@ def remove(spark: SparkSession, *paths: str) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
-def table_rows(df: DataFrame) -> int:
-    return df.count()
-
-
 def ship_package(spark: SparkSession) -> None:
     """Give the Python workers this package, once for each Spark application."""
     sc = spark.sparkContext

@@ -90,4 +90,23 @@ ORACLES: dict[str, str] = {
         q AS (SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, {_BASE32} AS payload_digest, max(page_id) OVER (PARTITION BY h) AS first_id FROM p)
         SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
                CASE WHEN page_id = first_id THEN NULL ELSE first_id END AS refers_to FROM q""",
+    "op8_suffix_dedup": """
+        WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS raw, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n_bytes FROM documents),
+        p AS (SELECT doc_id, unnest(range(0, n_bytes - 399)) AS pos, raw FROM d WHERE n_bytes >= 400),
+        h AS (SELECT doc_id, pos, sha256(raw[pos + 1:pos + 400]) AS h FROM p),
+        t AS (SELECT doc_id, pos FROM h QUALIFY count(*) OVER (PARTITION BY h) > 1),
+        o AS (SELECT doc_id, pos, CAST(coalesce(pos - lag(pos) OVER w > 400, true) AS INT) AS opens FROM t WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+        g AS (SELECT doc_id, pos, sum(opens) OVER (PARTITION BY doc_id ORDER BY pos) AS g FROM o),
+        s AS (SELECT doc_id, min(pos) AS lo, max(pos) + 400 AS hi FROM g GROUP BY doc_id, g),
+        k AS (SELECT doc_id, lo, hi, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS since FROM s),
+        q AS (SELECT k.doc_id, CAST(sum(hi - lo) AS BIGINT) AS n_removed, count(*) AS n_spans, string_agg(hex(raw[since + 1:lo]), '' ORDER BY lo) || hex(any_value(raw)[max(hi) + 1:any_value(n_bytes)]) AS kept FROM k JOIN d USING (doc_id) GROUP BY k.doc_id)
+        SELECT d.doc_id, n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, CASE WHEN kept IS NULL THEN sha256(raw) ELSE sha256(unhex(kept)) END AS kept_sha256 FROM d LEFT JOIN q USING (doc_id)""",
+    "op10_jaccard_join": rf"""
+        WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array({_FOLD.format("coalesce(text, '')")}, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+        s AS (SELECT doc_id, CASE WHEN len(words) >= 5 THEN list_distinct(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' '))) WHEN len(words) > 0 THEN [array_to_string(words, ' ')] ELSE [] END AS shingles FROM w),
+        e AS (SELECT doc_id, len(shingles) AS n, unnest(shingles) AS shingle FROM s),
+        c AS (SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+        l AS (SELECT a, b FROM c UNION ALL SELECT b, a FROM c),
+        r AS (SELECT doc_id AS start, doc_id AS node FROM s UNION SELECT r.start, l.b FROM r JOIN l ON l.a = r.node)
+        SELECT s.doc_id, CAST(len(any_value(shingles)) AS BIGINT) AS n_shingles, min(node) AS component_id FROM s JOIN r ON r.start = s.doc_id GROUP BY s.doc_id""",
 }
