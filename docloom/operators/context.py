@@ -60,3 +60,16 @@ def generation_request(contexts: DataFrame) -> DataFrame:
 def repair_request(requests: DataFrame, code: Column) -> DataFrame:
     """The request again, with the validation code added to the task alone."""
     return requests.withColumn("task_instruction", F.concat(F.col("task_instruction"), F.lit("\nRepair validation code: "), code, F.lit(".")))
+
+
+def context_manifest(contexts: DataFrame) -> DataFrame:
+    """doc_id, block_index, included, first_char, span_hash: every block of a packed document, whether the context has
+    it, where its line begins there, and the hash of its text, to which a citation can be held."""
+    n = F.size("included_block_indexes")
+    head = F.char_length(header(F.col("title"), F.col("language"))).cast("long")
+    blocks = contexts.select("doc_id", n.alias("taken"), head.alias("head"), F.posexplode("blocks").alias("i", "b"))
+    line = rendered_block(F.col("i"), F.col("b"))
+    begins = F.expr("sum(chars) over (partition by doc_id order by i) - chars") + F.col("head")
+    placed = blocks.withColumn("chars", F.coalesce(F.char_length(line), F.lit(0)).cast("long")).withColumn("begins", begins)
+    inside = F.col("i") < F.col("taken")
+    return placed.select("doc_id", F.col("i").cast("long").alias("block_index"), inside.alias("included"), F.when(inside, F.col("begins")).alias("first_char"), F.sha2(F.coalesce(F.col("b.text"), F.lit("")), 256).alias("span_hash"))

@@ -102,3 +102,11 @@ def precision_recall(judged: DataFrame, predicted: Column, truth: Column, group:
     sums = judged.groupBy(group).agg(count(predicted & truth).alias("true_positives"), count(predicted).alias("p"), count(truth).alias("t"))
     share = lambda n: F.when(F.col(n) > 0, F.expr(f"(true_positives * 1000000) div {n}"))
     return sums.select(group, "true_positives", share("p").alias("precision"), share("t").alias("recall"))
+
+
+def reconciled(old: DataFrame, new: DataFrame, key: str, content: str) -> DataFrame:
+    """key and status of each row of either side: same, changed, missing (only old) or added (only new)."""
+    a = old.select(key, F.col(content).alias("_old"), F.lit(True).alias("_in_old"))
+    b = new.select(key, F.col(content).alias("_new"), F.lit(True).alias("_in_new"))
+    status = F.when(F.col("_in_new").isNull(), "missing").when(F.col("_in_old").isNull(), "added").when(F.col("_old").eqNullSafe(F.col("_new")), "same").otherwise("changed")
+    return a.join(b, key, "full").select(key, status.alias("status"))

@@ -113,6 +113,7 @@ ORACLES: dict[str, str] = {
     "context_budget_error": f"WITH {_blocks()} SELECT DISTINCT doc_id, 'budget_too_small' AS budget_error FROM r WHERE length(header) > 25",
     "context_unsupported_cut": f"WITH {_pack(32000, headings=True, unsupported=True)}, g AS (SELECT doc_id, {_FOLD_TOTALS} FROM p GROUP BY doc_id) SELECT doc_id, n_included, truncated, used FROM g",
     "block_render": f"WITH {_blocks(headings=True)} SELECT doc_id, CAST(i AS BIGINT) AS block_index, length(rendered) AS chars, sha256(rendered) AS line_hash FROM r",
+    "context_manifest": f"WITH {_pack(1000)}, m AS (SELECT p.doc_id, p.i, included, running - length(rendered) AS begins, line FROM p JOIN b ON b.doc_id = p.doc_id AND b.i = p.i) SELECT doc_id, CAST(i AS BIGINT) AS block_index, included, CASE WHEN included THEN CAST(begins AS BIGINT) END AS first_char, sha256(line) AS span_hash FROM m",
     "generation_request": f"WITH {_pack(1000)} SELECT doc_id, '{ANALYSIS_VERSIONS['prompt_version']}' AS prompt_version, sha256('{_POLICY}{_TASK}') AS instructions_hash, sha256({_SOURCE}) AS source_hash FROM p GROUP BY doc_id",
     "repair_request": f"SELECT doc_id, 'Repair validation code: ' || ['json_syntax', 'schema', 'decode', 'citation'][doc_id % 4 + 1] || '.' AS added, sha256('{_POLICY}') AS policy_hash FROM documents",
     "blob_address": "SELECT doc_id, sha256(coalesce(text, '')) AS digest_hex, CAST(strlen(coalesce(text, '')) AS BIGINT) AS length_bytes, 'sha256/' || left(sha256(coalesce(text, '')), 2) || '/' || sha256(coalesce(text, '')) AS blob_path FROM documents",
@@ -180,6 +181,7 @@ ORACLES: dict[str, str] = {
     "entity_mentions": "WITH h AS (SELECT url, lower(regexp_extract(url, '^[a-zA-Z]+://([^/:?#]+)', 1)) AS alias FROM pages) SELECT alias, array_to_string(list_slice(string_split(alias, '.'), -2, -1), '.') AS entity, count(*) AS mentions, count(DISTINCT url) AS addresses FROM h WHERE alias <> '' GROUP BY ALL",
     "metrics_rollup": f"""WITH {_ATTEMPTS} SELECT source, count(*) AS provider_requests, count(DISTINCT run_id) AS analysis_requests, count(*) FILTER (reason = 'repair') AS repair_attempts, count(*) FILTER (validation_code IS NOT NULL) AS validation_failures,
         count(*) FILTER (validation_code = 'citation') AS citation_failures, CAST(coalesce(sum(n_chars // 4 + n_chars // 16) FILTER (stored OR error = 'blob'), 0) AS BIGINT) AS provider_tokens FROM a JOIN documents ON doc_id = run_id GROUP BY ROLLUP (source)""",
+    "import_reconciliation": "SELECT doc_id, CASE WHEN doc_id % 11 = 3 THEN 'missing' WHEN doc_id % 5 = 0 THEN 'added' WHEN doc_id % 7 = 0 THEN 'changed' ELSE 'same' END AS status FROM documents WHERE doc_id % 11 <> 3 OR doc_id % 5 <> 0",
     "eval_precision_recall": """WITH g AS (SELECT lang, count(*) FILTER (n_chars >= 1000 AND quality = 1) AS true_positives, count(*) FILTER (n_chars >= 1000) AS p, count(*) FILTER (quality = 1) AS t FROM labels JOIN documents USING (doc_id) GROUP BY lang)
         SELECT lang, true_positives, true_positives * 1000000 // nullif(p, 0) AS precision, true_positives * 1000000 // nullif(t, 0) AS recall FROM g""",
     "stream_windows": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) AS n, CAST(sum(CAST(round(value * 1000) AS BIGINT)) AS BIGINT) AS total FROM events GROUP BY ALL",

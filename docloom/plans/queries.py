@@ -69,6 +69,11 @@ def block_render(spark, sf_dir):
     return blocks.select("doc_id", F.col("i").cast("long").alias("block_index"), F.char_length(line).cast("long").alias("chars"), F.sha2(line, 256).alias("line_hash"))
 
 
+@query
+def context_manifest(spark, sf_dir):
+    return context.context_manifest(context.pack_context(src.document_ir(docs(spark, sf_dir)), BUDGET))
+
+
 @query
 def generation_request(spark, sf_dir):
     out = context.generation_request(context.pack_context(src.document_ir(docs(spark, sf_dir)), BUDGET))
@@ -484,6 +489,13 @@ def metrics_rollup(spark, sf_dir):
     return governance.attempt_metrics(_attempts(spark, sf_dir).join(tenants, "run_id"), "source")
 
 
+@query
+def import_reconciliation(spark, sf_dir):
+    rows = docs(spark, sf_dir).select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("content"))
+    old = rows.where("doc_id % 5 <> 0").withColumn("content", F.when(F.col("doc_id") % 7 == 0, F.lit("damaged")).otherwise(F.col("content")))
+    return governance.reconciled(old, rows.where("doc_id % 11 <> 3"), "doc_id", "content")
+
+
 @query
 def eval_precision_recall(spark, sf_dir):
     judged = src.table(spark, sf_dir, "labels").join(docs(spark, sf_dir).select("doc_id", "lang", "n_chars"), "doc_id")
