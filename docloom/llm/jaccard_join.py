@@ -11,9 +11,11 @@ order. Inverted lists of these shingles are scanned in order of size. Very frequ
 a passage that many documents share hardly enters the lists; which ones they are is counted over all documents (lossy
 counting), and only the work, never the result, depends on it. Candidates are verified on whole texts.
 
-A list of many classes isn't expanded into all pairs. Neighbours in the list are verified first, then random neighbours
-of different components; only pairs that are in different components after that are all verified, so no link between
-components is lost. The boundary between light and heavy is the largest size at which enumerating costs no more than
+A list of many classes isn't expanded into rows of pairs. Neighbours in the list are verified first, then random
+neighbours of different components. What is then in different components is compared inside the task that holds the
+list, or a tile of two stretches of a long one, by counts: a set's shingles counted in BUCKETS parts bound every
+intersection from above by the sum of the smaller counts. Only pairs that this exact bound allows are verified on their
+texts, and every one of them is, so no link between components is lost. The boundary between light and heavy is the largest size at which enumerating costs no more than
 scanning, at a given ratio of their costs.
 """
 
@@ -40,6 +42,8 @@ COST_RATIO = 16
 FREQUENT, FREQUENT_FROM = 100_000, 16
 #: Neighbours in a list that are verified first; a list of no more than BAND + 1 classes is thereby done.
 BAND = 4
+#: Parts of a set's counts, and classes of a list that a tile takes from each of two stretches.
+BUCKETS, TILE = 256, 4096
 #: Shingles that one step of the lossy count looks at, and classes that a task remembers having seen.
 STEP, SEEN = 2_000_000, 200_000
 
@@ -117,12 +121,29 @@ def frequent_shingles(docs: DataFrame, words: int, text_col: str) -> np.ndarray:
     return np.sort(top["x"].to_numpy(np.int64).view(np.uint64))
 
 
+def bucket_counts(s: np.ndarray) -> bytes | None:
+    """A set's sizes in BUCKETS parts, a byte each; null (no bound) if one doesn't fit."""
+    n = np.bincount((s & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
+    return n.astype(np.uint8).tobytes() if n.max() < 256 else None
+
+
+def counts_of(column: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The rows' counts, and which rows have any."""
+    known = np.array([c is not None for c in column], bool)
+    return np.frombuffer(b"".join(c or bytes(BUCKETS) for c in column), np.uint8).reshape(len(column), BUCKETS), known
+
+
+def may_link(rule: Rule, na: np.ndarray, nb: np.ndarray, most: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Whether sets of these sizes can be similar if their intersection has ``most`` elements at most."""
+    return ~known | ((rule.num + rule.den) * most >= rule.num * (na + nb))
+
+
 MEMBER, PREFIX, SUBSET = range(3)
 
 
 def signatures(rule: Rule, words: int, light: int, frequent) -> object:
-    """Rows (kind, doc_id, row_hash, class, n, x, c): each document's class, and once for each class and task its
-    prefix shingles x or its subsets' hashes x of size c."""
+    """Rows (kind, doc_id, row_hash, class, n, x, c, counts): each document's class and its set's counts, and once for
+    each class and task its prefix shingles x or its subsets' hashes x of size c."""
     both = rule.partners(light + 1)[0] if rule.partners(light + 1) else light + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,7 +156,7 @@ def signatures(rule: Rule, words: int, light: int, frequent) -> object:
             for doc, row, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), text_sets(b.column(2), words), strict=True):
                 n = len(s)
                 key = signed(B.hash_of_set(s)) if n else 0
-                out.append((doc, row, key, n))
+                out.append((doc, row, key, n, bucket_counts(s)))
                 if not n or key in seen:
                     continue
                 if len(seen) >= SEEN:
@@ -168,8 +189,9 @@ def signatures(rule: Rule, words: int, light: int, frequent) -> object:
                     pa.array(np.concatenate([np.array([e[3] for e in out], np.int64), col(2, np.int64)])),
                     pa.concat_arrays([pa.nulls(m, pa.int64()), pa.array(np.concatenate(xs).view(np.int64) if xs else np.zeros(0, np.int64))]),
                     pa.concat_arrays([pa.nulls(m, pa.int32()), pa.array(np.concatenate(cs) if cs else np.zeros(0, np.int32))]),
+                    pa.concat_arrays([pa.array([e[4] for e in out], pa.binary()), pa.nulls(k, pa.binary())]),
                 ],
-                names=["kind", "doc_id", "row_hash", "class", "n", "x", "c"],
+                names=["kind", "doc_id", "row_hash", "class", "n", "x", "c", "counts"],
             )
 
     return run
@@ -269,26 +291,97 @@ def verified(pairs: DataFrame, texts: DataFrame, rule: Rule, words: int) -> Data
     return with_both.mapInArrow(run, "a long, b long")
 
 
-def labelled(listed: DataFrame, components: DataFrame | None) -> DataFrame:
+def plausible(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
+    """The pairs (a, b) that the sets' counts allow. sets: class, n, counts."""
+    of = lambda c: sets.select(F.col("class").alias(c), F.col("n").alias(f"n_{c}"), F.col("counts").alias(f"counts_{c}"))
+    both = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "n_a", "n_b", "counts_a", "counts_b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            (x, kx), (y, ky) = counts_of(batch.column(4).to_pylist()), counts_of(batch.column(5).to_pylist())
+            most = np.minimum(x, y).sum(axis=1, dtype=np.int64)
+            na, nb = (batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 3))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(may_link(rule, na, nb, most, kx & ky)))
+
+    return both.mapInArrow(run, "a long, b long")
+
+
+def tiles(mixed: DataFrame, tile: int) -> DataFrame:
+    """List rows with i, j (the stretches that a task compares) and own (the row's stretch)."""
+    sizes = mixed.groupBy("x").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("parts"))
+    own = mixed.join(sizes, "x").withColumn("own", F.pmod(F.xxhash64("class"), F.col("parts")).cast("int"))
+    return own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
+
+
+def compare_lists(rule: Rule, light: int):
+    """Of rows (x, i, j, own, class, component, n, counts) sorted by x, i, j: pairs (a, b) of different components that
+    sizes and counts allow."""
+
+    def compare(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+        own, key, component, n = (np.array(c, np.int64) for c in list(zip(*rows, strict=True))[:4])
+        counts, known = counts_of([r[4] for r in rows])
+        i, j = own.min(), own.max()
+        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        out_a, out_b = [], []
+        for p in left:
+            q = right[(component[right] != component[p]) & (rule.den * np.minimum(n[right], n[p]) >= rule.num * np.maximum(n[right], n[p])) & (np.maximum(n[right], n[p]) > light)]
+            if i == j:
+                q = q[q > p]
+            if len(q):
+                most = np.minimum(counts[q], counts[p]).sum(axis=1, dtype=np.int64)
+                q = q[may_link(rule, n[q], n[p], most, known[q] & known[p])]
+                out_a.append(np.minimum(key[q], key[p])), out_b.append(np.maximum(key[q], key[p]))
+        return (np.concatenate(out_a), np.concatenate(out_b)) if out_a else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, rows = None, []
+        for batch in batches:
+            found = []
+            for x, i, j, *row in zip(*(batch.column(c).to_pylist() for c in range(8)), strict=True):
+                if (x, i, j) != at:
+                    if len(rows) > 1:
+                        found.append(compare(rows))
+                    at, rows = (x, i, j), []
+                rows.append(row)
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[c] for f in found])) for c in range(2)], names=["a", "b"])
+        if len(rows) > 1:
+            a, b = compare(rows)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    return run
+
+
+def labelled(listed: DataFrame, components: DataFrame) -> DataFrame:
     """List rows with their class's component, of the lists that hold more than one."""
     named = listed.join(components.select(F.col("node").alias("class"), "component"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     mixed = named.groupBy("x").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("x")
     return named.join(mixed, "x", "left_semi")
 
 
-def class_links(members: DataFrame, docs: DataFrame, listed_pairs: DataFrame, light_links: DataFrame, rule: Rule, words: int, light: int, id_col: str, text_col: str) -> DataFrame:
+def class_links(members: DataFrame, docs: DataFrame, listed_pairs: DataFrame, light_links: DataFrame, rule: Rule, words: int, light: int, id_col: str, text_col: str, tile: int = TILE) -> DataFrame:
     """(node, component) of all classes that have a link."""
     spark = docs.sparkSession
-    pairs, pairs_path = staged(listed_pairs.where(F.col("kind") == PAIR).select("a", "b").distinct(), "pairs")
     listed = listed_pairs.where(F.col("kind") == LISTED).select(F.col("a").alias("x"), F.col("b").alias("class"), F.col("na").alias("n"))
-    wanted = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).unionByName(listed.select("class")).distinct()
-    chosen = members.join(wanted, "class", "left_semi").groupBy("class").agg(F.min(F.struct("doc_id", "row_hash")).alias("r")).select("class", F.col("r.doc_id").alias("doc_id"), F.col("r.row_hash").alias("row_hash"))
+    near = listed_pairs.where(F.col("kind") == PAIR).select("a", "b").distinct()
+    wanted = near.select(F.col("a").alias("class")).unionByName(near.select(F.col("b").alias("class"))).unionByName(listed.select("class")).distinct()
+    chosen = members.join(wanted, "class", "left_semi").groupBy("class").agg(F.min(F.struct("doc_id", "row_hash", "n", "counts")).alias("r"))
+    chosen, chosen_path = staged(chosen.select("class", "r.*"), "chosen")
+    sets = chosen.select("class", "n", "counts")
     whole = docs.select(F.col(id_col).cast("long").alias("_doc"), F.xxhash64(F.col(text_col)).alias("row_hash"), F.col(text_col).alias("text"))
-    found = whole.join(chosen, "row_hash").where(F.col("_doc").eqNullSafe(F.col("doc_id")))
-    texts, texts_path = staged(found.select("class", "text").dropDuplicates(["class"]), "class-texts")
 
-    links, _ = staged(verified(pairs, texts, rule, words).unionByName(light_links), "links")
-    components, _ = connected_components(links)
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        """Links among the pairs; texts are fetched for these pairs' classes alone."""
+        ends = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
+        asked = chosen.join(ends, "class", "left_semi").select("class", "doc_id", "row_hash")
+        found = whole.join(asked, "row_hash").where(F.col("_doc").eqNullSafe(F.col("doc_id")))
+        texts, path = staged(found.select("class", "text").dropDuplicates(["class"]), "class-texts")
+        links, _ = staged(verified(pairs, texts, rule, words), "links")
+        remove(spark, path)
+        return links
+
+    pairs, _ = staged(plausible(near, sets, rule), "pairs")
+    components, _ = connected_components(confirmed(pairs).unionByName(light_links))
     tested = pairs
     for step in ("random neighbours", "all that is left"):
         mixed, mixed_path = staged(labelled(listed, components), "mixed-lists")
@@ -296,23 +389,22 @@ def class_links(members: DataFrame, docs: DataFrame, listed_pairs: DataFrame, li
             break
         if step == "random neighbours":
             order = "over (partition by x order by xxhash64(x, class), class)"
-            cols = [f"lag({c}, {d}) {order} as {c}{d}" for d in (1, 2) for c in ("class", "component", "n")]
-            near = mixed.selectExpr("class", "component", "n", *cols)
-            found = None
-            for d in (1, 2):
-                one = near.where(f"component{d} <> component").selectExpr("least(class, class{0}) as a".format(d), f"greatest(class, class{d}) as b", f"least(n, n{d}) as na", f"greatest(n, n{d}) as nb")
-                found = one if found is None else found.unionByName(one)
+            last = mixed.selectExpr("class", "component", "n", *(f"lag({c}) {order} as last_{c}" for c in ("class", "component", "n")))
+            found = last.where("last_component <> component").selectExpr("least(class, last_class) as a", "greatest(class, last_class) as b", "least(n, last_n) as na", "greatest(n, last_n) as nb")
+            found = found.where(f"{rule.den} * na >= {rule.num} * nb and nb > {light}").select("a", "b").distinct()
+            found = plausible(found.join(tested, ["a", "b"], "left_anti"), sets, rule)
         else:
-            other = mixed.selectExpr("x", "class as class2", "component as component2", "n as n2")
-            found = mixed.join(other, "x").where("class < class2 and component <> component2").selectExpr("class as a", "class2 as b", "least(n, n2) as na", "greatest(n, n2) as nb")
-        found = found.where(f"{rule.den} * na >= {rule.num} * nb and nb > {light}").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
+            rows = tiles(mixed, tile).join(sets.select("class", "counts"), "class").select("x", "i", "j", "own", "class", "component", "n", "counts")
+            rows = rows.repartition("x", "i", "j").sortWithinPartitions("x", "i", "j")
+            found = rows.mapInArrow(compare_lists(rule, light), "a long, b long").distinct().join(tested, ["a", "b"], "left_anti")
         more, _ = staged(found, "pairs")
+        remove(spark, mixed_path)
+        if more.isEmpty():
+            continue
         tested = tested.unionByName(more)
-        new_links, _ = staged(verified(more, texts, rule, words), "links")
-        if not new_links.isEmpty():
-            edges = components.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(new_links)
-            components, _ = connected_components(edges)
-    remove(spark, texts_path, pairs_path)
+        edges = components.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(confirmed(more))
+        components, _ = connected_components(edges)
+    remove(spark, chosen_path)
     return components
 
 
@@ -329,8 +421,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     light = rule.light_sizes(cost_ratio)
     frequent = spark.sparkContext.broadcast(frequent_shingles(docs, words, text_col))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("row_hash"), F.col(text_col))
-    signed_rows, signed_path = staged(rows.mapInArrow(signatures(rule, words, light, frequent), "kind int, doc_id long, row_hash long, class long, n long, x long, c int"), "signatures")
-    members, members_path = staged(signed_rows.where(F.col("kind") == MEMBER).select("doc_id", "row_hash", "class", "n"), "members")
+    signed_rows, signed_path = staged(rows.mapInArrow(signatures(rule, words, light, frequent), "kind int, doc_id long, row_hash long, class long, n long, x long, c int, counts binary"), "signatures")
+    members, members_path = staged(signed_rows.where(F.col("kind") == MEMBER).select("doc_id", "row_hash", "class", "n", "counts"), "members")
     prefixes = signed_rows.where(F.col("kind") == PREFIX).select("x", "n", "class").repartition("x").sortWithinPartitions("x", "n", "class")
     listed_pairs, listed_path = staged(prefixes.mapInArrow(scan_lists(rule, light), "kind long, a long, b long, na long, nb long"), "lists")
     subsets = signed_rows.where(F.col("kind") == SUBSET).select("x", "n", "class", "c").distinct().repartition("x").sortWithinPartitions("x", "n", "class")
