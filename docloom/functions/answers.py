@@ -14,12 +14,16 @@ def prepare(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
 
 
-def is_json(column: str) -> Column:
-    """Whether the whole text is one JSON value. Text after a value is passed over by the parser, so the value is
-    wrapped in two ways that no trailing text survives."""
+def value_of(column: str) -> Column:
+    """The value, if the whole text is one JSON value, else null. Text after a value is passed over by the parser, so
+    the text is wrapped in two ways that no trailing text survives."""
     in_object = f"try_parse_json(concat('{{\"k\":', {column}, '}}')) is not null"
-    in_array = f"size(try_cast(try_parse_json(concat('[', {column}, ']')) as array<variant>)) = 1"
-    return F.expr(f"coalesce({in_object} and {in_array}, false)")
+    listed = f"try_cast(try_parse_json(concat('[', {column}, ']')) as array<variant>)"
+    return F.expr(f"case when {in_object} then element_at(filter(array({listed}), l -> size(l) = 1), 1)[0] end")
+
+
+def is_json(column: str) -> Column:
+    return value_of(column).isNotNull()
 
 
 def _integer(v: str) -> str:
@@ -41,8 +45,8 @@ def _list(v: str, most: int) -> str:
     return f"schema_of_variant({v}) like 'ARRAY%' and size(try_cast({v} as array<variant>)) between 1 and {most}"
 
 
-def has_structure(column: str) -> Column:
-    v = f"try_parse_json({column})"
+def has_structure(v: str) -> Column:
+    """Whether a JSON value (a VARIANT column) is an answer by the schema."""
     indexes = "try_variant_get(k, '$.source_block_indexes', 'variant')"
     point = f"{_object('k', ['text', 'source_block_indexes'])} and {_text('''variant_get(k, '$.text')''', POINT_CHARS)} and {_list(indexes, CITATIONS)} and forall(try_cast({indexes} as array<variant>), i -> coalesce({_integer('i')}, false))"
     points = f"variant_get({v}, '$.key_points')"
@@ -50,15 +54,15 @@ def has_structure(column: str) -> Column:
     return F.expr(f"coalesce({whole}, false)")
 
 
-def can_decode(column: str) -> Column:
+def can_decode(value: str) -> Column:
     """Of a structured answer: every index is written as an integer of 32 bits without sign."""
-    points = f"try_cast(variant_get(try_parse_json({column}), '$.key_points') as array<variant>)"
+    points = f"try_cast(variant_get({value}, '$.key_points') as array<variant>)"
     one = f"schema_of_variant(i) = 'BIGINT' and cast(i as bigint) <= {MAX_U32}"
     return F.expr(f"coalesce(forall({points}, k -> forall(try_cast(variant_get(k, '$.source_block_indexes') as array<variant>), i -> coalesce({one}, false))), false)")
 
 
-def decoded(column: str) -> Column:
-    return F.expr(f"try_cast(try_parse_json({column}) as {ANALYSIS})")
+def decoded(value: str) -> Column:
+    return F.expr(f"try_cast({value} as {ANALYSIS})")
 
 
 def cites_well(analysis: str, included: str) -> Column:
@@ -67,14 +71,14 @@ def cites_well(analysis: str, included: str) -> Column:
     return F.expr(f"coalesce(forall({analysis}.key_points, k -> {point}), false)")
 
 
-def validated(answers: DataFrame, response: str = "response", included: str = "included_block_indexes") -> DataFrame:
-    """``answers`` with validation_code (null: accepted) and analysis (of an accepted answer).
+def validated(answers: DataFrame, response: str = "response", included: str = "included_block_indexes", code: str = "validation_code", analysis: str = "analysis") -> DataFrame:
+    """``answers`` with ``code`` (null: accepted) and ``analysis`` (of an accepted answer).
 
     The steps go from one to the next by column, so a later one looks only at what passed those before."""
     prepare(answers.sparkSession)
-    syntax = answers.withColumn("_json", F.when(is_json(response), F.col(response)))
+    syntax = answers.withColumn("_json", value_of(response))
     structure = syntax.withColumn("_structured", F.when(has_structure("_json"), F.col("_json")))
     typed = structure.withColumn("_typed", F.when(can_decode("_structured"), decoded("_structured")))
-    code = F.when(F.col("_json").isNull(), "json_syntax").when(F.col("_structured").isNull(), "schema").when(F.col("_typed").isNull(), "decode").when(~cites_well("_typed", included), "citation")
-    out = typed.withColumn("validation_code", code)
-    return out.withColumn("analysis", F.when(F.col("validation_code").isNull(), F.col("_typed"))).drop("_json", "_structured", "_typed")
+    found = F.when(F.col("_json").isNull(), "json_syntax").when(F.col("_structured").isNull(), "schema").when(F.col("_typed").isNull(), "decode").when(~cites_well("_typed", included), "citation")
+    out = typed.withColumn(code, found)
+    return out.withColumn(analysis, F.when(F.col(code).isNull(), F.col("_typed"))).drop("_json", "_structured", "_typed")

@@ -11,29 +11,40 @@ from pyspark.sql import functions as F
 from docloom.functions.answers import validated
 
 ATTEMPT = ["run_id", "ordinal", "reason", "outcome", "validation_code", "error", "stored", "input_tokens", "output_tokens", "response", "analysis"]
+CALL = ["call_kind", "response", "input_tokens", "output_tokens"]
 
 
-def attempted(contexts: DataFrame, calls: DataFrame, ordinal: int, response_bytes: int) -> DataFrame:
-    """ATTEMPT rows of ``contexts`` (run_id, included_block_indexes, reason). A run without a call is exhausted.
+def judged(called: DataFrame, ordinal: int, response_bytes: int) -> DataFrame:
+    """``called`` with attempt_<ordinal>: what came of the call in the columns <name>_<ordinal>; no call is exhausted.
 
     A response is stored before it is looked at, unless it is over ``response_bytes``: then the attempt has failed for
     good. Timeouts and transient failures may be retried, invalid answers repaired."""
-    called = contexts.join(calls.select("run_id", "call_kind", "response", "input_tokens", "output_tokens"), "run_id", "left")
-    called = called.withColumn("call_kind", F.coalesce("call_kind", F.lit("exhausted"))).withColumn("stored", F.coalesce((F.col("call_kind") == "response") & (F.octet_length("response") <= response_bytes), F.lit(False)))
-    checked = validated(called.withColumn("_answer", F.when(F.col("stored"), F.col("response"))), response="_answer").drop("_answer")
-    kind = F.col("call_kind")
-    outcome = F.when(kind.isin("timeout", "transient"), "transient_failure").when(kind != "response", "permanent_failure").when(~F.col("stored"), "permanent_failure").when(F.col("validation_code").isNotNull(), "invalid").otherwise("accepted")
-    error = F.when(kind != "response", kind).when(~F.col("stored"), "blob").when(F.col("validation_code").isNotNull(), "invalid")
-    code = F.when(F.col("stored"), F.col("validation_code"))
-    return checked.withColumns({"ordinal": F.lit(ordinal).cast("smallint"), "outcome": outcome, "error": error, "validation_code": code}).select(*ATTEMPT, "included_block_indexes")
+    col = lambda name: F.col(f"{name}_{ordinal}")
+    kind = F.coalesce(col("call_kind"), F.lit("exhausted"))
+    stored = F.coalesce((kind == "response") & (F.octet_length(col("response")) <= response_bytes), F.lit(False))
+    checked = validated(called.withColumn("_answer", F.when(stored, col("response"))), "_answer", code="_code", analysis="_analysis")
+    bad = F.col("_code").isNotNull()
+    outcome = F.when(kind.isin("timeout", "transient"), "transient_failure").when(~stored, "permanent_failure").when(bad, "invalid").otherwise("accepted")
+    error = F.when(kind != "response", kind).when(~stored, "blob").when(bad, "invalid")
+    parts = [outcome.alias("outcome"), F.when(stored, F.col("_code")).alias("validation_code"), error.alias("error"), stored.alias("stored"), *(col(c).alias(c) for c in CALL[2:]), col("response").alias("response"), F.col("_analysis").alias("analysis")]
+    return checked.withColumn(f"attempt_{ordinal}", F.struct(F.lit(ordinal).cast("smallint").alias("ordinal"), *parts)).drop("_answer", "_code", "_analysis")
 
 
 def run_attempts(contexts: DataFrame, first: DataFrame, second: DataFrame, response_bytes: int) -> DataFrame:
-    """All attempts of runs that are queued: ``contexts`` is (run_id, included_block_indexes)."""
-    one = attempted(contexts.withColumn("reason", F.lit("initial")), first, 1, response_bytes)
-    again = one.where(F.col("outcome").isin("transient_failure", "invalid")).select("run_id", "included_block_indexes", F.when(F.col("outcome") == "invalid", "repair").otherwise("retry").alias("reason"))
-    two = attempted(again, second, 2, response_bytes)
-    return one.unionByName(two).drop("included_block_indexes")
+    """ATTEMPT rows of the runs in ``contexts`` (run_id, included_block_indexes), all of them queued.
+
+    Both calls meet a run in one row, so contexts and calls are read once; the second counts only after a first that
+    may be retried or repaired."""
+    called = contexts.select("run_id", "included_block_indexes")
+    for ordinal, calls in ((1, first), (2, second)):
+        called = called.join(calls.select("run_id", *(F.col(c).alias(f"{c}_{ordinal}") for c in CALL)), "run_id", "left")
+    both = judged(judged(called, 1, response_bytes), 2, response_bytes)
+    one = F.col("attempt_1.outcome")
+    with_reason = lambda ordinal, reason: F.struct(reason.alias("reason"), F.col(f"attempt_{ordinal}").alias("a"))
+    again = one.isin("transient_failure", "invalid")
+    made = F.when(again, F.array(with_reason(1, F.lit("initial")), with_reason(2, F.when(one == "invalid", "repair").otherwise("retry")))).otherwise(F.array(with_reason(1, F.lit("initial"))))
+    rows = both.select("run_id", F.explode(made).alias("m")).select("run_id", "m.reason", "m.a.*")
+    return rows.select(*ATTEMPT)
 
 
 def run_outcomes(attempts: DataFrame) -> DataFrame:

@@ -363,13 +363,14 @@ def json_syntax_gate(spark, sf_dir):
 
 @query
 def structural_validation(spark, sf_dir):
-    return _answers(spark, sf_dir).where(answers.is_json("response")).select("doc_id", answers.has_structure("response").alias("structured"))
+    values = _answers(spark, sf_dir).withColumn("value", answers.value_of("response")).where("value is not null")
+    return values.select("doc_id", answers.has_structure("value").alias("structured"))
 
 
 @query
 def decode_validation(spark, sf_dir):
-    good = _answers(spark, sf_dir).where(answers.is_json("response")).where(answers.has_structure("response"))
-    return good.select("doc_id", answers.can_decode("response").alias("decodes"))
+    values = _answers(spark, sf_dir).withColumn("value", answers.value_of("response")).where("value is not null")
+    return values.where(answers.has_structure("value")).select("doc_id", answers.can_decode("value").alias("decodes"))
 
 
 @query
