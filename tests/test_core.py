@@ -165,3 +165,19 @@ def test_small_operators(spark):
     docs = spark.createDataFrame([(1, "red fish", "a"), (2, "red red dog", "a"), (3, "fish", "b"), (4, None, "a")], "doc_id long, text string, source string")
     asked = spark.createDataFrame([(0, "RED fish", "a")], "query_id long, text string, source string")
     assert {r.doc_id for r in search.bm25(docs, asked, 9, scope="source").collect()} == {1, 2}
+
+
+def test_guards_name_what_is_wrong(spark):
+    rows = spark.createDataFrame([("a_1", "b", ""), ("a", "B", None), ("a\n", "b", "x" * 129), ("a" * 65, None, "é" * 64)], "first string, second string, request string")
+    got = rows.select(identity.version_violation("first", "second").alias("v"), identity.request_id_ok(F.col("request")).alias("ok")).collect()
+    assert [r.v for r in got] == [None, "second", "first", "first"]
+    assert [r.ok for r in got] == [False, True, False, True]
+
+
+def test_planted_violations_are_found(spark):
+    sources = spark.createDataFrame([("s1", "t", "o", "d", "sha256", "a"), ("s2", "t", "o", "d", "sha256", "a")], "source_ref_id string, tenant_ref string, owner_context string, source_document_id string, content_digest_algorithm string, content_digest_hex string")
+    runs_ = spark.createDataFrame([("r1", "s1", "c", "p", "b", "m", "queued"), ("r2", "s9", "c", "p", "b", "m", "lost")], "run_id string, source_ref_id string, contract_version string, prompt_version string, context_builder_version string, model_policy string, state string")
+    attempts = spark.createDataFrame([("r1", 1, "initial", "accepted", 1, None), ("r1", 3, "initial", "accepted", 1, 1), ("r7", 1, "retry", "odd", -1, 1)], "run_id string, ordinal int, reason string, outcome string, input_tokens long, output_tokens long")
+    outputs = spark.createDataFrame([("r1", True), ("r1", True), ("r1", False), ("r8", False)], "run_id string, accepted boolean")
+    found = {(r["rule"], r["at"]) for r in identity.constraint_violations(sources, runs_, attempts, outputs).collect()}
+    assert found == {("source_key", "t|o|d|sha256|a"), ("one_accepted_output", "r1"), ("run_source", "s9"), ("attempt_run", "r7"), ("output_run", "r8"), ("run_state", "r2"), ("attempt_values", "r1|3"), ("attempt_values", "r7|1")}
