@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from docloom.llm._bytes import byte_values, mix, prefix_hash, spans_hash
+from docloom.llm._bytes import byte_values, prefix_hash, spans_hash
 
 #: Bytes of an anchor's k-gram.
 KGRAM = 32

@@ -1,158 +1,82 @@
-"""Column-wise construction of a collection's Burrows-Wheeler transform and longest common prefixes.
+"""Column-wise construction of an aligned collection's Burrows-Wheeler transform and common prefixes.
 
-Each round inserts one symbol of every text, from its last to its first: the texts' suffixes of one more symbol take
-their places among all shorter ones. A place follows from the symbols counted before the text's last place; the common
-prefix with a neighbour is one more than the least common prefix between the two places where that symbol stood.
-Transform and prefixes are read in sequence and written anew each round.
+The texts of a collection are aligned at a place in each. Each round inserts one symbol of every text, the next one to
+the left of what has been sorted: the order of all suffixes that start there follows from the last round's order by a
+stable distribution over the new symbols, and the common prefix of two neighbours that share a symbol is one more than
+the least common prefix between the places they had. Both arrays are read in sequence and written anew each round, and
+hold one entry for each text: the positional form of the transform.
+
+Strings that can match stand at the same distance from the aligned place, so no others have to be sorted together.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-#: Places that share a row of counts.
-BLOCK = 64
-
 
-class Collection:
-    def __init__(self, texts: list[np.ndarray]) -> None:
-        self.m = len(texts)
-        self.lengths = np.array([len(t) for t in texts], np.int64)
-        present = np.zeros(256, bool)
-        for t in texts:
-            present[t] = True
-        symbols = np.flatnonzero(present)
-        code = np.zeros(256, np.int16)
-        code[symbols] = np.arange(len(symbols))
-        #: Also the code of a text's end, which no symbol has.
-        self.sigma = len(symbols)
-        longest = int(self.lengths.max()) if self.m else 0
-        # row j: the symbol that each text inserts in round j, counted from its end
-        self.columns = np.full((longest, self.m), self.sigma, np.int16)
-        for i, t in enumerate(texts):
-            self.columns[: len(t), i] = code[t[::-1]]
-        self.bwt, self.lcp = np.full(self.m, self.sigma, np.int16), np.zeros(self.m, np.uint16)
-        self.place = np.arange(self.m)
-        most = int(self.lengths.sum()) + self.m
-        self.base = np.repeat(np.arange(-(-most // BLOCK), dtype=np.int64) * (self.sigma + 1), BLOCK)
+def common(a: bytes, b: bytes) -> int:
+    """Length of the common prefix."""
+    n = min(len(a), len(b))
+    differ = np.flatnonzero(np.frombuffer(a, np.uint8, n) != np.frombuffer(b, np.uint8, n))
+    return int(differ[0]) if len(differ) else n
 
-    def build(self) -> Collection:
-        for column in self.columns:
-            self._insert(column)
-        return self
 
-    def _insert(self, column: np.ndarray) -> None:
-        active = np.flatnonzero(column != self.sigma)
-        active = active[np.argsort(self.place[active], kind="stable")]
-        p, c = self.place[active], column[active].astype(np.int64)
-        self.bwt[p] = c
-        n, sigma = len(self.bwt), self.sigma
-        nb = -(-n // BLOCK)
-        padded = np.full(nb * BLOCK, sigma, np.int16)
-        padded[:n] = self.bwt
-        rows = padded.reshape(nb, BLOCK)
-        # symbols counted in each block, and before it
-        inside = np.bincount(self.base[: nb * BLOCK] + padded, minlength=nb * (sigma + 1)).reshape(nb, sigma + 1)
-        before = np.zeros((nb + 1, sigma), np.int32)
-        np.cumsum(inside[:, :sigma], axis=0, out=before[1:])
-        total = before[-1].astype(np.int64)
-        smaller = np.concatenate([[0], np.cumsum(total)[:-1]])
-        block, at = p // BLOCK, p % BLOCK
-        lane = np.arange(BLOCK)
-        stands = rows[block] == c[:, None]
-        rank = before[block, c] + (stands & (lane < at[:, None])).sum(axis=1)
-        new_place = self.m + smaller[c] + rank
-        # the places before and after p where the symbol stands, in p's block or else in another
-        earlier, later = stands & (lane < at[:, None]), stands & (lane > at[:, None])
-        last = np.where(earlier.any(axis=1), block * BLOCK + BLOCK - 1 - np.argmax(earlier[:, ::-1], axis=1), -1)
-        following = np.where(later.any(axis=1), block * BLOCK + np.argmax(later, axis=1), -1)
-        far = np.flatnonzero(last < 0)
-        last[far] = self._select(rows, before, c[far], rank[far] - 1, total)
-        far = np.flatnonzero(following < 0)
-        following[far] = self._select(rows, before, c[far], rank[far] + 1, total)
-        minima = RangeMinima(self.lcp)
-        lcp_new = np.where(last >= 0, 1 + minima.query(np.maximum(last, 0) + 1, p), 0)
-        lcp_next = np.where(following >= 0, 1 + minima.query(p + 1, np.maximum(following, p + 1)), 0)
-        # merge: new_place counts the other new suffixes too
-        order = np.argsort(new_place, kind="stable")
-        where = new_place[order]
-        keep = np.ones(n + len(p), bool)
-        keep[where] = False
-        bwt, lcp = np.empty(n + len(p), np.int16), np.empty(n + len(p), np.uint16)
-        bwt[keep], lcp[keep] = self.bwt, self.lcp
-        bwt[where] = sigma
-        has_next = following >= 0
-        lcp[new_place[has_next] + 1] = lcp_next[has_next]
-        lcp[where] = lcp_new[order]
-        self.bwt, self.lcp = bwt, lcp
-        self.place[active] = new_place
+class Collection:
+    def __init__(self, texts: list[bytes], at: list[int]) -> None:
+        """at: the aligned place in each text."""
+        self.at = np.array(at, np.int64)
+        self.columns = np.zeros((int(self.at.max(initial=0)) + 1, len(texts)), np.uint8)
+        for i, (t, a) in enumerate(zip(texts, at, strict=True)):
+            self.columns[1 : a + 1, i] = np.frombuffer(t, np.uint8, a)[::-1]
+        tails = [t[a:] for t, a in zip(texts, at, strict=True)]
+        self.order = np.array(sorted(range(len(texts)), key=tails.__getitem__), np.int64)
+        self.lcp = np.zeros(len(texts), np.int64)
+        for k in range(1, len(texts)):
+            self.lcp[k] = common(tails[self.order[k - 1]], tails[self.order[k]])
 
-    @staticmethod
-    def _select(rows: np.ndarray, before: np.ndarray, c: np.ndarray, k: np.ndarray, total: np.ndarray) -> np.ndarray:
-        """Where the k-th (from 0) symbol c stands; -1 if there is none."""
-        ok = (k >= 0) & (k < total[c])
-        out = np.full(len(c), -1, np.int64)
-        if not ok.any():
-            return out
-        cc, kk = c[ok], k[ok]
-        block = np.empty(len(cc), np.int64)
-        for s in np.unique(cc):
-            mine = cc == s
-            block[mine] = np.searchsorted(before[:, s], kk[mine], side="right") - 1
-        nth = kk - before[block, cc]
-        hits = np.cumsum(rows[block] == cc[:, None], axis=1, dtype=np.int16)
-        out[ok] = block * BLOCK + np.argmax(hits > nth[:, None], axis=1)
-        return out
+    def _insert(self, j: int) -> None:
+        """One more symbol to the left, of the texts that have one; the others leave."""
+        stay = np.flatnonzero(self.at[self.order] >= j)
+        if len(stay) < len(self.order):
+            if len(stay):
+                self.lcp = np.minimum.reduceat(self.lcp[: stay[-1] + 1], np.concatenate([[0], stay[:-1] + 1]))
+                self.lcp[0] = 0
+            self.order = self.order[stay]
+        symbols = self.columns[j][self.order]
+        old = np.argsort(symbols, kind="stable")
+        shared = np.zeros(len(old), np.int64)
+        same = np.flatnonzero(symbols[old][1:] == symbols[old][:-1]) + 1
+        if len(same):
+            shared[same] = 1 + range_minima(self.lcp, old[same - 1] + 1, old[same])
+        self.order, self.lcp = self.order[old], shared
 
     def repeated(self, length: int) -> list[np.ndarray]:
-        """For each text, the starts of its substrings of ``length`` that also start elsewhere in the collection."""
-        n = len(self.bwt)
-        shared = np.zeros(n, bool)
-        shared[1:] = self.lcp[1:] >= length
-        shared[:-1] |= self.lcp[1:] >= length
-        order = np.argsort(self.bwt, kind="stable")
-        to = np.empty(n, np.int64)
-        to[order] = self.m + np.arange(n)
-        out: list[list[int]] = [[] for _ in range(self.m)]
-        place, live = np.arange(self.m), np.arange(self.m)
-        for j in range(1, len(self.columns) + 1):
-            live = live[self.lengths[live] >= j]
-            place[live] = to[place[live]]
-            if j >= length:
-                for i in live[shared[place[live]]]:
-                    out[i].append(int(self.lengths[i] - j))
-        return [np.array(x[::-1], np.int64) for x in out]
-
-
-class RangeMinima:
-    """Least value of ranges [a, b] of an array."""
+        """For each text, the starts (up to its aligned place) of substrings of ``length`` that another text has at the
+        same distance from its own."""
+        texts, starts = [], []
+        for j in range(len(self.columns)):
+            if j:
+                self._insert(j)
+            long = self.lcp >= length
+            long[:-1] |= long[1:]
+            hit = self.order[long]
+            texts.append(hit)
+            starts.append(self.at[hit] - j)
+        which, where = np.concatenate(texts), np.concatenate(starts)
+        order = np.lexsort((where, which))
+        which, where = which[order], where[order]
+        return np.split(where, np.searchsorted(which, np.arange(1, len(self.at))))
 
-    def __init__(self, x: np.ndarray) -> None:
-        n = len(x)
-        self.nb = -(-n // BLOCK)
-        padded = np.full(self.nb * BLOCK, np.iinfo(x.dtype).max, x.dtype)
-        padded[:n] = x
-        self.rows = padded.reshape(self.nb, BLOCK)
-        self.table = [self.rows.min(axis=1)]
-        while (1 << len(self.table)) <= self.nb:
-            t, d = self.table[-1], 1 << (len(self.table) - 1)
-            self.table.append(np.minimum(t[:-d], t[d:]))
 
-    def query(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        b = np.minimum(b, self.nb * BLOCK - 1)
-        a = np.minimum(a, b)
-        first, last = a // BLOCK, b // BLOCK
-        lane, most = np.arange(BLOCK), np.iinfo(self.rows.dtype).max
-        stop = np.where(first == last, b % BLOCK, BLOCK - 1)
-        left = np.where((lane >= (a % BLOCK)[:, None]) & (lane <= stop[:, None]), self.rows[first], most).min(axis=1)
-        right = np.where(lane <= (b % BLOCK)[:, None], self.rows[last], most).min(axis=1)
-        out = np.where(first == last, left, np.minimum(left, right))
-        inner = last - first - 1
-        some = np.flatnonzero(inner > 0)
-        if len(some):
-            level = np.floor(np.log2(inner[some])).astype(np.int64)
-            for k in np.unique(level):
-                s = some[level == k]
-                t = self.table[k]
-                out[s] = np.minimum(out[s], np.minimum(t[first[s] + 1], t[last[s] - (1 << k)]))
-        return out.astype(np.int64)
+def range_minima(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Least x of each range [a, b], from minima over powers of two."""
+    level = np.floor(np.log2(b - a + 1)).astype(np.int64)
+    out = np.empty(len(a), x.dtype)
+    table = x
+    for k in range(int(level.max()) + 1):
+        if k:
+            d = 1 << (k - 1)
+            table = np.minimum(table[:-d], table[d:])
+        s = np.flatnonzero(level == k)
+        out[s] = np.minimum(table[a[s]], table[b[s] - (1 << k) + 1])
+    return out

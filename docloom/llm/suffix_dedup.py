@@ -25,12 +25,12 @@ from pyspark.sql import functions as F
 
 from docloom.llm import _bytes as B
 from docloom.llm._anchors import KGRAM, OTHER, PLAIN, anchors
-from docloom.llm._bwt import Collection
+from docloom.llm._bwt import Collection, common
 from docloom.llm._shared import free_name, remove, ship_package, small_batches, staged
 
 LENGTH = 400
 #: Different segments of one anchor that a collection takes, segments to a collection, bytes looked at together.
-MOST, TOGETHER, SECTION = 2000, 1024, 1 << 19
+MOST, TOGETHER, SECTION = 12_000, 1024, 1 << 19
 
 
 def find_runs(length: int):
@@ -78,12 +78,6 @@ def cut_segments(length: int):
     return run
 
 
-def common(a: bytes, b: bytes) -> int:
-    n = min(len(a), len(b))
-    differ = np.flatnonzero(np.frombuffer(a, np.uint8, n) != np.frombuffer(b, np.uint8, n))
-    return int(differ[0]) if len(differ) else n
-
-
 def shared_context(contexts: list[bytes]) -> list[int]:
     """How long a prefix each has in common with one of the others: with a neighbour in sorted order."""
     order = sorted(range(len(contexts)), key=contexts.__getitem__)
@@ -95,18 +89,16 @@ def shared_context(contexts: list[bytes]) -> list[int]:
 
 
 def trimmed(group: list[tuple], length: int) -> list[list]:
-    """Of an anchor's segments (row, first, at, copies, bytes): [bytes, owners (row, start of the bytes in the row)] of
-    what can hold a repeated string, equal ones together."""
+    """Of an anchor's segments (row, first, at, copies, bytes): [bytes, anchor's place in them, owners (row, start of the
+    bytes in the row, copies)] of what can hold a repeated string, equal ones together."""
     left = shared_context([g[4][: g[2]][::-1] for g in group])
     right = shared_context([g[4][g[2] + KGRAM :] for g in group])
     found: dict[tuple[bytes, int], list] = {}
     for (row, first, at, copies, raw), lo, hi in zip(group, left, right, strict=True):
         start, stop = at - lo, at + KGRAM + hi
-        if copies > 1:  # covered as it is; it stands here for others to match
-            start, stop = 0, len(raw)
         if stop - start >= length:
             found.setdefault((raw[start:stop], at - start), []).append((row, first + start, copies))
-    return [[raw, owners] for (raw, _), owners in found.items()]
+    return [[raw, at, owners] for (raw, at), owners in found.items()]
 
 
 def spans_of(starts: np.ndarray, length: int) -> list[tuple[int, int]]:
@@ -124,16 +116,16 @@ def sort_collections(length: int):
         out = []
         several = []
         for segments in groups:
-            for raw, owners in segments:
+            for raw, _, owners in segments:
                 if len(owners) > 1:
                     out += [(row, lo, lo + len(raw)) for row, lo, copies in owners if copies == 1]
             if len(segments) > 1:
                 several += segments
         if several:
-            starts = Collection([np.frombuffer(raw, np.uint8) for raw, _ in several]).build().repeated(length)
-            for (_, owners), s in zip(several, starts, strict=True):
+            starts = Collection([raw for raw, _, _ in several], [at for _, at, _ in several]).repeated(length)
+            for (_, _, owners), s in zip(several, starts, strict=True):
                 spans = spans_of(s, length)
-                out += [(row, lo + a, lo + b) for row, lo, copies in owners if copies == 1 and len(owners) == 1 for a, b in spans]
+                out += [(row, lo + a, lo + b) for row, lo, copies in owners if copies == 1 and len(owners) == 1 for a, b in spans]  # else covered already
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -262,20 +262,21 @@ def test_language_id(spark, sf_dir, empty):
 
 def test_collections_find_repeated_strings():
     rnd = random.Random(3)
-    for trial in range(15):
+    for trial in range(40):
         letters = b"ab" if trial % 2 else b"abcdefghij"
-        base = bytes(rnd.choice(letters) for _ in range(600))
-        some = []
-        for _ in range(rnd.randint(1, 12)):
-            i = rnd.randint(0, 450)
-            t = bytearray(base[i : i + rnd.randint(0, 150)])
+        base = bytes(rnd.choice(letters) for _ in range(300))
+        some, at = [], []
+        for _ in range(rnd.randint(1, 14)):
+            i, n = rnd.randint(0, 200), rnd.randint(0, 90)
+            t = bytearray(base[i : i + n])
             for _ in range(rnd.randint(0, 3) if t else 0):
                 t[rnd.randrange(len(t))] = rnd.choice(letters)
             some.append(bytes(t))
-        n = rnd.choice([3, 8, 20])
-        count = Counter(t[i : i + n] for t in some for i in range(len(t) - n + 1))
-        expected = [[i for i in range(len(t) - n + 1) if count[t[i : i + n]] > 1] for t in some]
-        assert [x.tolist() for x in Collection([np.frombuffer(t, np.uint8) for t in some]).build().repeated(n)] == expected
+            at.append(rnd.choice([min(max(250 - i, 0), n), rnd.randint(0, n)]))
+        length = rnd.choice([1, 3, 8, 20])
+        count = Counter((t[i : i + length], a - i) for t, a in zip(some, at, strict=True) for i in range(min(a, len(t) - length) + 1))
+        expected = [[i for i in range(min(a, len(t) - length) + 1) if count[t[i : i + length], a - i] > 1] for t, a in zip(some, at, strict=True)]
+        assert [x.tolist() for x in Collection(some, at).repeated(length)] == expected
 
 
 @pytest.mark.parametrize(("length", "most"), [(60, 2000), (60, 2), (400, 2000)])
