@@ -229,5 +229,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     d, k, n = free_name(docs, "digest", "keep_id", "n_keep")
     found = docs.withColumn(d, text_digest(F.col(text_col))).join(repeated.select(F.col("digest").alias(d), F.col("keep_id").alias(k), F.col("n_keep").alias(n)), d, "left")
     stays = found.where(F.col(n).isNull() | F.col(id_col).cast("long").eqNullSafe(F.col(k)))
+    if repeated.where("n_keep > 1").isEmpty():  # no row repeats both text and id
+        return stays.select(*docs.columns)
     one = stays.where(F.coalesce(F.col(n), F.lit(1)) == 1)
     return one.unionByName(stays.where(F.col(n) > 1).dropDuplicates([d])).select(*docs.columns)
