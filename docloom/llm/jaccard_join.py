@@ -314,12 +314,13 @@ def tiles(mixed: DataFrame, tile: int) -> DataFrame:
 
 
 def compare_lists(rule: Rule, light: int):
-    """Of rows (x, i, j, own, class, component, n, counts) sorted by x, i, j: pairs (a, b) of different components that
-    sizes and counts allow."""
+    """Of rows (x, i, j, own, class, component, n, counts, lists) sorted by x, i, j: pairs (a, b) of different
+    components that sizes and counts allow, each once: in the first of the lists that both are in."""
 
-    def compare(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+    def compare(x: int, rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
         own, key, component, n = (np.array(c, np.int64) for c in list(zip(*rows, strict=True))[:4])
         counts, known = counts_of([r[4] for r in rows])
+        lists = [np.array(r[5], np.int64) for r in rows]
         i, j = own.min(), own.max()
         left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
         out_a, out_b = [], []
@@ -330,6 +331,7 @@ def compare_lists(rule: Rule, light: int):
             if len(q):
                 most = np.minimum(counts[q], counts[p]).sum(axis=1, dtype=np.int64)
                 q = q[may_link(rule, n[q], n[p], most, known[q] & known[p])]
+                q = q[[np.intersect1d(lists[p], lists[k], assume_unique=True)[0] == x for k in q]] if len(q) else q
                 out_a.append(np.minimum(key[q], key[p])), out_b.append(np.maximum(key[q], key[p]))
         return (np.concatenate(out_a), np.concatenate(out_b)) if out_a else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
@@ -337,16 +339,16 @@ def compare_lists(rule: Rule, light: int):
         at, rows = None, []
         for batch in batches:
             found = []
-            for x, i, j, *row in zip(*(batch.column(c).to_pylist() for c in range(8)), strict=True):
+            for x, i, j, *row in zip(*(batch.column(c).to_pylist() for c in range(9)), strict=True):
                 if (x, i, j) != at:
                     if len(rows) > 1:
-                        found.append(compare(rows))
+                        found.append(compare(at[0], rows))
                     at, rows = (x, i, j), []
                 rows.append(row)
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[c] for f in found])) for c in range(2)], names=["a", "b"])
         if len(rows) > 1:
-            a, b = compare(rows)
+            a, b = compare(at[0], rows)
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     return run
@@ -394,7 +396,8 @@ def class_links(members: DataFrame, docs: DataFrame, listed_pairs: DataFrame, li
             found = found.where(f"{rule.den} * na >= {rule.num} * nb and nb > {light}").select("a", "b").distinct()
             found = plausible(found.join(tested, ["a", "b"], "left_anti"), sets, rule)
         else:
-            rows = tiles(mixed, tile).join(sets.select("class", "counts"), "class").select("x", "i", "j", "own", "class", "component", "n", "counts")
+            lists = mixed.groupBy("class").agg(F.sort_array(F.collect_set("x")).alias("lists"))  # of a prefix at most
+            rows = tiles(mixed, tile).join(sets.select("class", "counts"), "class").join(lists, "class").select("x", "i", "j", "own", "class", "component", "n", "counts", "lists")
             rows = rows.repartition("x", "i", "j").sortWithinPartitions("x", "i", "j")
             found = rows.mapInArrow(compare_lists(rule, light), "a long, b long").distinct().join(tested, ["a", "b"], "left_anti")
         more, _ = staged(found, "pairs")
