@@ -31,7 +31,7 @@ class Profiles:
     def __init__(self, seed: int, dimensions: int) -> None:
         self.letters = np.where(np.random.default_rng(seed).random((CODES, dimensions)) < 0.5, -1, 1).astype(np.int8)
         self.row = np.full(CODES**3, -1, np.int32)
-        self.vectors = np.zeros((1024, dimensions), np.float32)
+        self.vectors = np.zeros((1024, dimensions), np.int8)
         self.rows = 0
         codes = np.zeros(1 << 16, np.int32)
         for cp in range(1 << 16):
@@ -78,7 +78,7 @@ class Profiles:
         if len(code) < 3:
             return None
         at, count = self.trigrams(code)
-        v = count @ self.vectors[at]
+        v = count @ self.vectors[at].astype(np.float32)
         norm = np.linalg.norm(v)
         return v / norm if norm else v
 
