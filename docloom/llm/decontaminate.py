@@ -1,12 +1,11 @@
-"""Benchmark decontamination: rare n-gram seeds find passages, Smith-Waterman alignment scores them.
+"""Benchmark decontamination: n-gram seeds find passages, Smith-Waterman alignment scores them.
 
-Text is words of letters and digits, A-Z lower-cased. Every n-gram of the test items is counted over the whole corpus
-(the number of documents that have it); each item keeps the rarer half of its n-grams as seeds, so every item has seeds
-even if the whole of it is common. A document that has a seed is compared with the item around it: if enough of the
-item's words occur there, local alignment of the two word sequences gives a score, the share of the item that is
-matched less what edits cost.
+Text is words of letters and digits, A-Z lower-cased. Every n-gram of an item is a seed, at every place it has there,
+however common it is: which ones an edited copy keeps isn't known, and those that no document has cost nothing. A
+document that has a seed is compared with the item around it: if enough of the item's words occur there, local alignment
+of the two word sequences gives a score, the share of the item that is matched less what edits cost.
 
-The items are the query set. They go to every task in blocks of bounded size, and a block's passes read all documents;
+The items are the query set. They go to every task in blocks of bounded size, and a block's pass reads all documents;
 no document leaves its task for it.
 """
 
@@ -29,8 +28,7 @@ MATCH, MISMATCH, GAP = 1.0, -0.5, -0.5
 @dataclass(frozen=True)
 class Settings:
     words: int = 3  #: of a seed
-    least_seeds: int = 8  #: that an item keeps, if it has so many
-    shared_words: float = 0.4  #: share of an item's distinct words around a seed from which on it is aligned
+    shared_words: float = 0.4  #: share of an item's words around a seed from which on it is aligned, min_score at most
     min_score: float = 0.5
     block_bytes: int = 8 << 20  #: of items' texts that tasks get at once
 
@@ -44,32 +42,24 @@ def words_of(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarr
 
 
 class Items:
-    """A block of test items: word sequences, and seeds with the places they come from."""
+    """A block of test items: word sequences, and seeds with the items they come from and their first and last place there."""
 
     def __init__(self, texts: list[str | None], words: int) -> None:
         self.sequences: list[np.ndarray] = []
-        self.grams: list[np.ndarray] = []
+        found: list[np.ndarray] = []
         for hashes, _, _, first, _ in words_of(pa.array(texts, pa.string())):
             grams, begin = B.gram_hashes(hashes, first, words)
             self.sequences += [hashes[first[k] : first[k + 1]] for k in range(len(first) - 1)]
-            self.grams += [grams[begin[k] : begin[k + 1]] for k in range(len(begin) - 1)]
-        self.distinct = [np.unique(s) for s in self.sequences]
-        self.known = np.unique(np.concatenate([*self.grams, np.zeros(0, np.uint64)]))
-        self.seeds = self.known
-
-    def keep_rare(self, frequency: np.ndarray, least: int) -> None:
-        """frequency: of each known n-gram. Ties go by hash."""
-        seeds, items, places = [], [], []
-        for i, g in enumerate(self.grams):
-            own, at = np.unique(g, return_index=True)
-            order = np.lexsort((own, frequency[np.searchsorted(self.known, own)]))[: max(least, -(-len(own) // 2))]
-            seeds.append(own[order]), items.append(np.full(len(order), i)), places.append(at[order])
-        flat = np.concatenate([*seeds, np.zeros(0, np.uint64)])
-        order = np.argsort(flat, kind="stable")
-        flat = flat[order]
-        self.seeds, self.begin = np.unique(flat, return_index=True)
-        self.begin = np.append(self.begin, len(flat))
-        self.item, self.place = (np.concatenate([*x, np.zeros(0, np.int64)]).astype(np.int64)[order] for x in (items, places))
+            found += [grams[begin[k] : begin[k + 1]] for k in range(len(begin) - 1)]
+        gram = np.concatenate([*found, np.zeros(0, np.uint64)])
+        item = np.repeat(np.arange(len(found)), [len(g) for g in found])
+        place = np.concatenate([*(np.arange(len(g)) for g in found), np.zeros(0, np.int64)]).astype(np.int64)
+        order = np.lexsort((place, item, gram))
+        gram, item, place = gram[order], item[order], place[order]
+        new = np.append(True, (np.diff(gram) != 0) | (np.diff(item) != 0))[: len(gram)]
+        self.item, self.low, self.high = item[new], place[new], place[np.append(new[1:], True)[: len(gram)]]
+        self.seeds, begin = np.unique(gram[new], return_index=True)
+        self.begin = np.append(begin, len(self.item))
 
 
 def found_in(sorted_values: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -81,29 +71,6 @@ def found_in(sorted_values: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.n
     return at, p[at]
 
 
-def document_frequency(docs: DataFrame, items: Items, words: int, text_col: str) -> np.ndarray:
-    """In how many rows each known n-gram of the items occurs."""
-    known = docs.sparkSession.sparkContext.broadcast(items.known)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(known.value), np.int64)
-        for b in batches:
-            for hashes, _, _, first, _ in words_of(b.column(0)):
-                grams, begin = B.gram_hashes(hashes, first, words)
-                at, which = found_in(known.value, grams)
-                row = np.searchsorted(begin, at, side="right") - 1
-                once = np.unique(row * len(known.value) + which)
-                total += np.bincount(once % max(len(known.value), 1), minlength=len(total))
-        hit = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(hit.astype(np.int64)), pa.array(total[hit])], names=["gram", "n"])
-
-    out = np.zeros(len(items.known), np.int64)
-    if len(out):
-        for r in docs.select(text_col).mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect():  # no more rows than the block has n-grams
-            out[r["gram"]] = r["n"]
-    return out
-
-
 def local_alignment(item: np.ndarray, passage: np.ndarray) -> tuple[float, int]:
     """Best Smith-Waterman score with linear gaps, and where it ends in the passage."""
     ramp = -GAP * np.arange(len(passage))
@@ -117,17 +84,19 @@ def local_alignment(item: np.ndarray, passage: np.ndarray) -> tuple[float, int]:
     return best, end
 
 
-def best_passage(item: np.ndarray, distinct: np.ndarray, row: np.ndarray, at: np.ndarray, place: np.ndarray, settings: Settings) -> tuple[float, int, int]:
-    """Score (0 to 1) and first and last word + 1 of the best passage around seeds: at in the row, place in the item."""
+def best_passage(item: np.ndarray, row: np.ndarray, at: np.ndarray, low: np.ndarray, high: np.ndarray, settings: Settings) -> tuple[float, int, int]:
+    """Score (0 to 1) and first and last word + 1 of the best passage around seeds: at in the row, low to high in the item.
+
+    A passage of ``min_score`` has at most ``edits`` words beside the item's, so it lies within that reach of its seeds."""
     best = (0.0, 0, 0)
     n, order = len(item), np.argsort(at, kind="stable")
-    at, place = at[order], place[order]
-    pad = n // 4 + 3
-    for group in np.split(np.arange(len(at)), np.flatnonzero(np.diff(at) > 2 * n) + 1):
-        lo = max(0, int((at[group] - place[group]).min()) - pad)
-        hi = min(len(row), int((at[group] - place[group]).max()) + n + pad)
+    at, low, high = at[order], low[order], high[order]
+    edits = int((1 - settings.min_score) * MATCH * n / -GAP)
+    for group in np.split(np.arange(len(at)), np.flatnonzero(np.diff(at) > n + edits) + 1):
+        lo = max(0, int((at[group] - high[group]).min()) - edits)
+        hi = min(len(row), int((at[group] - low[group]).max()) + n + edits)
         passage = row[lo:hi]
-        if np.isin(distinct, passage).sum() < settings.shared_words * len(distinct):
+        if np.isin(item, passage).sum() < min(settings.shared_words, settings.min_score) * n:
             continue
         score, end = local_alignment(item, passage)
         if score / (MATCH * n) > best[0]:
@@ -152,12 +121,12 @@ def leak_finder(items, settings: Settings):
                 times = block.begin[seed + 1] - block.begin[seed]
                 source = np.repeat(block.begin[seed] - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(times.sum())
                 row, at = np.repeat(row, times), np.repeat(hit - begin[row], times)
-                item, place = block.item[source], block.place[source]
+                item, low, high = block.item[source], block.low[source], block.high[source]
                 order = np.lexsort((at, item, row))
-                row, at, item, place = row[order], at[order], item[order], place[order]
+                row, at, item, low, high = row[order], at[order], item[order], low[order], high[order]
                 for g in np.split(np.arange(len(row)), np.flatnonzero((np.diff(row) != 0) | (np.diff(item) != 0)) + 1):
                     r, i = int(row[g[0]]), int(item[g[0]])
-                    score, lo, hi = best_passage(block.sequences[i], block.distinct[i], hashes[first[r] : first[r + 1]], at[g], place[g], settings)
+                    score, lo, hi = best_passage(block.sequences[i], hashes[first[r] : first[r + 1]], at[g], low[g], high[g], settings)
                     if score >= settings.min_score:
                         out[r].append({"item": i, "score": round(score, 6), "start": int(start[first[r] + lo] - offsets[r]), "stop": int(end[first[r] + hi - 1] - offsets[r])})
             rows += out
@@ -181,9 +150,7 @@ def finders(docs: DataFrame, benchmark: DataFrame, settings: Settings, item_col:
     ship_package(docs.sparkSession)
     small_batches(docs.sparkSession)
     for ids, texts in item_blocks(benchmark, settings, item_col, item_text):
-        items = Items(texts, settings.words)
-        items.keep_rare(document_frequency(docs, items, settings.words, text_col), settings.least_seeds)
-        yield ids, leak_finder(docs.sparkSession.sparkContext.broadcast(items), settings)
+        yield ids, leak_finder(docs.sparkSession.sparkContext.broadcast(Items(texts, settings.words)), settings)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:

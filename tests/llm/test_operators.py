@@ -317,6 +317,45 @@ def test_decontamination(spark, docs, empty):
     assert decontaminate.leaks(corpus, tests.where("false")).count() == 0 == decontaminate.leaks(empty, tests).count()
 
 
+def plain_alignment(item: list[str], text: list[str]) -> float:
+    above, best = [0.0] * (len(text) + 1), 0.0
+    for a in item:
+        here = [0.0]
+        for j, b in enumerate(text):
+            here.append(max(0.0, above[j] + (1 if a == b else -0.5), above[j + 1] - 0.5, here[j] - 0.5))
+        above, best = here, max(best, *here)
+    return best / len(item)
+
+
+def test_decontamination_of_dense_edits_repeated_often(spark):
+    rnd = random.Random(9)
+    word = lambda: f"w{rnd.randrange(500)}"
+    items = {k: [word() for _ in range(24)] for k in range(6)}
+    items[6] = ["again", "and", "again", *items[0][:9], *["again", "and"] * 5, *items[0][9:14]]
+    made = []
+    for k, item in items.items():
+        every = [[f"x{i}" if i % 5 == 4 else w for i, w in enumerate(item)], [x for i, w in enumerate(item) for x in ([w, "y", "y", "y"] if i in (5, 9, 13, 17) else [w])], item[:10] + ["z"] * 14 + item[10:]]
+        for _ in range(6):
+            w = list(item)
+            for _ in range(rnd.choice([3, 6, 9])):
+                at = rnd.randrange(len(w))
+                w[at : at + rnd.randrange(2)] = [word() for _ in range(rnd.randrange(3))]
+            every.append(w)
+        made += [([word() for _ in range(30)] + w + [word() for _ in range(rnd.choice([0, 30]))]) for w in every]
+    grams = lambda w: {tuple(w[i : i + 3]) for i in range(len(w) - 2)}
+    expected = {}
+    for d, w in enumerate(made):
+        for k, item in items.items():
+            if grams(w) & grams(item) and (score := plain_alignment(item, w)) >= 0.5:
+                expected[(d, k)] = round(score, 6)
+    assert {(9 * k, k) for k in range(6)} <= set(expected)
+    copies = 50  # of each text: 3,150 rows
+    corpus = spark.createDataFrame([(d, " ".join(w)) for _ in range(copies) for d, w in enumerate(made)], "doc_id long, text string")
+    tests = spark.createDataFrame([(k, " ".join(w)) for k, w in items.items()], "item_id long, text string")
+    found = Counter((r.doc_id, r.item_id, r.score) for r in decontaminate.leaks(corpus, tests).collect())
+    assert found == {(d, k, score): copies for (d, k), score in expected.items()}
+
+
 def plain_components(rows):
     sets = []
     for _, t in rows:
