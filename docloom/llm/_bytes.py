@@ -6,6 +6,7 @@ mixed. With prefix sums every substring's hash costs a subtraction and a multipl
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -96,13 +97,9 @@ SPACE[[32, *range(9, 14)]] = True
 WORD_VALUES = byte_values(11, fold_case=True)
 
 
-#: Runs of letters and digits: every other ASCII byte parts words.
-NOT_WORD = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
-
-
-def word_spans(data: np.ndarray, offsets: np.ndarray, gaps: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_spans(data: np.ndarray, offsets: np.ndarray, gap: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end of each word (run without gap bytes, else ASCII white space, inside a row), and each row's first word."""
-    gap = gaps[data]
+    gap = SPACE[data] if gap is None else gap
     begins = np.empty(len(data), dtype=bool)
     if len(data):
         begins[0] = True
@@ -121,9 +118,9 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, gaps: np.ndarray = SPACE)
     return start, end, np.searchsorted(start, offsets)
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, gaps: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, offsets: np.ndarray, gap: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hash (A-Z folded), start and end of each word, and each row's first word. Sections bound the memory for a very long row."""
-    start, end, first = word_spans(data, offsets, gaps)
+    start, end, first = word_spans(data, offsets, gap)
     out = np.empty(len(start), dtype=np.uint64)
     i = 0
     while i < len(start):
@@ -135,6 +132,65 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, gaps: np.ndarray = SPACE)
     return out, start, end, first
 
 
+#: ASCII bytes that aren't letters or digits.
+NOT_WORD = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
+#: Of each code point: 1 a letter, digit or mark, 0 none of these, 2 not looked at yet.
+LETTERS = np.full(1 << 21, 2, np.uint8)
+
+
+def letter_gaps(data: np.ndarray) -> np.ndarray:
+    """Which bytes of UTF-8 text belong to no letter, digit or mark. Bytes that aren't UTF-8 count as letters."""
+    gap = NOT_WORD[data]
+    lead = np.flatnonzero(data >= 0xC2)
+    if not len(lead):
+        return gap
+    wide = np.concatenate([data, np.zeros(3, np.uint8)])
+    size = 2 + (data[lead] >= 0xE0) + (data[lead] >= 0xF0).astype(np.int64)
+    cp = data[lead].astype(np.int64) & (0x7F >> size)
+    whole = np.ones(len(lead), bool)
+    for k in (1, 2, 3):
+        b, inside = wide[lead + k], size > k
+        whole &= ~inside | (b & 0xC0 == 0x80)
+        cp = np.where(inside, cp << 6 | b & 0x3F, cp)
+    lead, size, cp = lead[whole], size[whole], cp[whole]
+    new = np.unique(cp[LETTERS[cp] == 2])
+    LETTERS[new] = [c > 0x10FFFF or chr(c).isalnum() or unicodedata.category(chr(c))[0] == "M" for c in new.tolist()]
+    other = LETTERS[cp] == 0
+    for k in range(4):
+        gap[lead[other & (size > k)] + k] = True
+    return gap
+
+
+#: Hashes of words with other than ASCII bytes: as they stand, and folded.
+_FOLDED: dict[int, int] = {}
+
+
+def folded(word: bytes) -> bytes:
+    """Equal for words that differ in case, or in how accents are encoded, in any script."""
+    whole = unicodedata.normalize("NFD", word.decode("utf-8", "surrogateescape"))
+    return unicodedata.normalize("NFC", unicodedata.normalize("NFD", whole.casefold())).encode("utf-8", "surrogateescape")
+
+
+def letter_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash (Unicode case and composition folded), start and end of each run of letters, digits and marks, and each row's first."""
+    out, start, end, first = word_hashes(data, offsets, letter_gaps(data))
+    above = np.concatenate([[0], np.cumsum(data >= 0x80)])
+    at = np.flatnonzero(above[end] > above[start])
+    if len(at):
+        raw, where, which = np.unique(out[at], return_index=True, return_inverse=True)
+        keys = raw.tolist()
+        if len(_FOLDED) > 500_000:  # a bound on memory
+            _FOLDED.clear()
+        new = [k for k, h in enumerate(keys) if h not in _FOLDED]
+        if new:
+            words = [folded(data[start[w] : end[w]].tobytes()) for w in at[where[new]]]
+            ends = np.cumsum([len(w) for w in words])
+            h = prefix_hash(np.frombuffer(b"".join(words), np.uint8), WORD_VALUES)
+            _FOLDED.update(zip((keys[k] for k in new), spans_hash(h, np.append(0, ends[:-1]), ends).tolist(), strict=True))
+        out[at] = np.array([_FOLDED[h] for h in keys], np.uint64)[which]
+    return out, start, end, first
+
+
 GRAM_SALTS = np.random.default_rng(5).integers(1, 1 << 63, 64, dtype=np.uint64) | U(1)
 
 

@@ -1,8 +1,8 @@
 """Benchmark decontamination: n-gram seeds find passages, Smith-Waterman alignment scores them.
 
-Text is words of letters and digits, A-Z lower-cased. Every n-gram of an item is a seed, at every place it has there,
-however common it is: which ones an edited copy keeps isn't known, and those that no document has cost nothing. A
-document that has a seed is compared with the item around it: if enough of the item's words occur there, local alignment
+Text is words of letters, digits and marks of any script, without regard to case or to how accents are encoded; all
+other signs part words. Every n-gram of an item is a seed, at every place it has there, however common it is: which ones
+an edited copy keeps isn't known, and those that no document has cost nothing. A document that has a seed is compared with the item around it: if enough of the item's words occur there, local alignment
 of the two word sequences gives a score, the share of the item that is matched less what edits cost.
 
 The items are the query set. They go to every task in blocks of bounded size, and a block's pass reads all documents;
@@ -38,7 +38,7 @@ def words_of(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarr
     data, offsets = B.text_buffers(texts)
     for i, j in B.row_blocks(offsets):
         local = offsets[i : j + 1] - offsets[i]
-        yield (*B.word_hashes(data[offsets[i] : offsets[j]], local, B.NOT_WORD), local)
+        yield (*B.letter_words(data[offsets[i] : offsets[j]], local), local)
 
 
 class Items:

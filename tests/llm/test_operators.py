@@ -6,6 +6,7 @@ import base64
 import hashlib
 import random
 import re
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
@@ -14,6 +15,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
+from docloom.llm import _bytes as B
 from docloom.llm import decontaminate, exact_dedup, jaccard_join, language_id, line_dedup, packing, queries, sharding, suffix_dedup, token_counts, warc
 from docloom.llm._bwt import Collection
 from docloom.llm._tokens import UnitTokenizer
@@ -356,6 +358,21 @@ def test_decontamination_of_dense_edits_repeated_often(spark):
     assert found == {(d, k, score): copies for (d, k), score in expected.items()}
 
 
+def test_decontamination_folds_every_script(spark):
+    items = {1: "Élève déjà très âgé à l’école où naît l’été près du château brûlé", 2: "Съешь же ещё этих мягких французских булок да выпей чаю", 3: "Ο γρήγορος σκύλος πηδάει πάνω από τον τεμπέλη λύκο της αυλής", 4: "Die große Straße führt über Brücken zu schönen Gärten, sagte Ünal"}
+    set_anew = lambda t: "“" + t.replace(" ", "\u00a0— ").replace("’", "'") + "”…"
+    forms = [str.upper, str.title, lambda t: unicodedata.normalize("NFD", t), lambda t: unicodedata.normalize("NFD", t).upper(), set_anew]
+    rows = [(10 * k + i, "avant «" + f(t) + "» après") for k, t in items.items() for i, f in enumerate(forms)]
+    corpus = spark.createDataFrame(rows, "doc_id long, text string")
+    found = decontaminate.leaks(corpus, spark.createDataFrame(list(items.items()), "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.item_id, r.score) for r in found) == [(d, d // 10, 1.0) for d, _ in rows]
+    for r in found:
+        form = forms[r.doc_id % 10](items[r.item_id]).strip("“”…")
+        assert dict(rows)[r.doc_id].encode()[r.start : r.stop].decode() == form
+    odd = np.frombuffer(b"a\xe2\x82 \xff\xc3 \xf0\x9f\x98\x80b \xc3", np.uint8)  # not UTF-8, and a sign of four bytes
+    assert B.letter_words(odd, np.array([0, len(odd)]))[1].tolist() == [0, 4, 11, 13]
+
+
 def plain_components(rows):
     sets = []
     for _, t in rows:
