@@ -164,13 +164,23 @@ def run_get_or_create(spark, sf_dir):
     return run_table(spark, sf_dir).select("run_id", "source_ref_id", "created")
 
 
+def recorded_tables(spark, sf_dir):
+    """Sources, runs, attempts and outputs of all documents. A document's attempts are those of its first revision's run;
+    one without a run keeps its document's id, which no run has."""
+    sources, all_runs = source_table(spark, sf_dir), run_table(spark, sf_dir).withColumn("state", F.lit("queued"))
+    document, at = F.col("doc_id").cast("string"), ["source_document_id", "tenant_ref", "content_digest_hex"]
+    first = docs(spark, sf_dir).select("doc_id", document.alias(at[0]), F.coalesce("source", F.lit("none")).alias(at[1]), text.digest_hex(F.coalesce("text", F.lit(""))).alias(at[2])).distinct()
+    known = first.join(sources.select("source_ref_id", *at), at).join(all_runs.select("run_id", "source_ref_id"), "source_ref_id").select("doc_id", "run_id")
+    attempts = _attempts(spark, sf_dir).withColumnRenamed("run_id", "doc_id").join(known, "doc_id", "left").withColumn("run_id", F.coalesce("run_id", document)).drop("doc_id")
+    outputs = attempts.where("outcome = 'accepted'").select("run_id", F.lit(True).alias("accepted"))
+    return sources, all_runs, attempts, outputs
+
+
 @query
 def constraint_violations(spark, sf_dir):
-    sources, all_runs = source_table(spark, sf_dir), run_table(spark, sf_dir).withColumn("state", F.lit("queued"))
-    attempts = _attempts(spark, sf_dir).where("false").withColumn("run_id", F.col("run_id").cast("string"))
-    one = all_runs.where("false").select("run_id", F.lit(True).alias("accepted"))
+    sources, all_runs, attempts, outputs = recorded_tables(spark, sf_dir)
     planted_runs = all_runs.unionByName(all_runs.where("substring(run_id, 1, 1) = '0'").withColumn("state", F.lit("lost")).withColumn("source_ref_id", F.concat(F.lit("no-"), "source_ref_id")))
-    return identity.constraint_violations(sources, planted_runs, attempts, one).groupBy("rule").agg(F.count(F.lit(1)).alias("violations"))
+    return identity.constraint_violations(sources, planted_runs, attempts, outputs).groupBy("rule").agg(F.count(F.lit(1)).alias("violations"))
 
 
 # runs

@@ -181,3 +181,18 @@ def test_planted_violations_are_found(spark):
     outputs = spark.createDataFrame([("r1", True), ("r1", True), ("r1", False), ("r8", False)], "run_id string, accepted boolean")
     found = {(r["rule"], r["at"]) for r in identity.constraint_violations(sources, runs_, attempts, outputs).collect()}
     assert found == {("source_key", "t|o|d|sha256|a"), ("one_accepted_output", "r1"), ("run_source", "s9"), ("attempt_run", "r7"), ("output_run", "r8"), ("run_state", "r2"), ("attempt_values", "r1|3"), ("attempt_values", "r7|1")}
+
+
+def test_violations_planted_in_whole_tables_are_found(spark, sf_dir, monkeypatch):
+    sources, all_runs, attempts, outputs = (t.cache() for t in queries.recorded_tables(spark, sf_dir))
+    made = queries._attempts(spark, sf_dir)
+    assert (attempts.count(), outputs.count()) == (made.count(), made.where("outcome = 'accepted'").count())
+    assert outputs.count() > 0 == attempts.join(all_runs, "run_id", "left_anti").count()
+    first, given = attempts.where("ordinal = 1 and run_id < '4'"), outputs.where("run_id < '8'")
+    lost = F.concat(F.lit("no-"), F.col("run_id"))
+    bad = attempts.unionByName(first).unionByName(first.withColumn("ordinal", F.lit(3).cast("smallint"))).unionByName(first.withColumn("run_id", lost))
+    tables = (sources, all_runs, bad, outputs.unionByName(given).unionByName(given.withColumn("run_id", lost)))
+    monkeypatch.setattr(queries, "recorded_tables", lambda *_: tables)
+    found = {r["rule"]: r["violations"] for r in queries.constraint_violations(spark, sf_dir).collect()}
+    n, m, runs_lost = first.count(), given.count(), all_runs.where("substring(run_id, 1, 1) = '0'").count()
+    assert n and m and found == {"attempt_key": n, "attempt_values": n, "attempt_run": n, "one_accepted_output": m, "output_run": m, "run_source": runs_lost, "run_state": runs_lost}
