@@ -8,17 +8,17 @@ from pyspark.sql import functions as F
 from docloom.llm._shared import remove, staged
 
 
-def connected_components(links: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> tuple[DataFrame, str]:
+def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> tuple[DataFrame, str]:
     """(node, component) for each linked node, component being its smallest reachable node, and the table's path.
 
     A step joins every node's larger neighbours, then its smaller ones, to the smallest one around it; edges only
     turn towards smaller nodes, until each node has one edge, to the smallest of its component. All of it is grouping
     and joining on narrow rows; a node of very many neighbours is only ever reduced to a minimum. Each round's edges
-    are written to the shared folder."""
+    are written to the shared folder. Rounds grow with the logarithm of the links and go on until nothing changes."""
     spark = links.sparkSession
     edges, path = staged(links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "edges")
     state = None
-    for _ in range(most_rounds):
+    while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -31,8 +31,6 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", most_roun
         if state == tuple(r):
             break
         state = tuple(r)
-    else:
-        raise RuntimeError("components did not settle")
     nodes = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = edges.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
     out, out_path = staged(nodes.unionByName(roots), "components")

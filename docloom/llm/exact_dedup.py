@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docloom.llm._bloom import may_be_in
 from docloom.llm._shared import LOWER, UPPER, free_name, remove, ship_package, staged
 
 FILTER, STORED, INSERT, DELETE = range(4)
@@ -209,27 +210,39 @@ def dedup_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """doc_id, keep_id, group_size, kept, text_sha256 for each row of ``docs``.
 
     Null text counts as empty. Of equal texts the row with the largest id stays (a null id is the smallest); of several
-    rows that share text and id one stays. An empty table gives an empty result."""
+    rows that share text and id one stays. Very long texts count whole. Other columns, whatever their names, aren't
+    looked at; an empty table gives an empty result."""
     rows, _ = staged(docs.select(F.col(id_col).cast("long").alias("doc_id"), text_digest(F.col(text_col)).alias("digest")), "digests")
-    content = CuckooIndex.build(rows).content()
-    joined = rows.join(content, "digest", "left").withColumn("stays", F.col("doc_id").eqNullSafe(F.col("keep_id")))
-    several = joined.where("stays and n_keep > 1")
-    first = several.withColumn("kept", F.expr("row_number() over (partition by digest order by doc_id) = 1"))
-    out = joined.where("not (stays and n_keep > 1)").withColumn("kept", F.col("stays")).unionByName(first)
-    return out.select("doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
+    index = CuckooIndex.build(rows)
+    repeated, _ = staged(index.content().where("group_size > 1"), "repeated")
+    several = not repeated.where("n_keep > 1").isEmpty()
+    index.drop()
+    joined = rows.join(repeated, "digest", "left")
+    stays = F.col("group_size").isNull() | F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    out = joined.select("doc_id", F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"), stays.alias("kept"), F.col("digest").alias("text_sha256"), "n_keep")
+    if several:  # rows that repeat both text and id: one of them stays
+        first = out.where("kept and n_keep > 1").withColumn("kept", F.expr("row_number() over (partition by text_sha256 order by doc_id) = 1"))
+        out = out.where("not (kept and coalesce(n_keep, 1) > 1)").unionByName(first)
+    return out.drop("n_keep")
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns. Only rows of repeated texts are compared with the index."""
+    """The rows of ``docs`` that stay, with all their columns: of equal texts (null counts as empty) the one with the
+    largest id, null being the smallest; of rows that share text and id one. An empty table stays empty.
+
+    Only rows whose id may be that of a copy that goes are compared with the index; all others pass as they are."""
     digests, digests_path = staged(docs.select(F.col(id_col).cast("long").alias("doc_id"), text_digest(F.col(text_col)).alias("digest")), "digests")
     index = CuckooIndex.build(digests)
-    repeated, _ = staged(index.content().where("group_size > 1"), "repeated")
-    remove(docs.sparkSession, digests_path)
+    repeated, _ = staged(index.content().where("group_size > 1").select("digest", "keep_id", "n_keep"), "repeated")
     index.drop()
-    d, k, n = free_name(docs, "digest", "keep_id", "n_keep")
-    found = docs.withColumn(d, text_digest(F.col(text_col))).join(repeated.select(F.col("digest").alias(d), F.col("keep_id").alias(k), F.col("n_keep").alias(n)), d, "left")
+    copies = digests.join(repeated, "digest").where(~F.col("doc_id").eqNullSafe(F.col("keep_id")) | (F.col("n_keep") > 1))
+    maybe = may_be_in(copies.select(F.xxhash64("doc_id")))
+    several = not repeated.where("n_keep > 1").isEmpty()
+    remove(docs.sparkSession, digests_path)
+    d, k, n, m = free_name(docs, "digest", "keep_id", "n_keep", "maybe")
+    marked = docs.withColumn(m, maybe(F.xxhash64(F.col(id_col).cast("long"))))
+    found = marked.where(F.col(m)).withColumn(d, text_digest(F.col(text_col))).join(repeated.select(F.col("digest").alias(d), F.col("keep_id").alias(k), F.col("n_keep").alias(n)), d, "left")
     stays = found.where(F.col(n).isNull() | F.col(id_col).cast("long").eqNullSafe(F.col(k)))
-    if repeated.where("n_keep > 1").isEmpty():  # no row repeats both text and id
-        return stays.select(*docs.columns)
-    one = stays.where(F.coalesce(F.col(n), F.lit(1)) == 1)
-    return one.unionByName(stays.where(F.col(n) > 1).dropDuplicates([d])).select(*docs.columns)
+    if several:  # rows that repeat both text and id
+        stays = stays.where(F.coalesce(F.col(n), F.lit(1)) == 1).unionByName(stays.where(F.col(n) > 1).dropDuplicates([d]))
+    return marked.where(~F.col(m)).select(*docs.columns).unionByName(stays.select(*docs.columns))

@@ -11,12 +11,16 @@ order. Inverted lists of these shingles are scanned in order of size. Very frequ
 a passage that many documents share hardly enters the lists; which ones they are is counted over all documents (lossy
 counting), and only the work, never the result, depends on it. Candidates are verified on whole texts.
 
-A list of many classes isn't expanded into rows of pairs. Neighbours in the list are verified first, then random
+A class is named by 96 bits of two unlike hashes of its set and by the set's size, and gets a number of its own once all
+classes are known. Texts are fetched for the classes that a test asks for alone: a Bloom filter of their rows keeps all
+other texts out of the shuffle.
+
+A list of many classes isn't expanded into rows of pairs, and a list of very many is scanned in stretches. Neighbours in the list are verified first, then random
 neighbours of different components. What is then in different components is compared inside the task that holds the
 list, or a tile of two stretches of a long one, by counts: a set's shingles counted in BUCKETS parts bound every
 intersection from above by the sum of the smaller counts. Only pairs that this exact bound allows are verified on their
-texts, and every one of them is, so no link between components is lost. The boundary between light and heavy is the largest size at which enumerating costs no more than
-scanning, at a given ratio of their costs.
+texts, and every one of them is, so no link between components is lost. The boundary between light and heavy is the largest size at which
+enumerating costs no more than scanning, at a given ratio of their costs.
 """
 
 from __future__ import annotations
@@ -31,7 +35,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm import _bytes as B
-from docloom.llm._shared import remove, ship_package, small_batches, staged
+from docloom.llm._bloom import may_be_in
+from docloom.llm._shared import free_name, remove, ship_package, small_batches, staged
 from docloom.llm.components import connected_components
 
 #: Similarity is share_num / share_den: sets A and B are linked if share_den * |A and B| >= share_num * |A or B|.
@@ -42,7 +47,7 @@ COST_RATIO = 16
 FREQUENT, FREQUENT_FROM = 100_000, 16
 #: Neighbours in a list that are verified first; a list of no more than BAND + 1 classes is thereby done.
 BAND = 4
-#: Parts of a set's counts, and classes of a list that a tile takes from each of two stretches.
+#: Parts of a set's counts, and classes of a stretch of a list; a tile compares two stretches.
 BUCKETS, TILE = 256, 4096
 #: Shingles that one step of the lossy count looks at, and classes that a task remembers having seen.
 STEP, SEEN = 2_000_000, 200_000
@@ -87,8 +92,13 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def frequent_shingles(docs: DataFrame, words: int, text_col: str) -> np.ndarray:
-    """The most frequent shingle hashes, at most FREQUENT of them, counted over all rows; a class counts once for each
+def class_of(s: np.ndarray) -> tuple[int, int]:
+    """A set's class: a hash, and its size above 32 bits of another hash."""
+    return signed(B.hash_of_set(s)), len(s) << 32 | B.check_of_set(s)
+
+
+def frequent_shingles(docs: DataFrame, words: int, text_col: str) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent shingle hashes in order, at most FREQUENT of them, and their counts, counted over all rows; a class counts once for each
     task that sees it, and a shingle seen once in a step of STEP shingles isn't counted for that step."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,8 +127,10 @@ def frequent_shingles(docs: DataFrame, words: int, text_col: str) -> np.ndarray:
             yield flush()
 
     counts = docs.select(text_col).mapInArrow(run, "x long, n long").groupBy("x").agg(F.sum("n").alias("n"))
-    top = counts.where(F.col("n") >= FREQUENT_FROM).orderBy(F.desc("n"), "x").limit(FREQUENT).select("x").toPandas()
-    return np.sort(top["x"].to_numpy(np.int64).view(np.uint64))
+    top = counts.where(F.col("n") >= FREQUENT_FROM).orderBy(F.desc("n"), "x").limit(FREQUENT).toArrow()
+    x, n = top["x"].to_numpy().view(np.uint64), top["n"].to_numpy()
+    order = np.argsort(x)
+    return x[order], n[order]
 
 
 def bucket_counts(s: np.ndarray) -> bytes | None:
@@ -127,10 +139,13 @@ def bucket_counts(s: np.ndarray) -> bytes | None:
     return n.astype(np.uint8).tobytes() if n.max() < 256 else None
 
 
-def counts_of(column: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+def counts_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The rows' counts, and which rows have any."""
-    known = np.array([c is not None for c in column], bool)
-    return np.frombuffer(b"".join(c or bytes(BUCKETS) for c in column), np.uint8).reshape(len(column), BUCKETS), known
+    known = column.is_valid().to_numpy(zero_copy_only=False)
+    data, _ = B.text_buffers(column.drop_null())
+    out = np.zeros((len(column), BUCKETS), np.uint8)
+    out[known] = data.reshape(-1, BUCKETS)
+    return out, known
 
 
 def may_link(rule: Rule, na: np.ndarray, nb: np.ndarray, most: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -138,74 +153,73 @@ def may_link(rule: Rule, na: np.ndarray, nb: np.ndarray, most: np.ndarray, known
     return ~known | ((rule.num + rule.den) * most >= rule.num * (na + nb))
 
 
-MEMBER, PREFIX, SUBSET = range(3)
+MEMBER, CLASS, PREFIX, SUBSET = range(4)
+SIGNATURES = "kind int, doc_id long, row_hash long, class long, size long, x long, c int, counts binary"
 
 
-def signatures(rule: Rule, words: int, light: int, frequent) -> object:
-    """Rows (kind, doc_id, row_hash, class, n, x, c, counts): each document's class and its set's counts, and once for
-    each class and task its prefix shingles x or its subsets' hashes x of size c."""
+def signatures(rule: Rule, words: int, light: int, frequent, tile: int) -> object:
+    """Rows (kind, doc_id, row_hash, class, size, x, c, counts): each document's class; once for each class and task a
+    document of it with its set's counts, and its prefix shingles x, c being 0 or from 1 on a stretch of a frequent
+    shingle's list, or its subsets' hashes x of size c."""
     both = rule.partners(light + 1)[0] if rule.partners(light + 1) else light + 1
+    types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+    names = [f.split()[0] for f in SIGNATURES.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, seen = frequent.value, set()
+        (last, often), seen = frequent.value, set()
+        stretches = np.where(often > tile, -(-often // tile), 0)
         for b in batches:
             out: list[tuple] = []
             xs: list[np.ndarray] = []
-            shape: list[tuple[int, int, int, int]] = []  # kind, class, n, entries
+            shape: list[tuple[int, int, int, int]] = []  # kind, class, size, entries
             cs: list[np.ndarray] = []
             for doc, row, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), text_sets(b.column(2), words), strict=True):
                 n = len(s)
-                key = signed(B.hash_of_set(s)) if n else 0
-                out.append((doc, row, key, n, bucket_counts(s)))
-                if not n or key in seen:
+                key, size = class_of(s) if n else (0, 0)
+                out.append((MEMBER, doc, row, key, size, None, None, None))
+                if not n or (key, size) in seen:
                     continue
                 if len(seen) >= SEEN:
                     seen.clear()
-                seen.add(key)
+                seen.add((key, size))
+                out.append((CLASS, doc, row, key, size, None, None, bucket_counts(s)))
                 if n <= light:
                     for c in rule.overlaps(n):
                         subsets = np.array(list(combinations(s, c)), np.uint64)
                         xs.append(B.mix(B.mix(subsets + np.uint64(c)).sum(axis=1, dtype=np.uint64)))
                         cs.append(np.full(len(subsets), c, np.int32))
-                        shape.append((SUBSET, key, n, len(subsets)))
+                        shape.append((SUBSET, key, size, len(subsets)))
                 if n >= both:
+                    stretch = np.zeros(n, np.int32)
                     if len(last):
-                        late = last[np.minimum(np.searchsorted(last, s), len(last) - 1)] == s
-                        s = np.concatenate([s[~late], s[late]])
-                    p = s[: rule.prefix(n)]
-                    xs.append(p)
-                    cs.append(np.zeros(len(p), np.int32))
-                    shape.append((PREFIX, key, n, len(p)))
+                        at = np.minimum(np.searchsorted(last, s), len(last) - 1)
+                        late = last[at] == s
+                        parts = stretches[at] * late
+                        stretch[parts > 0] = 1 + abs(key) % parts[parts > 0]
+                        s, stretch = np.concatenate([s[~late], s[late]]), np.concatenate([stretch[~late], stretch[late]])
+                    p = rule.prefix(n)
+                    xs.append(s[:p])
+                    cs.append(stretch[:p])
+                    shape.append((PREFIX, key, size, p))
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate(types)], names=names)
             times = np.array([e[3] for e in shape], np.int64)
-            col = lambda i, t: np.repeat(np.array([e[i] for e in shape], t), times)
-            m, k = len(out), int(times.sum())
-            none = pa.nulls(k, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.concatenate([np.full(m, MEMBER, np.int32), col(0, np.int32)])),
-                    pa.concat_arrays([pa.array([e[0] for e in out], pa.int64()), none]),
-                    pa.concat_arrays([pa.array([e[1] for e in out], pa.int64()), none]),
-                    pa.array(np.concatenate([np.array([e[2] for e in out], np.int64), col(1, np.int64)])),
-                    pa.array(np.concatenate([np.array([e[3] for e in out], np.int64), col(2, np.int64)])),
-                    pa.concat_arrays([pa.nulls(m, pa.int64()), pa.array(np.concatenate(xs).view(np.int64) if xs else np.zeros(0, np.int64))]),
-                    pa.concat_arrays([pa.nulls(m, pa.int32()), pa.array(np.concatenate(cs) if cs else np.zeros(0, np.int32))]),
-                    pa.concat_arrays([pa.array([e[4] for e in out], pa.binary()), pa.nulls(k, pa.binary())]),
-                ],
-                names=["kind", "doc_id", "row_hash", "class", "n", "x", "c", "counts"],
-            )
+            col = lambda i, t: pa.array(np.repeat(np.array([e[i] for e in shape], t), times))
+            if k := int(times.sum()):
+                none = pa.nulls(k, pa.int64())
+                yield pa.RecordBatch.from_arrays([col(0, np.int32), none, none, col(1, np.int64), col(2, np.int64), pa.array(np.concatenate(xs).view(np.int64)), pa.array(np.concatenate(cs)), pa.nulls(k, pa.binary())], names=names)
 
     return run
 
 
 class Runs:
-    """A sorted stream of (x, n, class) cut into lists of equal x, without repeated rows; only ``keep`` rows are held."""
+    """A sorted stream of (x, c, size, class) cut into lists of equal x and c, without repeated rows; only ``keep`` rows are held."""
 
     def __init__(self, keep: int) -> None:
-        self.keep, self.rows, self.at = keep, np.zeros((0, 3), np.int64), np.zeros(0, np.int64)
+        self.keep, self.rows, self.at = keep, np.zeros((0, 4), np.int64), np.zeros(0, np.int64)
 
-    def extend(self, x: np.ndarray, n: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    def extend(self, *columns: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
         """All held and new rows, each one's place in its list, and how many of them were held before."""
-        rows = np.stack([x, n, key], axis=1)
+        rows = np.stack(columns, axis=1)
         old = len(self.rows)
         rows = np.concatenate([self.rows, rows])
         new = np.ones(len(rows), bool)
@@ -213,7 +227,7 @@ class Runs:
         new[:old] = True
         rows = rows[new]
         starts = np.ones(len(rows), bool)
-        starts[1:] = rows[1:, 0] != rows[:-1, 0]
+        starts[1:] = (rows[1:, :2] != rows[:-1, :2]).any(axis=1)
         begin = np.maximum.accumulate(np.where(starts, np.arange(len(rows)), 0))
         place = np.arange(len(rows)) - begin
         if old:
@@ -223,59 +237,72 @@ class Runs:
 
 
 PAIR, LISTED = range(2)
+LISTS = "kind long, x long, c long, a long, a_size long, b long, b_size long"
 
 
 def scan_lists(rule: Rule, light: int, band: int = BAND):
-    """Of rows sorted by x, n, class: pairs (PAIR, a, b, na, nb) of neighbours in a list that sizes allow, and the rows
-    (LISTED, x, class, n, 0) of lists of over band + 1 classes."""
+    """Of rows sorted by x, c, size, class: pairs (PAIR, a, b) of neighbours in a list that sizes allow, and the rows
+    (LISTED, x, c, a) of lists of over band + 1 classes and of all lists that are cut into stretches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lists = Runs(band + 1)
         for b in batches:
-            rows, place, old = lists.extend(*(b.column(i).to_numpy(zero_copy_only=False) for i in range(3)))
+            rows, place, old = lists.extend(*(b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4)))
+            n = rows[:, 2] >> 32
             parts = []
             for d in range(1, band + 1):
                 j = np.arange(max(old, d), len(rows))
                 j = j[place[j] >= d]
+                j = j[(rule.den * n[j - d] >= rule.num * n[j]) & (n[j] > light)]
                 a, c = rows[j - d], rows[j]
-                ok = (rule.den * a[:, 1] >= rule.num * c[:, 1]) & (c[:, 1] > light)
-                parts.append(np.column_stack([np.full(ok.sum(), PAIR), np.minimum(a[ok, 2], c[ok, 2]), np.maximum(a[ok, 2], c[ok, 2]), a[ok, 1], c[ok, 1]]))
-            long = np.flatnonzero(place >= band + 1)
+                first = ((a[:, 3] < c[:, 3]) | (a[:, 3] == c[:, 3]) & (a[:, 2] < c[:, 2]))[:, None]
+                lo, hi = np.where(first, a[:, 2:], c[:, 2:]), np.where(first, c[:, 2:], a[:, 2:])
+                parts.append(np.column_stack([np.full(len(j), PAIR), np.zeros((len(j), 2), np.int64), lo[:, 1], lo[:, 0], hi[:, 1], hi[:, 0]]))
+            cut = rows[:, 1] > 0
+            long = np.flatnonzero(cut | (place >= band + 1))
             long = long[long >= old]
-            head = long[place[long] == band + 1]
-            members = np.concatenate([long, *(head - d for d in range(1, band + 2))])
-            r = rows[members]
-            parts.append(np.column_stack([np.full(len(r), LISTED), r[:, 0], r[:, 2], r[:, 1], np.zeros(len(r), np.int64)]))
+            head = long[~cut[long] & (place[long] == band + 1)]
+            r = rows[np.concatenate([long, *(head - d for d in range(1, band + 2))])]
+            parts.append(np.column_stack([np.full(len(r), LISTED), r[:, 0], r[:, 1], r[:, 3], r[:, 2], np.zeros((len(r), 2), np.int64)]))
             got = np.concatenate(parts)
             if len(got):
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(got[:, i])) for i in range(5)], names=["kind", "a", "b", "na", "nb"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(got[:, i])) for i in range(7)], names=[f.split()[0] for f in LISTS.split(", ")])
 
     return run
 
 
 def scan_subsets(rule: Rule):
-    """Of rows (x, n, class, c) sorted by x, n, class: links (a, b) of each subset's smallest set and the others that it reaches."""
+    """Of rows (x, size, class, c) sorted by x, size, class: links (a, b) of each subset's smallest set and the others that it reaches."""
     reach = {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = (None, 0, 0)
         for b in batches:
             out = []
-            for x, n, key, c in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+            for x, size, key, c in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
                 if x != first[0]:
-                    first = (x, n, key)
-                elif key != first[2] and reach.setdefault((first[1], n), rule.overlap(first[1], n)) <= c:
-                    out.append((min(key, first[2]), max(key, first[2])))
+                    first = (x, size, key)
+                elif (size, key) != first[1:]:
+                    n, m = first[1] >> 32, size >> 32
+                    if reach.setdefault((n, m), rule.overlap(n, m)) <= c:
+                        out.append((key, size, first[2], first[1]))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int64()) for i in range(2)], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int64()) for i in range(4)], names=["a", "a_size", "b", "b_size"])
 
     return run
 
 
+def numbered(pairs: DataFrame, classes: DataFrame, *more: str) -> DataFrame:
+    """Pairs (a, a_size, b, b_size) of classes as pairs (a, b) of their numbers, with their columns ``more`` as a_ and b_."""
+    of = lambda p: classes.select(F.col("class").alias(p), F.col("size").alias(f"{p}_size"), F.col("id").alias(f"{p}_id"), *(F.col(c).alias(f"{p}_{c}") for c in more))
+    both = pairs.join(of("a"), ["a", "a_size"]).join(of("b"), ["b", "b_size"])
+    return both.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), *(f"{p}_{c}" for c in more for p in "ab"))
+
+
 def verified(pairs: DataFrame, texts: DataFrame, rule: Rule, words: int) -> DataFrame:
-    """The pairs (a, b) of classes whose whole texts' sets are similar."""
-    with_a = pairs.join(texts.select(F.col("class").alias("a"), F.col("text").alias("text_a")), "a")
-    with_both = with_a.join(texts.select(F.col("class").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
+    """The pairs (a, b) of classes whose whole texts' sets are similar. texts: id, text."""
+    with_a = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
+    with_both = with_a.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -291,35 +318,41 @@ def verified(pairs: DataFrame, texts: DataFrame, rule: Rule, words: int) -> Data
     return with_both.mapInArrow(run, "a long, b long")
 
 
-def plausible(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
-    """The pairs (a, b) that the sets' counts allow. sets: class, n, counts."""
-    of = lambda c: sets.select(F.col("class").alias(c), F.col("n").alias(f"n_{c}"), F.col("counts").alias(f"counts_{c}"))
-    both = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "n_a", "n_b", "counts_a", "counts_b")
+def plausible(pairs: DataFrame, rule: Rule) -> DataFrame:
+    """The pairs (a, b) that the sets' counts allow, of (a, b, a_n, b_n, a_counts, b_counts)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            (x, kx), (y, ky) = counts_of(batch.column(4).to_pylist()), counts_of(batch.column(5).to_pylist())
+            (x, kx), (y, ky) = (counts_of(batch.column(i)) for i in (4, 5))
             most = np.minimum(x, y).sum(axis=1, dtype=np.int64)
             na, nb = (batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 3))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(may_link(rule, na, nb, most, kx & ky)))
 
-    return both.mapInArrow(run, "a long, b long")
+    return pairs.select("a", "b", "a_n", "b_n", "a_counts", "b_counts").mapInArrow(run, "a long, b long")
+
+
+def in_stretches(listed: DataFrame, tile: int) -> DataFrame:
+    """List rows (x, c, id, n) with own, the row's stretch of about ``tile`` classes, and parts, how many the list has."""
+    by_c = listed.groupBy("x", "c").agg(F.count(F.lit(1)).alias("n"))
+    by_x = by_c.groupBy("x").agg(F.ceil(F.max("n") / tile).alias("each"), F.max("c").alias("cuts"))
+    sizes = by_x.withColumn("c", F.explode(F.when(F.col("cuts") == 0, F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(1).cast("long"), F.col("cuts")))))
+    joined = listed.join(sizes, ["x", "c"])
+    own = F.greatest(F.col("c") - 1, F.lit(0)) * F.col("each") + F.pmod(F.xxhash64("id"), F.col("each"))
+    return joined.select("x", "id", "n", own.cast("int").alias("own"), (F.greatest("cuts", F.lit(1)) * F.col("each")).cast("int").alias("parts"))
 
 
-def tiles(mixed: DataFrame, tile: int) -> DataFrame:
-    """List rows with i, j (the stretches that a task compares) and own (the row's stretch)."""
-    sizes = mixed.groupBy("x").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("parts"))
-    own = mixed.join(sizes, "x").withColumn("own", F.pmod(F.xxhash64("class"), F.col("parts")).cast("int"))
-    return own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
+def tiles(mixed: DataFrame) -> DataFrame:
+    """List rows with i, j: the two stretches that a task compares."""
+    return mixed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
 
 
 def compare_lists(rule: Rule, light: int):
-    """Of rows (x, i, j, own, class, component, n, counts, lists) sorted by x, i, j: pairs (a, b) of different
+    """Of rows (x, i, j, own, id, component, n, counts, lists) sorted by x, i, j: pairs (a, b) of different
     components that sizes and counts allow, each once: in the first of the lists that both are in."""
 
     def compare(x: int, rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
         own, key, component, n = (np.array(c, np.int64) for c in list(zip(*rows, strict=True))[:4])
-        counts, known = counts_of([r[4] for r in rows])
+        counts, known = counts_of(pa.array([r[4] for r in rows], pa.binary()))
         lists = [np.array(r[5], np.int64) for r in rows]
         i, j = own.min(), own.max()
         left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
@@ -356,67 +389,80 @@ def compare_lists(rule: Rule, light: int):
 
 def labelled(listed: DataFrame, components: DataFrame) -> DataFrame:
     """List rows with their class's component, of the lists that hold more than one."""
-    named = listed.join(components.select(F.col("node").alias("class"), "component"), "class", "left").withColumn("component", F.coalesce("component", "class"))
-    mixed = named.groupBy("x").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("x")
-    return named.join(mixed, "x", "left_semi")
+    named = listed.join(components.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    lists = named.groupBy("x").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("parts").alias("all")).where("lo <> hi")
+    mixed = lists.select("x", F.explode(F.sequence(F.lit(0), F.col("all") - 1)).alias("own"))
+    return named.join(mixed, ["x", "own"], "left_semi")
 
 
-def class_links(members: DataFrame, docs: DataFrame, listed_pairs: DataFrame, light_links: DataFrame, rule: Rule, words: int, light: int, id_col: str, text_col: str, tile: int = TILE) -> DataFrame:
-    """(node, component) of all classes that have a link."""
+def class_components(classes: DataFrame, docs: DataFrame, lists: DataFrame, light_pairs: DataFrame, rule: Rule, words: int, light: int, id_col: str, text_col: str, tile: int) -> tuple[DataFrame, str]:
+    """(node, component) of all classes that have a link, and the table's path."""
     spark = docs.sparkSession
-    listed = listed_pairs.where(F.col("kind") == LISTED).select(F.col("a").alias("x"), F.col("b").alias("class"), F.col("na").alias("n"))
-    near = listed_pairs.where(F.col("kind") == PAIR).select("a", "b").distinct()
-    wanted = near.select(F.col("a").alias("class")).unionByName(near.select(F.col("b").alias("class"))).unionByName(listed.select("class")).distinct()
-    chosen = members.join(wanted, "class", "left_semi").groupBy("class").agg(F.min(F.struct("doc_id", "row_hash", "n", "counts")).alias("r"))
-    chosen, chosen_path = staged(chosen.select("class", "r.*"), "chosen")
-    sets = chosen.select("class", "n", "counts")
+    entries = lists.where(F.col("kind") == LISTED).select("x", "c", F.col("a").alias("class"), F.col("a_size").alias("size"))
+    listed, listed_path = staged(in_stretches(entries.join(classes.select("class", "size", "id", "n"), ["class", "size"]).select("x", "c", "id", "n"), tile), "listed")
+    near = lists.where(F.col("kind") == PAIR).select("a", "a_size", "b", "b_size").distinct()
+    numbers = classes.select("id", "n", "counts")
     whole = docs.select(F.col(id_col).cast("long").alias("_doc"), F.xxhash64(F.col(text_col)).alias("row_hash"), F.col(text_col).alias("text"))
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
+    def confirmed(pairs: DataFrame) -> tuple[DataFrame, list[str]]:
         """Links among the pairs; texts are fetched for these pairs' classes alone."""
-        ends = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
-        asked = chosen.join(ends, "class", "left_semi").select("class", "doc_id", "row_hash")
-        found = whole.join(asked, "row_hash").where(F.col("_doc").eqNullSafe(F.col("doc_id")))
-        texts, path = staged(found.select("class", "text").dropDuplicates(["class"]), "class-texts")
-        links, _ = staged(verified(pairs, texts, rule, words), "links")
-        remove(spark, path)
-        return links
-
-    pairs, _ = staged(plausible(near, sets, rule), "pairs")
-    components, _ = connected_components(confirmed(pairs).unionByName(light_links))
-    tested = pairs
+        ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+        asked, asked_path = staged(classes.join(ends, "id", "left_semi").select("id", "doc_id", "row_hash"), "asked")
+        maybe = whole.where(may_be_in(asked.select("row_hash"))(F.col("row_hash")))
+        found = maybe.join(asked, "row_hash").where(F.col("_doc").eqNullSafe(F.col("doc_id")))
+        texts, path = staged(found.select("id", "text").dropDuplicates(["id"]), "class-texts")
+        links, links_path = staged(verified(pairs, texts, rule, words), "links")
+        remove(spark, path, asked_path)
+        return links, links_path
+
+    def with_counts(pairs: DataFrame) -> DataFrame:
+        of = lambda p: numbers.select(F.col("id").alias(p), F.col("n").alias(f"{p}_n"), F.col("counts").alias(f"{p}_counts"))
+        return pairs.join(of("a"), "a").join(of("b"), "b")
+
+    pairs, pairs_path = staged(plausible(numbered(near, classes, "n", "counts"), rule), "pairs")
+    links, links_path = confirmed(pairs)
+    components, components_path = connected_components(links.unionByName(numbered(light_pairs, classes)))
+    remove(spark, links_path)
+    tested, tested_paths = pairs, [pairs_path]
     for step in ("random neighbours", "all that is left"):
         mixed, mixed_path = staged(labelled(listed, components), "mixed-lists")
         if mixed.isEmpty():
+            remove(spark, mixed_path)
             break
         if step == "random neighbours":
-            order = "over (partition by x order by xxhash64(x, class), class)"
-            last = mixed.selectExpr("class", "component", "n", *(f"lag({c}) {order} as last_{c}" for c in ("class", "component", "n")))
-            found = last.where("last_component <> component").selectExpr("least(class, last_class) as a", "greatest(class, last_class) as b", "least(n, last_n) as na", "greatest(n, last_n) as nb")
+            order = "over (partition by x, own order by xxhash64(x, id), id)"
+            last = mixed.selectExpr("id", "component", "n", *(f"lag({c}) {order} as last_{c}" for c in ("id", "component", "n")))
+            found = last.where("last_component <> component").selectExpr("least(id, last_id) as a", "greatest(id, last_id) as b", "least(n, last_n) as na", "greatest(n, last_n) as nb")
             found = found.where(f"{rule.den} * na >= {rule.num} * nb and nb > {light}").select("a", "b").distinct()
-            found = plausible(found.join(tested, ["a", "b"], "left_anti"), sets, rule)
+            found = plausible(with_counts(found.join(tested, ["a", "b"], "left_anti")), rule)
         else:
-            lists = mixed.groupBy("class").agg(F.sort_array(F.collect_set("x")).alias("lists"))  # of a prefix at most
-            rows = tiles(mixed, tile).join(sets.select("class", "counts"), "class").join(lists, "class").select("x", "i", "j", "own", "class", "component", "n", "counts", "lists")
+            named = mixed.groupBy("id").agg(F.sort_array(F.collect_set("x")).alias("lists"))  # of a prefix at most
+            rows = tiles(mixed).join(numbers.select("id", "counts"), "id").join(named, "id").select("x", "i", "j", "own", "id", "component", "n", "counts", "lists")
             rows = rows.repartition("x", "i", "j").sortWithinPartitions("x", "i", "j")
             found = rows.mapInArrow(compare_lists(rule, light), "a long, b long").distinct().join(tested, ["a", "b"], "left_anti")
-        more, _ = staged(found, "pairs")
+        more, more_path = staged(found, "pairs")
         remove(spark, mixed_path)
+        tested_paths.append(more_path)
         if more.isEmpty():
             continue
         tested = tested.unionByName(more)
-        edges = components.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(confirmed(more))
-        components, _ = connected_components(edges)
-    remove(spark, chosen_path)
-    return components
+        links, links_path = confirmed(more)
+        edges = components.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links)
+        after, after_path = connected_components(edges)
+        remove(spark, links_path, components_path)
+        components, components_path = after, after_path
+    remove(spark, listed_path, *tested_paths)
+    return components, components_path
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, num: int = SHARE_NUM, den: int = SHARE_DEN, cost_ratio: float = COST_RATIO) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, num: int = SHARE_NUM, den: int = SHARE_DEN, cost_ratio: float = COST_RATIO, tile: int = TILE) -> DataFrame:
     """A row for each row of ``docs``: doc_id, row_hash (xxhash64 of the text), n_shingles, class, component_id, leads.
 
     component_id is the smallest doc_id reachable by links; leads marks the one (doc_id, row_hash) that stands for its
-    component. Null or blank text has an empty set, is linked with nothing and stands for itself. Rows that repeat id
-    and text are alike in every column. Null ids are passed over for component_id, which is null if there is no other."""
+    component. Null or blank text has an empty set and no class, is linked with nothing and stands for itself. Rows that
+    repeat id and text are alike in every column. Null ids are passed over for component_id, which is null if there is
+    no other. Other columns of ``docs``, whatever their names, aren't looked at; an empty table gives an empty result.
+    Very long texts are read in blocks of words, whole."""
     spark = docs.sparkSession
     ship_package(spark)
     small_batches(spark)
@@ -424,25 +470,42 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     light = rule.light_sizes(cost_ratio)
     frequent = spark.sparkContext.broadcast(frequent_shingles(docs, words, text_col))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("row_hash"), F.col(text_col))
-    signed_rows, signed_path = staged(rows.mapInArrow(signatures(rule, words, light, frequent), "kind int, doc_id long, row_hash long, class long, n long, x long, c int, counts binary"), "signatures")
-    members, members_path = staged(signed_rows.where(F.col("kind") == MEMBER).select("doc_id", "row_hash", "class", "n", "counts"), "members")
-    prefixes = signed_rows.where(F.col("kind") == PREFIX).select("x", "n", "class").repartition("x").sortWithinPartitions("x", "n", "class")
-    listed_pairs, listed_path = staged(prefixes.mapInArrow(scan_lists(rule, light), "kind long, a long, b long, na long, nb long"), "lists")
-    subsets = signed_rows.where(F.col("kind") == SUBSET).select("x", "n", "class", "c").distinct().repartition("x").sortWithinPartitions("x", "n", "class")
-    light_links, _ = staged(subsets.mapInArrow(scan_subsets(rule), "a long, b long").distinct(), "light-links")
+    signed_rows, signed_path = staged(rows.mapInArrow(signatures(rule, words, light, frequent, tile), SIGNATURES), "signatures")
+    of_kind = lambda k: signed_rows.where(F.col("kind") == k)
+    one = of_kind(CLASS).groupBy("class", "size").agg(F.min(F.struct("doc_id", "row_hash", "counts")).alias("r"))
+    classes, classes_path = staged(one.select("class", "size", F.expr("size >> 32").alias("n"), F.monotonically_increasing_id().alias("id"), "r.*"), "classes")
+    members, members_path = staged(of_kind(MEMBER).select("doc_id", "row_hash", "class", "size"), "members")
+    prefixes = of_kind(PREFIX).select("x", "c", "size", "class").repartition("x", "c").sortWithinPartitions("x", "c", "size", "class")
+    lists, lists_path = staged(prefixes.mapInArrow(scan_lists(rule, light), LISTS), "lists")
+    subsets = of_kind(SUBSET).select("x", "size", "class", "c").distinct().repartition("x").sortWithinPartitions("x", "size", "class")
+    light_pairs, light_path = staged(subsets.mapInArrow(scan_subsets(rule), "a long, a_size long, b long, b_size long").distinct(), "light-pairs")
     remove(spark, signed_path)
-    components = class_links(members, docs, listed_pairs, light_links, rule, words, light, id_col, text_col)
-    remove(spark, listed_path)
-    full = members.where("n > 0").join(components.select(F.col("node").alias("class"), "component"), "class", "left").withColumn("component", F.coalesce("component", "class"))
-    least = full.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.min(F.struct("doc_id", "row_hash")).alias("lead"), F.count(F.lit(1)).alias("size"))
-    out = full.join(least, "component")
+    components, components_path = class_components(classes, docs, lists, light_pairs, rule, words, light, id_col, text_col, tile)
+    remove(spark, lists_path, light_path)
+
+    # first by class, then by component: copies and large components are reduced before they are joined
+    by_class = members.where("size > 0").groupBy("class", "size").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "row_hash")).alias("first"))
+    named = classes.select("class", "size", "id").join(components.select(F.col("node").alias("id"), "component"), "id", "left").select("class", "size", "id", F.coalesce("component", "id").alias("component"))
+    of_class, of_class_path = staged(by_class.join(named, ["class", "size"]), "class-components")
+    by_component = of_class.groupBy("component").agg(F.min("least").alias("component_id"), F.min("first").alias("lead"))
+    info, _ = staged(of_class.join(by_component, "component").select("class", "size", "id", "component_id", "lead"), "class-leads")
+    remove(spark, of_class_path, components_path, classes_path)
+    out = members.where("size > 0").join(info, ["class", "size"])
     leads = F.struct("doc_id", "row_hash").eqNullSafe(F.col("lead"))
-    alone = members.where("n = 0").select("doc_id", "row_hash", F.col("n").alias("n_shingles"), "class", F.col("doc_id").alias("component_id"), F.lit(True).alias("leads"))
-    return out.select("doc_id", "row_hash", F.col("n").alias("n_shingles"), "class", "component_id", leads.alias("leads")).unionByName(alone)
+    full = out.select("doc_id", "row_hash", F.expr("size >> 32").alias("n_shingles"), F.col("id").alias("class"), "component_id", leads.alias("leads"))
+    return full.unionByName(members.where("size = 0").select("doc_id", "row_hash", F.lit(0).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("class"), F.col("doc_id").alias("component_id"), F.lit(True).alias("leads")))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **parameters) -> DataFrame:
-    """The rows of ``docs`` that stand for their component; rows that repeat id and text stay together."""
-    gone, _ = staged(near_duplicates(docs, id_col, text_col, **parameters).where("not leads").select(F.col("doc_id").alias("_gone_id"), F.col("row_hash").alias("_gone_hash")).distinct(), "gone")
-    same = (F.xxhash64(F.col(text_col)) == F.col("_gone_hash")) & F.col(id_col).cast("long").eqNullSafe(F.col("_gone_id"))
-    return docs.join(gone, same, "left_anti")
+    """The rows of ``docs`` that stand for their component, with all their columns.
+
+    Rows that repeat id and text stay together. Null and blank texts stay, as do null ids that lead; an empty table
+    stays empty. Only rows that share an id's hash with one that goes are joined; all others pass as they are."""
+    gone, _ = staged(near_duplicates(docs, id_col, text_col, **parameters).where("not leads").select("doc_id", "row_hash").distinct(), "gone")
+    h, gone_id, gone_hash = free_name(docs, "row_hash", "gone_id", "gone_hash")
+    key = F.xxhash64(F.col(id_col).cast("long"))
+    maybe = may_be_in(gone.select(F.xxhash64("doc_id")))
+    marked = docs.withColumn(h, maybe(key))
+    named = gone.select(F.col("doc_id").alias(gone_id), F.col("row_hash").alias(gone_hash))
+    same = (F.xxhash64(F.col(text_col)) == F.col(gone_hash)) & F.col(id_col).cast("long").eqNullSafe(F.col(gone_id))
+    return marked.where(~F.col(h)).drop(h).unionByName(marked.where(F.col(h)).drop(h).join(named, same, "left_anti"))

@@ -407,7 +407,9 @@ def test_jaccard_join(docs, empty, monkeypatch, frequent_from):
     assert len({r.doc_id for r in left.collect() if words_of(r.text)}) == len(wanted)
 
 
-def test_long_lists_are_compared_in_tiles(spark, monkeypatch):
+@pytest.mark.parametrize(("tile", "frequent_from"), [(7, 16), (3, 2)])
+def test_long_lists_are_compared_in_tiles(spark, monkeypatch, tile, frequent_from):
+    monkeypatch.setattr(jaccard_join, "FREQUENT_FROM", frequent_from)
     rnd = random.Random(9)
     base = [f"b{i}" for i in range(60)]
     rows = []
@@ -416,8 +418,7 @@ def test_long_lists_are_compared_in_tiles(spark, monkeypatch):
         for _ in range(rnd.choice([1, 2, 3])):
             w[rnd.randrange(60)] = f"e{rnd.randrange(5) if i % 2 else i}"
         rows.append((i, " ".join(w)))
-    monkeypatch.setattr(jaccard_join.class_links, "__defaults__", (7,))
-    got = jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), tile=tile).collect()
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=repr) == plain_components(rows)
 
 
