@@ -67,6 +67,30 @@ def spans_hash(h: np.ndarray, start: np.ndarray, end: np.ndarray, powers: Powers
     return mix((h[end] - h[start]) * powers.down[start] + (end - start).astype(np.uint64))
 
 
+class PrimeHash:
+    """A polynomial in a string's bytes modulo a prime below 2**31, each byte counting as a random number."""
+
+    def __init__(self, prime: int, base: int, seed: int) -> None:
+        self.prime, self.values = prime, np.random.default_rng(seed).integers(1, prime, 256)
+        self.bases = base % prime, pow(base, -1, prime)
+        self.up = self.down = np.ones(1, np.int64)
+
+    def reach(self, n: int) -> None:
+        while len(self.up) < n:
+            k = len(self.up)
+            self.up, self.down = (np.concatenate([x, x * pow(b, k, self.prime) % self.prime]) for x, b in zip((self.up, self.down), self.bases, strict=True))
+
+    def prefix(self, data: np.ndarray) -> np.ndarray:
+        """Sums below 2**62 for data of less than 2**31 bytes; differences are reduced when they are asked for."""
+        self.reach(len(data) + 1)
+        h = np.zeros(len(data) + 1, np.int64)
+        np.cumsum(self.values[data] * self.up[: len(data)] % self.prime, out=h[1:])
+        return h
+
+    def spans(self, h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return (h[end] - h[start]) % self.prime * self.down[start] % self.prime
+
+
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and row offsets (nulls are empty) of a string or binary column."""
     if isinstance(column, pa.ChunkedArray):

@@ -56,7 +56,7 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), length=400)
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "kept_text")
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,7 +100,9 @@ ORACLES: dict[str, str] = {
         s AS (SELECT doc_id, min(pos) AS lo, max(pos) + 400 AS hi FROM g GROUP BY doc_id, g),
         k AS (SELECT doc_id, lo, hi, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS since FROM s),
         q AS (SELECT k.doc_id, CAST(sum(hi - lo) AS BIGINT) AS n_removed, count(*) AS n_spans, string_agg(hex(raw[since + 1:lo]), '' ORDER BY lo) || hex(any_value(raw)[max(hi) + 1:any_value(n_bytes)]) AS kept FROM k JOIN d USING (doc_id) GROUP BY k.doc_id)
-        SELECT d.doc_id, n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, CASE WHEN kept IS NULL THEN sha256(raw) ELSE sha256(unhex(kept)) END AS kept_sha256 FROM d LEFT JOIN q USING (doc_id)""",
+        SELECT d.doc_id, n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, CASE WHEN kept IS NULL THEN sha256(raw) ELSE sha256(unhex(kept)) END AS kept_sha256,
+               decode(CASE WHEN kept IS NULL THEN raw ELSE unhex(regexp_replace(kept, '([0-7].|[CD].[89AB].|E.[89AB].[89AB].|F.[89AB].[89AB].[89AB].)|..', '\\1', 'g')) END) AS kept_text
+        FROM d LEFT JOIN q USING (doc_id)""",
     "op10_jaccard_join": rf"""
         WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array({_FOLD.format("coalesce(text, '')")}, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
         s AS (SELECT doc_id, CASE WHEN len(words) >= 5 THEN list_distinct(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' '))) WHEN len(words) > 0 THEN [array_to_string(words, ' ')] ELSE [] END AS shingles FROM w),

@@ -281,7 +281,7 @@ def test_collections_find_repeated_strings():
         assert [x.tolist() for x in Collection(some, at).repeated(length)] == expected
 
 
-@pytest.mark.parametrize(("length", "most"), [(60, 2000), (60, 2), (400, 2000)])
+@pytest.mark.parametrize(("length", "most"), [(60, 2000), (60, 2), (100, 3), (400, 2000)])
 def test_suffix_dedup(docs, empty, length, most):
     raw = [(i, (t or "").encode()) for i, t in texts()]
     count = Counter(r[k : k + length] for _, r in raw for k in range(len(r) - length + 1))
