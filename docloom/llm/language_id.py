@@ -1,9 +1,10 @@
 """Language identification by hyperdimensional profiles.
 
-Each letter has a random vector of +1 and -1. Three letters in sequence are bound into one vector: the product of their
-vectors, each rotated by its place. A document's vector bundles (adds) those of all its letter trigrams, word borders
-counting as a letter; a language's prototype bundles its training documents' unit vectors. What all languages have in
-common, the mean of the prototypes, is taken off both sides, and a document gets the language of largest cosine.
+Each letter of any script has a random vector of +1 and -1, which follows from the seed and its code point. Three
+letters in sequence are bound into one vector: the product of their vectors, each rotated by its place. A document's
+vector bundles (adds) those of all its letter trigrams, word borders counting as a letter; a language's prototype
+bundles its training documents' unit vectors. What all languages have in common, the mean of the prototypes, is taken
+off both sides, and a document gets the language of largest cosine.
 
 Texts are read whole. Trigram vectors depend on nothing but the seed and are kept in a worker as they turn up.
 """
@@ -18,8 +19,8 @@ from pyspark.sql import functions as F
 from docloom.llm._shared import free_name, ship_package, small_batches
 
 DIMENSIONS = 512
-#: Letter codes: 0 a border, then a-z, the lower-case letters of Latin-1, and all other letters by remainder.
-BORDER, LATIN1, OTHERS, CODES = 0, 27, 60, 128
+#: The code of a word's border, where letters have their code points, and bits of a code.
+BORDER, CODE_BITS = 0, 21
 UNDETERMINED = "und"
 #: Prototypes are sums of integers, so that the order of partial sums changes nothing.
 SCALE = 1 << 20
@@ -29,48 +30,47 @@ class Profiles:
     """Trigram vectors of one seed, and documents' vectors from them."""
 
     def __init__(self, seed: int, dimensions: int) -> None:
-        self.letters = np.where(np.random.default_rng(seed).random((CODES, dimensions)) < 0.5, -1, 1).astype(np.int8)
-        self.row = np.full(CODES**3, -1, np.int32)
+        self.seed, self.dimensions = seed, dimensions
+        self.letters: dict[int, np.ndarray] = {}
+        self.known, self.row = np.zeros(0, np.int64), np.zeros(0, np.int64)  # trigrams in order, and their rows
         self.vectors = np.zeros((1024, dimensions), np.int8)
-        self.rows = 0
-        codes = np.zeros(1 << 16, np.int32)
-        for cp in range(1 << 16):
-            if chr(cp).isalpha():
-                codes[cp] = cp - 96 if 97 <= cp <= 122 else LATIN1 + cp - 0xDF if 0xDF <= cp <= 0xFF else OTHERS + cp % (CODES - OTHERS)
-        self.codes = codes
+        self.is_letter = np.array([chr(cp).isalpha() for cp in range(0x110000)])
+
+    def letter(self, cp: int) -> np.ndarray:
+        if cp not in self.letters:
+            self.letters[cp] = np.where(np.random.default_rng([self.seed, cp]).random(self.dimensions) < 0.5, -1, 1).astype(np.int8)
+        return self.letters[cp]
 
     def encode(self, text: str) -> np.ndarray:
-        """Letter codes with one border before, after and for each run of other signs."""
-        cp = np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)
-        high = cp >= 1 << 16
-        code = self.codes[np.where(high, 0, cp)]
-        if high.any():
-            wide = np.flatnonzero(high)
-            code[wide[[chr(c).isalpha() for c in cp[wide]]]] = OTHERS
-        code = np.concatenate([[BORDER], code, [BORDER]])
+        """Letters' code points with one border before, after and for each run of other signs."""
+        cp = np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32).astype(np.int64)
+        code = np.concatenate([[BORDER], np.where(self.is_letter[cp], cp, BORDER), [BORDER]])
         keep = np.ones(len(code), bool)
         keep[1:] = (code[1:] != BORDER) | (code[:-1] != BORDER)
         return code[keep]
 
     def trigrams(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rows and counts of the trigrams whose middle is a letter."""
-        key = (code[:-2] * CODES + code[1:-1]) * CODES + code[2:]
-        key = key[code[1:-1] != BORDER]
-        row = self.row[key]
-        if len(row) and row.min() < 0:
-            self._make(np.unique(key[row < 0]))
-            row = self.row[key]
-        count = np.bincount(row, minlength=1)
-        at = np.flatnonzero(count)
-        return at, count[at].astype(np.float32)
+        key = (code[:-2] << CODE_BITS | code[1:-1]) << CODE_BITS | code[2:]
+        key, count = np.unique(key[code[1:-1] != BORDER], return_counts=True)
+        at = np.searchsorted(self.known, key)
+        new = key[self.known[np.minimum(at, len(self.known) - 1)] != key] if len(self.known) else key
+        if len(new):
+            self._make(new)
+            at = np.searchsorted(self.known, key)
+        return self.row[at], count
 
     def _make(self, keys: np.ndarray) -> None:
-        while self.rows + len(keys) > len(self.vectors):
+        rows = len(self.known)
+        while rows + len(keys) > len(self.vectors):
             self.vectors = np.concatenate([self.vectors, np.zeros_like(self.vectors)])
-        a, b, c = keys // CODES**2, keys // CODES % CODES, keys % CODES
-        self.vectors[self.rows : self.rows + len(keys)] = np.roll(self.letters[a], 2, axis=1) * np.roll(self.letters[b], 1, axis=1) * self.letters[c]
-        self.row[keys] = self.rows + np.arange(len(keys))
-        self.rows += len(keys)
+        low = (1 << CODE_BITS) - 1
+        for i, k in enumerate(keys.tolist()):
+            a, b, c = (self.letter(x) for x in (k >> 2 * CODE_BITS, k >> CODE_BITS & low, k & low))
+            self.vectors[rows + i] = np.roll(a, 2) * np.roll(b, 1) * c
+        known, row = np.concatenate([self.known, keys]), np.concatenate([self.row, rows + np.arange(len(keys))])
+        order = np.argsort(known)
+        self.known, self.row = known[order], row[order]
 
     def unit(self, text: str | None) -> np.ndarray | None:
         """The document's vector at length 1; None if the text has no letter."""
@@ -78,7 +78,8 @@ class Profiles:
         if len(code) < 3:
             return None
         at, count = self.trigrams(code)
-        v = count @ self.vectors[at].astype(np.float32)
+        exact = np.float32 if len(code) < 1 << 24 else np.float64  # sums of whole numbers
+        v = count.astype(exact) @ self.vectors[at].astype(exact)
         norm = np.linalg.norm(v)
         return v / norm if norm else v
 
@@ -88,7 +89,7 @@ _MADE: dict[tuple[int, int], Profiles] = {}
 
 def profiles(seed: int, dimensions: int) -> Profiles:
     key = (seed, dimensions)
-    if key not in _MADE or _MADE[key].rows > 200_000:  # a bound on the memory that trigrams of many scripts take
+    if key not in _MADE or len(_MADE[key].known) > 200_000:  # a bound on the memory that trigrams of many scripts take
         _MADE[key] = Profiles(seed, dimensions)
     return _MADE[key]
 
@@ -98,6 +99,18 @@ def held_out(doc_id: Column, folds: int = 5) -> Column:
     return F.coalesce(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % folds == 0, F.lit(False))
 
 
+def labelled_sample(docs: DataFrame, wanted: Column, id_col: str, text_col: str, lang_col: str, per_language: int, max_languages: int) -> DataFrame | None:
+    """About ``per_language`` rows of each language that have an id, a text and a language and are wanted; None if there are none."""
+    rows = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & wanted)
+    sizes = {r[0]: r[1] for r in rows.groupBy(lang_col).count().limit(max_languages + 1).collect()}
+    if len(sizes) > max_languages:
+        raise ValueError(f"over {max_languages} languages")
+    if not sizes:
+        return None
+    share = F.element_at(F.create_map(*(x for n in sorted(sizes) for x in (F.lit(n), F.lit(min(1.0, per_language / sizes[n]))))), F.col(lang_col))
+    return rows.where(F.pmod(F.xxhash64(F.col(id_col), F.lit("train")), F.lit(1_000_000)) < share * 1_000_000)
+
+
 class LanguageModel:
     def __init__(self, languages: list[str], prototypes: np.ndarray, seed: int, dimensions: int) -> None:
         self.languages, self.seed, self.dimensions = languages, seed, dimensions
@@ -112,18 +125,12 @@ class LanguageModel:
 
         Of each language about ``per_language`` rows are taken, all of them if it has no more: those with the smallest
         hashes of their ids, whatever their order. ``max_languages`` bounds the model, which every task gets; more raise
-        an error."""
+        an error. Repeated rows count each; without any such row the model is empty."""
         ship_package(docs.sparkSession)
         small_batches(docs.sparkSession)
-        rows = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & ~held_out(F.col(id_col)))
-        sizes = {r[0]: r[1] for r in rows.groupBy(lang_col).count().limit(max_languages + 1).collect()}
-        if len(sizes) > max_languages:
-            raise ValueError(f"over {max_languages} languages")
-        if not sizes:
+        sample = labelled_sample(docs, ~held_out(F.col(id_col)), id_col, text_col, lang_col, per_language, max_languages)
+        if sample is None:
             return cls([], np.zeros((0, dimensions)), seed, dimensions)
-        names = sorted(sizes)
-        share = F.element_at(F.create_map(*(x for n in names for x in (F.lit(n), F.lit(min(1.0, per_language / sizes[n]))))), F.col(lang_col))
-        sample = rows.where(F.pmod(F.xxhash64(F.col(id_col), F.lit("train")), F.lit(1_000_000)) < share * 1_000_000)
 
         def run(batches):
             made, sums = profiles(seed, dimensions), {}
@@ -160,17 +167,33 @@ class LanguageModel:
 
         return predict
 
-    def predicted(self, docs: DataFrame, text_col: str = "text") -> DataFrame:
-        """``docs`` with lang_pred and score, (1 + cosine) / 2. Null text, or text without a letter, is und with score 0;
+    def predicted(self, docs: DataFrame, text_col: str = "text", lang: str = "lang_pred", score: str = "score") -> DataFrame:
+        """``docs`` with lang_pred and score (or columns of these names), (1 + cosine) / 2. Null text, or text without a letter, is und with score 0;
         so is every text if nothing was learned. Equal cosines go to the first language by name; columns of these names
         are replaced."""
-        docs = docs.drop("lang_pred", "score")
+        docs = docs.drop(lang, score)
         (p,) = free_name(docs, "prediction")
         out = docs.withColumn(p, self.predictor()(F.col(text_col)))
-        return out.withColumn("lang_pred", F.col(p)["lang"]).withColumn("score", F.col(p)["score"]).drop(p)
-
-
-def accepted(docs: DataFrame, min_score: float = 0.0, **columns: str) -> DataFrame:
-    """The rows whose text has a language: those that aren't und and have at least ``min_score``."""
-    out = LanguageModel.fit(docs, **columns).predicted(docs)
-    return out.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= min_score)).select(*docs.columns)
+        return out.withColumn(lang, F.col(p)["lang"]).withColumn(score, F.col(p)["score"]).drop(p)
+
+
+def accepted(docs: DataFrame, lost_share: float = 0.0005, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 4000, max_languages: int = 2000, **parameters) -> DataFrame:
+    """The rows of ``docs`` whose text is in a language that was learned, with all their columns.
+
+    A row goes if it is und or scores less than all but ``lost_share`` of the labelled rows do that were held out and
+    are predicted right (about ``per_language`` of each language are scored): texts in other languages or of no
+    language, while clean ones stay. Where nothing was learned, every text with a letter stays; where nothing was held
+    out, every score does. Null and empty texts go; repeated rows and rows of null id are judged like any other; an
+    empty table stays empty."""
+    columns = dict(id_col=id_col, text_col=text_col, lang_col=lang_col, per_language=per_language, max_languages=max_languages)
+    model = LanguageModel.fit(docs, **columns, **parameters)
+    if not model.languages:
+        return docs.where(F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)))
+    known = labelled_sample(docs, held_out(F.col(id_col)), **columns)
+    least = 0.0
+    if known is not None:
+        scored = model.predicted(known.select(text_col, F.col(lang_col).alias("told")), text_col).where("told = lang_pred")
+        least = scored.agg(F.percentile("score", F.lit(lost_share))).first()[0] or 0.0
+    lang, score = free_name(docs, "lang_pred", "score")
+    out = model.predicted(docs, text_col, lang, score)
+    return out.where((F.col(lang) != UNDETERMINED) & (F.col(score) >= least)).select(*docs.columns)

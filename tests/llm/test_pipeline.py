@@ -22,7 +22,8 @@ def test_stages_drop_what_they_should(spark, sf_dir):
         out = after
     by = {name: (before, left) for name, before, left in seen}
     before, left = by["language ID"]
-    assert {i for i in before if i not in left} == {i for i, t in before.items() if not any(c.isalpha() for c in t or "")}
+    letterless = {i for i, t in before.items() if not any(c.isalpha() for c in t or "")}
+    assert letterless.isdisjoint(left) and len(left) >= 0.99 * (len(before) - len(letterless))
     before, left = by["exact dedup"]
     fold = lambda t: "".join(c.lower() if "A" <= c <= "Z" else c for c in t)
     assert set(left) == set({fold(t): i for i, t in sorted(before.items())}.values())
