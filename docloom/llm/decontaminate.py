@@ -2,8 +2,9 @@
 
 Text is words of letters, digits and marks of any script, without regard to case or to how accents are encoded; all
 other signs part words. Every n-gram of an item is a seed, at every place it has there, however common it is: which ones
-an edited copy keeps isn't known, and those that no document has cost nothing. A document that has a seed is compared with the item around it: if enough of the item's words occur there, local alignment
-of the two word sequences gives a score, the share of the item that is matched less what edits cost.
+an edited copy keeps isn't known, and those that no document has cost nothing. A document that has a seed is compared
+with the item around it: if as many of the item's words occur there as the least score takes, local alignment of the two
+word sequences gives a score, the share of the item that is matched less what edits cost.
 
 The items are the query set. They go to every task in blocks of bounded size, and a block's pass reads all documents;
 no document leaves its task for it.
@@ -28,7 +29,6 @@ MATCH, MISMATCH, GAP = 1.0, -0.5, -0.5
 @dataclass(frozen=True)
 class Settings:
     words: int = 3  #: of a seed
-    shared_words: float = 0.4  #: share of an item's words around a seed from which on it is aligned, min_score at most
     min_score: float = 0.5
     block_bytes: int = 8 << 20  #: of items' texts that tasks get at once
 
@@ -96,7 +96,7 @@ def best_passage(item: np.ndarray, row: np.ndarray, at: np.ndarray, low: np.ndar
         lo = max(0, int((at[group] - high[group]).min()) - edits)
         hi = min(len(row), int((at[group] - low[group]).max()) + n + edits)
         passage = row[lo:hi]
-        if np.isin(item, passage).sum() < min(settings.shared_words, settings.min_score) * n:
+        if np.isin(item, passage).sum() < settings.min_score * n:  # no more words than these can match
             continue
         score, end = local_alignment(item, passage)
         if score / (MATCH * n) > best[0]:
@@ -172,7 +172,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings()
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings(), text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that hold no item."""
+    """The rows of ``docs`` that hold no item, with all their columns.
+
+    Null and empty texts and null ids stay; repeated rows are judged alike; an item that is null or empty is in no text;
+    texts are read whole, however long; an empty table stays empty, and an empty benchmark leaves all rows."""
     out = docs
     for _, find in finders(docs, benchmark, settings, item_col, item_text, text_col):
         (f,) = free_name(out, "found")

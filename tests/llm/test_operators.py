@@ -455,6 +455,44 @@ def test_decontamination_of_dense_edits_repeated_often(spark):
     assert found == {(d, k, score): copies for (d, k), score in expected.items()}
 
 
+def test_decontamination_against_alignment_of_all_pairs(spark, sf_dir):
+    """Plain Smith-Waterman of every item with every document, seeds or not: nothing wrong is found, and recall is 0.9 or more."""
+    docs, tests = (queries.table(spark, sf_dir, t) for t in ("documents", "benchmark"))
+    numbers: dict[str, int] = {}
+    words = lambda t: np.array([numbers.setdefault(w, len(numbers)) for w in re.findall(r"[^\W_]+", unicodedata.normalize("NFC", (t or "").casefold()))], np.int64)
+    corpus = {r.doc_id: words(r.text) for r in docs.collect()}
+    expected = {}
+    for r in tests.collect():
+        item = words(r.text)
+        for d, text in corpus.items():
+            if len(item) == 0 or np.isin(item, text).mean() < 0.5:
+                continue
+            above, ramp, best = np.zeros(len(text) + 1), 0.5 * np.arange(1, len(text) + 1), 0.0
+            for w in item:
+                here = np.maximum(np.maximum(above[:-1] + np.where(text == w, 1, -0.5), above[1:] - 0.5), 0)
+                above[1:] = np.maximum.accumulate(here + ramp) - ramp
+                best = max(best, above.max())
+            if best / len(item) >= 0.5:
+                expected[(d, r.item_id)] = round(best / len(item), 6)
+    got = {(r.doc_id, r.item_id): r.score for r in decontaminate.leaks(docs, tests).collect()}
+    assert expected and set(got) <= set(expected) and all(s == expected[k] for k, s in got.items())
+    assert len(got) >= 0.9 * len(expected)
+
+
+def test_decontamination_edges(spark):
+    greek = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    items = [(1, "no " * 10 + greek), (2, "tie one two three four"), (3, "tie one two three four"), (4, None)]
+    tests = spark.createDataFrame(items, "item_id long, text string").withColumn("score", F.lit("x"))
+    rnd = random.Random(2)
+    long = " ".join(f"v{rnd.randrange(5000)}" for _ in range(200_000))
+    rows = [(1, "no " * 10 + "alpha"), (2, "Tie, one two three four."), (2, "Tie, one two three four."), (3, f"{long} {items[1][1]} {long}"), (None, None)]
+    corpus = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"item_id": F.lit("x"), "score": F.lit("y")})
+    found = Counter((r.doc_id, r.item_id, r.score) for r in decontaminate.leaks(corpus, tests).collect())
+    assert found == {(1, 1, 0.55): 1, (2, 2, 1.0): 2, (2, 3, 1.0): 2, (3, 2, 1.0): 1, (3, 3, 1.0): 1}
+    assert [r.doc_id for r in decontaminate.decontaminated(corpus, tests).collect()] == [None]
+    assert decontaminate.decontaminated(corpus, tests.where("false")).count() == 5
+
+
 def test_decontamination_folds_every_script(spark):
     items = {1: "Élève déjà très âgé à l’école où naît l’été près du château brûlé", 2: "Съешь же ещё этих мягких французских булок да выпей чаю", 3: "Ο γρήγορος σκύλος πηδάει πάνω από τον τεμπέλη λύκο της αυλής", 4: "Die große Straße führt über Brücken zu schönen Gärten, sagte Ünal"}
     set_anew = lambda t: "“" + t.replace(" ", "\u00a0— ").replace("’", "'") + "”…"
