@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm._bytes import mix
-from docloom.llm._shared import ship_package
+from docloom.llm._shared import gathered, ship_package
 
 #: Binary logarithm of the filter's bits: 4 MB, which go to the driver and to each task.
 BITS = 25
@@ -32,11 +32,10 @@ def may_be_in(keys: DataFrame, bits: int = BITS):
     ship_package(spark)
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(1 << bits, bool)
-        for b in batches:
+        words = np.zeros(1 << bits - 6, np.int64)
+        for b in gathered(batches, 50_000):
             for at in places(b.column(0).to_numpy(zero_copy_only=False), bits):
-                table[at] = True
-        words = np.packbits(table, bitorder="little").view(np.int64)
+                np.bitwise_or.at(words, at >> 6, np.int64(1) << (at & 63))
         at = np.flatnonzero(words)
         for i in range(0, len(at), 1 << 16):
             part = at[i : i + (1 << 16)]

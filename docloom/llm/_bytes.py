@@ -15,7 +15,7 @@ import pyarrow as pa
 U = np.uint64
 BASE = U(0x9E3779B97F4A7C15)
 #: Bytes looked at together; temporary arrays take about 60 times as much memory.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 
 
 def _inverse(base: int) -> int:

@@ -42,7 +42,7 @@ def unit_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 class UnitTokenizer:
-    def __init__(self, path: str, limit: int = 1_500_000, recent: int = 50_000) -> None:
+    def __init__(self, path: str, limit: int = 500_000, recent: int = 50_000) -> None:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)

@@ -15,19 +15,20 @@ A class is named by 96 bits of two unlike hashes of its set and by the set's siz
 classes are known. Texts are fetched for the classes that a test asks for alone: a Bloom filter of their rows keeps all
 other texts out of the shuffle.
 
-A list of many classes isn't expanded into rows of pairs, and a list of very many is scanned in stretches. Neighbours in the list are verified first, then random
-neighbours of different components. What is then in different components is compared inside the task that holds the
-list, or a tile of two stretches of a long one, by counts: a set's shingles counted in BUCKETS parts bound every
-intersection from above by the sum of the smaller counts. Only pairs that this exact bound allows are verified on their
-texts, and every one of them is, so no link between components is lost. The boundary between light and heavy is the largest size at which
-enumerating costs no more than scanning, at a given ratio of their costs.
+A list of many classes isn't expanded into rows of pairs, and a list of very many is scanned in stretches. Neighbours in
+the list are verified first, then random neighbours of different components. What is then in different components is
+compared inside the task that holds the list, or a tile of two stretches of a long one, cut by size: a set's shingles
+counted in BUCKETS parts bound every intersection from above by the sum of the smaller counts. Only pairs that this
+exact bound allows are verified on their texts, and every one of them is, so no link between components is lost. The
+boundary between light and heavy is the largest size at which enumerating costs no more than scanning, at a given ratio
+of their costs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
-from math import comb
+from math import comb, log
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 
 from docloom.llm import _bytes as B
 from docloom.llm._bloom import may_be_in
-from docloom.llm._shared import free_name, remove, ship_package, small_batches, staged
+from docloom.llm._shared import free_name, frugal, gathered, remove, ship_package, small_batches, staged
 from docloom.llm.components import connected_components
 
 #: Similarity is share_num / share_den: sets A and B are linked if share_den * |A and B| >= share_num * |A or B|.
@@ -49,8 +50,10 @@ FREQUENT, FREQUENT_FROM = 100_000, 16
 BAND = 4
 #: Parts of a set's counts, and classes of a stretch of a list; a tile compares two stretches.
 BUCKETS, TILE = 256, 4096
+#: Lists of a class by which a pair's repetitions are told.
+NAMED = 16
 #: Shingles that one step of the lossy count looks at, and classes that a task remembers having seen.
-STEP, SEEN = 2_000_000, 200_000
+STEP, SEEN = 1_000_000, 50_000
 
 
 class Rule:
@@ -126,7 +129,7 @@ def frequent_shingles(docs: DataFrame, words: int, text_col: str) -> tuple[np.nd
         if held:
             yield flush()
 
-    counts = docs.select(text_col).mapInArrow(run, "x long, n long").groupBy("x").agg(F.sum("n").alias("n"))
+    counts = docs.select(text_col).mapInArrow(frugal(run), "x long, n long").groupBy("x").agg(F.sum("n").alias("n"))
     top = counts.where(F.col("n") >= FREQUENT_FROM).orderBy(F.desc("n"), "x").limit(FREQUENT).toArrow()
     x, n = top["x"].to_numpy().view(np.uint64), top["n"].to_numpy()
     order = np.argsort(x)
@@ -246,7 +249,7 @@ def scan_lists(rule: Rule, light: int, band: int = BAND):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lists = Runs(band + 1)
-        for b in batches:
+        for b in gathered(batches, 50_000):
             rows, place, old = lists.extend(*(b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4)))
             n = rows[:, 2] >> 32
             parts = []
@@ -315,56 +318,75 @@ def verified(pairs: DataFrame, texts: DataFrame, rule: Rule, words: int) -> Data
                     keep.append(rule.den * common >= rule.num * (len(s) + len(t) - common))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return with_both.mapInArrow(run, "a long, b long")
+    return with_both.mapInArrow(frugal(run), "a long, b long")
 
 
 def plausible(pairs: DataFrame, rule: Rule) -> DataFrame:
     """The pairs (a, b) that the sets' counts allow, of (a, b, a_n, b_n, a_counts, b_counts)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in gathered(batches, 10_000):
             (x, kx), (y, ky) = (counts_of(batch.column(i)) for i in (4, 5))
             most = np.minimum(x, y).sum(axis=1, dtype=np.int64)
             na, nb = (batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 3))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(may_link(rule, na, nb, most, kx & ky)))
 
-    return pairs.select("a", "b", "a_n", "b_n", "a_counts", "b_counts").mapInArrow(run, "a long, b long")
+    return pairs.select("a", "b", "a_n", "b_n", "a_counts", "b_counts").mapInArrow(frugal(run), "a long, b long")
 
 
-def in_stretches(listed: DataFrame, tile: int) -> DataFrame:
-    """List rows (x, c, id, n) with own, the row's stretch of about ``tile`` classes, and parts, how many the list has."""
-    by_c = listed.groupBy("x", "c").agg(F.count(F.lit(1)).alias("n"))
-    by_x = by_c.groupBy("x").agg(F.ceil(F.max("n") / tile).alias("each"), F.max("c").alias("cuts"))
-    sizes = by_x.withColumn("c", F.explode(F.when(F.col("cuts") == 0, F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(1).cast("long"), F.col("cuts")))))
-    joined = listed.join(sizes, ["x", "c"])
-    own = F.greatest(F.col("c") - 1, F.lit(0)) * F.col("each") + F.pmod(F.xxhash64("id"), F.col("each"))
-    return joined.select("x", "id", "n", own.cast("int").alias("own"), (F.greatest("cuts", F.lit(1)) * F.col("each")).cast("int").alias("parts"))
+def in_bands(listed: DataFrame, rule: Rule, tile: int) -> DataFrame:
+    """List rows (x, c, id, n) with their band of sizes, and up and down: into how many stretches the list's classes of
+    this band and the next are cut, and those of the band before and this. Similar sets are at most one band apart. A
+    list of no more than ``tile`` classes is one stretch: up is 0."""
+    width = log(rule.den / rule.num) * 1.0001 if rule.num < rule.den else 1.0
+    banded = listed.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / width).cast("int"))
+    counts = banded.groupBy("x", "c", "band").agg(F.count(F.lit(1)).alias("k"))
+    over = lambda frame: F.expr(f"sum(k) over (partition by x {frame})")
+    sizes = counts.withColumn("whole", over("")).withColumn("here", F.expr("sum(k) over (partition by x, band)")).withColumn("after", over("order by band range between current row and 1 following")).withColumn("before", over("order by band range between 1 preceding and current row"))
+    parts = lambda c: F.ceil(F.col(c) / tile).cast("int")
+    up = F.when(F.col("whole") > tile, parts("after")).otherwise(0)
+    down = F.when((F.col("whole") > tile) & (F.col("before") > F.col("here")), parts("before")).otherwise(0)
+    return banded.join(sizes.select("x", "c", "band", up.alias("up"), down.alias("down")), ["x", "c", "band"])
 
 
 def tiles(mixed: DataFrame) -> DataFrame:
-    """List rows with i, j: the two stretches that a task compares."""
-    return mixed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
+    """List rows with band (of the tile), later (whether the row is of the band after it), own (the row's stretch), and i, j: the two stretches that a task compares."""
+    tile = lambda band, parts, later: F.struct(band.alias("band"), parts.alias("parts"), F.lit(later).alias("later"))
+    alone = F.array(tile(F.lit(-1), F.lit(1), False))
+    both = F.array(tile(F.col("band"), F.col("up"), False), tile(F.col("band") - 1, F.col("down"), True))
+    rows = mixed.withColumn("t", F.explode(F.when(F.col("up") == 0, alone).when(F.col("down") == 0, F.slice(both, 1, 1)).otherwise(both)))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.col("t.parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("t.parts") - 1)))
+    return rows.select("x", F.col("t.band").alias("band"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", F.col("t.later").cast("int").alias("later"), "id", "component", "n")
+
+
+TILED = ["x", "band", "i", "j", "own", "later", "id", "component", "n", "counts", "lists"]
 
 
 def compare_lists(rule: Rule, light: int):
-    """Of rows (x, i, j, own, id, component, n, counts, lists) sorted by x, i, j: pairs (a, b) of different
-    components that sizes and counts allow, each once: in the first of the lists that both are in."""
+    """Of rows (TILED) sorted by x, band, i, j: pairs (a, b) of different components that sizes and counts allow. lists:
+    the least of the lists that a class is in. A pair is given in the least list that both have among those; if they
+    have none there, in each list that they share."""
 
     def compare(x: int, rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
-        own, key, component, n = (np.array(c, np.int64) for c in list(zip(*rows, strict=True))[:4])
-        counts, known = counts_of(pa.array([r[4] for r in rows], pa.binary()))
-        lists = [np.array(r[5], np.int64) for r in rows]
+        own, later, key, component, n = (np.array(c, np.int64) for c in list(zip(*rows, strict=True))[:5])
+        counts, known = counts_of(pa.array([r[5] for r in rows], pa.binary()))
+        lists = [np.array(r[6], np.int64) for r in rows]
         i, j = own.min(), own.max()
         left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
         out_a, out_b = [], []
+
+        def elsewhere(p: int, k: int) -> bool:
+            both = np.intersect1d(lists[p], lists[k], assume_unique=True)
+            return len(both) > 0 and both[0] != x
+
         for p in left:
-            q = right[(component[right] != component[p]) & (rule.den * np.minimum(n[right], n[p]) >= rule.num * np.maximum(n[right], n[p])) & (np.maximum(n[right], n[p]) > light)]
+            q = right[(component[right] != component[p]) & (rule.den * np.minimum(n[right], n[p]) >= rule.num * np.maximum(n[right], n[p])) & (np.maximum(n[right], n[p]) > light) & (later[right] + later[p] < 2)]
             if i == j:
                 q = q[q > p]
             if len(q):
                 most = np.minimum(counts[q], counts[p]).sum(axis=1, dtype=np.int64)
                 q = q[may_link(rule, n[q], n[p], most, known[q] & known[p])]
-                q = q[[np.intersect1d(lists[p], lists[k], assume_unique=True)[0] == x for k in q]] if len(q) else q
+                q = q[[not elsewhere(p, k) for k in q]] if len(q) else q
                 out_a.append(np.minimum(key[q], key[p])), out_b.append(np.maximum(key[q], key[p]))
         return (np.concatenate(out_a), np.concatenate(out_b)) if out_a else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
@@ -372,11 +394,11 @@ def compare_lists(rule: Rule, light: int):
         at, rows = None, []
         for batch in batches:
             found = []
-            for x, i, j, *row in zip(*(batch.column(c).to_pylist() for c in range(9)), strict=True):
-                if (x, i, j) != at:
+            for x, band, i, j, *row in zip(*(batch.column(c).to_pylist() for c in range(len(TILED))), strict=True):
+                if (x, band, i, j) != at:
                     if len(rows) > 1:
                         found.append(compare(at[0], rows))
-                    at, rows = (x, i, j), []
+                    at, rows = (x, band, i, j), []
                 rows.append(row)
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[c] for f in found])) for c in range(2)], names=["a", "b"])
@@ -390,16 +412,15 @@ def compare_lists(rule: Rule, light: int):
 def labelled(listed: DataFrame, components: DataFrame) -> DataFrame:
     """List rows with their class's component, of the lists that hold more than one."""
     named = listed.join(components.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    lists = named.groupBy("x").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("parts").alias("all")).where("lo <> hi")
-    mixed = lists.select("x", F.explode(F.sequence(F.lit(0), F.col("all") - 1)).alias("own"))
-    return named.join(mixed, ["x", "own"], "left_semi")
+    lists = named.groupBy("x").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.collect_set(F.struct("c", "band")).alias("cuts")).where("lo <> hi")
+    return named.join(lists.select("x", F.explode("cuts").alias("k")).select("x", "k.*"), ["x", "c", "band"], "left_semi")
 
 
 def class_components(classes: DataFrame, docs: DataFrame, lists: DataFrame, light_pairs: DataFrame, rule: Rule, words: int, light: int, id_col: str, text_col: str, tile: int) -> tuple[DataFrame, str]:
     """(node, component) of all classes that have a link, and the table's path."""
     spark = docs.sparkSession
     entries = lists.where(F.col("kind") == LISTED).select("x", "c", F.col("a").alias("class"), F.col("a_size").alias("size"))
-    listed, listed_path = staged(in_stretches(entries.join(classes.select("class", "size", "id", "n"), ["class", "size"]).select("x", "c", "id", "n"), tile), "listed")
+    listed, listed_path = staged(in_bands(entries.join(classes.select("class", "size", "id", "n"), ["class", "size"]).select("x", "c", "id", "n"), rule, tile), "listed")
     near = lists.where(F.col("kind") == PAIR).select("a", "a_size", "b", "b_size").distinct()
     numbers = classes.select("id", "n", "counts")
     whole = docs.select(F.col(id_col).cast("long").alias("_doc"), F.xxhash64(F.col(text_col)).alias("row_hash"), F.col(text_col).alias("text"))
@@ -430,16 +451,16 @@ def class_components(classes: DataFrame, docs: DataFrame, lists: DataFrame, ligh
             remove(spark, mixed_path)
             break
         if step == "random neighbours":
-            order = "over (partition by x, own order by xxhash64(x, id), id)"
+            order = "over (partition by x, c, band order by xxhash64(x, id), id)"
             last = mixed.selectExpr("id", "component", "n", *(f"lag({c}) {order} as last_{c}" for c in ("id", "component", "n")))
             found = last.where("last_component <> component").selectExpr("least(id, last_id) as a", "greatest(id, last_id) as b", "least(n, last_n) as na", "greatest(n, last_n) as nb")
             found = found.where(f"{rule.den} * na >= {rule.num} * nb and nb > {light}").select("a", "b").distinct()
             found = plausible(with_counts(found.join(tested, ["a", "b"], "left_anti")), rule)
         else:
-            named = mixed.groupBy("id").agg(F.sort_array(F.collect_set("x")).alias("lists"))  # of a prefix at most
-            rows = tiles(mixed).join(numbers.select("id", "counts"), "id").join(named, "id").select("x", "i", "j", "own", "id", "component", "n", "counts", "lists")
-            rows = rows.repartition("x", "i", "j").sortWithinPartitions("x", "i", "j")
-            found = rows.mapInArrow(compare_lists(rule, light), "a long, b long").distinct().join(tested, ["a", "b"], "left_anti")
+            named = mixed.groupBy("id").agg(F.slice(F.sort_array(F.collect_set("x")), 1, NAMED).alias("lists"))  # of a prefix at most
+            rows = tiles(mixed).join(numbers.select("id", "counts").join(named, "id"), "id").select(*TILED)
+            rows = rows.repartition("x", "band", "i", "j").sortWithinPartitions("x", "band", "i", "j")
+            found = rows.mapInArrow(frugal(compare_lists(rule, light)), "a long, b long").distinct().join(tested, ["a", "b"], "left_anti")
         more, more_path = staged(found, "pairs")
         remove(spark, mixed_path)
         tested_paths.append(more_path)
@@ -470,13 +491,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     light = rule.light_sizes(cost_ratio)
     frequent = spark.sparkContext.broadcast(frequent_shingles(docs, words, text_col))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("row_hash"), F.col(text_col))
-    signed_rows, signed_path = staged(rows.mapInArrow(signatures(rule, words, light, frequent, tile), SIGNATURES), "signatures")
+    signed_rows, signed_path = staged(rows.mapInArrow(frugal(signatures(rule, words, light, frequent, tile)), SIGNATURES), "signatures")
     of_kind = lambda k: signed_rows.where(F.col("kind") == k)
     one = of_kind(CLASS).groupBy("class", "size").agg(F.min(F.struct("doc_id", "row_hash", "counts")).alias("r"))
     classes, classes_path = staged(one.select("class", "size", F.expr("size >> 32").alias("n"), F.monotonically_increasing_id().alias("id"), "r.*"), "classes")
     members, members_path = staged(of_kind(MEMBER).select("doc_id", "row_hash", "class", "size"), "members")
     prefixes = of_kind(PREFIX).select("x", "c", "size", "class").repartition("x", "c").sortWithinPartitions("x", "c", "size", "class")
-    lists, lists_path = staged(prefixes.mapInArrow(scan_lists(rule, light), LISTS), "lists")
+    lists, lists_path = staged(prefixes.mapInArrow(frugal(scan_lists(rule, light)), LISTS), "lists")
     subsets = of_kind(SUBSET).select("x", "size", "class", "c").distinct().repartition("x").sortWithinPartitions("x", "size", "class")
     light_pairs, light_path = staged(subsets.mapInArrow(scan_subsets(rule), "a long, a_size long, b long, b_size long").distinct(), "light-pairs")
     remove(spark, signed_path)

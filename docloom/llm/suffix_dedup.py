@@ -29,11 +29,11 @@ from docloom.llm import _bytes as B
 from docloom.llm._anchors import KGRAM, StringHashes, anchors
 from docloom.llm._bloom import may_be_in
 from docloom.llm._bwt import Collection, common
-from docloom.llm._shared import free_name, remove, ship_package, small_batches, staged
+from docloom.llm._shared import free_name, frugal, remove, ship_package, small_batches, staged
 
 LENGTH = 400
 #: Different segments of one anchor that a collection takes, segments to a collection, bytes looked at together.
-MOST, TOGETHER, SECTION = 12_000, 1024, 1 << 19
+MOST, TOGETHER, SECTION = 12_000, 1024, 1 << 18
 #: Starts in a run of an anchor that has more than MOST segments, step by step.
 WIDTHS = (64, 8, 1)
 RUN = "row long, crc long, first long, last long, at long, anchor long, whole long, more long"
@@ -204,7 +204,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, most: int = MOST, text
     ship_package(spark)
     small_batches(spark)
     keyed = docs.where(F.octet_length(text_col) >= length).select(*text_key(F.col(text_col)), F.col(text_col).alias("text"))
-    runs, runs_path = staged(keyed.mapInArrow(find_runs(length), RUN), "runs")
+    runs, runs_path = staged(keyed.mapInArrow(frugal(find_runs(length)), RUN), "runs")
     several, several_path = staged(runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"), "anchors")
     alive, alive_path = staged(runs.join(several, "anchor", "left_semi"), "alive")
     remove(spark, runs_path, several_path)
@@ -218,21 +218,21 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, most: int = MOST, text
     mixed = different.groupBy("anchor").agg(F.count(F.lit(1)).alias("d")).where("d > 1")
     chosen = different.join(mixed, "anchor").select("r.row", "r.crc", F.struct("anchor", *(F.col(f"r.{c}").alias(c) for c in ("first", "last", "at")), "copies", (F.col("d") > most).alias("hot")).alias("run"))
     by_row = chosen.groupBy("row", "crc").agg(F.collect_list("run").alias("runs"))  # of one text
-    cut = keyed.join(by_row, ["row", "crc"]).select("row", "crc", "text", "runs").mapInArrow(cut_segments(length), SEGMENT)
+    cut = keyed.join(by_row, ["row", "crc"]).select("row", "crc", "text", "runs").mapInArrow(frugal(cut_segments(length)), SEGMENT)
     segments, segments_path = staged(cut.dropDuplicates(["row", "crc", "first"]), "segments")
     remove(spark, path)
     columns = ["anchor", "row", "crc", "first", "at", "copies", "bytes"]
 
     def sorted_spans(cold: DataFrame, core: int) -> DataFrame:
         rows = cold.select(*columns).repartition("anchor").sortWithinPartitions("anchor", "row", "crc", "first")
-        return staged(rows.mapInArrow(sort_collections(length, core), SPAN), "covered")[0]
+        return staged(rows.mapInArrow(frugal(sort_collections(length, core)), SPAN), "covered")[0]
 
     covered = covered.unionByName(sorted_spans(segments.where("not hot"), KGRAM))
     hot = segments.where("hot")
     for width in (w for w in WIDTHS if w < length):
         if hot.isEmpty():
             break
-        parts, parts_path = staged(hot.select(*columns).mapInArrow(split_runs(length, width), PART), "parts")
+        parts, parts_path = staged(hot.select(*columns).mapInArrow(frugal(split_runs(length, width)), PART), "parts")
         remove(spark, segments_path)
         one, one_path = staged(parts.groupBy(*name).agg(F.sum("copies").alias("copies"), F.min(F.struct(*owner, "bytes")).alias("r")), "different-parts")
         again = one.where("copies > 1").select(*name)
