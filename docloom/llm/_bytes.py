@@ -189,6 +189,10 @@ def letter_gaps(data: np.ndarray) -> np.ndarray:
 _FOLDED: dict[int, int] = {}
 
 
+def forget_words() -> None:
+    _FOLDED.clear()
+
+
 def folded(word: bytes) -> bytes:
     """Equal for words that differ in case, or in how accents are encoded, in any script."""
     whole = unicodedata.normalize("NFD", word.decode("utf-8", "surrogateescape"))
@@ -203,7 +207,7 @@ def letter_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     if len(at):
         raw, where, which = np.unique(out[at], return_index=True, return_inverse=True)
         keys = raw.tolist()
-        if len(_FOLDED) > 500_000:  # a bound on memory
+        if len(_FOLDED) > 100_000:  # a bound on memory
             _FOLDED.clear()
         new = [k for k, h in enumerate(keys) if h not in _FOLDED]
         if new:

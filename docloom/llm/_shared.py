@@ -9,7 +9,7 @@ import re
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
@@ -74,16 +74,37 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-def frugal(run):
-    """A function for mapInArrow that gives memory back at its task's end: Spark keeps Python workers for later stages."""
+_KEPT: dict[str, Callable[[], object]] = {}
+
+
+def trim() -> None:
+    """Give unused memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library isn't glibc
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def keep_only(name: str | None = None, clear: Callable[[], object] | None = None) -> None:
+    """Clears what other operators have kept in this Python worker, which Spark uses again for later stages. ``name``
+    keeps something too, and ``clear`` lets go of it."""
+    others = [k for k in _KEPT if k != name]
+    for k in others:
+        _KEPT.pop(k)()
+    if name is not None and clear is not None:
+        _KEPT[name] = clear
+    if others:
+        trim()
+
+
+def frugal(run, keeps: str | None = None):
+    """A function for mapInArrow that begins without what other operators have kept, and gives memory back at its end."""
 
     def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only(keeps)
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            with contextlib.suppress(OSError, AttributeError):  # where the C library isn't glibc
-                ctypes.CDLL(None).malloc_trim(0)
+            trim()
 
     return held
 

@@ -14,6 +14,7 @@ import numpy as np
 from tokenizers import Tokenizer, pre_tokenizers
 
 from docloom.llm._bytes import SPACE, WORD_VALUES, prefix_hash, spans_hash
+from docloom.llm._shared import keep_only
 
 OTHER, LETTER, DIGIT, SIGN = range(4)
 KIND = np.zeros(256, np.uint8)
@@ -142,6 +143,7 @@ _MADE: dict[str, UnitTokenizer] = {}
 
 def unit_tokenizer(path: str) -> UnitTokenizer:
     """One for each file in a Python worker; Spark reuses workers, and so the store of pieces."""
+    keep_only("tokenizer", _MADE.clear)
     if path not in _MADE:
         _MADE[path] = UnitTokenizer(path)
     return _MADE[path]

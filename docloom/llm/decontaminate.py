@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm import _bytes as B
-from docloom.llm._shared import free_name, ship_package, small_batches
+from docloom.llm._shared import free_name, keep_only, ship_package, small_batches
 
 MATCH, MISMATCH, GAP = 1.0, -0.5, -0.5
 
@@ -110,6 +110,7 @@ def leak_finder(items, settings: Settings):
 
     @F.arrow_udf("array<struct<item: int, score: double, start: long, stop: long>>")
     def find(text: pa.Array) -> pa.Array:
+        keep_only("folded", B.forget_words)
         block: Items = items.value
         rows: list[list[dict]] = []
         for hashes, start, end, first, offsets in words_of(text):

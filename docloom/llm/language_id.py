@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm._shared import free_name, frugal, ship_package, small_batches
+from docloom.llm._shared import free_name, frugal, keep_only, ship_package, small_batches
 
 DIMENSIONS = 512
 #: The code of a word's border, where letters have their code points, and bits of a code.
@@ -88,6 +88,7 @@ _MADE: dict[tuple[int, int], Profiles] = {}
 
 
 def profiles(seed: int, dimensions: int) -> Profiles:
+    keep_only("profiles", _MADE.clear)
     key = (seed, dimensions)
     if key not in _MADE or len(_MADE[key].known) > 200_000:  # a bound on the memory that trigrams of many scripts take
         _MADE[key] = Profiles(seed, dimensions)
@@ -141,7 +142,7 @@ class LanguageModel:
             for lang, v in sums.items():
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * dimensions), pa.array(np.arange(dimensions, dtype=np.int32)), pa.array(v)], names=["lang", "at", "value"])
 
-        found = sample.select(F.col(lang_col).alias("lang"), text_col).mapInArrow(frugal(run), "lang string, at int, value long").groupBy("lang", "at").agg(F.sum("value").alias("value")).collect()
+        found = sample.select(F.col(lang_col).alias("lang"), text_col).mapInArrow(frugal(run, "profiles"), "lang string, at int, value long").groupBy("lang", "at").agg(F.sum("value").alias("value")).collect()
         learned = sorted({r["lang"] for r in found})
         out = np.zeros((len(learned), dimensions))
         for r in found:

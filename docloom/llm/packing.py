@@ -100,7 +100,7 @@ def encoded_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id:
                             kept.append(x)
                 yield batch(b.column(0).take(pa.array(of, pa.int64())), piece, start, n, crc, kept)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)).mapInArrow(frugal(run), PIECES + ", ids array<int>" * keep_ids)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)).mapInArrow(frugal(run, "tokenizer"), PIECES + ", ids array<int>" * keep_ids)
 
 
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1, keep_ids: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -38,7 +38,7 @@ def encoded_lengths(docs: DataFrame, tokenizer_path: str, keep: Sequence[str] =
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(n)], names=[*b.schema.names[1:], name])
 
     fields = [docs.schema[c] for c in keep]
-    return docs.select(F.col(text_col), *keep).mapInArrow(frugal(run), T.StructType([*fields, T.StructField(name, T.LongType())]))
+    return docs.select(F.col(text_col), *keep).mapInArrow(frugal(run, "tokenizer"), T.StructType([*fields, T.StructField(name, T.LongType())]))
 
 
 def length_histogram(docs: DataFrame, tokenizer_path: str, groups: Sequence[str] = (), text_col: str = "text") -> DataFrame:
