@@ -24,8 +24,9 @@ def blob_path(digest: Column) -> Column:
 
 
 def key_id(*parts: Column) -> Column:
-    """An id that depends on the natural key alone, so that running again finds the same row."""
-    return F.sha2(F.concat_ws("\n", *parts), 256)
+    """An id that depends on the natural key alone, so that running again finds the same row. Each part comes with its
+    length, so no two keys are written alike; a null part makes a null id."""
+    return F.sha2(F.concat(*(F.concat(F.char_length(p).cast("string"), F.lit(":"), p) for p in parts)), 256)
 
 
 def valid_version(name: Column) -> Column:

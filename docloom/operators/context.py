@@ -62,6 +62,15 @@ def repair_request(requests: DataFrame, code: Column) -> DataFrame:
     return requests.withColumn("task_instruction", F.concat(F.col("task_instruction"), F.lit("\nRepair validation code: "), code, F.lit(".")))
 
 
+def checked_citations(manifest: DataFrame, citations: DataFrame) -> DataFrame:
+    """doc_id, block_index, problem of each citation (doc_id, block_index, span_hash): unknown_block, omitted_block or
+    changed_span; null if the cited block is in the context and still says what was cited."""
+    known = manifest.select("doc_id", "block_index", "included", F.col("span_hash").alias("_hash"))
+    both = citations.join(known, ["doc_id", "block_index"], "left")
+    problem = F.when(F.col("_hash").isNull(), "unknown_block").when(~F.col("included"), "omitted_block").when(~F.col("_hash").eqNullSafe(F.col("span_hash")), "changed_span")
+    return both.select("doc_id", "block_index", problem.alias("problem"))
+
+
 def context_manifest(contexts: DataFrame) -> DataFrame:
     """doc_id, block_index, included, first_char, span_hash: every block of a packed document, whether the context has
     it, where its line begins there, and the hash of its text, to which a citation can be held."""

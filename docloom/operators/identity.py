@@ -47,10 +47,18 @@ def missing_parent(child: DataFrame, parent: DataFrame, column: str, rule: str)
     return child.join(parent.select(column).distinct(), column, "left_anti").select(F.lit(rule).alias("rule"), F.col(column).alias("at")).distinct()
 
 
+def wrong_policies(attempts: DataFrame, runs: DataFrame) -> DataFrame:
+    """Attempts of known runs that carry another model policy than their run."""
+    known = runs.select("run_id", "model_policy").distinct()
+    return attempts.join(known.select("run_id").distinct(), "run_id", "left_semi").join(known, ["run_id", "model_policy"], "left_anti")
+
+
 def constraint_violations(sources: DataFrame, runs: DataFrame, attempts: DataFrame, outputs: DataFrame) -> DataFrame:
-    """(rule, at) for each violation in the four tables; no row means that all rules hold."""
+    """(rule, at) for each violation in the four tables; no row means that all rules hold. outputs: run_id, result
+    (JSON text), accepted."""
+    parsed = "try_parse_json(result)"
     states = runs.where(~F.col("state").isin(RUN_STATES)).select(F.lit("run_state").alias("rule"), F.col("run_id").alias("at"))
-    bad = ~F.col("ordinal").between(1, MAX_ATTEMPTS) | ~F.col("reason").isin(ATTEMPT_REASONS) | ~F.col("outcome").isin(ATTEMPT_OUTCOMES) | (F.coalesce("input_tokens", F.lit(0)) < 0) | (F.coalesce("output_tokens", F.lit(0)) < 0)
+    bad = ~F.col("ordinal").between(1, MAX_ATTEMPTS) | ~F.col("reason").isin(ATTEMPT_REASONS) | ~F.col("outcome").isin(ATTEMPT_OUTCOMES) | (F.coalesce("input_tokens", F.lit(0)) < 0) | (F.coalesce("output_tokens", F.lit(0)) < 0) | F.col("provider").isNull() | ~F.coalesce(request_id_ok(F.col("provider_request_id")), F.lit(True))
     found = [
         repeated_keys(sources, SOURCE_KEY, "source_key"),
         repeated_keys(runs, RUN_KEY, "run_key"),
@@ -60,6 +68,8 @@ def constraint_violations(sources: DataFrame, runs: DataFrame, attempts: DataFra
         missing_parent(attempts, runs, "run_id", "attempt_run"),
         missing_parent(outputs, runs, "run_id", "output_run"),
         states,
+        wrong_policies(attempts, runs).select(F.lit("attempt_policy").alias("rule"), F.concat_ws("|", "run_id", "ordinal").alias("at")),
+        outputs.where(f"{parsed} is null or schema_of_variant({parsed}) not like 'OBJECT<%'").select(F.lit("output_object").alias("rule"), F.col("run_id").alias("at")),
         attempts.where(bad).select(F.lit("attempt_values").alias("rule"), F.concat_ws("|", "run_id", "ordinal").alias("at")),
     ]
     out = found[0]

@@ -1,7 +1,6 @@
 """A run of at most two calls as a fixed plan: call, classify, call again where that helps, classify, end.
 
-Calls come as DataFrames (run_id, call_kind, response, tokens), one for each ordinal: a scripted provider or a real
-one's answers. The budget of two is a constant, so the loop is unrolled into two joins."""
+Calls come as DataFrames (run_id and CALL), one for each ordinal: a scripted provider's or a real one's answers. The budget of two is a constant, so the loop is unrolled into two joins."""
 
 from __future__ import annotations
 
@@ -10,17 +9,19 @@ from pyspark.sql import functions as F
 
 from docloom.functions.answers import validated
 
-ATTEMPT = ["run_id", "ordinal", "reason", "outcome", "validation_code", "error", "stored", "input_tokens", "output_tokens", "response", "analysis"]
-CALL = ["call_kind", "response", "input_tokens", "output_tokens"]
+ATTEMPT = ["run_id", "ordinal", "reason", "provider", "model_policy", "provider_request_id", "outcome", "validation_code", "error", "stored", "input_tokens", "output_tokens", "latency_ms", "response", "analysis"]
+CALL = ["call_kind", "response", "input_tokens", "output_tokens", "provider_request_id", "latency_ms"]
 
 
-def judged(called: DataFrame, ordinal: int, response_bytes: int) -> DataFrame:
+def judged(called: DataFrame, ordinal: int, response_bytes: int, timeout_ms: int) -> DataFrame:
     """``called`` with attempt_<ordinal>: what came of the call in the columns <name>_<ordinal>; no call is exhausted.
 
     A response is stored before it is looked at, unless it is over ``response_bytes``: then the attempt has failed for
-    good. Timeouts and transient failures may be retried, invalid answers repaired."""
+    good. A call that took longer than ``timeout_ms`` is a timeout, whatever it brought. Timeouts and transient failures
+    may be retried, invalid answers repaired."""
     col = lambda name: F.col(f"{name}_{ordinal}")
-    kind = F.coalesce(col("call_kind"), F.lit("exhausted"))
+    late = F.coalesce(col("latency_ms") > timeout_ms, F.lit(False))
+    kind = F.when(late, "timeout").otherwise(F.coalesce(col("call_kind"), F.lit("exhausted")))
     stored = F.coalesce((kind == "response") & (F.octet_length(col("response")) <= response_bytes), F.lit(False))
     checked = validated(called.withColumn("_answer", F.when(stored, col("response"))), "_answer", code="_code", analysis="_analysis")
     bad = F.col("_code").isNotNull()
@@ -30,20 +31,21 @@ def judged(called: DataFrame, ordinal: int, response_bytes: int) -> DataFrame:
     return checked.withColumn(f"attempt_{ordinal}", F.struct(F.lit(ordinal).cast("smallint").alias("ordinal"), *parts)).drop("_answer", "_code", "_analysis")
 
 
-def run_attempts(contexts: DataFrame, first: DataFrame, second: DataFrame, response_bytes: int) -> DataFrame:
-    """ATTEMPT rows of the runs in ``contexts`` (run_id, included_block_indexes), all of them queued.
+def run_attempts(contexts: DataFrame, first: DataFrame, second: DataFrame, response_bytes: int, timeout_ms: int) -> DataFrame:
+    """ATTEMPT rows of the runs in ``contexts`` (run_id, included_block_indexes, provider, model_policy), all of them
+    queued. An attempt carries its run's provider and policy.
 
     Both calls meet a run in one row, so contexts and calls are read once; the second counts only after a first that
     may be retried or repaired."""
-    called = contexts.select("run_id", "included_block_indexes")
+    called = contexts.select("run_id", "included_block_indexes", "provider", "model_policy")
     for ordinal, calls in ((1, first), (2, second)):
         called = called.join(calls.select("run_id", *(F.col(c).alias(f"{c}_{ordinal}") for c in CALL)), "run_id", "left")
-    both = judged(judged(called, 1, response_bytes), 2, response_bytes)
+    both = judged(judged(called, 1, response_bytes, timeout_ms), 2, response_bytes, timeout_ms)
     one = F.col("attempt_1.outcome")
     with_reason = lambda ordinal, reason: F.struct(reason.alias("reason"), F.col(f"attempt_{ordinal}").alias("a"))
     again = one.isin("transient_failure", "invalid")
     made = F.when(again, F.array(with_reason(1, F.lit("initial")), with_reason(2, F.when(one == "invalid", "repair").otherwise("retry")))).otherwise(F.array(with_reason(1, F.lit("initial"))))
-    rows = both.select("run_id", F.explode(made).alias("m")).select("run_id", "m.reason", "m.a.*")
+    rows = both.select("run_id", "provider", "model_policy", F.explode(made).alias("m")).select("run_id", "provider", "model_policy", "m.reason", "m.a.*")
     return rows.select(*ATTEMPT)
 
 

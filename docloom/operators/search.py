@@ -4,7 +4,7 @@ Scores are summed as whole millionths, so the order of a sum never shows; equal
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -12,11 +12,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions.text import search_tokens
+from docloom.sources.stage import staged
 
 K1, B = 1.2, 0.75
 RRF = 60
-#: Vectors of queries that a task holds at once.
-QUERY_BLOCK = 2048
+#: Queries and vectors in a block, and blocks of queries for which a task holds its best results.
+QUERY_BLOCK, VECTOR_BLOCK, HELD = 512, 4096, 64
+#: Of pairs that don't count.
+LEAST = -(10**9)
 
 
 def postings(docs: DataFrame, scope: str | None = None) -> DataFrame:
@@ -33,21 +36,35 @@ def token_frequencies(docs: DataFrame) -> DataFrame:
 
 
 def ranked(scored: DataFrame, k: int) -> DataFrame:
-    """The first k of each query by score, then doc_id, with their rank."""
+    """The first k of each query by score, then doc_id, with their rank. Tasks keep k rows of a query before they meet."""
     order = F.expr("row_number() over (partition by query_id order by score desc, doc_id)")
-    return scored.withColumn("rank", order.cast("long")).where(F.col("rank") <= k)
+    return scored.withColumn("rank", order).where(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("long"))
+
+
+def filtered(docs: DataFrame, allowed: Mapping[str, Sequence] | None = None, ranges: Mapping[str, tuple] | None = None) -> DataFrame:
+    """The documents that a search may see: columns with one of the allowed values, and columns in a range (either end
+    None: open). Nulls are in no set and no range. Filters come before ranking, so counts and ranks tell nothing of the rest."""
+    for column, values in (allowed or {}).items():
+        docs = docs.where(F.col(column).isin(list(values)))
+    for column, (low, high) in (ranges or {}).items():
+        docs = docs.where(F.col(column) >= low) if low is not None else docs
+        docs = docs.where(F.col(column) <= high) if high is not None else docs
+    return docs
 
 
 def bm25(docs: DataFrame, queries: DataFrame, k: int, scope: str | None = None) -> DataFrame:
     """query_id, doc_id, score (millionths), rank. ``queries``: query_id, text (and the scope column).
 
     With a scope, only documents of the query's scope are ranked, and counts of documents and lengths are taken inside
-    it, so that a rank tells nothing about others' documents."""
+    it, so that a rank tells nothing about others' documents. Only occurrences of the queries' words become postings,
+    and those are written once; a document's length is the size of its own list of tokens."""
     on = [scope] if scope else []
-    posts = postings(docs, scope)
     words = queries.select("query_id", *on, F.explode(F.array_distinct(search_tokens(F.coalesce("text", F.lit(""))))).alias("token"))
-    lengths = posts.groupBy("doc_id", *on).agg(F.first("length").alias("length"))
-    sizes = lengths.groupBy(*on).agg(F.count(F.lit(1)).alias("n_docs"), F.avg("length").alias("mean"))
+    tokens = docs.select("doc_id", *on, search_tokens(F.coalesce("text", F.lit(""))).alias("tokens")).where("size(tokens) > 0")
+    sizes = tokens.groupBy(*on).agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.size("tokens").cast("long")).alias("mean"))
+    each = tokens.select("doc_id", *on, F.size("tokens").cast("long").alias("length"), F.explode("tokens").alias("token"))
+    asked = each.join(words.select(*on, "token").distinct(), [*on, "token"], "left_semi")
+    posts = staged(asked.groupBy("doc_id", *on, "token", "length").agg(F.count(F.lit(1)).alias("tf")), "postings")
     frequency = posts.groupBy(*on, "token").agg(F.count(F.lit(1)).alias("df"))
     # frequencies and sizes meet the queries' tokens, which are few, before the postings do
     wanted = words.join(frequency, [*on, "token"])
@@ -58,53 +75,95 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int, scope: str | None = None)
     return ranked(hits.groupBy("query_id", "doc_id").agg(F.sum("part").alias("score")), k)
 
 
+PACK = "ids binary, vectors binary"
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, doc_id, score (cosine in millionths), rank: the k nearest others of each query, exactly.
 
-    The query set goes to the tasks in blocks; a task keeps k of its vectors for each query, and only those are sorted
-    together. Null or zero vectors have no cosine and are left out."""
-    spark = vectors.sparkSession
-    rows = vectors.where(F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(vector_col).alias("v"))
-    asked = queries.where(F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long").alias("query_id"), F.col(vector_col).alias("v"))
-    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    out = None
-
-    def unit(listed) -> np.ndarray:
-        m = np.array(listed, np.float64).reshape(len(listed), -1)
-        norm = np.linalg.norm(m, axis=1, keepdims=True)
-        return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
-
-    for b in range(blocks):
-        part = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).collect()  # a block of queries
-        if not part:
-            continue
-        ids, matrix = np.array([r[0] for r in part]), unit([r[1] for r in part])
-        sent = spark.sparkContext.broadcast((ids, matrix))
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            ids, matrix = sent.value
-            best_score, best_id = np.full((len(ids), 0), 0, np.int64), np.full((len(ids), 0), 0, np.int64)
-            for batch in batches:
-                doc = batch.column(0).to_numpy(zero_copy_only=False)
-                v = unit(batch.column(1).to_pylist())
-                score = np.round(matrix @ v.T * 1e6).astype(np.int64)
-                score[:, ~v.any(axis=1)] = -(10**9)
-                score[ids[:, None] == doc[None, :]] = -(10**9)
-                score, doc = np.concatenate([best_score, score], axis=1), np.concatenate([best_id, np.broadcast_to(doc, (len(ids), len(doc)))], axis=1)
-                order = np.lexsort((doc, -score), axis=1)[:, :k]
-                best_score, best_id = np.take_along_axis(score, order, 1), np.take_along_axis(doc, order, 1)
-            ok = best_score > -(10**9)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, ok.sum(axis=1))), pa.array(best_id[ok]), pa.array(best_score[ok])], names=["query_id", "doc_id", "score"])
-
-        found = rows.mapInArrow(run, "query_id long, doc_id long, score long")
-        out = found if out is None else out.unionByName(found)
-    return ranked(out, k) if out is not None else spark.createDataFrame([], "query_id long, doc_id long, score long, rank long")
-
-
-def fused(text: DataFrame, vector: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """query_id, doc_id, score (millionths), rank: reciprocal rank fusion of two ranked lists; of documents with equal
-    texts, only the best of a query's list stays."""
-    both = text.select("query_id", "doc_id", "rank").unionByName(vector.select("query_id", "doc_id", "rank"))
+    Queries and vectors are packed into blocks of rows, and blocks meet blocks: every vector is compared with every
+    query of the set, in one scan of the vectors. Spark sends the blocks of queries to all tasks if its broadcast
+    threshold allows, and deals pairs of blocks to tasks if not. A task keeps k of its vectors for each query. Null or
+    zero vectors have no cosine and are left out; vectors are of one length."""
+
+    def pack(size: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for i in range(0, b.num_rows, size):
+                    part = b.slice(i, size)
+                    m = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1).astype(np.float64)
+                    norm = np.linalg.norm(m, axis=1)
+                    m, ids = m[norm > 0] / norm[norm > 0, None], part.column(0).to_numpy(zero_copy_only=False)[norm > 0]
+                    if len(ids):
+                        yield pa.RecordBatch.from_arrays([pa.array([ids.tobytes()], pa.binary()), pa.array([m.tobytes()], pa.binary())], names=["ids", "vectors"])
+
+        return run
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[bytes, tuple] = {}
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for name, (best, found) in held.items():
+                ids, ok = np.frombuffer(name, np.int64), best > LEAST
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, ok.sum(axis=1))), pa.array(found[ok]), pa.array(best[ok])], names=["query_id", "doc_id", "score"])
+            held.clear()
+
+        for batch in batches:
+            for name, asked, docs, values in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                ids, doc = np.frombuffer(name, np.int64), np.frombuffer(docs, np.int64)
+                q, v = np.frombuffer(asked).reshape(len(ids), -1), np.frombuffer(values).reshape(len(doc), -1)
+                cosine = np.round(q @ v.T * 1e6).astype(np.int64)
+                cosine[ids[:, None] == doc[None, :]] = LEAST
+                doc = np.broadcast_to(doc, cosine.shape)
+                if name in held:
+                    cosine, doc = (np.concatenate(x, axis=1) for x in zip(held[name], (cosine, doc), strict=True))
+                order = np.lexsort((doc, -cosine), axis=1)[:, :k]
+                held[name] = np.take_along_axis(cosine, order, 1), np.take_along_axis(doc, order, 1)
+            if len(held) > HELD:
+                yield from flush()
+        yield from flush()
+
+    rows = lambda df: df.where(F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long"), vector_col)
+    asked = rows(queries).mapInArrow(pack(QUERY_BLOCK), PACK).select(F.col("ids").alias("query_ids"), F.col("vectors").alias("query_vectors"))
+    pairs = rows(vectors).mapInArrow(pack(VECTOR_BLOCK), PACK).crossJoin(asked)  # blocks with blocks of the stated query set
+    return ranked(pairs.select("query_ids", "query_vectors", "ids", "vectors").mapInArrow(score, "query_id long, doc_id long, score long"), k)
+
+
+def signal_ranks(candidates: DataFrame, values: DataFrame, value: str) -> DataFrame:
+    """query_id, doc_id, rank of the candidates (query_id, doc_id) by a value of the documents, largest first, then
+    doc_id; documents without a value have no rank."""
+    known = candidates.select("query_id", "doc_id").distinct().join(values.select("doc_id", value).where(F.col(value).isNotNull()), "doc_id")
+    order = F.expr(f"row_number() over (partition by query_id order by `{value}` desc, doc_id)")
+    return known.select("query_id", "doc_id", order.cast("long").alias("rank"))
+
+
+def search_quality(results: DataFrame, relevant: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """query_id, hits, precision and recall (millionths) of the first k results of each query against judgements
+    (query_id, doc_id); precision is of k places, recall is null for a query without a relevant document."""
+    hits = results.where(F.col("rank") <= k).join(relevant.distinct(), ["query_id", "doc_id"], "left_semi").groupBy("query_id").agg(F.count(F.lit(1)).alias("hits"))
+    known = relevant.distinct().groupBy("query_id").agg(F.count(F.lit(1)).alias("known"))
+    both = queries.select("query_id").distinct().join(hits, "query_id", "left").join(known, "query_id", "left").fillna(0, ["hits"])
+    return both.select("query_id", "hits", F.expr(f"(hits * 1000000) div {k}").alias("precision"), F.when(F.col("known") > 0, F.expr("(hits * 1000000) div known")).alias("recall"))
+
+
+def holding(docs: DataFrame, items: DataFrame, words: int = 5) -> DataFrame:
+    """query_id, doc_id: documents that hold an item's tokens in sequence. Found by the item's first ``words`` tokens
+    as a hash key, then looked at whole; items of fewer tokens are left out."""
+    keyed = items.select("query_id", search_tokens(F.coalesce("text", F.lit(""))).alias("t")).where(F.size("t") >= words).select("query_id", F.array_join("t", " ").alias("item"), F.array_join(F.slice("t", 1, words), " ").alias("key"))
+    tokens = docs.select("doc_id", search_tokens(F.coalesce("text", F.lit(""))).alias("t")).where(F.size("t") >= words)
+    keys = F.transform(F.sequence(F.lit(1), F.size("t") - words + 1), lambda i: F.array_join(F.slice("t", i, words), " "))
+    found = tokens.select("doc_id", F.explode(F.array_distinct(keys)).alias("key")).join(keyed.select("query_id", "key"), "key").select("doc_id", "query_id").distinct()
+    both = found.join(tokens, "doc_id").join(keyed.select("query_id", "item"), "query_id")
+    padded = lambda c: F.concat(F.lit(" "), c, F.lit(" "))
+    return both.where(F.contains(padded(F.array_join("t", " ")), padded(F.col("item")))).select("query_id", "doc_id")
+
+
+def fused(docs: DataFrame, k: int, *lists: DataFrame) -> DataFrame:
+    """query_id, doc_id, score (millionths), rank: reciprocal rank fusion of ranked lists (text, vectors, or signals such
+    as quality and recency); of documents with equal texts, only the best of a query's list stays."""
+    both = lists[0].select("query_id", "doc_id", "rank")
+    for more in lists[1:]:
+        both = both.unionByName(more.select("query_id", "doc_id", "rank"))
     part = F.round(F.lit(1e6) / (RRF + F.col("rank"))).cast("long")
     scored = both.groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
     hashed = docs.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("content"))

@@ -48,6 +48,16 @@ def replayed(log: DataFrame, part: int = 4096) -> DataFrame:
     return runs.select("run_id", F.aggregate("parts", begin, follow).alias("r")).select("run_id", "r.state", "r.moves", "r.rejected")
 
 
+def settled(attempts: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """Of attempts and outcomes (run_id, ordinal, outcome): each attempt's outcome after and whether it changed. Only an
+    attempt that is requested takes an outcome, so a second report changes nothing; reports of unknown attempts are
+    passed over."""
+    told = outcomes.select("run_id", "ordinal", F.col("outcome").alias("_told"))
+    both = attempts.join(told, ["run_id", "ordinal"], "left")
+    changed = F.coalesce((F.col("outcome") == "requested") & F.col("_told").isNotNull(), F.lit(False))
+    return both.select("run_id", "ordinal", F.when(changed, F.col("_told")).otherwise(F.col("outcome")).alias("outcome"), changed.alias("changed"))
+
+
 def next_ordinals(runs: DataFrame, attempts: DataFrame) -> DataFrame:
     """run_id, next_ordinal and within_budget for each run."""
     last = attempts.groupBy("run_id").agg(F.max("ordinal").alias("last"))

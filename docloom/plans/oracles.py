@@ -49,11 +49,21 @@ _RESPONSE = f"""CASE WHEN c = 3 OR c = 9 THEN '{{malformed' WHEN ordinal = 1 AND
     WHEN ordinal = 1 AND c = 5 THEN '{{"summary":"doc ' || run_id || '","key_points":[{{"text":"p","source_block_indexes":[999999]}}]}}' ELSE {_VALID} END"""
 _ENDED = f"""{_ATTEMPTS}, e AS (SELECT run_id, CASE WHEN bool_or(outcome = 'accepted') THEN 'completed' ELSE 'failed' END AS state, count(*) AS attempts, max_by(coalesce(error, ''), ordinal) AS error FROM a GROUP BY run_id)"""
 
-_REVISIONS = """v AS (SELECT doc_id, coalesce(source, 'none') AS tenant_ref, coalesce(text, '') AS content FROM documents
+def _key(*parts: str) -> str:
+    return "sha256(" + " || ".join(f"length({x}) || ':' || {x}" for x in parts) + ")"
+
+
+_REVISIONS = f"""v AS (SELECT doc_id, coalesce(source, 'none') AS tenant_ref, coalesce(text, '') AS content FROM documents
     UNION ALL SELECT doc_id, coalesce(source, 'none'), coalesce(text, '') || chr(10) FROM documents WHERE doc_id % 10 = 0),
     u AS (SELECT DISTINCT doc_id, tenant_ref, CAST(doc_id AS VARCHAR) AS source_document_id, sha256(content) AS hex FROM v),
-    x AS (SELECT *, sha256(concat_ws(chr(10), tenant_ref, 'extractor', source_document_id, 'sha256', hex)) AS source_ref_id FROM u)"""
-_RUN_ID = "sha256(concat_ws(chr(10), source_ref_id, " + ", ".join(f"'{v}'" for v in ANALYSIS_VERSIONS.values()) + "))"
+    x AS (SELECT *, {_key("tenant_ref", "'extractor'", "source_document_id", "'sha256'", "hex")} AS source_ref_id FROM u)"""
+_RUN_ID = _key("source_ref_id", *(f"'{v}'" for v in ANALYSIS_VERSIONS.values()))
+_POLICY_NAME = ANALYSIS_VERSIONS["model_policy"]
+#: z: a run for each revision; att: the attempts of first revisions' runs, with their run.
+_RECORDED = f"""{_REVISIONS}, z AS (SELECT {_RUN_ID} AS rid, * FROM x),
+    att AS (SELECT rid, left(rid, 1) AS digit, ordinal, outcome FROM a JOIN documents d ON d.doc_id = a.run_id JOIN z ON z.source_document_id = CAST(d.doc_id AS VARCHAR) AND z.tenant_ref = coalesce(d.source, 'none') AND z.hex = sha256(coalesce(d.text, '')))"""
+#: In millionths for a token: input, output.
+_COST = "n_chars // 4 * 3 + n_chars // 16 * 15"
 
 # answers, one validation step after the other
 _INTEGER = "(json_type(i) IN ('UBIGINT', 'BIGINT') AND TRY_CAST(i AS HUGEINT) >= 0 OR json_type(i) = 'DOUBLE' AND CAST(i AS DOUBLE) >= 0 AND CAST(i AS DOUBLE) = floor(CAST(i AS DOUBLE)))"
@@ -125,21 +135,34 @@ ORACLES: dict[str, str] = {
     "source_revisions": f"WITH {_REVISIONS} SELECT tenant_ref, source_document_id, count(*) AS revisions, min(source_ref_id) AS first_ref FROM x GROUP BY ALL",
     "source_get_or_create": f"WITH {_REVISIONS} SELECT CASE WHEN doc_id % 4 = 0 THEN 'old-' || left(hex, 12) || '-' || source_document_id ELSE source_ref_id END AS source_ref_id, source_document_id, doc_id % 4 <> 0 AS created FROM x",
     "run_get_or_create": f"WITH {_REVISIONS} SELECT {_RUN_ID} AS run_id, source_ref_id, true AS created FROM x",
-    "constraint_violations": f"WITH {_REVISIONS}, z AS (SELECT {_RUN_ID} AS run_id FROM x), bad AS (SELECT count(*) AS violations FROM z WHERE left(run_id, 1) = '0') SELECT unnest(['run_source', 'run_state']) AS rule, violations FROM bad WHERE violations > 0",
+    "constraint_violations": f"""WITH {_ATTEMPTS}, {_RECORDED},
+        n AS (SELECT 'run_state' AS rule, count(*) AS violations FROM z WHERE left(rid, 1) = '0' UNION ALL SELECT 'run_source', count(*) FROM z WHERE left(rid, 1) = '0'
+        UNION ALL SELECT 'attempt_key', count(*) FROM att WHERE digit = '1' UNION ALL SELECT 'attempt_values', count(*) FROM att WHERE digit = '2'
+        UNION ALL SELECT 'attempt_run', count(DISTINCT rid) FROM att WHERE digit = '3' UNION ALL SELECT 'attempt_policy', count(*) FROM att WHERE digit = '4'
+        UNION ALL SELECT 'one_accepted_output', count(*) FROM att WHERE digit = '5' AND outcome = 'accepted' UNION ALL SELECT 'output_run', count(*) FROM att WHERE digit = '6' AND outcome = 'accepted'
+        UNION ALL SELECT 'output_object', count(*) FROM att WHERE digit = '7' AND outcome = 'accepted' UNION ALL SELECT 'source_key', count(*) FROM x WHERE left(source_ref_id, 1) = '8' UNION ALL SELECT 'run_key', count(*) FROM z WHERE left(rid, 1) = '9')
+        SELECT rule, violations FROM n WHERE violations > 0""",
     "scripted_calls": """WITH s AS (SELECT doc_id, doc_id % 10 AS c, unnest([1, 2]) AS ordinal FROM documents),
         k AS (SELECT doc_id, c, ordinal, CASE WHEN ordinal = 1 AND c IN (1, 8) THEN 'transient' WHEN ordinal = 1 AND c = 4 THEN 'permanent' WHEN c = 7 THEN 'timeout' ELSE 'response' END AS call_kind FROM s WHERE ordinal = 1 OR c NOT IN (0, 4, 6, 9))
         SELECT doc_id, ordinal, call_kind, CAST(CASE WHEN call_kind <> 'response' THEN NULL WHEN c IN (3, 9) THEN 10 WHEN c = 6 THEN 3030 WHEN ordinal = 1 AND c = 2 OR ordinal = 2 AND c = 8 THEN 30
             WHEN ordinal = 1 AND c = 5 THEN 78 + length(CAST(doc_id AS VARCHAR)) ELSE 73 + length(CAST(doc_id AS VARCHAR)) END AS BIGINT) AS response_bytes FROM k""",
     "pipeline_attempts": f"WITH {_ATTEMPTS} SELECT run_id, ordinal, reason, outcome, validation_code, stored FROM a",
+    "provider_attempts": f"WITH {_ATTEMPTS} SELECT run_id, ordinal, reason, 'function' AS provider, '{_POLICY_NAME}' AS model_policy, outcome, validation_code, stored, CASE WHEN stored AND reason = 'repair' THEN 'repair' WHEN stored THEN 'first' END AS asked FROM a",
+    "attempt_guard": "SELECT doc_id, CAST(CASE doc_id % 6 WHEN 1 THEN 0 WHEN 2 THEN 128 WHEN 3 THEN 129 WHEN 4 THEN 130 WHEN 5 THEN 4 + length(CAST(doc_id AS VARCHAR)) END AS BIGINT) AS id_bytes, doc_id % 6 IN (0, 2, 5) AS allowed FROM documents",
+    "call_timeouts": """WITH c AS (SELECT doc_id, doc_id % 10 AS c, doc_id % 50 * 10 > 400 AS late FROM documents),
+        o AS (SELECT doc_id, c, 1 AS ordinal, 'initial' AS reason FROM c WHERE late OR c = 7 UNION ALL SELECT doc_id, c, 2, 'retry' FROM c WHERE (late OR c = 7) AND c NOT IN (0, 4, 6, 9))
+        SELECT ordinal, reason, 'transient_failure' AS outcome, count(*) AS attempts, count(*) AS measured FROM o GROUP BY ALL""",
+    "attempt_append": f"WITH {_ATTEMPTS} SELECT run_id, ordinal, reason, 'scripted' AS provider, '{_POLICY_NAME}' AS model_policy, outcome FROM a",
+    "attempt_update": f"WITH {_ATTEMPTS} SELECT run_id, ordinal, CASE WHEN run_id % 7 = 0 THEN 'invalid' ELSE outcome END AS outcome, run_id % 7 <> 0 AS changed FROM a WHERE ordinal = 1",
     "pipeline_outcome": f"WITH {_ENDED} SELECT run_id, state, attempts, nullif(error, '') AS error, CASE WHEN state = 'completed' THEN 'doc ' || run_id END AS summary FROM e",
     "attempt_outcome": f"WITH {_ATTEMPTS} SELECT ordinal, reason, outcome, count(*) AS attempts FROM a GROUP BY ALL",
-    "attempt_evidence": f"WITH {_ATTEMPTS}, g AS (SELECT run_id, ordinal, sha256({_RESPONSE}) AS digest_hex FROM a WHERE stored) SELECT run_id, ordinal, digest_hex, 'sha256/' || left(digest_hex, 2) || '/' || digest_hex AS blob_path, n_chars // 4 AS input_tokens, n_chars // 16 AS output_tokens FROM g JOIN documents ON doc_id = run_id",
+    "attempt_evidence": f"WITH {_ATTEMPTS}, g AS (SELECT run_id, ordinal, sha256({_RESPONSE}) AS digest_hex FROM a WHERE stored) SELECT run_id, ordinal, 'scripted' AS provider, '{_POLICY_NAME}' AS model_policy, 'req-' || run_id || '-' || ordinal AS provider_request_id, digest_hex, 'sha256/' || left(digest_hex, 2) || '/' || digest_hex AS blob_path, n_chars // 4 AS input_tokens, n_chars // 16 AS output_tokens FROM g JOIN documents ON doc_id = run_id",
     "timeout_class": f"WITH {_ATTEMPTS} SELECT error, outcome, count(*) AS attempts FROM a WHERE error IN ('timeout', 'transient') GROUP BY ALL",
     "validation_code": f"WITH {_ATTEMPTS} SELECT run_id, ordinal, coalesce(validation_code, 'accepted') AS code FROM a WHERE stored",
     "validation_histogram": f"WITH {_ATTEMPTS} SELECT coalesce(validation_code, 'accepted') AS validation_class, count(*) AS attempts FROM a WHERE stored GROUP BY ALL",
     "usage_rollup": f"WITH {_ATTEMPTS} SELECT source, CAST(sum(n_chars // 4) FILTER (stored OR error = 'blob') AS BIGINT) AS input_tokens, CAST(sum(n_chars // 16) FILTER (stored OR error = 'blob') AS BIGINT) AS output_tokens FROM a JOIN documents ON doc_id = run_id GROUP BY source",
-    "accepted_outputs": f"WITH {_ATTEMPTS} SELECT run_id, sha256(run_id || chr(10) || sha256({_VALID})) AS output_id, 'doc ' || run_id AS summary, CAST(1 AS BIGINT) AS n_points, true AS accepted FROM a WHERE outcome = 'accepted'",
-    "accept_atomicity": "SELECT doc_id AS run_id FROM documents WHERE false",
+    "accepted_outputs": f"WITH {_ATTEMPTS} SELECT run_id, {_key("CAST(run_id AS VARCHAR)", f"sha256({_VALID})")} AS output_id, 'doc ' || run_id AS summary, CAST(1 AS BIGINT) AS n_points, true AS accepted FROM a WHERE outcome = 'accepted'",
+    "accept_atomicity": f"WITH {_ATTEMPTS} SELECT run_id, count(*) FILTER (outcome = 'accepted') AS outputs, bool_or(outcome = 'accepted') AS persisted FROM a GROUP BY run_id",
     "resume_lookup": f"WITH s AS (SELECT doc_id AS run_id, {_STATES}[doc_id % 9 + 1] AS state, doc_id % 4 = 0 AS has FROM documents) SELECT run_id, CASE WHEN has AND state = 'persisted' THEN 'completed' ELSE state END AS state, CASE WHEN has AND state IN ('persisted', 'completed') THEN 'doc ' || run_id END AS result, has AND state IN ('persisted', 'completed') AS replayed FROM s",
     "attempt_orphans": "SELECT doc_id * 2 AS run_id FROM documents WHERE doc_id * 2 NOT IN (SELECT doc_id FROM documents)",
     "attempt_next_ordinal": "SELECT doc_id AS run_id, CAST(doc_id % 3 + 1 AS INT) AS next_ordinal FROM documents",
@@ -162,6 +185,18 @@ ORACLES: dict[str, str] = {
         h AS (SELECT z.*, CASE WHEN d.doc_id IS NULL THEN 'vector ' || z.doc_id ELSE sha256(coalesce(text, '')) END AS content FROM z LEFT JOIN documents d ON d.doc_id = z.doc_id),
         f AS (SELECT query_id, doc_id, score FROM h QUALIFY row_number() OVER (PARTITION BY query_id, content ORDER BY score DESC, doc_id) = 1)
         SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM f QUALIFY rank <= 10""",
+    "hybrid_signals": f"""WITH {_bm25(False, 30)},
+        q AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY quality DESC, doc_id) AS rank FROM text_rank JOIN labels USING (doc_id) WHERE quality IS NOT NULL),
+        t AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY doc_id DESC) AS rank FROM text_rank),
+        z AS (SELECT query_id, doc_id, CAST(sum(CAST(round(1e6 / (60 + rank)) AS BIGINT)) AS BIGINT) AS score FROM (SELECT query_id, doc_id, rank FROM text_rank UNION ALL SELECT * FROM q UNION ALL SELECT * FROM t) GROUP BY ALL),
+        f AS (SELECT z.* FROM z JOIN documents USING (doc_id) QUALIFY row_number() OVER (PARTITION BY query_id, sha256(coalesce(text, '')) ORDER BY score DESC, doc_id) = 1)
+        SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM f QUALIFY rank <= 10""",
+    "filtered_search": f"WITH {_bm25(False, 10).replace('FROM documents)', "FROM documents WHERE lang = 'en' AND source IN ('src0', 'src1', 'src2', 'src3') AND n_chars >= 200)", 1)} SELECT query_id, doc_id, score, rank FROM text_rank",
+    "search_evaluation": rf"""WITH {_bm25(False, 10)},
+        i AS (SELECT item_id AS query_id, regexp_extract_all(lower(coalesce(text, '')), '\p{{L}}+') AS t FROM benchmark),
+        rel AS (SELECT DISTINCT query_id, doc_id FROM i JOIN d ON contains(' ' || array_to_string(d.tokens, ' ') || ' ', ' ' || array_to_string(i.t, ' ') || ' ') WHERE len(i.t) >= 5),
+        m AS (SELECT query_id, count(*) AS known FROM rel GROUP BY 1), hits AS (SELECT query_id, count(*) AS hits FROM text_rank JOIN rel USING (query_id, doc_id) GROUP BY 1)
+        SELECT query_id, coalesce(hits, 0) AS hits, coalesce(hits, 0) * 1000000 // 10 AS precision, CASE WHEN known > 0 THEN coalesce(hits, 0) * 1000000 // known END AS recall FROM i LEFT JOIN hits USING (query_id) LEFT JOIN m USING (query_id)""",
     "dedup_exact": "SELECT sha256(coalesce(text, '')) AS content_hash, min(doc_id) AS first_doc, count(*) AS copies FROM documents GROUP BY 1 HAVING count(*) > 1",
     "chunk_documents": """WITH b AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS i FROM documents),
         s AS (SELECT *, CAST(floor((sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i) - length(line) - 1) / 800) AS BIGINT) AS chunk FROM b)
@@ -177,10 +212,26 @@ ORACLES: dict[str, str] = {
     "reindex_pending": "SELECT doc_id, sha256(coalesce(text, '')) AS content_hash FROM documents WHERE doc_id % 3 = 0",
     "active_version": "SELECT source, CASE WHEN bool_or(doc_id % 97 = 5) THEN 1 ELSE 2 END AS active_version FROM documents GROUP BY source",
     "inbox_dedup": "SELECT user_id, event_type, strftime(ts, '%Y-%m-%d') AS day, min(event_id) AS event_id, count(*) AS deliveries FROM events GROUP BY ALL",
-    "outbox_events": f"WITH {_ENDED}, y AS (SELECT CAST(run_id AS VARCHAR) AS run_id, attempts, 'analysis.' || state || '.v1' AS subject FROM e) SELECT sha256(run_id || chr(10) || subject) AS event_id, subject, run_id, attempts FROM y",
-    "entity_mentions": "WITH h AS (SELECT url, lower(regexp_extract(url, '^[a-zA-Z]+://([^/:?#]+)', 1)) AS alias FROM pages) SELECT alias, array_to_string(list_slice(string_split(alias, '.'), -2, -1), '.') AS entity, count(*) AS mentions, count(DISTINCT url) AS addresses FROM h WHERE alias <> '' GROUP BY ALL",
-    "metrics_rollup": f"""WITH {_ATTEMPTS} SELECT source, count(*) AS provider_requests, count(DISTINCT run_id) AS analysis_requests, count(*) FILTER (reason = 'repair') AS repair_attempts, count(*) FILTER (validation_code IS NOT NULL) AS validation_failures,
-        count(*) FILTER (validation_code = 'citation') AS citation_failures, CAST(coalesce(sum(n_chars // 4 + n_chars // 16) FILTER (stored OR error = 'blob'), 0) AS BIGINT) AS provider_tokens FROM a JOIN documents ON doc_id = run_id GROUP BY ROLLUP (source)""",
+    "outbox_events": f"WITH {_ENDED}, y AS (SELECT CAST(run_id AS VARCHAR) AS run_id, attempts, 'analysis.' || state || '.v1' AS subject FROM e) SELECT {_key("run_id", "subject")} AS event_id, subject, run_id, attempts FROM y",
+    "entity_mentions": "WITH h AS (SELECT url, lower(regexp_extract(url, '^[a-zA-Z]+://([^/:?#]+)', 1)) AS alias FROM pages) SELECT alias, array_to_string(list_slice(string_split(alias, '.'), CASE WHEN array_to_string(list_slice(string_split(alias, '.'), -2, -1), '.') IN ('co.uk', 'com.au', 'co.jp') THEN -3 ELSE -2 END, -1), '.') AS entity, count(*) AS mentions, count(DISTINCT url) AS addresses FROM h WHERE alias <> '' GROUP BY ALL",
+    "metrics_rollup": f"""WITH {_ATTEMPTS} SELECT source, count(*) AS provider_requests, count(DISTINCT run_id) AS analysis_requests, count(*) FILTER (outcome = 'permanent_failure' OR ordinal = 2 AND outcome <> 'accepted') AS analysis_failures,
+        CAST(coalesce(sum(doc_id % 50 * 10) FILTER (ordinal = 1 OR c NOT IN (0, 9)), 0) AS BIGINT) AS analysis_duration_ms,
+        count(*) FILTER (reason = 'repair') AS repair_attempts, count(*) FILTER (validation_code IS NOT NULL) AS validation_failures, count(*) FILTER (validation_code = 'citation') AS citation_failures,
+        CAST(coalesce(sum(n_chars // 4 + n_chars // 16) FILTER (stored OR error = 'blob'), 0) AS BIGINT) AS provider_tokens, CAST(coalesce(sum({_COST}) FILTER (stored OR error = 'blob'), 0) AS BIGINT) AS provider_cost
+        FROM a JOIN documents ON doc_id = run_id GROUP BY ROLLUP (source)""",
+    "run_budgets": f"""WITH {_ATTEMPTS}, g AS (SELECT run_id, count(*) AS attempts, count(*) FILTER (reason = 'repair') AS repairs, CAST(coalesce(sum(n_chars // 4 + n_chars // 16) FILTER (stored OR error = 'blob'), 0) AS BIGINT) AS tokens,
+        CAST(coalesce(sum({_COST}) FILTER (stored OR error = 'blob'), 0) AS BIGINT) AS cost, CAST(coalesce(sum(doc_id % 50 * 10) FILTER (ordinal = 1 OR c NOT IN (0, 9)), 0) AS BIGINT) AS elapsed_ms FROM a JOIN documents ON doc_id = run_id GROUP BY run_id)
+        SELECT *, CASE WHEN attempts > 2 THEN 'attempts' WHEN repairs > 1 THEN 'repairs' WHEN tokens > 600 THEN 'tokens' WHEN cost > 2500 THEN 'cost' WHEN elapsed_ms > 900 THEN 'elapsed_ms' END AS broken FROM g""",
+    "service_metrics": f"""WITH {_bm25(False, 10)} SELECT 'embedding_jobs' AS name, count(*) AS value FROM embeddings UNION ALL SELECT 'embedding_queue_lag', count(*) FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)
+        UNION ALL SELECT 'reindex_progress', CAST(count(*) FILTER (doc_id % 3 <> 0) * 1000000 // greatest(count(*), 1) AS BIGINT) FROM documents UNION ALL SELECT 'search_result_count', count(*) FROM text_rank""",
+    "last_success": f"""WITH {_ENDED}, rev AS (SELECT run_id AS doc_id, 1 AS revision, state FROM e UNION ALL SELECT run_id, 2, CASE WHEN run_id % 2 = 0 THEN 'completed' ELSE 'failed' END FROM e WHERE run_id % 3 = 0),
+        g AS (SELECT doc_id, max(revision) AS newest, max(revision) FILTER (state = 'completed') AS shown FROM rev GROUP BY doc_id) SELECT *, shown IS NOT NULL AND shown < newest AS stale FROM g""",
+    "gated_requests": f"SELECT doc_id, CASE doc_id % 6 WHEN 1 THEN sha256({_REDACT}) WHEN 2 THEN sha256(coalesce(text, '')) END AS remote_hash, CASE WHEN doc_id % 6 IN (0, 1, 2) THEN sha256(coalesce(text, '')) END AS index_hash FROM documents",
+    "page_links": """WITH h AS (SELECT lower(regexp_extract(url, '^[a-zA-Z]+://([^/:?#]+)', 1)) AS host, unnest(regexp_extract_all(coalesce(html, ''), 'href="([^"?#]+)', 1)) AS target FROM pages),
+        l AS (SELECT array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') AS source, lower(regexp_extract(target, '^[a-zA-Z]+://([^/:?#]+)', 1)) AS there, target FROM h),
+        t AS (SELECT source, CASE WHEN starts_with(target, '/') THEN source || target WHEN there <> '' THEN array_to_string(list_slice(string_split(there, '.'), -2, -1), '.') END AS target FROM l WHERE source <> '')
+        SELECT source, 'links_to' AS relation, target, count(*) AS mentions FROM t WHERE target IS NOT NULL GROUP BY ALL""",
+    "citation_spans": f"WITH {_ATTEMPTS} SELECT run_id AS doc_id, CAST(0 AS BIGINT) AS block_index, CASE WHEN run_id % 4 = 1 THEN 'changed_span' END AS problem FROM a WHERE outcome = 'accepted'",
     "import_reconciliation": "SELECT doc_id, CASE WHEN doc_id % 11 = 3 THEN 'missing' WHEN doc_id % 5 = 0 THEN 'added' WHEN doc_id % 7 = 0 THEN 'changed' ELSE 'same' END AS status FROM documents WHERE doc_id % 11 <> 3 OR doc_id % 5 <> 0",
     "eval_precision_recall": """WITH g AS (SELECT lang, count(*) FILTER (n_chars >= 1000 AND quality = 1) AS true_positives, count(*) FILTER (n_chars >= 1000) AS p, count(*) FILTER (quality = 1) AS t FROM labels JOIN documents USING (doc_id) GROUP BY lang)
         SELECT lang, true_positives, true_positives * 1000000 // nullif(p, 0) AS precision, true_positives * 1000000 // nullif(t, 0) AS recall FROM g""",
@@ -188,6 +239,6 @@ ORACLES: dict[str, str] = {
     "stream_inbox": "SELECT DISTINCT user_id, event_type FROM events",
     "stream_sessions": """WITH g AS (SELECT user_id, ts, CAST(coalesce(ts - lag(ts) OVER w >= INTERVAL 1 HOUR, true) AS INT) AS opens FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
         s AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM g)
-        SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS session_start, strftime(max(ts) + INTERVAL 1 HOUR, '%Y-%m-%d %H:%M:%S.%f') AS session_end, count(*) AS n FROM s GROUP BY user_id, s""",
+        SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS session_start, strftime(max(ts) + INTERVAL 1 HOUR, '%Y-%m-%d %H:%M:%S.%f') AS session_end, count(*) AS n FROM s GROUP BY user_id, s HAVING max(ts) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 1 DAY FROM events)""",
     "stream_states": _STATES_SQL,
 }

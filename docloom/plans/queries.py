@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from docloom.config import Limits
 from docloom.functions import answers, text
 from docloom.operators import context, governance, identity, runs, search, state
-from docloom.schemas import RUN_KEY, RUN_STATES, SOURCE_KEY, legal_edges
+from docloom.schemas import ANALYSIS_VERSIONS, RUN_KEY, RUN_STATES, SOURCE_KEY, legal_edges
 from docloom.sources import documents as src
-from docloom.sources import store
+from docloom.sources import providers, store
+from docloom.sources.stage import work_path
 from docloom.streaming import streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -172,15 +173,23 @@ def recorded_tables(spark, sf_dir):
     first = docs(spark, sf_dir).select("doc_id", document.alias(at[0]), F.coalesce("source", F.lit("none")).alias(at[1]), text.digest_hex(F.coalesce("text", F.lit(""))).alias(at[2])).distinct()
     known = first.join(sources.select("source_ref_id", *at), at).join(all_runs.select("run_id", "source_ref_id"), "source_ref_id").select("doc_id", "run_id")
     attempts = _attempts(spark, sf_dir).withColumnRenamed("run_id", "doc_id").join(known, "doc_id", "left").withColumn("run_id", F.coalesce("run_id", document)).drop("doc_id")
-    outputs = attempts.where("outcome = 'accepted'").select("run_id", F.lit(True).alias("accepted"))
+    outputs = attempts.where("outcome = 'accepted'").select("run_id", F.col("response").alias("result"), F.lit(True).alias("accepted"))
     return sources, all_runs, attempts, outputs
 
 
 @query
 def constraint_violations(spark, sf_dir):
+    """All tables, with a fault of each rule planted in those rows whose id begins with a certain digit."""
     sources, all_runs, attempts, outputs = recorded_tables(spark, sf_dir)
-    planted_runs = all_runs.unionByName(all_runs.where("substring(run_id, 1, 1) = '0'").withColumn("state", F.lit("lost")).withColumn("source_ref_id", F.concat(F.lit("no-"), "source_ref_id")))
-    return identity.constraint_violations(sources, planted_runs, attempts, outputs).groupBy("rule").agg(F.count(F.lit(1)).alias("violations"))
+    begins = lambda digit, column="run_id": F.substring(column, 1, 1) == digit
+    again = lambda df, digit, column="run_id": df.unionByName(df.where(begins(digit, column)))
+    lost = all_runs.where(begins("0")).withColumn("state", F.lit("lost")).withColumn("source_ref_id", F.concat(F.lit("no-"), "source_ref_id"))
+    no_run = lambda df, digit: df.withColumn("run_id", F.when(begins(digit), F.concat(F.lit("x-"), "run_id")).otherwise(F.col("run_id")))
+    attempts = again(attempts, "1").withColumn("outcome", F.when(begins("2"), "received").otherwise(F.col("outcome")))
+    attempts = no_run(attempts.withColumn("model_policy", F.when(begins("4"), "other").otherwise(F.col("model_policy"))), "3")
+    outputs = again(outputs, "5").withColumn("result", F.when(begins("7"), "[]").otherwise(F.col("result")))
+    found = identity.constraint_violations(again(sources, "8", "source_ref_id"), again(all_runs, "9").unionByName(lost), attempts, no_run(outputs, "6"))
+    return found.groupBy("rule").agg(F.count(F.lit(1)).alias("violations"))
 
 
 # runs
@@ -188,7 +197,7 @@ def constraint_violations(spark, sf_dir):
 
 def _contexts(spark, sf_dir):
     packed = context.pack_context(src.document_ir(docs(spark, sf_dir)), BUDGET)
-    return packed.select(F.col("doc_id").alias("run_id"), "included_block_indexes")
+    return packed.select(F.col("doc_id").alias("run_id"), "included_block_indexes", F.lit("scripted").alias("provider"), F.lit(ANALYSIS_VERSIONS["model_policy"]).alias("model_policy"))
 
 
 def _calls(spark, sf_dir, ordinal):
@@ -196,7 +205,7 @@ def _calls(spark, sf_dir, ordinal):
 
 
 def _attempts(spark, sf_dir):
-    return runs.run_attempts(_contexts(spark, sf_dir), _calls(spark, sf_dir, 1), _calls(spark, sf_dir, 2), RESPONSE_CAP)
+    return runs.run_attempts(_contexts(spark, sf_dir), _calls(spark, sf_dir, 1), _calls(spark, sf_dir, 2), RESPONSE_CAP, LIMITS.provider_timeout_ms)
 
 
 @query
@@ -210,6 +219,61 @@ def pipeline_attempts(spark, sf_dir):
     return _attempts(spark, sf_dir).select("run_id", F.col("ordinal").cast("int").alias("ordinal"), "reason", "outcome", "validation_code", "stored")
 
 
+@query
+def provider_attempts(spark, sf_dir):
+    """The same runs through a provider that answers each request by a function."""
+    packed = context.pack_context(src.document_ir(docs(spark, sf_dir)), BUDGET)
+    requests = context.generation_request(packed).withColumnRenamed("doc_id", "run_id").withColumn("model_policy", F.lit(ANALYSIS_VERSIONS["model_policy"]))
+    scripts = dict(src.SCRIPTS)
+
+    def ask(request: dict) -> dict | None:
+        script = scripts[request["run_id"] % len(scripts)][request["ordinal"] - 1]
+        if script is None:
+            return None
+        if script == "transient":
+            raise ConnectionError
+        if script in ("permanent", "timeout"):
+            return {"call_kind": script}
+        point = '{"summary":"doc %d","key_points":[{"text":"p","source_block_indexes":[%d]}]}'
+        given = {"valid": point % (request["run_id"], 0), "far_citation": point % (request["run_id"], 999999), "empty": '{"summary":"","key_points":[]}', "malformed": "{malformed", "oversized": "x" * 3030}
+        return {"call_kind": "response", "response": given[script], "provider_request_id": "repair" if "Repair validation code" in request["task_instruction"] else "first"}
+
+    found = providers.provided_attempts(requests, providers.FunctionProvider("function", ask), RESPONSE_CAP, LIMITS.provider_timeout_ms)
+    return found.select("run_id", F.col("ordinal").cast("int").alias("ordinal"), "reason", "provider", "model_policy", "outcome", "validation_code", "stored", F.when(F.col("stored"), F.col("provider_request_id")).alias("asked"))
+
+
+@query
+def attempt_guard(spark, sf_dir):
+    """Provider request ids of many kinds: absent ones may be, empty and long ones may not."""
+    case = F.col("doc_id") % 6
+    request_id = F.when(case == 1, "").when(case == 2, F.repeat(F.lit("r"), 128)).when(case == 3, F.repeat(F.lit("r"), 129)).when(case == 4, F.repeat(F.lit("é"), 65)).when(case == 5, F.concat(F.lit("req-"), F.col("doc_id").cast("string")))
+    return docs(spark, sf_dir).select("doc_id", F.octet_length(request_id).cast("long").alias("id_bytes"), identity.request_id_ok(request_id).alias("allowed"))
+
+
+@query
+def call_timeouts(spark, sf_dir):
+    """Calls that took longer than 400 ms are timeouts, whatever they brought."""
+    found = runs.run_attempts(_contexts(spark, sf_dir), _calls(spark, sf_dir, 1), _calls(spark, sf_dir, 2), RESPONSE_CAP, 400)
+    return found.where("error = 'timeout'").groupBy("ordinal", "reason", "outcome").agg(F.count(F.lit(1)).alias("attempts"), F.count("latency_ms").alias("measured")).withColumn("ordinal", F.col("ordinal").cast("int"))
+
+
+@query
+def attempt_append(spark, sf_dir):
+    """Attempts appended as a committed batch, the same batch a second time, which adds nothing, and read back."""
+    root = work_path(spark, "attempts")
+    rows = _attempts(spark, sf_dir).select("run_id", F.col("ordinal").cast("int").alias("ordinal"), "reason", "provider", "model_policy", "outcome")
+    for _ in range(2):
+        store.commit_batch({"attempts": rows}, root, "one")
+    return store.read_committed(spark, root, "attempts").select(*rows.columns)
+
+
+@query
+def attempt_update(spark, sf_dir):
+    """Requested attempts take their outcome, once; a second ordinal that was never requested changes nothing."""
+    rows = docs(spark, sf_dir).select(F.col("doc_id").alias("run_id"), F.lit(1).alias("ordinal"), F.when(F.col("doc_id") % 7 == 0, "invalid").otherwise("requested").alias("outcome"))
+    return state.settled(rows, _attempts(spark, sf_dir).select("run_id", F.col("ordinal").cast("int").alias("ordinal"), "outcome"))
+
+
 @query
 def pipeline_outcome(spark, sf_dir):
     return runs.run_outcomes(_attempts(spark, sf_dir)).select("run_id", "state", "attempts", "error", F.col("analysis.summary").alias("summary"))
@@ -224,7 +288,7 @@ def attempt_outcome(spark, sf_dir):
 def attempt_evidence(spark, sf_dir):
     kept = _attempts(spark, sf_dir).where("stored")
     digest = text.digest_hex(F.col("response"))
-    return kept.select("run_id", F.col("ordinal").cast("int").alias("ordinal"), digest.alias("digest_hex"), text.blob_path(digest).alias("blob_path"), "input_tokens", "output_tokens")
+    return kept.select("run_id", F.col("ordinal").cast("int").alias("ordinal"), "provider", "model_policy", "provider_request_id", digest.alias("digest_hex"), text.blob_path(digest).alias("blob_path"), "input_tokens", "output_tokens")
 
 
 @query
@@ -253,17 +317,23 @@ def usage_rollup(spark, sf_dir):
 @query
 def accepted_outputs(spark, sf_dir):
     done = _attempts(spark, sf_dir).where("outcome = 'accepted'")
-    return done.select("run_id", F.sha2(F.concat_ws("\n", F.col("run_id").cast("string"), text.digest_hex(F.col("response"))), 256).alias("output_id"), F.col("analysis.summary").alias("summary"), F.size("analysis.key_points").cast("long").alias("n_points"), F.lit(True).alias("accepted"))
+    return done.select("run_id", text.key_id(F.col("run_id").cast("string"), text.digest_hex(F.col("response"))).alias("output_id"), F.col("analysis.summary").alias("summary"), F.size("analysis.key_points").cast("long").alias("n_points"), F.lit(True).alias("accepted"))
 
 
 @query
 def accept_atomicity(spark, sf_dir):
-    """Runs whose accepted output and persisted state don't go together: none."""
+    """Each run's outputs and whether it is persisted, as read back after a batch of both was committed twice and the
+    outputs of another one were written by a job that ended before its commit."""
+    root = work_path(spark, "accepted")
     attempts = _attempts(spark, sf_dir)
-    outputs = attempts.where("outcome = 'accepted'").select("run_id").distinct()
+    outputs = attempts.where("outcome = 'accepted'").select("run_id", F.col("response").alias("result"))
     persisted = runs.state_log(attempts).where("to_state = 'persisted'").select("run_id").distinct()
-    either = outputs.withColumn("o", F.lit(1)).join(persisted.withColumn("p", F.lit(1)), "run_id", "full")
-    return either.where("o is null or p is null").select("run_id")
+    for _ in range(2):
+        store.commit_batch({"outputs": outputs, "states": persisted}, root, "one")
+    docs(spark, sf_dir).select(F.col("doc_id").alias("run_id"), F.lit("{}").alias("result")).write.parquet(f"{root}/outputs/batch=two")
+    count = store.read_committed(spark, root, "outputs").groupBy("run_id").agg(F.count(F.lit(1)).alias("outputs"))
+    done = store.read_committed(spark, root, "states").select("run_id", F.lit(True).alias("persisted"))
+    return docs(spark, sf_dir).select(F.col("doc_id").alias("run_id")).join(count, "run_id", "left").join(done, "run_id", "left").select("run_id", F.coalesce("outputs", F.lit(0).cast("long")).alias("outputs"), F.coalesce("persisted", F.lit(False)).alias("persisted"))
 
 
 @query
@@ -421,7 +491,31 @@ def vector_topk(spark, sf_dir):
 def hybrid_rrf(spark, sf_dir):
     vectors = src.table(spark, sf_dir, "embeddings")
     asked = vectors.join(_questions(spark, sf_dir), F.col("vec_id") == F.col("query_id"), "left_semi")
-    return search.fused(search.bm25(docs(spark, sf_dir), _questions(spark, sf_dir), 30), search.nearest(vectors, asked, 30), docs(spark, sf_dir), TOP)
+    return search.fused(docs(spark, sf_dir), TOP, search.bm25(docs(spark, sf_dir), _questions(spark, sf_dir), 30), search.nearest(vectors, asked, 30))
+
+
+@query
+def hybrid_signals(spark, sf_dir):
+    """Text rank fused with the candidates' ranks by quality label and by recency (a larger id is newer)."""
+    found = search.bm25(docs(spark, sf_dir), _questions(spark, sf_dir), 30)
+    quality = src.table(spark, sf_dir, "labels").select("doc_id", "quality")
+    recency = docs(spark, sf_dir).select("doc_id", F.col("doc_id").alias("arrived"))
+    return search.fused(docs(spark, sf_dir), TOP, found, search.signal_ranks(found, quality, "quality"), search.signal_ranks(found, recency, "arrived"))
+
+
+@query
+def filtered_search(spark, sf_dir):
+    """Search among English documents of some sources and of 200 characters at least."""
+    seen = search.filtered(docs(spark, sf_dir), {"lang": ["en"], "source": ["src0", "src1", "src2", "src3"]}, {"n_chars": (200, None)})
+    return search.bm25(seen, _questions(spark, sf_dir), TOP)
+
+
+@query
+def search_evaluation(spark, sf_dir):
+    """Precision and recall at 10 of text search for benchmark items, whose relevant documents hold the item's tokens."""
+    questions = _questions(spark, sf_dir)
+    relevant = search.holding(docs(spark, sf_dir), questions)
+    return search.search_quality(search.bm25(docs(spark, sf_dir), questions, TOP), relevant, questions, TOP)
 
 
 @query
@@ -497,7 +591,58 @@ def entity_mentions(spark, sf_dir):
 @query
 def metrics_rollup(spark, sf_dir):
     tenants = docs(spark, sf_dir).select(F.col("doc_id").alias("run_id"), "source")
-    return governance.attempt_metrics(_attempts(spark, sf_dir).join(tenants, "run_id"), "source")
+    return governance.attempt_metrics(_attempts(spark, sf_dir).join(tenants, "run_id"), "source", *PRICES)
+
+
+#: Made-up prices in millionths for a token, and limits of a run.
+PRICES, RUN_LIMITS = (3, 15), {"attempts": 2, "repairs": 1, "tokens": 600, "cost": 2500, "elapsed_ms": 900}
+
+
+@query
+def run_budgets(spark, sf_dir):
+    """The first limit that each run has broken: attempts, repairs, tokens, money, time."""
+    return governance.budget_decisions(governance.run_usage(_attempts(spark, sf_dir), *PRICES), RUN_LIMITS)
+
+
+@query
+def service_metrics(spark, sf_dir):
+    """Counts of indexing and search work, by name."""
+    documents, vectors = docs(spark, sf_dir).select("doc_id"), src.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"))
+    built = documents.where("doc_id % 3 <> 0")
+    return governance.index_metrics(documents, vectors, built, search.bm25(docs(spark, sf_dir), _questions(spark, sf_dir), TOP))
+
+
+@query
+def last_success(spark, sf_dir):
+    """Which revision's output is shown for each document: a failed run of a newer revision hides nothing."""
+    ended = runs.run_outcomes(_attempts(spark, sf_dir)).select("run_id", "state")
+    rows = docs(spark, sf_dir).select("doc_id", F.explode(F.when(F.col("doc_id") % 3 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))).alias("revision"))
+    newer = F.when(F.col("doc_id") % 2 == 0, "completed").otherwise("failed")
+    both = rows.join(ended.withColumnRenamed("run_id", "doc_id"), "doc_id").withColumn("state", F.when(F.col("revision") == 2, newer).otherwise(F.col("state")))
+    return governance.last_success(both, "doc_id", "revision")
+
+
+@query
+def gated_requests(spark, sf_dir):
+    """What may go to a remote provider for each document: all of the text, the redacted text, or nothing."""
+    rows = docs(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("policy", _policy())
+    return governance.gated(rows, "policy", "text").select("doc_id", F.sha2("remote_text", 256).alias("remote_hash"), F.sha2("index_text", 256).alias("index_hash"))
+
+
+@query
+def page_links(spark, sf_dir):
+    """Hosts that pages of a host link to."""
+    return governance.host_links(src.table(spark, sf_dir, "pages"))
+
+
+@query
+def citation_spans(spark, sf_dir):
+    """Each citation of an accepted analysis against the manifest of its context."""
+    packed = context.pack_context(src.document_ir(docs(spark, sf_dir)), BUDGET)
+    cited = _attempts(spark, sf_dir).where("outcome = 'accepted'").select(F.col("run_id").alias("doc_id"), F.explode("analysis.key_points").alias("p")).select("doc_id", F.explode("p.source_block_indexes").alias("block_index"))
+    lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
+    said = docs(spark, sf_dir).select("doc_id", F.sha2(F.when(F.col("doc_id") % 4 == 1, F.lit("another text")).otherwise(lines[0]), 256).alias("span_hash"))
+    return context.checked_citations(context.context_manifest(packed), cited.join(said, "doc_id"))
 
 
 @query

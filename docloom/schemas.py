@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 # They must be spelled so for results to agree.
 RUN_STATES = ["queued", "context_prepared", "model_requested", "response_received", "schema_validated", "repaired", "persisted", "completed", "failed"]
 ATTEMPT_REASONS = ["initial", "retry", "repair"]
-ATTEMPT_OUTCOMES = ["requested", "received", "accepted", "invalid", "transient_failure", "permanent_failure"]
+ATTEMPT_OUTCOMES = ["requested", "response_received", "accepted", "invalid", "transient_failure", "permanent_failure"]
 LEGAL_EDGES = [
     ("queued", "context_prepared"),
     ("queued", "failed"),

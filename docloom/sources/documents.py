@@ -51,8 +51,8 @@ SCRIPTS = {0: ("valid", None), 1: ("transient", "valid"), 2: ("empty", "valid"),
 
 
 def scripted_answers(documents: DataFrame, ordinal: int) -> DataFrame:
-    """doc_id, ordinal, call_kind (response, transient, permanent, timeout), response, input_tokens, output_tokens of
-    the scripted call with this ordinal; documents without one have no row."""
+    """doc_id, ordinal, call_kind (response, transient, permanent, timeout), response, input_tokens, output_tokens,
+    provider_request_id, latency_ms of the scripted call with this ordinal; documents without one have no row."""
     names = {k: v[ordinal - 1] for k, v in SCRIPTS.items() if v[ordinal - 1]}
     script = F.element_at(F.create_map(*(F.lit(x) for kv in names.items() for x in kv)), (F.col("doc_id") % len(SCRIPTS)).cast("int"))
     answer = lambda index: F.concat(F.lit('{"summary":"doc '), F.col("doc_id").cast("string"), F.lit('","key_points":[{"text":"p","source_block_indexes":[' + index + "]}]}"))
@@ -61,4 +61,4 @@ def scripted_answers(documents: DataFrame, ordinal: int) -> DataFrame:
     kind = F.when(F.col("script").isin("transient", "permanent", "timeout"), F.col("script")).otherwise("response")
     rows = documents.select("doc_id", "n_chars", script.alias("script")).where(F.col("script").isNotNull())
     answered = kind == "response"
-    return rows.select("doc_id", F.lit(ordinal).alias("ordinal"), kind.alias("call_kind"), text.alias("response"), F.when(answered, F.expr("n_chars div 4")).alias("input_tokens"), F.when(answered, F.expr("n_chars div 16")).alias("output_tokens"))
+    return rows.select("doc_id", F.lit(ordinal).alias("ordinal"), kind.alias("call_kind"), text.alias("response"), F.when(answered, F.expr("n_chars div 4")).alias("input_tokens"), F.when(answered, F.expr("n_chars div 16")).alias("output_tokens"), F.concat_ws("-", F.lit("req"), F.col("doc_id").cast("string"), F.lit(str(ordinal))).alias("provider_request_id"), (F.col("doc_id") % 50 * 10).cast("long").alias("latency_ms"))

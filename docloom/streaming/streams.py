@@ -4,8 +4,6 @@ Each function reads the events as a file stream, runs until all of it is process
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -13,55 +11,68 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.schemas import LEGAL_EDGES, RUN_STATES
+from docloom.sources.stage import work_path
 
 
-def _root(spark: SparkSession) -> str:
-    """The session's shared folder; a temporary one only where none is set, as in tests."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="docloom-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/docloom/stream-{uuid.uuid4().hex}"
+#: Files that a trigger takes: the bound of a batch.
+FILES = 64
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events with ts as a timestamp, which a watermark needs."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    rows = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", FILES).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def drained(stream: DataFrame, mode: str) -> DataFrame:
-    """What the query has written when its input is used up. Complete results replace one another; appended and updated
-    rows gather under their batch's number, so a repeated batch replaces itself."""
-    spark, root = stream.sparkSession, _root(stream.sparkSession)
+def drained(stream: DataFrame, mode: str, key: list[str] | None = None, path: str | None = None) -> DataFrame:
+    """What the query has written when its input is used up. A batch's rows go to a folder of its number, so a repeated
+    batch replaces itself; of updated rows with a ``key``, the last one counts. With the ``path`` of an earlier call it
+    goes on from there."""
+    spark, root = stream.sparkSession, path or work_path(stream.sparkSession, "stream")
     out = f"{root}/out"
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(out if mode == "complete" else f"{out}/batch={number}")
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/checkpoint").foreachBatch(write).trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).option("basePath", out).parquet(out).select(*stream.columns)
+    rows = spark.read.schema(f"{stream.schema.toDDL()}, batch long").option("basePath", out).parquet(out)
+    if key is None:
+        return rows.select(*stream.columns)
+    last = rows.groupBy(*key).agg(F.max_by(F.struct(*stream.columns), "batch").alias("r"))
+    return last.select("r.*")
+
+
+def count_windows(events: DataFrame, lateness: str = "1 day") -> DataFrame:
+    """window_start, event_type, n, total (value in thousandths) of each hour, to be written in update mode: an hour's
+    state goes once no event of it can come within ``lateness``; later ones are dropped."""
+    counted = events.withWatermark("ts", lateness).groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum(F.round(F.col("value") * 1000).cast("long")).alias("total"))
+    return counted.select(F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "event_type", "n", "total")
 
 
 def windowed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """window_start, event_type, n, total (value in thousandths): a window an hour."""
-    counted = event_stream(spark, sf_dir).withWatermark("ts", "1 day").groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum(F.round(F.col("value") * 1000).cast("long")).alias("total"))
-    return drained(counted.select(F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "event_type", "n", "total"), "complete")
+    return drained(count_windows(event_stream(spark, sf_dir)), "update", ["window_start", "event_type"])
 
 
 def inbox(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each (user_id, event_type) once, however often it is delivered."""
+    """Each (user_id, event_type) once, however often and however late it is delivered again: state drops copies within
+    60 days, and what is written is one row a key over all batches."""
     seen = event_stream(spark, sf_dir).withWatermark("ts", "60 days").dropDuplicatesWithinWatermark(["user_id", "event_type"])
-    return drained(seen.select("user_id", "event_type"), "append")
+    key = ["user_id", "event_type"]
+    return drained(seen.select(*key), "append", key)
+
+
+def close_sessions(events: DataFrame, gap: str = "1 hour", lateness: str = "1 day") -> DataFrame:
+    """user_id, session_start, session_end, n: a user's events no more than ``gap`` apart, to be appended once a session
+    has ended and no event of it can come within ``lateness``."""
+    grouped = events.withWatermark("ts", lateness).groupBy("user_id", F.session_window("ts", gap).alias("s")).agg(F.count(F.lit(1)).alias("n"))
+    return grouped.select("user_id", F.date_format("s.start", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("session_start"), F.date_format("s.end", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("session_end"), "n")
 
 
 def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """user_id, session_start, session_end, n: events of a user no more than an hour apart."""
-    grouped = event_stream(spark, sf_dir).withWatermark("ts", "1 day").groupBy("user_id", F.session_window("ts", "1 hour").alias("s")).agg(F.count(F.lit(1)).alias("n"))
-    shown = grouped.select("user_id", F.date_format("s.start", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("session_start"), F.date_format("s.end", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("session_end"), "n")
-    return drained(shown, "complete")
+    """Sessions that are over for good: those of the last day may still grow and aren't shown."""
+    return drained(close_sessions(event_stream(spark, sf_dir)), "append")
 
 
 def run_states(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,7 +81,7 @@ def run_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], held) -> Iterator[pd.DataFrame]:
         state, moves, rejected = held.get if held.exists else ("queued", 0, 0)
-        rows = pd.concat(list(frames)).sort_values("seq")  # one trigger's events of one run
+        rows = pd.concat(list(frames)).sort_values("seq")  # one trigger's events of one run, at most FILES files'
         for to in rows["to_state"]:
             if (state, to) in legal:
                 state, moves = to, moves + 1

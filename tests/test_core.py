@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import random
+import time
 
 import duckdb
 import pytest
@@ -14,7 +15,8 @@ from docloom.functions import answers, text
 from docloom.operators import context, governance, identity, runs, search, state
 from docloom.plans import oracles, queries
 from docloom.schemas import LEGAL_EDGES, RUN_STATES
-from docloom.sources import store
+from docloom.sources import providers, store
+from docloom.streaming import streams
 
 DOC = "doc_id long, title string, language string, blocks array<struct<kind string, level int, text string>>"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -177,22 +179,98 @@ def test_guards_name_what_is_wrong(spark):
 def test_planted_violations_are_found(spark):
     sources = spark.createDataFrame([("s1", "t", "o", "d", "sha256", "a"), ("s2", "t", "o", "d", "sha256", "a")], "source_ref_id string, tenant_ref string, owner_context string, source_document_id string, content_digest_algorithm string, content_digest_hex string")
     runs_ = spark.createDataFrame([("r1", "s1", "c", "p", "b", "m", "queued"), ("r2", "s9", "c", "p", "b", "m", "lost")], "run_id string, source_ref_id string, contract_version string, prompt_version string, context_builder_version string, model_policy string, state string")
-    attempts = spark.createDataFrame([("r1", 1, "initial", "accepted", 1, None), ("r1", 3, "initial", "accepted", 1, 1), ("r7", 1, "retry", "odd", -1, 1)], "run_id string, ordinal int, reason string, outcome string, input_tokens long, output_tokens long")
-    outputs = spark.createDataFrame([("r1", True), ("r1", True), ("r1", False), ("r8", False)], "run_id string, accepted boolean")
+    made = [("r1", 1, "initial", "accepted", 1, None, "fake", "m", None), ("r1", 3, "initial", "accepted", 1, 1, "fake", "m", "x"), ("r7", 1, "retry", "odd", -1, 1, "fake", "m", "x"), ("r1", 2, "repair", "received", 1, 1, "fake", "other", "")]
+    attempts = spark.createDataFrame(made, "run_id string, ordinal int, reason string, outcome string, input_tokens long, output_tokens long, provider string, model_policy string, provider_request_id string")
+    outputs = spark.createDataFrame([("r1", "{}", True), ("r1", '{"a":1}', True), ("r1", "[]", False), ("r8", "{", False)], "run_id string, result string, accepted boolean")
     found = {(r["rule"], r["at"]) for r in identity.constraint_violations(sources, runs_, attempts, outputs).collect()}
-    assert found == {("source_key", "t|o|d|sha256|a"), ("one_accepted_output", "r1"), ("run_source", "s9"), ("attempt_run", "r7"), ("output_run", "r8"), ("run_state", "r2"), ("attempt_values", "r1|3"), ("attempt_values", "r7|1")}
+    assert found == {("source_key", "t|o|d|sha256|a"), ("one_accepted_output", "r1"), ("run_source", "s9"), ("attempt_run", "r7"), ("output_run", "r8"), ("run_state", "r2"), ("attempt_values", "r1|3"), ("attempt_values", "r7|1"), ("attempt_values", "r1|2"), ("attempt_policy", "r1|2"), ("output_object", "r1"), ("output_object", "r8")}
+    each = [("r1", i, "initial", o, 1, 1, "fake", "m", None) for i, o in ((1, "requested"), (2, "response_received"))]
+    valid = spark.createDataFrame(each, attempts.schema)
+    assert identity.constraint_violations(sources.limit(1), runs_.limit(1), valid, outputs.limit(1)).count() == 0
 
 
-def test_violations_planted_in_whole_tables_are_found(spark, sf_dir, monkeypatch):
-    sources, all_runs, attempts, outputs = (t.cache() for t in queries.recorded_tables(spark, sf_dir))
+def test_whole_tables_hold_all_rules(spark, sf_dir):
+    sources, all_runs, attempts, outputs = queries.recorded_tables(spark, sf_dir)
     made = queries._attempts(spark, sf_dir)
     assert (attempts.count(), outputs.count()) == (made.count(), made.where("outcome = 'accepted'").count())
     assert outputs.count() > 0 == attempts.join(all_runs, "run_id", "left_anti").count()
-    first, given = attempts.where("ordinal = 1 and run_id < '4'"), outputs.where("run_id < '8'")
-    lost = F.concat(F.lit("no-"), F.col("run_id"))
-    bad = attempts.unionByName(first).unionByName(first.withColumn("ordinal", F.lit(3).cast("smallint"))).unionByName(first.withColumn("run_id", lost))
-    tables = (sources, all_runs, bad, outputs.unionByName(given).unionByName(given.withColumn("run_id", lost)))
-    monkeypatch.setattr(queries, "recorded_tables", lambda *_: tables)
-    found = {r["rule"]: r["violations"] for r in queries.constraint_violations(spark, sf_dir).collect()}
-    n, m, runs_lost = first.count(), given.count(), all_runs.where("substring(run_id, 1, 1) = '0'").count()
-    assert n and m and found == {"attempt_key": n, "attempt_values": n, "attempt_run": n, "one_accepted_output": m, "output_run": m, "run_source": runs_lost, "run_state": runs_lost}
+    assert identity.constraint_violations(sources, all_runs, attempts, outputs).count() == 0
+
+
+def test_keys_are_told_apart(spark):
+    rows = spark.createDataFrame([("a\nb", "c"), ("a", "b\nc"), ("1:a", ""), ("1", "a"), ("", "1:a"), (None, "a")], "x string, y string")
+    ids = [r[0] for r in rows.select(text.key_id(F.col("x"), F.col("y"))).collect()]
+    assert len(set(ids)) == 6 and ids[-1] is None
+
+
+def test_a_provider_is_asked_once_for_each_call(spark, tmp_path):
+    blocks = [("paragraph", None, "one block")]
+    packed_ = context.pack_context(spark.createDataFrame([(i, None, "en", blocks) for i in range(6)], DOC), 1000)
+    requests = context.generation_request(packed_).withColumnRenamed("doc_id", "run_id").withColumn("model_policy", F.lit("m"))
+    asked, good = str(tmp_path), '{"summary":"s","key_points":[{"text":"p","source_block_indexes":[0]}]}'
+
+    def ask(request):
+        run, ordinal = request["run_id"], request["ordinal"]
+        with open(f"{asked}/{run}-{ordinal}", "a") as f:
+            f.write("x")
+        if run == 1 and ordinal == 1:
+            raise ConnectionError
+        if run == 2 and ordinal == 1:
+            time.sleep(0.3)
+        if run == 3:
+            return {"call_kind": "response", "response": "{" if "code: json_syntax" not in request["task_instruction"] else good, "provider_request_id": f"q{ordinal}"}
+        return None if run == 4 else {"call_kind": "permanent"} if run == 5 else {"call_kind": "response", "response": good, "input_tokens": 7}
+
+    made = providers.provided_attempts(requests, providers.FunctionProvider("mine", ask), 100, 200)
+    for _ in range(2):
+        got = sorted((r.run_id, r.ordinal, r.reason, r.outcome, r.error) for r in made.collect())
+    assert got == [(0, 1, "initial", "accepted", None), (1, 1, "initial", "transient_failure", "transient"), (1, 2, "retry", "accepted", None), (2, 1, "initial", "transient_failure", "timeout"), (2, 2, "retry", "accepted", None), (3, 1, "initial", "invalid", "invalid"), (3, 2, "repair", "accepted", None), (4, 1, "initial", "permanent_failure", "exhausted"), (5, 1, "initial", "permanent_failure", "permanent")]
+    assert {r.provider for r in made.collect()} == {"mine"} and {r.model_policy for r in made.collect()} == {"m"}
+    files = {p.name: p.read_text() for p in tmp_path.iterdir()}
+    assert set(files) == {"0-1", "1-1", "1-2", "2-1", "2-2", "3-1", "3-2", "4-1", "5-1"} and set(files.values()) == {"x"}
+
+
+def test_late_events_are_dropped_and_windows_are_updated(spark, tmp_path):
+    folder, out = f"file://{tmp_path}/events", f"file://{tmp_path}/stream"
+    schema = "user_id long, event_type string, ts timestamp, value double"
+
+    def add(*rows):
+        frame = spark.createDataFrame([(u, "a", t, 1.0) for u, t in rows], "user_id long, event_type string, t string, value double")
+        frame.selectExpr("user_id", "event_type", "cast(t as timestamp) ts", "value").coalesce(1).write.mode("append").parquet(folder)
+
+    def counted():
+        rows = streams.drained(streams.count_windows(spark.readStream.schema(schema).parquet(folder), "1 hour"), "update", ["window_start", "event_type"], out)
+        return {r.window_start[11:13]: r.n for r in rows.collect()}
+
+    add((1, "2024-01-01 00:10:00"), (1, "2024-01-01 05:00:00"))
+    assert counted() == {"00": 1, "05": 1}
+    add((1, "2024-01-01 00:20:00"), (1, "2024-01-01 05:30:00"), (1, "2024-01-01 04:30:00"))  # the first is late
+    assert counted() == {"00": 1, "04": 1, "05": 2}
+    closed = streams.drained(streams.close_sessions(spark.readStream.schema(schema).parquet(folder), "1 hour", "1 hour"), "append")
+    assert sorted((r.session_start[11:16], r.n) for r in closed.collect()) == [("00:10", 2)]
+
+
+def test_entities_budgets_and_versions(spark):
+    pages = spark.createDataFrame([("http://a.shop.co.uk/x", '<a href="/in?q"><a href="https://www.other.org/y"><a href="#z">'), ("http://B.shop.co.uk", None), ("nothing", "<a href=\"/x\">")], "url string, html string")
+    entities = governance.host_entities(pages)
+    assert {(r.alias, r.entity) for r in entities.collect()} == {("a.shop.co.uk", "shop.co.uk"), ("b.shop.co.uk", "shop.co.uk")}
+    assert {(r.source, r.target, r.mentions) for r in governance.host_links(pages).collect()} == {("shop.co.uk", "shop.co.uk/in", 1), ("shop.co.uk", "other.org", 1)}
+    merges = [(1, "shop.co.uk", "shop", False)], [(1, "shop.co.uk", "shop", False), (2, "shop.co.uk", "shop", True)]
+    for rows, name in zip(merges, ("shop", "shop.co.uk"), strict=True):
+        table = spark.createDataFrame(rows, "version int, entity string, into string, undone boolean")
+        assert {r.merged for r in governance.merged_entities(entities, table).collect()} == {name}
+    usage = spark.createDataFrame([(1, 3, 9), (2, 2, 9), (3, 2, 1)], "run_id long, attempts long, cost long")
+    assert {r.run_id: r.broken for r in governance.budget_decisions(usage, {"attempts": 2, "cost": 5}).collect()} == {1: "attempts", 2: "cost", 3: None}
+    versions = spark.createDataFrame([("a", 1, "completed"), ("a", 2, "failed"), ("b", 1, "failed")], "scope string, version int, state string")
+    assert {tuple(r) for r in governance.last_success(versions, "scope", "version").collect()} == {("a", 2, 1, True), ("b", 1, None, False)}
+
+
+def test_search_sees_and_finds_what_it_should(spark):
+    docs = spark.createDataFrame([(1, "The quick brown fox jumps", "a", 5), (2, "quick brown", "b", None), (3, "he said: the QUICK brown fox, jumps", "a", 50)], "doc_id long, text string, source string, size int")
+    assert [r.doc_id for r in search.filtered(docs, {"source": ["a"]}, {"size": (6, None)}).collect()] == [3]
+    items = spark.createDataFrame([(7, "the quick brown fox jumps"), (8, "short one")], "query_id long, text string")
+    relevant = search.holding(docs, items)
+    assert {(r.query_id, r.doc_id) for r in relevant.collect()} == {(7, 1), (7, 3)}
+    results = spark.createDataFrame([(7, 1, 1), (7, 2, 2), (7, 3, 3)], "query_id long, doc_id long, rank long")
+    got = {r.query_id: (r.hits, r.precision, r.recall) for r in search.search_quality(results, relevant, items, 2).collect()}
+    assert got == {7: (1, 500000, 500000), 8: (0, 0, None)}
