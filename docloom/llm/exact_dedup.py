@@ -7,8 +7,8 @@ from a false positive. A full filter is doubled and filled again from the stored
 fingerprint of a live digest out again.
 
 Rows are combined inside each input partition before they are dealt to shards, so a digest that a third of all rows
-share reaches its shard as a few entries for each partition. The number of shards follows the number of rows, so a
-shard stays small at any size.
+share reaches its shard as a few entries for each partition. The number of shards follows the number of rows, and
+shards are split when insertions let them grow, so a shard stays small at any size.
 """
 
 from __future__ import annotations
@@ -48,6 +48,12 @@ class CuckooFilter:
             buckets *= 2
         return cls(buckets)
 
+    @classmethod
+    def filled(cls, keys: Iterable[str]) -> CuckooFilter:
+        keys = list(keys)
+        out = cls.sized(len(keys) + 1)
+        return out if all(out.insert(k) for k in keys) else out.resized(keys)
+
     def place(self, digest: str) -> tuple[int, int, int]:
         mark = int(digest[16:20], 16) or 1
         i = int(digest[:16], 16) & self.mask
@@ -155,7 +161,7 @@ def apply_batch(table: pa.Table) -> pa.Table:
     rows = sorted(zip(*(table.column(c).to_pylist() for c in FIELDS), strict=True), key=lambda r: r[1])
     content = {r[2]: [(r[3], r[4]), r[5]] for r in rows if r[1] == STORED}
     old = next((r[6] for r in rows if r[1] == FILTER), None)
-    shard = Shard(CuckooFilter(len(old) // 8, old) if old else CuckooFilter.sized(len(content) + 1), content)
+    shard = Shard(CuckooFilter(len(old) // 8, old) if old else CuckooFilter.filled(content), content)
     for r in rows:
         if r[1] == INSERT:
             shard.insert(r[2], (r[3], r[4]), r[5])
@@ -167,32 +173,43 @@ def apply_batch(table: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([pa.array([r[i] for r in out], ARROW.field(i).type) for i in range(len(ARROW))], schema=ARROW)
 
 
+def shard_of(digest: F.Column, shards: int) -> F.Column:
+    return (F.conv(F.substring(digest, 21, 8), 16, 10).cast("long") % shards).cast("int")
+
+
 class CuckooIndex:
-    """The index as a table of SCHEMA in the shared folder; each change writes a new version of it."""
+    """The index as a table of SCHEMA in the shared folder; each change writes a new version of it. ``rows`` bounds the
+    number of live digests from above."""
 
-    def __init__(self, table: DataFrame, path: str, shards: int) -> None:
-        self.table, self.path, self.shards = table, path, shards
+    def __init__(self, table: DataFrame, path: str, shards: int, rows: int = 0, shard_rows: int = 20_000) -> None:
+        self.table, self.path, self.shards, self.rows, self.shard_rows = table, path, shards, rows, shard_rows
 
     @classmethod
     def build(cls, digests: DataFrame, shard_rows: int = 20_000) -> CuckooIndex:
         """Of rows (digest, doc_id)."""
-        shards = max(1, -(-digests.count() // shard_rows))
-        return cls(digests.sparkSession.createDataFrame([], SCHEMA), "", shards).insert(digests)
+        return cls(digests.sparkSession.createDataFrame([], SCHEMA), "", 1, 0, shard_rows).insert(digests)
 
-    def _applied(self, entries: DataFrame) -> CuckooIndex:
-        table, path = staged(self.table.unionByName(entries).groupBy("shard").applyInArrow(apply_batch, SCHEMA), "cuckoo")
-        return CuckooIndex(table, path, self.shards)
+    def _applied(self, entries: DataFrame, table: DataFrame, shards: int, rows: int) -> CuckooIndex:
+        out, path = staged(table.unionByName(entries).groupBy("shard").applyInArrow(apply_batch, SCHEMA), "cuckoo")
+        return CuckooIndex(out, path, shards, rows, self.shard_rows)
 
     def insert(self, digests: DataFrame) -> CuckooIndex:
-        """The index with rows (digest, doc_id) added; copies of a live digest raise its count."""
+        """The index with rows (digest, doc_id) added; copies of a live digest raise its count. Where shards would grow
+        to twice their size, stored digests are dealt to more shards, whose filters are filled from them."""
         ship_package(digests.sparkSession)
-        return self._applied(digests.select("digest", "doc_id").mapInArrow(combine(self.shards), SCHEMA))
+        rows = self.rows + digests.count()
+        table, shards = self.table, self.shards
+        if rows > 2 * shards * self.shard_rows or not self.rows:
+            shards = max(1, -(-rows // self.shard_rows))
+            table = table.where(F.col("kind") == STORED).withColumn("shard", shard_of(F.col("digest"), shards))
+        return self._applied(digests.select("digest", "doc_id").mapInArrow(combine(shards), SCHEMA), table, shards, rows)
 
     def delete(self, digests: DataFrame) -> CuckooIndex:
         """The index without these digests (digest); what isn't live is passed over."""
-        shard = (F.conv(F.substring("digest", 21, 8), 16, 10).cast("long") % self.shards).cast("int")
         none = {c: F.lit(None) for c in ("keep_id", "n_keep", "group_size", "slots")}
-        return self._applied(digests.select(shard.alias("shard"), F.lit(DELETE).alias("kind"), "digest").distinct().withColumns(none).selectExpr("shard", "kind", "digest", "cast(keep_id as long) keep_id", "cast(n_keep as long) n_keep", "cast(group_size as long) group_size", "cast(slots as binary) slots"))
+        gone = digests.select(shard_of(F.col("digest"), self.shards).alias("shard"), F.lit(DELETE).alias("kind"), "digest").distinct().withColumns(none)
+        typed = gone.selectExpr("shard", "kind", "digest", "cast(keep_id as long) keep_id", "cast(n_keep as long) n_keep", "cast(group_size as long) group_size", "cast(slots as binary) slots")
+        return self._applied(typed, self.table, self.shards, self.rows)
 
     def content(self) -> DataFrame:
         """digest, keep_id, n_keep (rows that have keep_id), group_size of each live digest."""

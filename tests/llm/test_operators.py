@@ -105,6 +105,10 @@ def test_cuckoo_filter_inserts_deletes_and_grows(spark):
     index = exact_dedup.CuckooIndex.build(rows, shard_rows=10).delete(rows.where("doc_id < 20")).insert(rows.where("doc_id >= 15"))
     found = {r.digest: r.group_size for r in index.content().collect()}
     assert found == {k: 1 if i < 20 else 2 for i, k in enumerate(keys[:50]) if i >= 15}
+    more = index.insert(spark.createDataFrame([(k, i) for i, k in enumerate(keys[30:])], "digest string, doc_id long"))
+    assert more.shards > 10 * index.shards and more.content().count() == 3000 - 15
+    assert max(r["count"] for r in more.table.where("kind = 1").groupBy("shard").count().collect()) < 4 * 10
+    assert more.delete(rows).content().count() == 2950
 
 
 def test_line_dedup(docs, empty):
