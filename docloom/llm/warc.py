@@ -22,7 +22,8 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm._shared import fresh_path, ship_package, staged
+from docloom.llm._bloom import may_be_in
+from docloom.llm._shared import fresh_path, remove, ship_package, staged
 
 END = "\r\n\r\n"
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
@@ -49,12 +50,17 @@ def record_id(page_id: F.Column, digest: F.Column) -> F.Column:
 def write_warc(pages: DataFrame, path: str, min_payload: int = 0, date: str = "2024-01-01T00:00:00Z", records_per_file: int = 20_000) -> None:
     """Of (page_id, url, html): null html is an empty payload; a null url has no WARC-Target-URI; line ends, blanks and
     control characters in a url are dropped. Payloads shorter than ``min_payload`` are never revisits. Rows that repeat
-    page_id and payload are the same record written again."""
+    page_id and payload are the same record written again; pages are written whole, however long. Other columns aren't
+    looked at; an empty table gives no record."""
     html = F.coalesce(F.col("html"), F.lit(""))
     keyed = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", html.alias("html")).withColumn("digest", base32_sha1(F.col("html")))
     groups = keyed.where(F.octet_length("html") >= min_payload).groupBy("digest").agg(F.max("page_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
-    repeated, _ = staged(groups.where("n > 1").select("digest", "first_id"), "repeated-payloads")
-    rows = keyed.join(repeated.withColumn("many", F.lit(True)), "digest", "left")
+    repeated, repeated_path = staged(groups.where("n > 1").select("digest", "first_id"), "repeated-payloads")
+    hashed = F.xxhash64("digest")
+    marked = keyed.withColumn("maybe", may_be_in(repeated.select(hashed))(hashed))
+    joined = marked.where("maybe").join(repeated.withColumn("many", F.lit(True)), "digest", "left")
+    alone = marked.where("not maybe").withColumns({"first_id": F.lit(None).cast("long"), "many": F.lit(None).cast("boolean")})
+    rows = alone.unionByName(joined)  # pages whose payload doesn't repeat aren't shuffled
     revisit = F.col("many").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id")) & (F.octet_length("html") >= min_payload)
     block = F.when(revisit, F.lit(HTTP)).otherwise(F.concat(F.lit(HTTP), F.col("html")))
     line = lambda name, value: F.coalesce(F.concat(F.lit(f"{name}: "), value, F.lit("\r\n")), F.lit(""))
@@ -68,10 +74,12 @@ def write_warc(pages: DataFrame, path: str, min_payload: int = 0, date: str = "2
         F.lit("Content-Type: application/http; msgtype=response\r\nContent-Length: "), F.octet_length(block).cast("string"), F.lit(END), block,
     )
     rows.select(head.alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", records_per_file).text(path)
+    remove(pages.sparkSession, repeated_path)
 
 
 def _open(path: str):
-    """A random-access file by its Hadoop-style path."""
+    """A random-access file by its Hadoop-style path; s3a is what Hadoop calls s3."""
+    path = re.sub(r"^s3[an]://", "s3://", path)
     system, at = fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path) if "://" in path or path.startswith("file:") else "file://" + path)
     return system.open_input_file(at)
 
@@ -158,7 +166,10 @@ def read_payloads(selected: DataFrame) -> DataFrame:
 
 
 def archive_report(pages: DataFrame, path: str | None = None, min_payload: int = 0) -> DataFrame:
-    """Writes ``pages`` as WARC, reads it back, and gives page_id, payload_bytes, payload_digest, record_type, refers_to."""
+    """Writes ``pages`` as WARC, reads it back, and gives page_id, payload_bytes, payload_digest, record_type, refers_to.
+
+    Null html is an empty payload; of equal payloads the largest page_id is the response (null is the smallest), and rows
+    that repeat page_id and payload are all responses if one is; an empty table gives no row."""
     path = path or fresh_path(pages.sparkSession, "warc")
     write_warc(pages, path, min_payload)
     index = build_index(pages.sparkSession, path)
