@@ -8,6 +8,7 @@ import itertools
 import math
 import random
 import re
+import time
 import unicodedata
 import zlib
 from collections import Counter, defaultdict
@@ -579,3 +580,30 @@ def test_components_of_chains_and_stars(spark):
     table, _ = connected_components(spark.createDataFrame(links, "a long, b long"))
     got = {r.node: r.component for r in table.collect()}
     assert got == {x: min(order[:120]) for x in order[:120]} | {x: min(order[150:]) for x in order[150:]}
+
+
+def test_clashing_columns_and_long_lines(spark, docs):
+    clash = docs.select("doc_id", "text", *(F.lit("x").alias(c) for c in ("sequence_id", "offset", "n_tokens", "length", "part", "pos", "line", "row_id", "spans", "crc", "n_bytes", "maybe", "n_lines")))
+    pieces = packing.pack(clash, TOKENIZER, capacity=64, keep_ids=False)
+    assert pieces.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] and pieces.where("offset is null").count() == 0
+    assert token_counts.token_report(clash, TOKENIZER).count() == token_counts.token_report(docs, TOKENIZER).count()
+    cut = suffix_dedup.suffix_dedup(clash, length=60)
+    assert cut.where("maybe = 'x' and spans = 'x' and crc = 'x'").count() == len(texts()) and cut.where("n_removed > 0 and n_bytes > 0").count() > 0
+    lines = line_dedup.line_dedup(clash)
+    assert lines.where("maybe = 'x' and row_id = 'x' and n_dropped > 0 and n_lines > 0").count() > 0
+    pages = spark.createDataFrame([(1, "u", "same"), (2, "u", "same"), (3, None, None)], "page_id long, url string, html string")
+    more = pages.withColumns({c: F.lit("x") for c in ("digest", "first_id", "many", "maybe", "n", "value")})
+    report = lambda p: sorted(map(repr, warc.archive_report(p).collect()))
+    assert report(more) == report(pages)
+
+
+def test_many_lines_take_time_in_proportion(spark, tmp_path):
+    n = 200_000
+    common = "\n".join(f"c{i}" for i in range(0, n, 4))
+    text = "\n".join(f"c{i}" if i % 4 == 0 else f"own {i}" for i in range(n))
+    path = f"file://{tmp_path}/docs"
+    spark.createDataFrame([(0, text), *((k, common) for k in range(1, 11))], "doc_id long, text string").write.parquet(path)
+    began = time.monotonic()
+    r = line_dedup.line_dedup(spark.read.parquet(path)).where("doc_id = 0").first()
+    assert (r.n_lines, r.n_dropped) == (n, n // 4) and r.kept_text == "\n".join(f"own {i}" for i in range(n) if i % 4)
+    assert time.monotonic() - began < 60
