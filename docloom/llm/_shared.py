@@ -38,11 +38,19 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/docloom/{name}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """``df`` written to the shared folder and read again: lineage is cut, and a lost executor costs no recomputation."""
+#: Rows of a file, where a table's size is known.
+FILE_ROWS = 200_000
+
+
+def staged(df: DataFrame, name: str, rows: int | None = None, file_rows: int = FILE_ROWS) -> tuple[DataFrame, str]:
+    """``df`` written to the shared folder and read again: lineage is cut, and a lost executor costs no recomputation.
+
+    ``rows`` bounds the table's rows, where that is known; a small table goes to few files then."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // file_rows)))
+    df.write.option("compression", "zstd").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 

@@ -50,6 +50,8 @@ FREQUENT, FREQUENT_FROM = 100_000, 16
 BAND = 4
 #: Parts of a set's counts, and classes of a stretch of a list; a tile compares two stretches.
 BUCKETS, TILE = 256, 4096
+#: Texts of a file, or pairs of texts that a task compares.
+TEXT_ROWS = 2_000
 #: Lists of a class by which a pair's repetitions are told.
 NAMED = 16
 #: Shingles that one step of the lossy count looks at, and classes that a task remembers having seen.
@@ -420,19 +422,21 @@ def class_components(classes: DataFrame, docs: DataFrame, lists: DataFrame, ligh
     """(node, component) of all classes that have a link, and the table's path."""
     spark = docs.sparkSession
     entries = lists.where(F.col("kind") == LISTED).select("x", "c", F.col("a").alias("class"), F.col("a_size").alias("size"))
-    listed, listed_path = staged(in_bands(entries.join(classes.select("class", "size", "id", "n"), ["class", "size"]).select("x", "c", "id", "n"), rule, tile), "listed")
+    listed, listed_path = staged(in_bands(entries.join(classes.select("class", "size", "id", "n"), ["class", "size"]).select("x", "c", "id", "n"), rule, tile), "listed", lists.count())
+    n_listed = listed.count()
     near = lists.where(F.col("kind") == PAIR).select("a", "a_size", "b", "b_size").distinct()
     numbers = classes.select("id", "n", "counts")
     whole = docs.select(F.col(id_col).cast("long").alias("_doc"), F.xxhash64(F.col(text_col)).alias("row_hash"), F.col(text_col).alias("text"))
 
     def confirmed(pairs: DataFrame) -> tuple[DataFrame, list[str]]:
         """Links among the pairs; texts are fetched for these pairs' classes alone."""
+        n_pairs = pairs.count()
         ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-        asked, asked_path = staged(classes.join(ends, "id", "left_semi").select("id", "doc_id", "row_hash"), "asked")
+        asked, asked_path = staged(classes.join(ends, "id", "left_semi").select("id", "doc_id", "row_hash"), "asked", 2 * n_pairs)
         maybe = whole.where(may_be_in(asked.select("row_hash"))(F.col("row_hash")))
         found = maybe.join(asked, "row_hash").where(F.col("_doc").eqNullSafe(F.col("doc_id")))
-        texts, path = staged(found.select("id", "text").dropDuplicates(["id"]), "class-texts")
-        links, links_path = staged(verified(pairs, texts, rule, words), "links")
+        texts, path = staged(found.select("id", "text").dropDuplicates(["id"]), "class-texts", 2 * n_pairs, TEXT_ROWS)
+        links, links_path = staged(verified(pairs, texts, rule, words), "links", n_pairs, TEXT_ROWS)
         remove(spark, path, asked_path)
         return links, links_path
 
@@ -446,7 +450,7 @@ def class_components(classes: DataFrame, docs: DataFrame, lists: DataFrame, ligh
     remove(spark, links_path)
     tested, tested_paths = pairs, [pairs_path]
     for step in ("random neighbours", "all that is left"):
-        mixed, mixed_path = staged(labelled(listed, components), "mixed-lists")
+        mixed, mixed_path = staged(labelled(listed, components), "mixed-lists", n_listed)
         if mixed.isEmpty():
             remove(spark, mixed_path)
             break
@@ -505,11 +509,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     remove(spark, lists_path, light_path)
 
     # first by class, then by component: copies and large components are reduced before they are joined
+    n_classes = classes.count()
     by_class = members.where("size > 0").groupBy("class", "size").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "row_hash")).alias("first"))
     named = classes.select("class", "size", "id").join(components.select(F.col("node").alias("id"), "component"), "id", "left").select("class", "size", "id", F.coalesce("component", "id").alias("component"))
-    of_class, of_class_path = staged(by_class.join(named, ["class", "size"]), "class-components")
+    of_class, of_class_path = staged(by_class.join(named, ["class", "size"]), "class-components", n_classes)
     by_component = of_class.groupBy("component").agg(F.min("least").alias("component_id"), F.min("first").alias("lead"))
-    info, _ = staged(of_class.join(by_component, "component").select("class", "size", "id", "component_id", "lead"), "class-leads")
+    info, _ = staged(of_class.join(by_component, "component").select("class", "size", "id", "component_id", "lead"), "class-leads", n_classes)
     remove(spark, of_class_path, components_path, classes_path)
     out = members.where("size > 0").join(info, ["class", "size"])
     leads = F.struct("doc_id", "row_hash").eqNullSafe(F.col("lead"))
