@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions.text import json_string
-from docloom.schemas import ANALYSIS_VERSIONS, SYSTEM_POLICY, TASK_INSTRUCTION, output_schema
+from docloom.schemas import ANALYSIS_VERSIONS, MAX_U32, SYSTEM_POLICY, TASK_INSTRUCTION, output_schema
 
 
 def header(title: Column, language: Column) -> Column:
@@ -26,15 +26,16 @@ def rendered_block(index: Column, block: Column) -> Column:
     return F.when(block["kind"] == "heading", heading).when(block["kind"] == "paragraph", F.concat(start, F.lit(" paragraph"), end))
 
 
-def pack_context(docs: DataFrame, budget: int) -> DataFrame:
+def pack_context(docs: DataFrame, budget: int, most_blocks: int = MAX_U32 + 1) -> DataFrame:
     """``docs`` (title, language, blocks) with source_content, included_block_indexes, omitted_block_indexes,
     character_budget, truncated, used_characters and budget_error.
 
     The first block that doesn't fit, or is of another kind than heading and paragraph, and all after it are omitted.
-    A header over the budget is an error: source_content is null then and no block is included. Null blocks count as none."""
+    A header over the budget is an error (budget_too_small), and so are more blocks than an index can name
+    (too_many_blocks): source_content is null then and no block is included. Null blocks count as none."""
     blocks = F.coalesce(F.col("blocks"), F.array().cast(docs.schema["blocks"].dataType))
     lines = docs.withColumn("_header", header(F.col("title"), F.col("language"))).withColumn("_lines", F.transform(blocks, lambda b, i: rendered_block(i, b)))
-    start = F.struct(F.char_length("_header").cast("long").alias("used"), F.lit(0).alias("taken"), (F.char_length("_header") <= budget).alias("going"))
+    start = F.struct(F.char_length("_header").cast("long").alias("used"), F.lit(0).alias("taken"), ((F.char_length("_header") <= budget) & (F.size("_lines") <= most_blocks)).alias("going"))
 
     def step(acc: Column, line: Column) -> Column:
         used = acc["used"] + F.coalesce(F.char_length(line), F.lit(0))
@@ -42,12 +43,14 @@ def pack_context(docs: DataFrame, budget: int) -> DataFrame:
         return F.struct(F.when(fits, used).otherwise(acc["used"]).alias("used"), (acc["taken"] + fits.cast("int")).alias("taken"), fits.alias("going"))
 
     folded = lines.withColumn("_fold", F.aggregate("_lines", start, step))
-    taken, n, error = F.col("_fold.taken"), F.size("_lines"), F.char_length("_header") > budget
+    taken, n = F.col("_fold.taken"), F.size("_lines")
+    problem = F.when(F.char_length("_header") > budget, "budget_too_small").when(n > most_blocks, "too_many_blocks")
+    error = problem.isNotNull()
     span = lambda a, b: F.when(a < b, F.sequence(a, b - 1)).otherwise(F.array().cast("array<int>")).cast("array<bigint>")
     out = folded.withColumn("source_content", F.when(~error, F.concat(F.col("_header"), F.array_join(F.slice("_lines", F.lit(1), taken), ""))))
     out = out.withColumn("included_block_indexes", span(F.lit(0), taken)).withColumn("omitted_block_indexes", span(taken, n))
     out = out.withColumn("character_budget", F.lit(budget)).withColumn("truncated", taken < n).withColumn("used_characters", F.when(~error, F.col("_fold.used")))
-    return out.withColumn("budget_error", F.when(error, F.lit("budget_too_small"))).drop("_header", "_lines", "_fold")
+    return out.withColumn("budget_error", problem).drop("_header", "_lines", "_fold")
 
 
 def generation_request(contexts: DataFrame) -> DataFrame:

@@ -121,6 +121,7 @@ ORACLES: dict[str, str] = {
     "context_pack": f"WITH {_pack(1000)} SELECT doc_id, {_FOLD_TOTALS}, sha256({_SOURCE}) AS source_hash FROM p GROUP BY doc_id",
     "context_index_lists": f"WITH {_pack(1000)} SELECT doc_id, coalesce(string_agg(CAST(i AS VARCHAR), ',' ORDER BY i) FILTER (included), '') AS included, coalesce(string_agg(CAST(i AS VARCHAR), ',' ORDER BY i) FILTER (NOT included), '') AS omitted, count(*) FILTER (NOT included) > 0 AS truncated FROM p GROUP BY doc_id",
     "context_budget_error": f"WITH {_blocks()} SELECT DISTINCT doc_id, 'budget_too_small' AS budget_error FROM r WHERE length(header) > 25",
+    "context_block_limit": f"WITH {_blocks()}, g AS (SELECT doc_id, any_value(length(header)) AS h, count(*) AS n FROM r GROUP BY doc_id), e AS (SELECT doc_id, unnest([25, 1000]) AS budget, h, n FROM g) SELECT doc_id, budget, CASE WHEN h > budget THEN 'budget_too_small' ELSE 'too_many_blocks' END AS budget_error FROM e WHERE h > budget OR n > 12",
     "context_unsupported_cut": f"WITH {_pack(32000, headings=True, unsupported=True)}, g AS (SELECT doc_id, {_FOLD_TOTALS} FROM p GROUP BY doc_id) SELECT doc_id, n_included, truncated, used FROM g",
     "block_render": f"WITH {_blocks(headings=True)} SELECT doc_id, CAST(i AS BIGINT) AS block_index, length(rendered) AS chars, sha256(rendered) AS line_hash FROM r",
     "context_manifest": f"WITH {_pack(1000)}, m AS (SELECT p.doc_id, p.i, included, running - length(rendered) AS begins, line FROM p JOIN b ON b.doc_id = p.doc_id AND b.i = p.i) SELECT doc_id, CAST(i AS BIGINT) AS block_index, included, CASE WHEN included THEN CAST(begins AS BIGINT) END AS first_char, sha256(line) AS span_hash FROM m",

@@ -56,6 +56,15 @@ def context_budget_error(spark, sf_dir):
     return out.where(F.col("budget_error").isNotNull()).select("doc_id", "budget_error")
 
 
+@query
+def context_block_limit(spark, sf_dir):
+    """Documents of more blocks than their indexes may name, here 12, or of too long a header."""
+    out = context.pack_context(src.document_ir(docs(spark, sf_dir)), 25, most_blocks=12)
+    more = context.pack_context(src.document_ir(docs(spark, sf_dir)), BUDGET, most_blocks=12)
+    both = out.select("doc_id", F.lit(25).alias("budget"), "budget_error").unionByName(more.select("doc_id", F.lit(BUDGET).alias("budget"), "budget_error"))
+    return both.where("budget_error is not null")
+
+
 @query
 def context_unsupported_cut(spark, sf_dir):
     out = context.pack_context(src.document_ir(docs(spark, sf_dir), headings=True, unsupported_every=17), LIMITS.context_characters)
