@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 
 from docloom.llm import _bytes as B
 from docloom.llm import decontaminate, exact_dedup, jaccard_join, language_id, line_dedup, packing, queries, sharding, suffix_dedup, token_counts, warc
+from docloom.llm._anchors import StringHashes
+from docloom.llm._bloom import may_be_in
 from docloom.llm._bwt import Collection
 from docloom.llm._tokens import UnitTokenizer
 from docloom.llm.components import connected_components
@@ -607,3 +609,25 @@ def test_many_lines_take_time_in_proportion(spark, tmp_path):
     r = line_dedup.line_dedup(spark.read.parquet(path)).where("doc_id = 0").first()
     assert (r.n_lines, r.n_dropped) == (n, n // 4) and r.kept_text == "\n".join(f"own {i}" for i in range(n) if i % 4)
     assert time.monotonic() - began < 60
+
+
+def test_bloom_filter_keeps_every_key(spark):
+    keys = spark.range(3000).select((F.xxhash64("id")).alias("h"))
+    maybe = may_be_in(keys, bits=16)
+    asked = spark.range(20_000).withColumn("maybe", maybe(F.xxhash64("id")))
+    passed = {r.id for r in asked.where("maybe").collect()}
+    assert set(range(3000)) <= passed and len(passed) < 7000
+    none = may_be_in(keys.where("false"))
+    assert spark.range(10).where(none(F.xxhash64("id"))).count() == 0
+
+
+def test_hashes_name_strings_wherever_they_stand():
+    rnd = random.Random(7)
+    data = np.frombuffer(bytes(rnd.choice(b"ab") for _ in range(3000)), np.uint8)
+    at = np.arange(2980)
+    names = StringHashes(data).of(at, at + 20)
+    strings = [data[i : i + 20].tobytes() for i in at]
+    for x in names:
+        assert len(set(x.tolist())) == len(set(strings)) == len(set(zip(strings, x.tolist(), strict=True)))
+    sets = [np.unique(np.array([rnd.randrange(1 << 63) for _ in range(n)], np.uint64)) for n in (1, 2, 50, 50)]
+    assert len({jaccard_join.class_of(s) for s in sets}) == 4 and jaccard_join.class_of(sets[2])[1] >> 32 == 50
