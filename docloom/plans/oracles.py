@@ -173,6 +173,7 @@ ORACLES: dict[str, str] = {
         c AS (SELECT *, state = expected AND list_contains({_EDGES}, expected || '>' || target) AS changed FROM s) SELECT run_id, CASE WHEN changed THEN target ELSE state END AS state, changed FROM c""",
     "state_replay": _STATES_SQL,
     "state_log_replay": f"WITH {_ENDED} SELECT run_id, state, CAST(0 AS BIGINT) AS rejected FROM e",
+    "answer_schema": "SELECT 2000 AS summary_max, 10 AS points_max, 500 AS point_max, 8 AS citations_max, true AS closed, count(*) AS requests FROM documents",
     "json_syntax_gate": f"WITH {_ANSWERS} SELECT doc_id, ok AS is_json FROM j",
     "structural_validation": f"WITH {_ANSWERS} SELECT doc_id, structured FROM t WHERE ok",
     "decode_validation": f"WITH {_ANSWERS} SELECT doc_id, decodes FROM d WHERE structured",

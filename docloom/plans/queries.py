@@ -445,6 +445,21 @@ def _answers(spark, sf_dir):
     return docs(spark, sf_dir).selectExpr("doc_id", f"{ANSWER_SQL} as response", "transform(sequence(0, size(split(coalesce(text, ''), '\\n', -1)) - 1), x -> cast(x as bigint)) as included_block_indexes")
 
 
+@query
+def answer_schema(spark, sf_dir):
+    """The bounds that the schema text sent with each request states, read from it."""
+    request = context.generation_request(context.pack_context(src.document_ir(docs(spark, sf_dir)), BUDGET))
+    paths = {
+        "summary_max": "$.properties.summary.maxLength",
+        "points_max": "$.properties.key_points.maxItems",
+        "point_max": "$.properties.key_points.items.properties.text.maxLength",
+        "citations_max": "$.properties.key_points.items.properties.source_block_indexes.maxItems",
+    }
+    bounds = [F.get_json_object("output_schema", p).cast("int").alias(n) for n, p in paths.items()]
+    closed = F.get_json_object("output_schema", "$.additionalProperties") == "false"
+    return request.select(*bounds, closed.alias("closed")).groupBy(*paths, "closed").agg(F.count(F.lit(1)).alias("requests"))
+
+
 @query
 def json_syntax_gate(spark, sf_dir):
     return _answers(spark, sf_dir).select("doc_id", answers.is_json("response").alias("is_json"))
