@@ -250,7 +250,7 @@ def hash_of_set(values: np.ndarray) -> int:
     return int(mix(np.array([a.sum(dtype=np.uint64) ^ mix(a).sum(dtype=np.uint64)], dtype=np.uint64))[0])
 
 
-def check_of_set(values: np.ndarray) -> int:
-    """32 bits of another hash of a sorted array of distinct numbers."""
+def check_of_set(values: np.ndarray, bits: int) -> int:
+    """Bits of another hash of a sorted array of distinct numbers."""
     a = mix((values ^ U(0x5851F42D4C957F2D)) * U(0xDA942042E4DD58B5))
-    return int(mix(np.array([np.bitwise_xor.reduce(a)]) + np.array([a.sum(dtype=np.uint64)]) * U(3))[0]) & 0xFFFFFFFF
+    return int(mix(np.array([np.bitwise_xor.reduce(a)]) + np.array([a.sum(dtype=np.uint64)]) * U(3))[0]) & (1 << bits) - 1

@@ -11,7 +11,7 @@ order. Inverted lists of these shingles are scanned in order of size. Very frequ
 a passage that many documents share hardly enters the lists; which ones they are is counted over all documents (lossy
 counting), and only the work, never the result, depends on it. Candidates are verified on whole texts.
 
-A class is named by 96 bits of two unlike hashes of its set and by the set's size, and gets a number of its own once all
+A class is named by 80 bits of two unlike hashes of its set and by the set's size, and gets a number of its own once all
 classes are known. Texts are fetched for the classes that a test asks for alone: a Bloom filter of their rows keeps all
 other texts out of the shuffle.
 
@@ -50,6 +50,8 @@ FREQUENT, FREQUENT_FROM = 100_000, 16
 BAND = 4
 #: Parts of a set's counts, and classes of a stretch of a list; a tile compares two stretches.
 BUCKETS, TILE = 256, 4096
+#: Bits of a class's second hash, and of a shingle's hash in the lists, where a collision costs a test and no more.
+CHECK_BITS, LIST_BITS = 16, 48
 #: Texts of a file, or pairs of texts that a task compares.
 TEXT_ROWS = 2_000
 #: Lists of a class by which a pair's repetitions are told.
@@ -98,8 +100,8 @@ def signed(x: int) -> int:
 
 
 def class_of(s: np.ndarray) -> tuple[int, int]:
-    """A set's class: a hash, and its size above 32 bits of another hash."""
-    return signed(B.hash_of_set(s)), len(s) << 32 | B.check_of_set(s)
+    """A set's class: a hash, and its size above some bits of another hash."""
+    return signed(B.hash_of_set(s)), len(s) << CHECK_BITS | B.check_of_set(s, CHECK_BITS)
 
 
 def frequent_shingles(docs: DataFrame, words: int, text_col: str) -> tuple[np.ndarray, np.ndarray]:
@@ -203,7 +205,7 @@ def signatures(rule: Rule, words: int, light: int, frequent, tile: int) -> objec
                         stretch[parts > 0] = 1 + abs(key) % parts[parts > 0]
                         s, stretch = np.concatenate([s[~late], s[late]]), np.concatenate([stretch[~late], stretch[late]])
                     p = rule.prefix(n)
-                    xs.append(s[:p])
+                    xs.append(s[:p] & np.uint64((1 << LIST_BITS) - 1))
                     cs.append(stretch[:p])
                     shape.append((PREFIX, key, size, p))
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate(types)], names=names)
@@ -253,7 +255,7 @@ def scan_lists(rule: Rule, light: int, band: int = BAND):
         lists = Runs(band + 1)
         for b in gathered(batches, 50_000):
             rows, place, old = lists.extend(*(b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4)))
-            n = rows[:, 2] >> 32
+            n = rows[:, 2] >> CHECK_BITS
             parts = []
             for d in range(1, band + 1):
                 j = np.arange(max(old, d), len(rows))
@@ -288,7 +290,7 @@ def scan_subsets(rule: Rule):
                 if x != first[0]:
                     first = (x, size, key)
                 elif (size, key) != first[1:]:
-                    n, m = first[1] >> 32, size >> 32
+                    n, m = first[1] >> CHECK_BITS, size >> CHECK_BITS
                     if reach.setdefault((n, m), rule.overlap(n, m)) <= c:
                         out.append((key, size, first[2], first[1]))
             if out:
@@ -498,7 +500,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     signed_rows, signed_path = staged(rows.mapInArrow(frugal(signatures(rule, words, light, frequent, tile)), SIGNATURES), "signatures")
     of_kind = lambda k: signed_rows.where(F.col("kind") == k)
     one = of_kind(CLASS).groupBy("class", "size").agg(F.min(F.struct("doc_id", "row_hash", "counts")).alias("r"))
-    classes, classes_path = staged(one.select("class", "size", F.expr("size >> 32").alias("n"), F.monotonically_increasing_id().alias("id"), "r.*"), "classes")
+    classes, classes_path = staged(one.select("class", "size", F.expr(f"size >> {CHECK_BITS}").alias("n"), F.monotonically_increasing_id().alias("id"), "r.*"), "classes")
     members, members_path = staged(of_kind(MEMBER).select("doc_id", "row_hash", "class", "size"), "members")
     prefixes = of_kind(PREFIX).select("x", "c", "size", "class").repartition("x", "c").sortWithinPartitions("x", "c", "size", "class")
     lists, lists_path = staged(prefixes.mapInArrow(frugal(scan_lists(rule, light)), LISTS), "lists")
@@ -518,7 +520,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     remove(spark, of_class_path, components_path, classes_path)
     out = members.where("size > 0").join(info, ["class", "size"])
     leads = F.struct("doc_id", "row_hash").eqNullSafe(F.col("lead"))
-    full = out.select("doc_id", "row_hash", F.expr("size >> 32").alias("n_shingles"), F.col("id").alias("class"), "component_id", leads.alias("leads"))
+    full = out.select("doc_id", "row_hash", F.expr(f"size >> {CHECK_BITS}").alias("n_shingles"), F.col("id").alias("class"), "component_id", leads.alias("leads"))
     return full.unionByName(members.where("size = 0").select("doc_id", "row_hash", F.lit(0).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("class"), F.col("doc_id").alias("component_id"), F.lit(True).alias("leads")))
 
 

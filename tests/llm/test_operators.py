@@ -630,4 +630,4 @@ def test_hashes_name_strings_wherever_they_stand():
     for x in names:
         assert len(set(x.tolist())) == len(set(strings)) == len(set(zip(strings, x.tolist(), strict=True)))
     sets = [np.unique(np.array([rnd.randrange(1 << 63) for _ in range(n)], np.uint64)) for n in (1, 2, 50, 50)]
-    assert len({jaccard_join.class_of(s) for s in sets}) == 4 and jaccard_join.class_of(sets[2])[1] >> 32 == 50
+    assert len({jaccard_join.class_of(s) for s in sets}) == 4 and jaccard_join.class_of(sets[2])[1] >> jaccard_join.CHECK_BITS == 50
