@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from docloom.llm import _bytes as B
 from docloom.llm._bloom import may_be_in
-from docloom.llm._shared import free_name, frugal, gathered, remove, ship_package, small_batches, staged
+from docloom.llm._shared import FILE_ROWS, free_name, frugal, gathered, remove, ship_package, small_batches, staged
 from docloom.llm.components import connected_components
 
 #: Similarity is share_num / share_den: sets A and B are linked if share_den * |A and B| >= share_num * |A or B|.
@@ -325,6 +325,26 @@ def verified(pairs: DataFrame, texts: DataFrame, rule: Rule, words: int) -> Data
     return with_both.mapInArrow(frugal(run), "a long, b long")
 
 
+def whole_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("_doc"), F.xxhash64(F.col(text_col)).alias("row_hash"), F.col(text_col).alias("text"))
+
+
+def confirmed(pairs: DataFrame, classes: DataFrame, whole: DataFrame, rule: Rule, words: int) -> tuple[DataFrame, str]:
+    """Links among written pairs (a, b) of classes (id, doc_id, row_hash), and their path; texts are fetched for these
+    pairs' classes alone."""
+    spark, n_pairs = pairs.sparkSession, pairs.count()
+    ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    # dealt out anew, not coalesced: that would leave the scan of all classes to as few tasks
+    few = classes.join(ends, "id", "left_semi").select("id", "doc_id", "row_hash").repartition(max(1, -(-2 * n_pairs // FILE_ROWS)))
+    asked, asked_path = staged(few, "asked")
+    maybe = whole.where(may_be_in(asked.select("row_hash"))(F.col("row_hash")))
+    found = maybe.join(asked, "row_hash").where(F.col("_doc").eqNullSafe(F.col("doc_id")))
+    texts, path = staged(found.select("id", "text").dropDuplicates(["id"]), "class-texts", 2 * n_pairs, TEXT_ROWS)
+    links, links_path = staged(verified(pairs, texts, rule, words), "links", n_pairs, TEXT_ROWS)
+    remove(spark, path, asked_path)
+    return links, links_path
+
+
 def plausible(pairs: DataFrame, rule: Rule) -> DataFrame:
     """The pairs (a, b) that the sets' counts allow, of (a, b, a_n, b_n, a_counts, b_counts)."""
 
@@ -428,26 +448,14 @@ def class_components(classes: DataFrame, docs: DataFrame, lists: DataFrame, ligh
     n_listed = listed.count()
     near = lists.where(F.col("kind") == PAIR).select("a", "a_size", "b", "b_size").distinct()
     numbers = classes.select("id", "n", "counts")
-    whole = docs.select(F.col(id_col).cast("long").alias("_doc"), F.xxhash64(F.col(text_col)).alias("row_hash"), F.col(text_col).alias("text"))
-
-    def confirmed(pairs: DataFrame) -> tuple[DataFrame, list[str]]:
-        """Links among the pairs; texts are fetched for these pairs' classes alone."""
-        n_pairs = pairs.count()
-        ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-        asked, asked_path = staged(classes.join(ends, "id", "left_semi").select("id", "doc_id", "row_hash"), "asked", 2 * n_pairs)
-        maybe = whole.where(may_be_in(asked.select("row_hash"))(F.col("row_hash")))
-        found = maybe.join(asked, "row_hash").where(F.col("_doc").eqNullSafe(F.col("doc_id")))
-        texts, path = staged(found.select("id", "text").dropDuplicates(["id"]), "class-texts", 2 * n_pairs, TEXT_ROWS)
-        links, links_path = staged(verified(pairs, texts, rule, words), "links", n_pairs, TEXT_ROWS)
-        remove(spark, path, asked_path)
-        return links, links_path
+    whole = whole_texts(docs, id_col, text_col)
 
     def with_counts(pairs: DataFrame) -> DataFrame:
         of = lambda p: numbers.select(F.col("id").alias(p), F.col("n").alias(f"{p}_n"), F.col("counts").alias(f"{p}_counts"))
         return pairs.join(of("a"), "a").join(of("b"), "b")
 
     pairs, pairs_path = staged(plausible(numbered(near, classes, "n", "counts"), rule), "pairs")
-    links, links_path = confirmed(pairs)
+    links, links_path = confirmed(pairs, classes, whole, rule, words)
     components, components_path = connected_components(links.unionByName(numbered(light_pairs, classes)))
     remove(spark, links_path)
     tested, tested_paths = pairs, [pairs_path]
@@ -473,7 +481,7 @@ def class_components(classes: DataFrame, docs: DataFrame, lists: DataFrame, ligh
         if more.isEmpty():
             continue
         tested = tested.unionByName(more)
-        links, links_path = confirmed(more)
+        links, links_path = confirmed(more, classes, whole, rule, words)
         edges = components.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links)
         after, after_path = connected_components(edges)
         remove(spark, links_path, components_path)
@@ -482,6 +490,24 @@ def class_components(classes: DataFrame, docs: DataFrame, lists: DataFrame, ligh
     return components, components_path
 
 
+def by_component(members: DataFrame, classes: DataFrame, components: DataFrame, *consumed: str) -> DataFrame:
+    """Rows of ``near_duplicates`` of members (doc_id, row_hash, class, size), classes (class, size, id) and components
+    (node, component). The tables at the paths ``consumed`` are deleted."""
+    spark = members.sparkSession
+    # first by class, then by component: copies and large components are reduced before they are joined
+    n_classes = classes.count()
+    by_class = members.where("size > 0").groupBy("class", "size").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "row_hash")).alias("first"))
+    named = classes.select("class", "size", "id").join(components.select(F.col("node").alias("id"), "component"), "id", "left").select("class", "size", "id", F.coalesce("component", "id").alias("component"))
+    of_class, of_class_path = staged(by_class.join(named, ["class", "size"]), "class-components", n_classes)
+    least = of_class.groupBy("component").agg(F.min("least").alias("component_id"), F.min("first").alias("lead"))
+    info, _ = staged(of_class.join(least, "component").select("class", "size", "id", "component_id", "lead"), "class-leads", n_classes)
+    remove(spark, of_class_path, *consumed)
+    out = members.where("size > 0").join(info, ["class", "size"])
+    leads = F.struct("doc_id", "row_hash").eqNullSafe(F.col("lead"))
+    full = out.select("doc_id", "row_hash", F.expr(f"size >> {CHECK_BITS}").alias("n_shingles"), F.col("id").alias("class"), "component_id", leads.alias("leads"))
+    return full.unionByName(members.where("size = 0").select("doc_id", "row_hash", F.lit(0).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("class"), F.col("doc_id").alias("component_id"), F.lit(True).alias("leads")))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, num: int = SHARE_NUM, den: int = SHARE_DEN, cost_ratio: float = COST_RATIO, tile: int = TILE) -> DataFrame:
     """A row for each row of ``docs``: doc_id, row_hash (xxhash64 of the text), n_shingles, class, component_id, leads.
 
@@ -509,19 +535,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     remove(spark, signed_path)
     components, components_path = class_components(classes, docs, lists, light_pairs, rule, words, light, id_col, text_col, tile)
     remove(spark, lists_path, light_path)
-
-    # first by class, then by component: copies and large components are reduced before they are joined
-    n_classes = classes.count()
-    by_class = members.where("size > 0").groupBy("class", "size").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "row_hash")).alias("first"))
-    named = classes.select("class", "size", "id").join(components.select(F.col("node").alias("id"), "component"), "id", "left").select("class", "size", "id", F.coalesce("component", "id").alias("component"))
-    of_class, of_class_path = staged(by_class.join(named, ["class", "size"]), "class-components", n_classes)
-    by_component = of_class.groupBy("component").agg(F.min("least").alias("component_id"), F.min("first").alias("lead"))
-    info, _ = staged(of_class.join(by_component, "component").select("class", "size", "id", "component_id", "lead"), "class-leads", n_classes)
-    remove(spark, of_class_path, components_path, classes_path)
-    out = members.where("size > 0").join(info, ["class", "size"])
-    leads = F.struct("doc_id", "row_hash").eqNullSafe(F.col("lead"))
-    full = out.select("doc_id", "row_hash", F.expr(f"size >> {CHECK_BITS}").alias("n_shingles"), F.col("id").alias("class"), "component_id", leads.alias("leads"))
-    return full.unionByName(members.where("size = 0").select("doc_id", "row_hash", F.lit(0).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("class"), F.col("doc_id").alias("component_id"), F.lit(True).alias("leads")))
+    return by_component(members, classes, components, classes_path, components_path)
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **parameters) -> DataFrame:

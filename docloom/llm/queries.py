@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import decontaminate, exact_dedup, jaccard_join, language_id, line_dedup, packing, sharding, suffix_dedup, token_counts, warc
+from docloom.llm import centroid_clusters, decontaminate, exact_dedup, jaccard_join, language_id, line_dedup, minhash_dedup, packing, sharding, suffix_dedup, token_counts, warc, whitening
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,11 +68,56 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_shingles", "component_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op2_line_dedup, op3_token_counts, op4_warc, op5_sharding, op6_packing, op7_language_id, op8_suffix_dedup, op9_decontamination, op10_jaccard_join)}
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), components=32)
+    return out.withColumn("deviation", F.col("deviation").cast("long"))
+
+
+def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid_clusters.cluster_report(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), k=40, rounds=5)
+
+
+def op13_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = minhash_dedup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op2_line_dedup, op3_token_counts, op4_warc, op5_sharding, op6_packing, op7_language_id, op8_suffix_dedup, op9_decontamination, op10_jaccard_join, op11_whitening, op12_centroid_clusters, op13_minhash_dedup)}
 
 _FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _BASE32 = "translate(" + " || ".join(f"to_base(CAST('0x' || substr(h, {5 * k + 1}, 5) AS BIGINT), 32, 4)" for k in range(8)) + ", '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567')"
 
+
+
+def _near(words: int, share: int) -> str:
+    """near: doc_id, n_shingles, component_id."""
+    return rf"""
+        WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array({_FOLD.format("coalesce(text, '')")}, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+        s AS (SELECT doc_id, CASE WHEN len(words) >= {words} THEN list_distinct(list_transform(range(1, len(words) - {words - 2}), lambda i: array_to_string(words[i:i + {words - 1}], ' '))) WHEN len(words) > 0 THEN [array_to_string(words, ' ')] ELSE [] END AS shingles FROM w),
+        e AS (SELECT doc_id, len(shingles) AS n, unnest(shingles) AS shingle FROM s),
+        c AS (SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= {share} * (a.n + b.n - count(*))),
+        l AS (SELECT a, b FROM c UNION ALL SELECT b, a FROM c),
+        r AS (SELECT doc_id AS start, doc_id AS node FROM s UNION SELECT r.start, l.b FROM r JOIN l ON l.a = r.node),
+        near AS (SELECT s.doc_id, CAST(len(any_value(shingles)) AS BIGINT) AS n_shingles, min(node) AS component_id FROM s JOIN r ON r.start = s.doc_id GROUP BY s.doc_id)"""
+
+
+def _clusters(k: int, rounds: int) -> str:
+    steps = [f"""
+        WITH v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda c: CAST(floor(256 * CAST(c AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+                                WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+        c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id) NULLS LAST, x) - 1 AS j, x AS y FROM v QUALIFY j < {k})"""]
+    for i in range(rounds + 1):
+        steps.append(f"""a{i} AS MATERIALIZED (SELECT vec_id, any_value(x) AS x, min([d, j]) AS best FROM (
+                SELECT vec_id, x, j, list_sum(list_transform(list_zip(x, y), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d FROM v, c{i}) GROUP BY vec_id)""")
+        if i < rounds:
+            steps.append(f"""m{i} AS (SELECT j, list(CAST(floor(s / n) AS BIGINT) - CASE WHEN CAST(floor(s / n) AS BIGINT) * n > s THEN 1 ELSE 0 END ORDER BY dim) AS y FROM (
+                SELECT best[2] AS j, dim, sum(x[dim])::BIGINT AS s, count(*) AS n FROM a{i}, range(1, 65) t(dim) GROUP BY ALL) GROUP BY j),
+            c{i + 1} AS MATERIALIZED (SELECT j, coalesce(m{i}.y, c{i}.y) AS y FROM c{i} LEFT JOIN m{i} USING (j))""")
+    return ",\n".join(steps) + f"""
+        SELECT vec_id, CAST(best[2] AS INT) AS cluster, best[1] AS distance, CAST(sum(best[1]) OVER (PARTITION BY best[2]) AS BIGINT) AS cluster_inertia,
+               CAST(sum(best[1]) OVER () AS BIGINT) AS inertia, sha256(array_to_string(y, ',')) AS centroid_sha256 FROM a{rounds} JOIN c{rounds} ON j = best[2]"""
+
+
 ORACLES: dict[str, str] = {
     "op1_exact_dedup": f"""
         WITH d AS (SELECT doc_id, sha256({_FOLD.format("coalesce(text, '')")}) AS text_sha256 FROM documents)
@@ -103,12 +148,7 @@ ORACLES: dict[str, str] = {
         SELECT d.doc_id, n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, CASE WHEN kept IS NULL THEN sha256(raw) ELSE sha256(unhex(kept)) END AS kept_sha256,
                decode(CASE WHEN kept IS NULL THEN raw ELSE unhex(regexp_replace(kept, '([0-7].|[CD].[89AB].|E.[89AB].[89AB].|F.[89AB].[89AB].[89AB].)|..', '\\1', 'g')) END) AS kept_text
         FROM d LEFT JOIN q USING (doc_id)""",
-    "op10_jaccard_join": rf"""
-        WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array({_FOLD.format("coalesce(text, '')")}, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
-        s AS (SELECT doc_id, CASE WHEN len(words) >= 5 THEN list_distinct(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' '))) WHEN len(words) > 0 THEN [array_to_string(words, ' ')] ELSE [] END AS shingles FROM w),
-        e AS (SELECT doc_id, len(shingles) AS n, unnest(shingles) AS shingle FROM s),
-        c AS (SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
-        l AS (SELECT a, b FROM c UNION ALL SELECT b, a FROM c),
-        r AS (SELECT doc_id AS start, doc_id AS node FROM s UNION SELECT r.start, l.b FROM r JOIN l ON l.a = r.node)
-        SELECT s.doc_id, CAST(len(any_value(shingles)) AS BIGINT) AS n_shingles, min(node) AS component_id FROM s JOIN r ON r.start = s.doc_id GROUP BY s.doc_id""",
+    "op10_jaccard_join": f"{_near(5, 80)} SELECT doc_id, n_shingles, component_id FROM near",
+    "op12_centroid_clusters": _clusters(k=40, rounds=5),
+    "op13_minhash_dedup": f"{_near(3, 85)} SELECT doc_id, n_shingles, component_id, doc_id = component_id AS kept FROM near",
 }
