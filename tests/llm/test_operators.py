@@ -13,6 +13,7 @@ import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -631,3 +632,15 @@ def test_hashes_name_strings_wherever_they_stand():
         assert len(set(x.tolist())) == len(set(strings)) == len(set(zip(strings, x.tolist(), strict=True)))
     sets = [np.unique(np.array([rnd.randrange(1 << 63) for _ in range(n)], np.uint64)) for n in (1, 2, 50, 50)]
     assert len({jaccard_join.class_of(s) for s in sets}) == 4 and jaccard_join.class_of(sets[2])[1] >> jaccard_join.CHECK_BITS == 50
+
+
+def test_lines_are_counted_by_documents(spark):
+    """Ten rows of one document are one document, as in the SQL; rows without an id are documents of their own."""
+    rows = [(1, "boiler\nown")] * 10 + [(2, "boiler\nx")] + [(None, "lost\ny")] * 9 + [(3, "lost"), (3, "lost\nlost")]
+    rows += [(10 + i, "common") for i in range(9)] + [(10, "common\nz"), (20, " COMMON\t")]
+    got = line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    kept = {(r.doc_id, r.text): r.kept_text for r in got.collect()}
+    assert kept == {(i, t): {"boiler\nown": "boiler\nown", "boiler\nx": "boiler\nx", "lost\ny": "y", "common\nz": "z"}.get(t, "") for i, t in rows}
+    with duckdb.connect() as con:
+        con.execute("create table documents as select * from (values " + ", ".join(f"({i}, '{t}')" for i, t in rows if i is not None and i < 3).replace("\n", "' || chr(10) || '") + ") t(doc_id, text)")
+        assert con.sql(queries.ORACLES["op2_line_dedup"]).df().n_dropped.sum() == 0
