@@ -6,11 +6,14 @@ hash are candidates. Sets of similarity s share none with probability (1 - s**RO
 
 A candidate pair's signatures are compared in batches of BATCH minima. After each batch the posterior of the similarity,
 from a uniform prior and the agreements so far, tells how probable the least similarity is still; a pair goes where that
-is under ``miss``. What is left after all minima is verified on whole sets, so no pair is linked by estimate.
+is under ``miss``. What is left after all minima is verified on whole sets, so no pair is linked by estimate. First by
+the parities of their shingles in buckets, four or more to a shingle: two sets differ in at least as many shingles as
+parities, so pairs that differ in too many are rejected exactly, without their texts. Then by the texts.
 
 Bands' lists are cut by their counts: one of over ``tile`` classes is dealt to tasks in stretches. Neighbours in a list
 are tested first. What is then in different components is compared inside the task that holds the list, or two stretches
-of it; only pairs that survive all batches become rows, each in the first list that both are in.
+of it; only pairs that survive become rows, each in the first list that both are in: at first the best partner of each
+class, then, of components that are still apart, all.
 """
 
 from __future__ import annotations
@@ -38,6 +41,8 @@ HASHES, BATCH = BANDS * ROWS, 24
 MISS = 1e-9
 #: Neighbours in a list that are tested first.
 NEIGHBOURS = 2
+#: Buckets of a shingle, and the most buckets of a set; more shingles share them.
+BUCKETS, MOST_BUCKETS = 4, 1 << 20
 #: Shingles and classes that are looked at together.
 BLOCK, PAIRS = 512, 4_000
 
@@ -63,6 +68,28 @@ def band_hashes(signatures: np.ndarray) -> np.ndarray:
     return (h | np.arange(BANDS, dtype=np.uint64)).view(np.int64)
 
 
+def parity(s: np.ndarray) -> bytes:
+    """Of each bucket, whether an odd number of a set's shingles fall into it: a power of two of bits."""
+    buckets = min(1 << max(6, (BUCKETS * len(s) - 1).bit_length()), MOST_BUCKETS)
+    counts = np.bincount((s & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets)
+    return np.packbits((counts & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def folded(parities: np.ndarray, size: int) -> np.ndarray:
+    """Parities in fewer buckets, ``size`` bytes a row."""
+    while parities.shape[1] > size:
+        half = parities.shape[1] // 2
+        parities = parities[:, :half] ^ parities[:, half:]
+    return parities
+
+
+def may_link(rule: Rule, na, nb, parity_a: np.ndarray, parity_b: np.ndarray) -> np.ndarray:
+    """Whether sets of these sizes can be similar, by rows of parities."""
+    size = min(parity_a.shape[1], parity_b.shape[1])
+    differ = np.bitwise_count(folded(parity_a, size) ^ folded(parity_b, size)).sum(axis=1, dtype=np.int64)
+    return (rule.den + rule.num) * differ <= (rule.den - rule.num) * (na + nb)
+
+
 def signatures_of(column: pa.Array) -> np.ndarray:
     data, _ = B.text_buffers(column)
     return np.ascontiguousarray(data).view(np.uint16).reshape(-1, HASHES)
@@ -93,13 +120,13 @@ def surviving(a: np.ndarray, b: np.ndarray, rule: Rule, miss: float) -> np.ndarr
 
 
 MEMBER, CLASS = range(2)
-SIGNED = "kind int, doc_id long, row_hash long, class long, size long, signature binary"
+SIGNED = "kind int, doc_id long, row_hash long, class long, size long, signature binary, parity binary"
 
 
 def signed_rows(words: int):
-    """Each document's class, and once for each class and task a document of it with the signature."""
+    """Each document's class, and once for each class and task a document of it with signature and parities."""
     names = [f.split()[0] for f in SIGNED.split(", ")]
-    types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+    types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set = set()
@@ -107,12 +134,12 @@ def signed_rows(words: int):
             out = []
             for doc, row, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), text_sets(b.column(2), words), strict=True):
                 key, size = class_of(s) if len(s) else (0, 0)
-                out.append((MEMBER, doc, row, key, size, None))
+                out.append((MEMBER, doc, row, key, size, None, None))
                 if size and (key, size) not in seen:
                     if len(seen) >= SEEN:
                         seen.clear()
                     seen.add((key, size))
-                    out.append((CLASS, doc, row, key, size, signature(s).tobytes()))
+                    out.append((CLASS, doc, row, key, size, signature(s).tobytes(), parity(s)))
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate(types)], names=names)
 
     return run
@@ -153,27 +180,36 @@ def neighbours(listed: DataFrame, rule: Rule) -> DataFrame:
 
 
 def tested(pairs: DataFrame, classes: DataFrame, rule: Rule, miss: float) -> DataFrame:
-    """The pairs (a, b) whose signatures survive."""
+    """The pairs (a, b) whose signatures and parities survive."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in gathered(batches, PAIRS):
             left = surviving(signatures_of(b.column(2)), signatures_of(b.column(3)), rule, miss)
-            yield b.select([0, 1]).take(pa.array(left))
+            b = b.take(pa.array(left))
+            row = lambda i, k: np.frombuffer(b.column(i)[k].as_py(), np.uint8)[None]
+            na, nb = (b.column(i).to_numpy(zero_copy_only=False) for i in (6, 7))
+            keep = [bool(may_link(rule, na[k], nb[k], row(4, k), row(5, k))[0]) for k in range(b.num_rows)]
+            yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    of = lambda p: classes.select(F.col("id").alias(p), F.col("signature").alias(f"s{p}"))
-    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "sa", "sb").mapInArrow(frugal(run), "a long, b long")
+    of = lambda p: classes.select(F.col("id").alias(p), F.col("signature").alias(f"s{p}"), F.col("parity").alias(f"p{p}"), F.col("n").alias(f"n{p}"))
+    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "sa", "sb", "pa", "pb", "na", "nb").mapInArrow(frugal(run), "a long, b long")
 
 
-TILED = ["x", "band", "i", "j", "own", "later", "id", "component", "n", "signature"]
+TILED = ["x", "band", "i", "j", "own", "later", "id", "component", "n", "signature", "parity"]
 
 
-def compare_lists(rule: Rule, miss: float):
-    """Of rows (TILED) sorted by x, band, i, j: pairs (a, b) of different components that sizes allow and whose
-    signatures survive, each in the list of the first band that both share."""
+def compare_lists(rule: Rule, miss: float, best: bool):
+    """Of rows (TILED) sorted by x, band, i, j: pairs (a, b) of different components that sizes allow and that survive,
+    each in the list of the first band that both share. ``best``: of each class only one, with the most agreements."""
 
     def compare(x: int, rows: list[tuple]) -> list[tuple[np.ndarray, np.ndarray]]:
         own, later, key, component, n = (np.array(c, np.int64) for c in list(zip(*rows, strict=True))[:5])
         values = signatures_of(pa.array([r[5] for r in rows], pa.binary()))
+        lengths, place, parities = np.array([len(r[6]) for r in rows]), np.zeros(len(rows), np.int64), {}
+        for size in np.unique(lengths):
+            of_size = np.flatnonzero(lengths == size)
+            place[of_size] = np.arange(len(of_size))
+            parities[size] = np.frombuffer(b"".join(rows[k][6] for k in of_size), np.uint8).reshape(-1, size)
         bands, here = values.reshape(-1, BANDS, ROWS), x & 63
         i, j = own.min(), own.max()
         left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
@@ -183,6 +219,12 @@ def compare_lists(rule: Rule, miss: float):
             q = q[q > p] if i == j else q
             q = q[surviving(np.broadcast_to(values[p], (len(q), HASHES)), values[q], rule, miss)]
             q = q[(bands[q] == bands[p]).all(axis=2).argmax(axis=1) == here] if len(q) else q
+            mine = parities[lengths[p]][place[p]][None]
+            same = [q[lengths[q] == size] for size in np.unique(lengths[q])]
+            same = [g[may_link(rule, n[p], n[g], mine, parities[lengths[g[0]]][place[g]])] for g in same]
+            q = np.concatenate(same) if same else q
+            if best and len(q):
+                q = q[[(values[q] == values[p]).sum(axis=1).argmax()]]
             out.append((np.minimum(key[q], key[p]), np.maximum(key[q], key[p])))
         return out
 
@@ -218,7 +260,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rule = Rule(num, den)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("row_hash"), F.col(text_col))
     signed, signed_path = staged(rows.mapInArrow(frugal(signed_rows(words)), SIGNED), "minhashes")
-    one = signed.where(F.col("kind") == CLASS).groupBy("class", "size").agg(F.min(F.struct("doc_id", "row_hash", "signature")).alias("r"))
+    one = signed.where(F.col("kind") == CLASS).groupBy("class", "size").agg(F.min(F.struct("doc_id", "row_hash", "signature", "parity")).alias("r"))
     classes, classes_path = staged(one.select("class", "size", F.expr(f"size >> {CHECK_BITS}").alias("n"), F.monotonically_increasing_id().alias("id"), "r.*"), "classes")
     members, members_path = staged(signed.where(F.col("kind") == MEMBER).select("doc_id", "row_hash", "class", "size"), "members")
     remove(spark, signed_path)
@@ -228,20 +270,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links, links_path = confirmed(pairs, classes, whole, rule, words)
     components, components_path = connected_components(links)
     remove(spark, links_path)
-    mixed, mixed_path = staged(labelled(listed, components), "mixed-lists")
-    if not mixed.isEmpty():
-        near = tiles(mixed).join(classes.select("id", "signature"), "id").select(*TILED)
+    done, done_paths = pairs, [pairs_path]
+    for best in (True, False):
+        mixed, mixed_path = staged(labelled(listed, components), "mixed-lists")
+        near = tiles(mixed).join(classes.select("id", "signature", "parity"), "id").select(*TILED)
         near = near.repartition("x", "band", "i", "j").sortWithinPartitions("x", "band", "i", "j")
-        found = near.mapInArrow(frugal(compare_lists(rule, miss)), "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti")
+        found = near.mapInArrow(frugal(compare_lists(rule, miss, best)), "a long, b long").distinct().join(done, ["a", "b"], "left_anti")
         more, more_path = staged(found, "pairs")
-        if not more.isEmpty():
-            links, links_path = confirmed(more, classes, whole, rule, words)
-            edges = components.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links)
-            after, after_path = connected_components(edges)
-            remove(spark, links_path, components_path)
-            components, components_path = after, after_path
-        remove(spark, more_path)
-    remove(spark, mixed_path, pairs_path, *list_paths)
+        remove(spark, mixed_path)
+        done, done_paths = done.unionByName(more), [*done_paths, more_path]
+        if more.isEmpty():
+            continue
+        links, links_path = confirmed(more, classes, whole, rule, words)
+        edges = components.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links)
+        after, after_path = connected_components(edges)
+        remove(spark, links_path, components_path)
+        components, components_path = after, after_path
+    remove(spark, *done_paths, *list_paths)
     return by_component(members, classes, components, classes_path, components_path)
 
 

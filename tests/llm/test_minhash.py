@@ -98,3 +98,18 @@ def test_minima_agree_as_often_as_sets_are_similar():
             agree.append((M.signature(np.sort(x[:size])) == M.signature(np.sort(x[size - common :]))).mean())
         wanted = common / (2 * size - common)
         assert abs(np.mean(agree) - wanted) < 5 * math.sqrt(wanted * (1 - wanted) / (60 * M.HASHES)) + 0.002
+
+
+def test_parities_bound_the_difference_of_sets():
+    rnd, rule = np.random.default_rng(11), Rule(85, 100)
+    refused = 0
+    for n in (1, 5, 90, 1000, 1030, 30_000):
+        for share in (0.0, 0.05, 0.1, 0.3):
+            x = np.unique(rnd.integers(0, 1 << 63, 2 * n, dtype=np.uint64))
+            a, b = np.sort(x[:n]), np.sort(np.concatenate([x[round(share * n) : n], x[n : n + round(share * n) // 2]]))
+            row = lambda s: np.frombuffer(M.parity(s), np.uint8)[None]
+            similar = 100 * len(np.intersect1d(a, b)) >= 85 * len(np.union1d(a, b))
+            may = bool(M.may_link(rule, len(a), len(b), row(a), row(b))[0])
+            assert may or not similar
+            refused += not may
+    assert refused >= 8
