@@ -8,7 +8,8 @@ from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions.text import search_tokens
@@ -18,6 +19,8 @@ K1, B = 1.2, 0.75
 RRF = 60
 #: Queries and vectors in a block, and blocks of queries for which a task holds its best results.
 QUERY_BLOCK, VECTOR_BLOCK, HELD = 512, 4096, 64
+#: Words of queries that go to tasks at once, and cells of a table of queries by documents that a task fills at once.
+ASKED, HIT_CELLS = 500_000, 1 << 20
 #: Of pairs that don't count.
 LEAST = -(10**9)
 
@@ -52,27 +55,107 @@ def filtered(docs: DataFrame, allowed: Mapping[str, Sequence] | None = None, ran
     return docs
 
 
+class Asked:
+    """A block of queries as tasks need it: ids of tokens, and for each scope its statistics and the queries of a token."""
+
+    def __init__(self, rows: list, tokens: pa.Array) -> None:
+        self.tokens, place = tokens, {t: i for i, t in enumerate(tokens.to_pylist())}
+        self.queries = np.unique(np.array([r.query_id for r in rows], np.int64))
+        by_scope: dict = {}
+        for r in rows:
+            by_scope.setdefault(r["scope"], []).append(r)
+        self.scopes = {}
+        for scope, mine in by_scope.items():
+            token, query = np.array([place[r.token] for r in mine]), np.searchsorted(self.queries, [r.query_id for r in mine])
+            order = np.argsort(token, kind="stable")
+            idf = np.zeros(len(tokens))
+            idf[token] = [r.idf for r in mine]
+            self.scopes[scope] = idf, mine[0]["mean"], np.searchsorted(token[order], np.arange(len(tokens) + 1)), query[order]
+
+    def hits(self, scope, ids: np.ndarray, tfs: np.ndarray, lengths: np.ndarray, rows: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Scores and numbers of hits (queries by n rows) of occurrences of tokens in rows."""
+        idf, mean, first, queries = self.scopes[scope]
+        part = np.floor(idf[ids] * tfs * (K1 + 1) / (tfs + K1 * (1 - B + B * lengths / mean)) * 1e6 + 0.5)
+        times = first[ids + 1] - first[ids]
+        begin = np.cumsum(times) - times
+        each = np.arange(int(times.sum())) - np.repeat(begin - first[ids], times)
+        at, size = queries[each] * n + np.repeat(rows, times), len(self.queries) * n
+        return np.bincount(at, np.repeat(part, times), size).astype(np.int64).reshape(-1, n), np.bincount(at, minlength=size).reshape(-1, n)
+
+
 def bm25(docs: DataFrame, queries: DataFrame, k: int, scope: str | None = None) -> DataFrame:
     """query_id, doc_id, score (millionths), rank. ``queries``: query_id, text (and the scope column).
 
     With a scope, only documents of the query's scope are ranked, and counts of documents and lengths are taken inside
-    it, so that a rank tells nothing about others' documents. Only occurrences of the queries' words become postings,
-    and those are written once; a document's length is the size of its own list of tokens."""
-    on = [scope] if scope else []
-    words = queries.select("query_id", *on, F.explode(F.array_distinct(search_tokens(F.coalesce("text", F.lit(""))))).alias("token"))
-    tokens = docs.select("doc_id", *on, search_tokens(F.coalesce("text", F.lit(""))).alias("tokens")).where("size(tokens) > 0")
-    sizes = tokens.groupBy(*on).agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.size("tokens").cast("long")).alias("mean"))
-    each = tokens.select("doc_id", *on, F.size("tokens").cast("long").alias("length"), F.explode("tokens").alias("token"))
-    asked = each.join(words.select(*on, "token").distinct(), [*on, "token"], "left_semi")
-    posts = staged(asked.groupBy("doc_id", *on, "token", "length").agg(F.count(F.lit(1)).alias("tf")), "postings")
-    frequency = posts.groupBy(*on, "token").agg(F.count(F.lit(1)).alias("df"))
-    # frequencies and sizes meet the queries' tokens, which are few, before the postings do
-    wanted = words.join(frequency, [*on, "token"])
-    wanted = wanted.join(sizes, on) if scope else wanted.crossJoin(F.broadcast(sizes))  # one row
+    it, so that a rank tells nothing about others' documents. Texts are tokenised once; what is written of a document is
+    one row: its length, and the queries' tokens in it with their counts. A second pass scores each row against all
+    queries of a block and keeps k rows of a query in a task, so hits never become rows. Queries of more than
+    ASKED words go in several blocks, each a pass."""
+    on = F.col(scope) if scope else F.lit("")
+    words = queries.select("query_id", on.alias("scope"), F.explode(F.array_distinct(search_tokens(F.coalesce("text", F.lit(""))))).alias("token")).where("scope is not null")
+    blocks = max(1, -(-words.count() // ASKED))
+    found = [_bm25_block(docs, words.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i), k, on) for i in range(blocks)]
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return ranked(out, k)
+
+
+def _bm25_block(docs: DataFrame, words: DataFrame, k: int, on: Column) -> DataFrame:
+    spark = docs.sparkSession
+    tokens = words.select("token").distinct().orderBy("token").toArrow()["token"].combine_chunks()  # ASKED at most
+    sent = spark.sparkContext.broadcast(tokens)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = sent.value
+        for b in batches:
+            lengths = b.column(2).value_lengths().to_numpy(zero_copy_only=False)
+            place = pc.index_in(b.column(2).flatten(), value_set=known).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+            row = np.repeat(np.arange(b.num_rows), lengths)
+            pairs, tf = np.unique((row * (len(known) + 1) + place)[place >= 0], return_counts=True)
+            row, place = np.divmod(pairs, len(known) + 1)
+            ends = pa.array(np.searchsorted(row, np.arange(b.num_rows + 1)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(ends, pa.array(v.astype(np.int32))) for v in (place, tf)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(lengths.astype(np.int64)), *lists], names=["doc_id", "scope", "length", "ids", "tfs"])
+
+    texts = docs.select("doc_id", on.alias("scope"), search_tokens(F.coalesce("text", F.lit(""))).alias("tokens")).where("scope is not null")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    counted = texts.mapInArrow(count, f"doc_id {kind}, scope string, length long, ids array<int>, tfs array<int>")
+    rows = staged(counted.where("length > 0"), "postings")
+    sizes = rows.groupBy("scope").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("length").alias("mean"))
+    frequency = rows.select("scope", F.explode("ids").alias("at")).groupBy("scope", "at").agg(F.count(F.lit(1)).alias("df"))
+    names = spark.createDataFrame(pa.table({"at": pa.array(range(len(tokens)), pa.int32()), "token": tokens})) if len(tokens) else spark.createDataFrame([], "at int, token string")
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-    hits = wanted.join(posts, [*on, "token"]).select("query_id", "doc_id", F.round(part * 1e6).cast("long").alias("part"))
-    return ranked(hits.groupBy("query_id", "doc_id").agg(F.sum("part").alias("score")), k)
+    asked = words.join(names, "token").join(frequency, ["scope", "at"]).join(sizes, "scope").select("query_id", "scope", "token", idf.alias("idf"), "mean").collect()  # a row for each word of the block's queries
+    held = spark.sparkContext.broadcast(Asked(asked, tokens))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = held.value
+        n_queries = len(block.queries)
+        best, doc = np.zeros((n_queries, 0), np.int64), np.zeros((n_queries, 0), np.int64)
+        step = max(1, HIT_CELLS // max(1, n_queries))
+        for batch in batches if n_queries else ():
+            for i in range(0, batch.num_rows, step):
+                part = batch.slice(i, step)
+                n = part.num_rows
+                counts = part.column(3).value_lengths().to_numpy(zero_copy_only=False)
+                ids, tfs = (part.column(c).flatten().to_numpy(zero_copy_only=False).astype(np.int64) for c in (3, 4))
+                lengths, row = part.column(2).to_numpy(zero_copy_only=False), np.repeat(np.arange(n), counts)
+                scores, hits = np.zeros((n_queries, n), np.int64), np.zeros((n_queries, n), np.int64)
+                scopes = np.array(part.column(1).to_pylist(), object)
+                for scope in set(scopes) & set(block.scopes):
+                    mine = (scopes == scope)[row]
+                    more = block.hits(scope, ids[mine], tfs[mine], lengths[row[mine]], row[mine], n)
+                    scores, hits = scores + more[0], hits + more[1]
+                scores[hits == 0] = LEAST
+                best = np.concatenate([best, scores], axis=1)
+                doc = np.concatenate([doc, np.broadcast_to(part.column(0).to_numpy(zero_copy_only=False), scores.shape)], axis=1)
+                order = np.lexsort((doc, -best), axis=1)[:, :k]
+                best, doc = np.take_along_axis(best, order, 1), np.take_along_axis(doc, order, 1)
+        ok = best > LEAST
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(block.queries, ok.sum(axis=1))), pa.array(doc[ok]), pa.array(best[ok])], names=["query_id", "doc_id", "score"])
+
+    return rows.select("doc_id", "scope", "length", "ids", "tfs").mapInArrow(score, "query_id long, doc_id long, score long")
 
 
 PACK = "ids binary, vectors binary"
