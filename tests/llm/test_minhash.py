@@ -104,7 +104,7 @@ def test_parities_bound_the_difference_of_sets():
     rnd, rule = np.random.default_rng(11), Rule(85, 100)
     refused = 0
     for n in (1, 5, 90, 1000, 1030, 30_000):
-        for share in (0.0, 0.05, 0.1, 0.3):
+        for share in (0.0, 0.05, 0.1, 0.2, 0.3):
             x = np.unique(rnd.integers(0, 1 << 63, 2 * n, dtype=np.uint64))
             a, b = np.sort(x[:n]), np.sort(np.concatenate([x[round(share * n) : n], x[n : n + round(share * n) // 2]]))
             row = lambda s: np.frombuffer(M.parity(s), np.uint8)[None]
