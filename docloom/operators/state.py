@@ -12,13 +12,40 @@ def is_legal(from_state: Column, to_state: Column) -> Column:
     return F.coalesce(F.concat_ws(">", from_state, to_state).isin([f"{a}>{b}" for a, b in LEGAL_EDGES]), F.lit(False))
 
 
-def compare_and_set(states: DataFrame, proposals: DataFrame) -> DataFrame:
-    """Of (run_id, state) and (run_id, expected_state, to_state): run_id, state after, changed. A proposal moves a run
-    if its edge is legal and the run is in the expected state; of a run's proposals one at most can be made at a time."""
-    both = states.join(proposals, "run_id")
-    moved = is_legal(F.col("expected_state"), F.col("to_state")) & (F.col("state") == F.col("expected_state"))
-    changed = F.coalesce(moved, F.lit(False))
-    return both.select("run_id", F.when(changed, F.col("to_state")).otherwise(F.col("state")).alias("state"), changed.alias("changed"))
+def compare_and_set(states: DataFrame, proposals: DataFrame, order: str | None = None, part: int = 256) -> DataFrame:
+    """Of (run_id, state) and (run_id, expected_state, to_state): run_id, state after the proposal, changed, one row for
+    each proposal (with its ``order``, if that is named).
+
+    A proposal moves a run if its edge is legal and the run is in the expected state when its turn comes: proposals of a
+    run are made one after the other by ``order`` (whole numbers), those of equal order by their states' names, so of
+    several that expect one state the first wins. Proposals equal in all columns are one. A run without a state changes
+    nothing. Stretches of ``part`` numbers are folded from every state at once and then once more from the state in which
+    they begin, so a run with most of the proposals is no single row's work."""
+    seq = F.col(order).cast("long") if order else F.lit(0).cast("long")
+    asked = proposals.select("run_id", seq.alias("seq"), "expected_state", "to_state").distinct()
+    stretches = asked.groupBy("run_id", F.floor(F.col("seq") / part).alias("part")).agg(F.sort_array(F.collect_list(F.struct("seq", "expected_state", "to_state"))).alias("moves"))
+    stretches = stretches.withColumn("moves", F.transform("moves", lambda m: F.struct(m["seq"].alias("seq"), m["expected_state"].alias("from"), m["to_state"].alias("to"), is_legal(m["expected_state"], m["to_state"]).alias("legal"))))
+    names = F.array(*(F.lit(s) for s in RUN_STATES))
+    makes = lambda state, m: F.coalesce(m["legal"] & (state == m["from"]), F.lit(False))
+    after = lambda state, m: F.when(makes(state, m), m["to"]).otherwise(state)
+    ends = stretches.select("run_id", "part", F.transform(names, lambda s: F.aggregate("moves", s, after)).alias("ends"))
+    runs = ends.groupBy("run_id").agg(F.sort_array(F.collect_list(F.struct("part", "ends"))).alias("parts")).join(states.select("run_id", "state"), "run_id")
+    begin = F.struct(F.col("state").alias("state"), F.expr("cast(array() as array<struct<part: bigint, state: string>>)").alias("starts"))
+
+    def follow(acc: Column, p: Column) -> Column:
+        end = F.coalesce(F.get(p["ends"], F.array_position(names, acc["state"]).cast("int") - 1), acc["state"])
+        return F.struct(end.alias("state"), F.concat(acc["starts"], F.array(F.struct(p["part"].alias("part"), acc["state"].alias("state")))).alias("starts"))
+
+    starts = runs.select("run_id", F.explode(F.aggregate("parts", begin, follow)["starts"]).alias("s")).select("run_id", F.col("s.part").alias("part"), F.col("s.state").alias("start"))
+    none = F.expr("cast(array() as array<struct<seq: bigint, state: string, changed: boolean>>)")
+
+    def made(acc: Column, m: Column) -> Column:
+        row = F.struct(m["seq"].alias("seq"), after(acc["state"], m).alias("state"), makes(acc["state"], m).alias("changed"))
+        return F.struct(after(acc["state"], m).alias("state"), F.concat(acc["rows"], F.array(row)).alias("rows"))
+
+    both = stretches.join(starts, ["run_id", "part"], "left")
+    rows = both.select("run_id", F.explode(F.aggregate("moves", F.struct(F.col("start").alias("state"), none.alias("rows")), made)["rows"]).alias("r"))
+    return rows.select("run_id", *([F.col("r.seq").alias(order)] if order else []), "r.state", "r.changed")
 
 
 def replayed(log: DataFrame, part: int = 4096) -> DataFrame:

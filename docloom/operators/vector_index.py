@@ -17,7 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.operators.search import ranked
@@ -136,9 +136,9 @@ class VectorIndex:
         coded.repartitionByRange("cell", "id").sortWithinPartitions("cell", "id").write.partitionBy("cell").parquet(path)
         return cls(path, quantizer, kind)
 
-    def table(self, vectors: DataFrame, cells: list[int] | None = None) -> DataFrame:
-        """cell, id, code, vector, of these cells alone."""
-        rows = vectors.sparkSession.read.schema(f"id long, code binary, vector {self.vector_type}, cell int").parquet(self.path)
+    def table(self, spark: SparkSession, cells: list[int] | None = None) -> DataFrame:
+        """cell, id, code, vector, of these cells alone: a filter of folders."""
+        rows = spark.read.schema(f"id long, code binary, vector {self.vector_type}, cell int").parquet(self.path)
         return rows if cells is None else rows.where(F.col("cell").isin(cells))
 
     def probes_of(self, queries: DataFrame, probes: int, id_col: str, vector_col: str) -> DataFrame:
@@ -162,7 +162,7 @@ class VectorIndex:
         quantizer, probes = self.quantizer, min(probes or self.quantizer.probes, len(self.quantizer.centres))
         asked = self.probes_of(queries, probes, id_col, vector_col)
         cells = sorted(r.cell for r in asked.select("cell").distinct().collect())  # at most CELLS numbers
-        table = self.table(queries, cells)
+        table = self.table(queries.sparkSession, cells)
         blocks = table.select("cell", "id", "code").mapInArrow(packed(CODE_BLOCK), "cell int, ids binary, data binary")
         dealt = asked.repartitionByRange("cell", "query_id").sortWithinPartitions("cell", "query_id")
         wanted = dealt.mapInArrow(packed(QUERY_BLOCK), "cell int, ids binary, data binary").selectExpr("cell", "ids as query_ids", "data as queries")

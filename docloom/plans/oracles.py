@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from docloom.operators.governance import SECOND_LEVEL
 from docloom.plans.queries import ANSWER_SQL
 from docloom.schemas import ANALYSIS_VERSIONS, LEGAL_EDGES, RUN_STATES, SYSTEM_POLICY, TASK_INSTRUCTION
 
@@ -99,6 +100,37 @@ def _bm25(scope: bool, k: int) -> str:
     text_rank AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM score QUALIFY rank <= {k})"""
 
 
+_SECOND = ", ".join(f"'{d}'" for d in SECOND_LEVEL)
+
+
+def _host(url: str) -> str:
+    return f"lower(regexp_extract({url}, '^[a-zA-Z]+://([^/:?#]+)', 1))"
+
+
+def _domain(host: str) -> str:
+    return f"array_to_string(list_slice(string_split({host}, '.'), CASE WHEN array_to_string(list_slice(string_split({host}, '.'), -2, -1), '.') IN ({_SECOND}) THEN -3 ELSE -2 END, -1), '.')"
+
+
+def _mentions(source: str, out: str) -> str:
+    """out: doc_id, alias, mentions, of source (doc_id, tokens)."""
+    return f"""{out}_at AS (SELECT doc_id, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS first FROM {source}),
+    {out}_all AS (SELECT doc_id, first, first + k - 1 AS last, alias FROM {out}_at JOIN heads ON head = token JOIN {source} USING (doc_id) WHERE k = 1 OR array_to_string(tokens[first:first + k - 1], ' ') = alias),
+    {out}_max AS (SELECT *, max(last) OVER (PARTITION BY doc_id ORDER BY first, last DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM {out}_all),
+    {out} AS (SELECT doc_id, alias, entity, count(*) AS mentions FROM {out}_max JOIN alias USING (alias) WHERE reach IS NULL OR last > reach GROUP BY ALL)"""
+
+
+_ALIASES = rf"""a_doc AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '\p{{L}}+') AS tokens FROM documents),
+    a_ask AS (SELECT item_id AS doc_id, regexp_extract_all(lower(coalesce(text, '')), '\p{{L}}+') AS tokens FROM benchmark),
+    a_page AS (SELECT url, {_domain(_host("url"))} AS domain, coalesce(html, '') AS html FROM pages),
+    a_link AS (SELECT domain, unnest(list_zip(regexp_extract_all(html, '<a href="([^"?#]+)">([^<]+)</a>', 1), regexp_extract_all(html, '<a href="([^"?#]+)">([^<]+)</a>', 2))) AS l FROM a_page WHERE domain <> ''),
+    a_raw AS (SELECT l[2] AS name, CASE WHEN l[1] LIKE '/%' THEN domain || l[1] WHEN {_domain(_host("l[1]"))} <> '' THEN {_domain(_host("l[1]"))} END AS entity FROM a_link
+        UNION ALL SELECT regexp_extract(html, '<title>([^<]*)</title>', 1), regexp_extract(url, '^[a-zA-Z]+://([^?#]+)', 1) FROM a_page
+        UNION ALL SELECT {_host("url")}, domain FROM a_page),
+    a_named AS (SELECT array_to_string(regexp_extract_all(lower(name), '\p{{L}}+'), ' ') AS alias, entity FROM a_raw),
+    alias AS (SELECT alias, entity FROM a_named WHERE alias <> '' AND entity <> '' GROUP BY alias, entity QUALIFY row_number() OVER (PARTITION BY alias ORDER BY count(*) DESC, entity) = 1),
+    heads AS (SELECT alias, string_split(alias, ' ')[1] AS head, len(string_split(alias, ' ')) AS k FROM alias)"""
+
+
 def _vectors(where: str, k: int) -> str:
     return f"""vs AS (SELECT q.vec_id AS query_id, v.vec_id AS doc_id, CAST(round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])) * 1e6) AS BIGINT) AS score
         FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id WHERE {where}),
@@ -179,8 +211,33 @@ ORACLES: dict[str, str] = {
     "decode_validation": f"WITH {_ANSWERS} SELECT doc_id, decodes FROM d WHERE structured",
     "citation_validation": f"WITH {_ANSWERS} SELECT d.doc_id, CASE WHEN NOT d.ok THEN 'json_syntax' WHEN NOT d.structured THEN 'schema' WHEN NOT d.decodes THEN 'decode' WHEN NOT c.cites THEN 'citation' ELSE 'accepted' END AS code FROM d LEFT JOIN c USING (doc_id)",
     "token_df": f"WITH {_TOKENS} SELECT token, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM post GROUP BY token",
+    "transition_contest": f"""WITH p AS (SELECT doc_id AS run_id, CASE WHEN doc_id % 10 <> 4 THEN {_STATES}[doc_id % 9 + 1] END AS s0, {_STATES}[doc_id % 9 + 1] AS e1, {_STATES}[(doc_id + 1 + doc_id % 7) % 9 + 1] AS t1,
+            {_STATES}[(doc_id + 1 + (doc_id // 9) % 8) % 9 + 1] AS t2, {_STATES}[(doc_id + 2 + doc_id % 5) % 9 + 1] AS t3 FROM documents),
+        a AS (SELECT *, coalesce(s0 = e1 AND list_contains({_EDGES}, e1 || '>' || t1), false) AS c1 FROM p),
+        b AS (SELECT *, CASE WHEN c1 THEN t1 ELSE s0 END AS s1, coalesce(CASE WHEN c1 THEN t1 ELSE s0 END = e1 AND list_contains({_EDGES}, e1 || '>' || t2), false) AS c2 FROM a),
+        c AS (SELECT *, CASE WHEN c2 THEN t2 ELSE s1 END AS s2 FROM b),
+        d AS (SELECT *, coalesce(s2 = t2 AND list_contains({_EDGES}, t2 || '>' || t3), false) AS c3 FROM c)
+        SELECT run_id, 1::BIGINT AS turn, s1 AS state, c1 AS changed FROM d UNION ALL SELECT run_id, 2, s2, c2 FROM d UNION ALL SELECT run_id, 3, CASE WHEN c3 THEN t3 ELSE s2 END, c3 FROM d""",
     "fts_bm25_topk": f"WITH {_bm25(False, 10)} SELECT query_id, doc_id, score, rank FROM text_rank",
     "authorized_search": f"WITH {_bm25(True, 10)} SELECT query_id, doc_id, score, rank FROM text_rank",
+    "fts_index_topk": f"WITH {_bm25(False, 10)} SELECT query_id, doc_id, score, rank FROM text_rank",
+    "fts_index_merged": f"WITH {_bm25(False, 10).replace('FROM documents)', 'FROM documents WHERE doc_id % 10 <> 7)', 1)} SELECT query_id, doc_id, score, rank FROM text_rank",
+    "text_mentions": f"WITH {_ALIASES}, {_mentions('a_doc', 'found')} SELECT doc_id, alias, entity, mentions FROM found",
+    "hybrid_mentions": f"""WITH {_bm25(False, 30)}, {_ALIASES}, a_few AS (SELECT * FROM a_doc WHERE doc_id IN (SELECT doc_id FROM text_rank)), {_mentions("a_few", "found")}, {_mentions("a_ask", "asked")},
+        q AS (SELECT query_id, t.doc_id, count(DISTINCT found.entity) AS shared FROM text_rank t JOIN asked ON asked.doc_id = query_id JOIN found ON found.doc_id = t.doc_id AND found.entity = asked.entity GROUP BY ALL),
+        m AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY shared DESC, doc_id) AS rank FROM q),
+        z AS (SELECT query_id, doc_id, CAST(sum(CAST(round(1e6 / (60 + rank)) AS BIGINT)) AS BIGINT) AS score FROM (SELECT query_id, doc_id, rank FROM text_rank UNION ALL SELECT * FROM m) GROUP BY ALL),
+        f AS (SELECT z.* FROM z JOIN documents USING (doc_id) QUALIFY row_number() OVER (PARTITION BY query_id, sha256(coalesce(text, '')) ORDER BY score DESC, doc_id) = 1)
+        SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM f QUALIFY rank <= 10""",
+    "entity_merges": f"""WITH RECURSIVE p AS (SELECT page_id, {_domain(_host("url"))} || '/' || (page_id % 50) AS entity FROM pages),
+        b AS (SELECT a.page_id, a.entity, n.entity AS into_ FROM p a JOIN p n ON n.page_id = a.page_id + 1 WHERE a.entity > n.entity),
+        e0 AS (SELECT entity, arg_max(into_, page_id) AS into_ FROM b GROUP BY entity),
+        kept AS (SELECT entity, into_, max(page_id) AS version FROM b GROUP BY ALL HAVING count(*) FILTER (page_id % 4 < 2) = 0),
+        e1 AS (SELECT entity, arg_max(into_, version) AS into_ FROM kept GROUP BY entity),
+        w0 AS (SELECT DISTINCT entity, entity AS here, 0 AS n FROM b UNION ALL SELECT w0.entity, into_, n + 1 FROM w0 JOIN e0 ON e0.entity = here),
+        w1 AS (SELECT DISTINCT entity, entity AS here, 0 AS n FROM b UNION ALL SELECT w1.entity, into_, n + 1 FROM w1 JOIN e1 ON e1.entity = here)
+        SELECT entity, arg_max(w1.here, w1.n) AS now, any_value(x.before) AS before FROM w1 JOIN (SELECT entity, arg_max(w0.here, w0.n) AS before FROM w0 GROUP BY entity) x USING (entity) GROUP BY entity""",
+    "vector_ann_recall": f"WITH {_vectors('q.vec_id % 50 = 0', 10)} SELECT count(DISTINCT query_id) AS queries, count(*) AS wanted, true AS enough FROM vector_rank",
     "vector_topk": f"WITH {_vectors('q.vec_id % 50 = 0', 10)} SELECT query_id, doc_id, score, rank FROM vector_rank",
     "hybrid_rrf": f"""WITH {_bm25(False, 30)}, {_vectors("q.vec_id IN (SELECT item_id FROM benchmark)", 30)},
         z AS (SELECT query_id, doc_id, CAST(sum(CAST(round(1e6 / (60 + rank)) AS BIGINT)) AS BIGINT) AS score FROM (SELECT query_id, doc_id, rank FROM text_rank UNION ALL SELECT query_id, doc_id, rank FROM vector_rank) GROUP BY ALL),

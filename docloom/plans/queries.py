@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from docloom.config import Limits
 from docloom.functions import answers, text
-from docloom.operators import context, governance, identity, runs, search, state
+from docloom.operators import context, governance, identity, mentions, runs, search, state, text_index, vector_index
 from docloom.schemas import ANALYSIS_VERSIONS, RUN_KEY, RUN_STATES, SOURCE_KEY, legal_edges
 from docloom.sources import documents as src
 from docloom.sources import providers, store
@@ -394,6 +394,17 @@ def transition_cas(spark, sf_dir):
     return state.compare_and_set(rows, asked)
 
 
+@query
+def transition_contest(spark, sf_dir):
+    """Three proposals for each run, two of which expect its state, and some for runs that aren't there."""
+    name = lambda k: F.element_at(F.array(*(F.lit(s) for s in RUN_STATES)), (k % 9 + 1).cast("int"))
+    i = F.col("doc_id")
+    rows = docs(spark, sf_dir).where("doc_id % 10 <> 4").select(i.alias("run_id"), name(i).alias("state"))
+    turns = [(1, name(i), name(i + 1 + i % 7)), (2, name(i), name(i + 1 + F.floor(i / 9) % 8)), (3, name(i + 1 + F.floor(i / 9) % 8), name(i + 2 + i % 5))]
+    asked = docs(spark, sf_dir).select(i.alias("run_id"), F.explode(F.array(*(F.struct(F.lit(t).cast("long").alias("turn"), e.alias("expected_state"), to.alias("to_state")) for t, e, to in turns))).alias("p")).select("run_id", "p.*")
+    return state.compare_and_set(rows, asked, "turn")
+
+
 @query
 def state_replay(spark, sf_dir):
     names = F.array(*(F.lit(s) for s in RUN_STATES))
@@ -511,6 +522,59 @@ def vector_topk(spark, sf_dir):
     return search.nearest(vectors, vectors.where("vec_id % 50 = 0"), TOP)
 
 
+def _vector_index(spark, sf_dir):
+    return vector_index.VectorIndex.build(src.table(spark, sf_dir, "embeddings"))
+
+
+def _near(spark, sf_dir, index):
+    asked = src.table(spark, sf_dir, "embeddings").where("vec_id % 50 = 0")
+    if index is None:  # nothing to index
+        return spark.createDataFrame([], "query_id long, doc_id long, score long, rank long")
+    return index.search(asked, TOP)
+
+
+@query
+def vector_ann_topk(spark, sf_dir):
+    """What vector_topk asks, from an index of all vectors, by the cells that each query probes."""
+    return _near(spark, sf_dir, _vector_index(spark, sf_dir))
+
+
+@query
+def vector_ann_recall(spark, sf_dir):
+    """How many of the exact results the index finds, and whether that is 0.9 of them."""
+    counts = vector_index.recall(_near(spark, sf_dir, _vector_index(spark, sf_dir)), vector_topk(spark, sf_dir))
+    return counts.agg(F.count(F.lit(1)).alias("queries"), F.sum("wanted").alias("wanted"), (F.sum("found") * 10 >= F.sum("wanted") * 9).alias("enough"))
+
+
+def _text_index(spark, sf_dir):
+    """All documents in three segments: two batches, the second of which is then replaced in part by the third; some
+    documents of the first are in an older text."""
+    whole = docs(spark, sf_dir).select("doc_id", "text", "lang")
+    older = whole.withColumn("text", F.when(F.col("doc_id") % 10 == 3, F.concat(F.coalesce("text", F.lit("")), F.lit(" an older text"))).otherwise(F.col("text")))
+    return text_index.indexed(spark, [older.where("doc_id % 10 < 5"), whole.where("doc_id % 10 >= 5"), whole.where("doc_id % 10 = 3")], "lang")
+
+
+@query
+def fts_index_topk(spark, sf_dir):
+    """What fts_bm25_topk asks, from an index in segments."""
+    return _text_index(spark, sf_dir).search(_questions(spark, sf_dir), TOP)[0]
+
+
+@query
+def fts_index_merged(spark, sf_dir):
+    """The same after the segments were merged and a tenth of the documents deleted."""
+    index = _text_index(spark, sf_dir)
+    index.merge([1, 2, 3], 4)
+    index.delete(docs(spark, sf_dir).where("doc_id % 10 = 7").select("doc_id"), 4)
+    return index.search(_questions(spark, sf_dir), TOP)[0]
+
+
+@query
+def fts_index_blocks(spark, sf_dir):
+    """Blocks that hold a word of a query, and those of them that were scored."""
+    return _text_index(spark, sf_dir).search(_questions(spark, sf_dir), TOP)[1]
+
+
 @query
 def hybrid_rrf(spark, sf_dir):
     vectors = src.table(spark, sf_dir, "embeddings")
@@ -612,6 +676,43 @@ def entity_mentions(spark, sf_dir):
     return governance.host_entities(src.table(spark, sf_dir, "pages"))
 
 
+@query
+def text_mentions(spark, sf_dir):
+    """Entities that documents mention by the titles, hosts and link texts of pages."""
+    return mentions.text_mentions(docs(spark, sf_dir), mentions.page_aliases(src.table(spark, sf_dir, "pages")))
+
+
+@query
+def hybrid_mentions(spark, sf_dir):
+    """Text rank fused with the candidates' ranks by how many entities they mention that the query mentions too."""
+    aliases = mentions.page_aliases(src.table(spark, sf_dir, "pages"))
+    questions = _questions(spark, sf_dir)
+    found = search.bm25(docs(spark, sf_dir), questions, 30)
+    asked = mentions.text_mentions(questions.withColumnRenamed("query_id", "doc_id"), aliases)
+    of_found = mentions.text_mentions(docs(spark, sf_dir).join(found.select("doc_id").distinct(), "doc_id", "left_semi"), aliases)
+    return search.fused(docs(spark, sf_dir), TOP, found, mentions.shared_entities(found, asked, of_found))
+
+
+def _merges(spark, sf_dir):
+    """Made of the pages: each host's domain is merged into that of the next page by id, in two versions of four taken
+    back again."""
+    host = governance.registered_domain(governance.host_of(F.col("url")))
+    pages = src.table(spark, sf_dir, "pages").select("page_id", F.concat(host, F.lit("/"), (F.col("page_id") % 50).cast("string")).alias("entity"))
+    following = pages.select((F.col("page_id") - 1).alias("page_id"), F.col("entity").alias("into"))
+    both = pages.join(following, "page_id").where("entity > into")  # down by name: no circles
+    return both.select("page_id", "entity", "into"), both.select(F.col("page_id").alias("version"), "entity", "into", F.lit(False).alias("undone")).unionByName(both.where("page_id % 4 < 2").select((F.col("page_id") + 100_000_000).alias("version"), "entity", "into", F.lit(True).alias("undone")))
+
+
+@query
+def entity_merges(spark, sf_dir):
+    """What each entity is after all merges, and what it was before any was undone."""
+    pages, log = _merges(spark, sf_dir)
+    entities = pages.select("entity").distinct()
+    now = mentions.merged_entities(entities, log).select("entity", F.col("merged").alias("now"))
+    before = mentions.merged_entities(entities, log, 99_999_999).select("entity", F.col("merged").alias("before"))
+    return now.join(before, "entity")
+
+
 @query
 def metrics_rollup(spark, sf_dir):
     tenants = docs(spark, sf_dir).select(F.col("doc_id").alias("run_id"), "source")

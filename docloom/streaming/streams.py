@@ -12,22 +12,30 @@ from pyspark.sql import functions as F
 
 from docloom.schemas import LEGAL_EDGES, RUN_STATES
 from docloom.sources.stage import work_path
+from docloom.sources.store import _exists
 
 
 #: Files that a trigger takes: the bound of a batch.
 FILES = 64
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(found).isDirectory()
+
+
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events with ts as a timestamp, which a watermark needs."""
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", FILES).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    path = f"{sf_dir}/events.parquet"
+    files = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", FILES)
+    # a stream reads folders: a table that is one file is picked out of its folder
+    rows = files.parquet(path) if is_folder(spark, path) else files.option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def drained(stream: DataFrame, mode: str, key: list[str] | None = None, path: str | None = None) -> DataFrame:
     """What the query has written when its input is used up. A batch's rows go to a folder of its number, so a repeated
-    batch replaces itself; of updated rows with a ``key``, the last one counts. With the ``path`` of an earlier call it
+    batch replaces itself; of updated rows with a ``key``, the last one counts. Nothing read, nothing returned. With the ``path`` of an earlier call it
     goes on from there."""
     spark, root = stream.sparkSession, path or work_path(stream.sparkSession, "stream")
     out = f"{root}/out"
@@ -37,6 +45,8 @@ def drained(stream: DataFrame, mode: str, key: list[str] | None = None, path: st
 
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/checkpoint").foreachBatch(write).trigger(availableNow=True).start()
     query.awaitTermination()
+    if not _exists(spark, out):  # no file has come yet
+        return spark.createDataFrame([], stream.schema)
     rows = spark.read.schema(f"{stream.schema.toDDL()}, batch long").option("basePath", out).parquet(out)
     if key is None:
         return rows.select(*stream.columns)

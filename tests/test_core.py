@@ -37,7 +37,7 @@ def duck(sf_dir):
     return con
 
 
-@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+@pytest.mark.parametrize("name", sorted(oracles.ORACLES))
 def test_query_equals_sql(spark, sf_dir, duck, name):
     got = queries.QUERIES[name](spark, sf_dir)
     found = duck.sql(oracles.ORACLES[name])
