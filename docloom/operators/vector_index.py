@@ -27,8 +27,8 @@ from docloom.sources.stage import work_path
 SAMPLE, TRIED = 20_000, 200
 #: Most cells, codewords of a part, components of a part, rounds of k-means.
 CELLS, WORDS, PART, ROUNDS = 4_096, 256, 2, 8
-#: Queries and codes of a block, blocks of queries for which a task holds its best results.
-QUERY_BLOCK, CODE_BLOCK, HELD = 256, 1_024, 32
+#: Codes of a block, queries of a group, parts into which a group's codes are dealt.
+CODE_BLOCK, QUERY_GROUP, PARTS = 1_024, 1_024, 4
 #: Entries of a query's shortlist for each result that it wants.
 SHORTLIST = 10
 
@@ -141,63 +141,85 @@ class VectorIndex:
         rows = spark.read.schema(f"id long, code binary, vector {self.vector_type}, cell int").parquet(self.path)
         return rows if cells is None else rows.where(F.col("cell").isin(cells))
 
-    def probes_of(self, queries: DataFrame, probes: int, id_col: str, vector_col: str) -> DataFrame:
-        """cell, query_id, query (its unit vector's bytes) for each cell that a query probes."""
+    def asked(self, queries: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+        """nearest (cell), query_id, query (its unit vector's bytes) of each query, repeated rows once."""
         quantizer = self.quantizer
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 q = unit_rows(b.column(1), quantizer.length)
-                cell = quantizer.probed(q, probes)
-                times = np.repeat(np.arange(len(q)), cell.shape[1])
-                raw = pa.array([v.tobytes() for v in q], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(cell.reshape(-1).astype(np.int32)), b.column(0).take(pa.array(times)), raw.take(pa.array(times))], names=["cell", "query_id", "query"])
+                cell = quantizer.probed(q, 1)[:, 0].astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(cell), b.column(0), pa.array([v.tobytes() for v in q], pa.binary())], names=["nearest", "query_id", "query"])
 
         rows = usable(queries, id_col, vector_col).where(F.size("vector") == quantizer.length)
-        return rows.mapInArrow(run, "cell int, query_id long, query binary")
+        return rows.mapInArrow(run, "nearest int, query_id long, query binary").distinct()
+
+    def grouped(self, asked: DataFrame) -> DataFrame:
+        """grp, query_id, query: queries in groups of about QUERY_GROUP, those of near cells together; a cell that is the
+        nearest of more queries is dealt to several groups."""
+        counts = {r.nearest: r["count"] for r in asked.groupBy("nearest").count().collect()}  # at most CELLS numbers
+        centres = self.quantizer.centres
+        axis = np.linalg.svd(centres - centres.mean(axis=0), full_matrices=False)[2][0]
+        filled, rows = 0, []
+        for cell in sorted(counts, key=lambda c: (float(centres[c] @ axis), c)):
+            rows.append((cell, filled // QUERY_GROUP, -(-counts[cell] // QUERY_GROUP)))
+            filled += counts[cell]
+        places = asked.sparkSession.createDataFrame(rows, "nearest int, first int, parts int")
+        grp = (F.col("first") + F.pmod(F.xxhash64("query_id", "query"), F.col("parts"))).cast("int")
+        return asked.join(F.broadcast(places), "nearest").select(grp.alias("grp"), "query_id", "query")  # at most CELLS rows
+
+    def probed_cells(self, groups: DataFrame, probes: int) -> DataFrame:
+        """grp, cell: the cells that queries of a group probe."""
+        quantizer = self.quantizer
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                grp = b.column(0).to_numpy()
+                q = np.frombuffer(b"".join(b.column(1).to_pylist())).reshape(len(grp), -1)
+                cell = quantizer.probed(q, probes)
+                both = np.unique(np.stack([np.repeat(grp, cell.shape[1]), cell.reshape(-1)], axis=1), axis=0).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["grp", "cell"])
+
+        return groups.select("grp", "query").mapInArrow(run, "grp int, cell int").distinct()
 
     def search(self, queries: DataFrame, k: int, probes: int | None = None, shortlist: int = SHORTLIST, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
         """query_id, doc_id, score (cosine in millionths), rank: k near others of each query, of the cells that it
-        probes; scores are exact, a neighbour may be missed. A query without a cosine has no row."""
+        probes; scores are exact, a neighbour may be missed. A query without a cosine has no row.
+
+        Codes go to groups of queries: a task has a group's queries first, then the blocks of codes of one in PARTS of
+        the cells that the group probes, and holds each query's shortlist. So a query leaves PARTS shortlists, however
+        many vectors, cells and tasks there are."""
         quantizer, probes = self.quantizer, min(probes or self.quantizer.probes, len(self.quantizer.centres))
-        asked = self.probes_of(queries, probes, id_col, vector_col)
-        cells = sorted(r.cell for r in asked.select("cell").distinct().collect())  # at most CELLS numbers
+        groups = self.grouped(self.asked(queries, id_col, vector_col))
+        pairs = self.probed_cells(groups, probes)
+        cells = sorted(r.cell for r in pairs.select("cell").distinct().collect())  # at most CELLS numbers
         table = self.table(queries.sparkSession, cells)
         blocks = table.select("cell", "id", "code").mapInArrow(packed(CODE_BLOCK), "cell int, ids binary, data binary")
-        dealt = asked.repartitionByRange("cell", "query_id").sortWithinPartitions("cell", "query_id")
-        wanted = dealt.mapInArrow(packed(QUERY_BLOCK), "cell int, ids binary, data binary").selectExpr("cell", "ids as query_ids", "data as queries")
+        dealt = blocks.join(pairs, "cell").select("grp", F.pmod(F.xxhash64("cell", "ids"), F.lit(PARTS)).cast("int").alias("part"), "cell", F.lit(None).cast("long").alias("query_id"), "ids", "data")
+        wanted = groups.select("grp", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"), F.lit(-1).alias("cell"), "query_id", F.lit(None).cast("binary").alias("ids"), F.col("query").alias("data"))
+        rows = wanted.unionByName(dealt).repartition("grp", "part").sortWithinPartitions("grp", "part", "cell", "query_id", "ids")
         keep = k * shortlist
 
         def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-
-            def flush() -> Iterator[pa.RecordBatch]:
-                for query, (score, doc, cell) in held.items():
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(doc), query)), pa.array(doc), pa.array(cell.astype(np.int32)), pa.array(score)], names=["query_id", "doc_id", "cell", "score"])
-                held.clear()
-
+            key, names, raw, lists = None, [], [], None
             for batch in batches:
-                for cell, ids, codes, query_ids, raw in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                    doc, query = np.frombuffer(ids, np.int64), np.frombuffer(query_ids, np.int64)
-                    x = quantizer.decoded(cell, np.frombuffer(codes, np.uint8).reshape(len(doc), -1))
-                    near = np.frombuffer(raw).reshape(len(query), -1) @ x.T
-                    near[query[:, None] == doc[None, :]] = -2
-                    best = np.argpartition(-near, min(keep, len(doc)) - 1, axis=1)[:, :keep]
-                    for i, q in enumerate(query.tolist()):
-                        found = near[i, best[i]], doc[best[i]], np.full(best.shape[1], cell)
-                        if q in held:
-                            found = [np.concatenate(c) for c in zip(held[q], found, strict=True)]
-                            order = np.lexsort((found[1], -found[0]))[:keep]
-                            found = [c[order] for c in found]
-                        held[q] = tuple(found)
-                if len(held) > HELD * QUERY_BLOCK:
-                    yield from flush()
-            yield from flush()
-
-        pairs = blocks.join(wanted, "cell").select("cell", "ids", "data", "query_ids", "queries")
-        scored = pairs.mapInArrow(score, "query_id long, doc_id long, cell int, score double").where("score > -2")
+                for grp, part, cell, query, ids, data in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+                    if (grp, part) != key:
+                        if lists is not None:
+                            yield lists.batch()
+                        key, names, raw, lists = (grp, part), [], [], None
+                    if cell < 0:
+                        names.append(query), raw.append(data)
+                        continue
+                    if lists is None:
+                        lists = Shortlists(quantizer, np.array(names), np.frombuffer(b"".join(raw)).reshape(len(names), -1), probes, keep)
+                    lists.add(cell, np.frombuffer(ids, np.int64), np.frombuffer(data, np.uint8))
+            if lists is not None:
+                yield lists.batch()
+
+        scored = rows.mapInArrow(score, "query_id long, doc_id long, cell int, score double")
         first = scored.withColumn("place", F.expr("row_number() over (partition by query_id order by score desc, doc_id)")).where(F.col("place") <= keep).select("query_id", "doc_id", "cell")
-        named = usable(queries, id_col, vector_col).select(F.col("id").alias("query_id"), F.col("vector").alias("query"))
+        named = usable(queries, id_col, vector_col).select(F.col("id").alias("query_id"), F.col("vector").alias("query")).distinct()
         both = first.join(table.select("cell", F.col("id").alias("doc_id"), "vector"), ["cell", "doc_id"]).join(named, "query_id").select("query_id", "doc_id", "query", "vector")
 
         def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,6 +230,35 @@ class VectorIndex:
         return ranked(both.mapInArrow(rank, "query_id long, doc_id long, score long"), k)
 
 
+class Shortlists:
+    """The ``keep`` best codes so far of each of a group's queries; the least of them is the bar that others must pass."""
+
+    def __init__(self, quantizer: Quantizer, names: np.ndarray, queries: np.ndarray, probes: int, keep: int) -> None:
+        self.quantizer, self.names, self.queries = quantizer, names, queries
+        self.probes = np.zeros((len(names), len(quantizer.centres)), bool)
+        np.put_along_axis(self.probes, quantizer.probed(queries, probes), True, axis=1)
+        self.score = np.full((len(names), keep), -np.inf)
+        self.doc, self.cell = np.zeros((len(names), keep), np.int64), np.zeros((len(names), keep), np.int32)
+
+    def add(self, cell: int, doc: np.ndarray, codes: np.ndarray) -> None:
+        at = np.flatnonzero(self.probes[:, cell])
+        near = self.queries[at] @ self.quantizer.decoded(cell, codes.reshape(len(doc), -1)).T
+        near[self.names[at][:, None] == doc[None, :]] = -np.inf
+        over = (near > self.score[at].min(axis=1)[:, None]).any(axis=1)
+        at, near = at[over], near[over]
+        keep = self.score.shape[1]
+        score = np.concatenate([self.score[at], near], axis=1)
+        best = np.argpartition(-score, keep - 1, axis=1)[:, :keep]
+        docs = np.concatenate([self.doc[at], np.broadcast_to(doc, near.shape)], axis=1)
+        cells = np.concatenate([self.cell[at], np.full(near.shape, cell, np.int32)], axis=1)
+        self.score[at], self.doc[at], self.cell[at] = (np.take_along_axis(c, best, axis=1) for c in (score, docs, cells))
+
+    def batch(self) -> pa.RecordBatch:
+        found = np.isfinite(self.score)
+        names = np.repeat(self.names, found.sum(axis=1))
+        return pa.RecordBatch.from_arrays([pa.array(names), pa.array(self.doc[found]), pa.array(self.cell[found]), pa.array(self.score[found])], names=["query_id", "doc_id", "cell", "score"])
+
+
 def packed(size: int):
     """For mapInArrow: rows (cell, id, bytes of one length), together by cell, as blocks (cell, ids, data)."""
 
