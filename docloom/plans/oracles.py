@@ -145,6 +145,15 @@ _STATES_SQL = f"""WITH RECURSIVE {_EVENT_LOG},
         UNION ALL SELECT f.run_id, o.n, CASE WHEN list_contains({_EDGES}, f.state || '>' || o.to_state) THEN o.to_state ELSE f.state END, f.moves + CAST(list_contains({_EDGES}, f.state || '>' || o.to_state) AS BIGINT) FROM f JOIN o ON o.run_id = f.run_id AND o.n = f.n + 1)
     SELECT run_id, state, moves, n - moves AS rejected FROM f QUALIFY n = max(n) OVER (PARTITION BY run_id)"""
 
+_HOUR = 3_600_000
+_DEADLINES = f"""WITH RECURSIVE o AS (SELECT user_id || '/' || strftime(ts, '%Y-%m-%d') AS run_id, (epoch_us(ts) // 1000) AS at_ms, {_STATES}[event_id * 7 % 9 + 1] AS to_state, row_number() OVER (PARTITION BY user_id, strftime(ts, '%Y-%m-%d') ORDER BY (epoch_us(ts) // 1000), event_id) AS n FROM events),
+    f AS (SELECT run_id, CAST(0 AS BIGINT) AS n, 'queued' AS state, CAST(0 AS BIGINT) AS moves, CAST(0 AS BIGINT) AS rejected, CAST(NULL AS VARCHAR) AS reason, CAST(NULL AS BIGINT) AS ended_ms, at_ms + {3 * _HOUR} AS due FROM o WHERE n = 1
+        UNION ALL SELECT run_id, n, CASE WHEN ok THEN to_state WHEN over THEN 'failed' ELSE state END, moves + CAST(ok AS BIGINT), rejected + CAST(NOT ok AS BIGINT),
+            CASE WHEN over THEN 'deadline' WHEN ok AND to_state IN ('completed', 'failed') THEN 'move' ELSE reason END, CASE WHEN over THEN due WHEN ok AND to_state IN ('completed', 'failed') THEN at_ms ELSE ended_ms END, CASE WHEN ok THEN at_ms + {3 * _HOUR} ELSE due END
+        FROM (SELECT f.*  EXCLUDE (n), o.n, o.at_ms, o.to_state, reason IS NULL AND at_ms > due AS over, reason IS NULL AND at_ms <= due AND list_contains({_EDGES}, f.state || '>' || o.to_state) AS ok FROM f JOIN o ON o.run_id = f.run_id AND o.n = f.n + 1)),
+    e AS (SELECT *, reason IS NULL AND due <= (SELECT max((epoch_us(ts) // 1000)) - {_HOUR} FROM events) AS over FROM f QUALIFY n = max(n) OVER (PARTITION BY run_id))
+    SELECT run_id, CASE WHEN over THEN 'failed' ELSE state END AS state, moves, rejected, CASE WHEN over THEN 'deadline' ELSE reason END AS reason, CASE WHEN over THEN due ELSE ended_ms END AS ended_ms FROM e"""
+
 _REDACT = "coalesce(text, '')"
 for _pattern, _name in (("[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[.][A-Za-z]{2,}", "[email]"), ("[0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}", "[ip]"), ("[0-9a-f]{32,}", "[secret]"), ("[+][0-9]{1,2} [(][0-9]{3}[)] [0-9]{3}-[0-9]{4}", "[phone]"), ("[0-9]{13,19}", "[number]")):
     _REDACT = f"regexp_replace({_REDACT}, '{_pattern}', '{_name}', 'g')"
@@ -300,4 +309,9 @@ ORACLES: dict[str, str] = {
         s AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM g)
         SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS session_start, strftime(max(ts) + INTERVAL 1 HOUR, '%Y-%m-%d %H:%M:%S.%f') AS session_end, count(*) AS n FROM s GROUP BY user_id, s HAVING max(ts) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 1 DAY FROM events)""",
     "stream_states": _STATES_SQL,
+    "stream_deadlines": _DEADLINES,
+    "stream_answers": """WITH r AS (SELECT user_id, event_id AS request_id, ts FROM events WHERE event_type = 'view'), a AS (SELECT user_id, event_id AS answer_id, ts FROM events WHERE event_type = 'purchase'),
+        m AS (SELECT request_id, answer_id, (epoch_us(a.ts) // 1000) - (epoch_us(r.ts) // 1000) AS waited_ms FROM r JOIN a ON r.user_id = a.user_id AND a.ts BETWEEN r.ts AND r.ts + INTERVAL 1 HOUR),
+        w AS (SELECT least((SELECT max(ts) FROM r), (SELECT max(ts) FROM a)) - INTERVAL 1 HOUR AS mark)
+        SELECT * FROM m UNION ALL SELECT request_id, NULL, NULL FROM r, w WHERE r.ts + INTERVAL 1 HOUR < mark AND request_id NOT IN (SELECT request_id FROM m)""",
 }

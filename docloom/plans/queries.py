@@ -806,3 +806,15 @@ def stream_states(spark, sf_dir):
     return streams.run_states(spark, sf_dir)
 
 
+
+
+@query
+def stream_answers(spark, sf_dir):
+    """Requests with their answers within an hour, and those that stay without one."""
+    return streams.request_answers(spark, sf_dir)
+
+
+@query
+def stream_deadlines(spark, sf_dir):
+    """Runs that make no legal move in time fail by a timer."""
+    return streams.run_deadlines(spark, sf_dir)

@@ -1,14 +1,17 @@
-"""Structured Streaming over the events table: windows, inbox dedup, sessions and the live run state machine.
+"""Structured Streaming over the events table: windows, inbox dedup, sessions, requests joined with their answers, the
+live run state machine and deadlines of runs.
 
 Each function reads the events as a file stream, runs until all of it is processed and returns what the sink holds."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from docloom.schemas import LEGAL_EDGES, RUN_STATES
 from docloom.sources.stage import work_path
@@ -105,3 +108,109 @@ def run_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     live = moves.groupBy("run_id").applyInPandasWithState(step, "run_id long, state string, moves long, rejected long", "state string, moves long, rejected long", "update", "NoTimeout")
     out = drained(live, "update")
     return out.groupBy("run_id").agg(F.max_by(F.struct("state", "moves", "rejected"), F.col("moves") + F.col("rejected")).alias("r")).select("run_id", "r.state", "r.moves", "r.rejected")
+
+
+def answered(requests: DataFrame, answers: DataFrame, within: str = "1 hour", lateness: str = "1 hour") -> DataFrame:
+    """request_id, answer_id, waited_ms: each request (subject, request_id, requested_at) with every answer (subject,
+    answer_id, answered_at) to its subject that comes ``within`` that time after it; a request that none can answer any
+    more comes once, with nulls. Both sides may be late by ``lateness``: later rows are dropped, and a side's rows leave
+    the state once the other side's watermark shows that nothing can meet them, so state holds ``within`` plus
+    ``lateness`` of each stream. A null subject is answered by nothing."""
+    a = requests.withWatermark("requested_at", lateness).withColumnRenamed("subject", "_subject")
+    b = answers.withWatermark("answered_at", lateness)
+    meet = F.expr(f"_subject = subject and answered_at >= requested_at and answered_at <= requested_at + interval {within}")
+    waited = F.unix_millis("answered_at") - F.unix_millis("requested_at")
+    return a.join(b, meet, "left_outer").select("request_id", "answer_id", waited.alias("waited_ms"))
+
+
+def request_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Views as requests and the same user's purchases of the next hour as their answers. Requests that could still be
+    answered when the input ends are not shown yet."""
+    events = lambda kind, name, at: event_stream(spark, sf_dir).where(F.col("event_type") == kind).select(F.col("user_id").alias("subject"), F.col("event_id").alias(name), F.col("ts").alias(at))
+    return drained(answered(events("view", "request_id", "requested_at"), events("purchase", "answer_id", "answered_at")), "append")
+
+
+@contextmanager
+def rocksdb(spark: SparkSession) -> Iterator[None]:
+    """State of many variables and timers needs this store; the session's setting comes back afterwards."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+LIVE = "state string, moves long, rejected long, reason string, ended_ms long"
+
+
+class Deadlines(StatefulProcessor):
+    """A run's state with a timer: without a legal move for ``deadline_ms`` a run fails, whether by the next move, which
+    comes too late, or by the watermark. An ended run is kept for ``keep_ms`` to reject what still comes, then forgotten."""
+
+    def __init__(self, deadline_ms: int, keep_ms: int) -> None:
+        self.deadline_ms, self.keep_ms = deadline_ms, keep_ms
+        self.legal = set(LEGAL_EDGES)
+        self.open = {a for a, _ in LEGAL_EDGES}
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.run = handle.getValueState("run", f"{LIVE}, due_ms long")
+
+    def set_timer(self, at: int) -> None:
+        for old in list(self.handle.listTimers()):
+            self.handle.deleteTimer(old)
+        self.handle.registerTimer(at)
+
+    def row(self, key: tuple, run: list) -> pd.DataFrame:
+        columns = ["run_id", *(c.split()[0] for c in LIVE.split(", "))]
+        return pd.DataFrame([[key[0], *run[:5]]], columns=columns).astype({"ended_ms": "Int64"})
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        frames = pd.concat(list(rows)).sort_values(["at_ms", "seq"])  # one trigger's moves of one run
+        run = list(self.run.get()) if self.run.exists() else None
+        for at, to in zip(frames["at_ms"].tolist(), frames["to_state"].tolist(), strict=True):
+            if run is None:
+                run = ["queued", 0, 0, None, None, at + self.deadline_ms]
+            if run[3] is None and at > run[5]:
+                run[0], run[3], run[4] = "failed", "deadline", run[5]
+            if run[3] is None and (run[0], to) in self.legal:
+                run[0], run[1], run[5] = to, run[1] + 1, at + self.deadline_ms
+                if to not in self.open:
+                    run[3], run[4] = "move", at
+            else:
+                run[2] += 1
+        if run[3] is None and run[5] <= timerValues.getCurrentWatermarkInMs():  # over already: one row of a run a trigger
+            run[0], run[3], run[4] = "failed", "deadline", run[5]
+        self.run.update(tuple(run))
+        self.set_timer(run[5] if run[3] is None else run[4] + self.keep_ms)
+        yield self.row(key, run)
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        run = list(self.run.get())
+        if run[3] is not None:
+            self.run.clear()
+            return
+        run[0], run[3], run[4] = "failed", "deadline", run[5]
+        self.run.update(tuple(run))
+        self.handle.registerTimer(run[4] + self.keep_ms)
+        yield self.row(key, run)
+
+
+def with_deadlines(moves: DataFrame, deadline_ms: int, keep_ms: int, lateness: str = "1 hour") -> DataFrame:
+    """run_id, state, moves, rejected, reason (how the run ended: deadline or move; null while it is open), ended_ms, to
+    be written in update mode, of a stream of (run_id, ts, seq, to_state). A run begins with its first move; moves of one
+    trigger are taken by time and seq. Moves later than ``lateness`` behind the watermark are dropped, so ``keep_ms`` of
+    at least the span of a run's moves beyond its end keeps a run from beginning again."""
+    late = moves.withWatermark("ts", lateness).withColumn("at_ms", F.unix_millis("ts"))
+    return late.groupBy("run_id").transformWithStateInPandas(Deadlines(deadline_ms, keep_ms), f"run_id {dict(moves.dtypes)['run_id']}, {LIVE}", "update", "eventTime")
+
+
+def run_deadlines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's events of a day as moves of a run that fails after three hours without a legal one."""
+    names = F.array(*(F.lit(s) for s in RUN_STATES))
+    run_id = F.concat_ws("/", F.col("user_id").cast("string"), F.date_format("ts", "yyyy-MM-dd"))
+    moves = event_stream(spark, sf_dir).select(run_id.alias("run_id"), "ts", F.col("event_id").alias("seq"), F.element_at(names, (F.col("event_id") * 7 % 9 + 1).cast("int")).alias("to_state"))
+    with rocksdb(spark):
+        return drained(with_deadlines(moves, 3 * 3_600_000, 2 * 86_400_000), "update", ["run_id"])
