@@ -145,6 +145,9 @@ _STATES_SQL = f"""WITH RECURSIVE {_EVENT_LOG},
         UNION ALL SELECT f.run_id, o.n, CASE WHEN list_contains({_EDGES}, f.state || '>' || o.to_state) THEN o.to_state ELSE f.state END, f.moves + CAST(list_contains({_EDGES}, f.state || '>' || o.to_state) AS BIGINT) FROM f JOIN o ON o.run_id = f.run_id AND o.n = f.n + 1)
     SELECT run_id, state, moves, n - moves AS rejected FROM f QUALIFY n = max(n) OVER (PARTITION BY run_id)"""
 
+_CALLS = "c AS (SELECT event_type, epoch_us(ts) // 1000 AS s, epoch_us(ts) // 1000 + CAST(round(value * 1000) AS BIGINT) * 600 AS e FROM events)"
+_OVERLAPS = f"""{_CALLS}, p AS (SELECT event_type, at_ms, sum(delta) AS delta FROM (SELECT event_type, s AS at_ms, 1 AS delta FROM c WHERE e > s UNION ALL SELECT event_type, e, -1 FROM c WHERE e > s) GROUP BY ALL HAVING sum(delta) <> 0),
+    r AS (SELECT event_type, at_ms, CAST(sum(delta) OVER (PARTITION BY event_type ORDER BY at_ms) AS BIGINT) AS running FROM p)"""
 _HOUR = 3_600_000
 _DEADLINES = f"""WITH RECURSIVE o AS (SELECT user_id || '/' || strftime(ts, '%Y-%m-%d') AS run_id, (epoch_us(ts) // 1000) AS at_ms, {_STATES}[event_id * 7 % 9 + 1] AS to_state, row_number() OVER (PARTITION BY user_id, strftime(ts, '%Y-%m-%d') ORDER BY (epoch_us(ts) // 1000), event_id) AS n FROM events),
     f AS (SELECT run_id, CAST(0 AS BIGINT) AS n, 'queued' AS state, CAST(0 AS BIGINT) AS moves, CAST(0 AS BIGINT) AS rejected, CAST(NULL AS VARCHAR) AS reason, CAST(NULL AS BIGINT) AS ended_ms, at_ms + {3 * _HOUR} AS due FROM o WHERE n = 1
@@ -303,6 +306,11 @@ ORACLES: dict[str, str] = {
     "import_reconciliation": "SELECT doc_id, CASE WHEN doc_id % 11 = 3 THEN 'missing' WHEN doc_id % 5 = 0 THEN 'added' WHEN doc_id % 7 = 0 THEN 'changed' ELSE 'same' END AS status FROM documents WHERE doc_id % 11 <> 3 OR doc_id % 5 <> 0",
     "eval_precision_recall": """WITH g AS (SELECT lang, count(*) FILTER (n_chars >= 1000 AND quality = 1) AS true_positives, count(*) FILTER (n_chars >= 1000) AS p, count(*) FILTER (quality = 1) AS t FROM labels JOIN documents USING (doc_id) GROUP BY lang)
         SELECT lang, true_positives, true_positives * 1000000 // nullif(p, 0) AS precision, true_positives * 1000000 // nullif(t, 0) AS recall FROM g""",
+    "concurrency_peaks": f"WITH {_OVERLAPS} SELECT event_type, running AS peak, at_ms AS peak_at_ms FROM r QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY running DESC, at_ms) = 1",
+    "concurrency_periods": f"""WITH {_OVERLAPS}, m AS (SELECT *, lead(at_ms) OVER w AS until_ms, running > 8 AS over, coalesce(lag(running > 8) OVER w, false) AS was FROM r WINDOW w AS (PARTITION BY event_type ORDER BY at_ms)),
+        g AS (SELECT *, sum(CAST(over AND NOT was AS INT)) OVER (PARTITION BY event_type ORDER BY at_ms) AS k FROM m)
+        SELECT event_type, min(at_ms) AS from_ms, max(until_ms) AS until_ms, max(running) AS peak FROM g WHERE over GROUP BY event_type, k""",
+    "latency_rank_error": "SELECT event_type, quantile, count(*) AS n, true AS within FROM events, (SELECT unnest([0.5, 0.9, 0.99]::DOUBLE[]) AS quantile) WHERE value IS NOT NULL GROUP BY ALL",
     "stream_windows": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) AS n, CAST(sum(CAST(round(value * 1000) AS BIGINT)) AS BIGINT) AS total FROM events GROUP BY ALL",
     "stream_inbox": "SELECT DISTINCT user_id, event_type FROM events",
     "stream_sessions": """WITH g AS (SELECT user_id, ts, CAST(coalesce(ts - lag(ts) OVER w >= INTERVAL 1 HOUR, true) AS INT) AS opens FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
