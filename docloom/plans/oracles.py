@@ -304,6 +304,7 @@ ORACLES: dict[str, str] = {
         SELECT source, 'links_to' AS relation, target, count(*) AS mentions FROM t WHERE target IS NOT NULL GROUP BY ALL""",
     "citation_spans": f"WITH {_ATTEMPTS} SELECT run_id AS doc_id, CAST(0 AS BIGINT) AS block_index, CASE WHEN run_id % 4 = 1 THEN 'changed_span' END AS problem FROM a WHERE outcome = 'accepted'",
     "import_reconciliation": "SELECT doc_id, CASE WHEN doc_id % 11 = 3 THEN 'missing' WHEN doc_id % 5 = 0 THEN 'added' WHEN doc_id % 7 = 0 THEN 'changed' ELSE 'same' END AS status FROM documents WHERE doc_id % 11 <> 3 OR doc_id % 5 <> 0",
+    "import_reconciliation_digests": "SELECT doc_id, CASE WHEN doc_id % 11 = 3 THEN 'missing' WHEN doc_id % 5 = 0 THEN 'added' WHEN doc_id % 7 = 0 THEN 'changed' ELSE 'same' END AS status FROM documents WHERE doc_id % 11 <> 3 OR doc_id % 5 <> 0",
     "eval_precision_recall": """WITH g AS (SELECT lang, count(*) FILTER (n_chars >= 1000 AND quality = 1) AS true_positives, count(*) FILTER (n_chars >= 1000) AS p, count(*) FILTER (quality = 1) AS t FROM labels JOIN documents USING (doc_id) GROUP BY lang)
         SELECT lang, true_positives, true_positives * 1000000 // nullif(p, 0) AS precision, true_positives * 1000000 // nullif(t, 0) AS recall FROM g""",
     "concurrency_peaks": f"WITH {_OVERLAPS} SELECT event_type, running AS peak, at_ms AS peak_at_ms FROM r QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY running DESC, at_ms) = 1",

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from docloom.config import Limits
 from docloom.functions import answers, text
-from docloom.operators import context, governance, identity, latency, mentions, runs, search, state, text_index, vector_index
+from docloom.operators import context, digest_tree, governance, identity, latency, mentions, runs, search, state, text_index, vector_index
 from docloom.schemas import ANALYSIS_VERSIONS, RUN_KEY, RUN_STATES, SOURCE_KEY, legal_edges
 from docloom.sources import documents as src
 from docloom.sources import providers, store
@@ -770,11 +770,29 @@ def citation_spans(spark, sf_dir):
     return context.checked_citations(context.context_manifest(packed), cited.join(said, "doc_id"))
 
 
+def _imported(spark, sf_dir):
+    rows = docs(spark, sf_dir).select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("content"))
+    old = rows.where("doc_id % 5 <> 0").withColumn("content", F.when(F.col("doc_id") % 7 == 0, F.lit("damaged")).otherwise(F.col("content")))
+    return old, rows.where("doc_id % 11 <> 3")
+
+
 @query
 def import_reconciliation(spark, sf_dir):
+    return governance.reconciled(*_imported(spark, sf_dir), "doc_id", "content")
+
+
+@query
+def import_reconciliation_digests(spark, sf_dir):
+    """The same by digests of key ranges."""
+    return digest_tree.reconciled_by_digests(*_imported(spark, sf_dir), "doc_id", "content")[0]
+
+
+@query
+def import_reconciliation_ranges(spark, sf_dir):
+    """How many ranges of keys are compared on each level where one document in 997 was damaged."""
     rows = docs(spark, sf_dir).select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("content"))
-    old = rows.where("doc_id % 5 <> 0").withColumn("content", F.when(F.col("doc_id") % 7 == 0, F.lit("damaged")).otherwise(F.col("content")))
-    return governance.reconciled(old, rows.where("doc_id % 11 <> 3"), "doc_id", "content")
+    old = rows.withColumn("content", F.when(F.col("doc_id") % 997 == 5, F.lit("damaged")).otherwise(F.col("content")))
+    return digest_tree.reconciled_by_digests(old, rows, "doc_id", "content")[1]
 
 
 @query
