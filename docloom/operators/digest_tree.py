@@ -30,7 +30,7 @@ def digests(rows: DataFrame, key: str, content: str, bits: int = LEVELS[-1]) ->
 def descended(old: DataFrame, new: DataFrame, levels: Sequence[int] = LEVELS) -> tuple[DataFrame, DataFrame]:
     """Of two tables' digests: the leaves that differ, and bits, compared and differing: how many ranges each level has
     compared, which are those below a range that differs on the level above, and found to differ."""
-    both = old.withColumn("side", F.lit(1)).unionByName(new.withColumn("side", F.lit(-1)))
+    both = staged(old.withColumn("side", F.lit(1)).unionByName(new.withColumn("side", F.lit(-1))), "digests")
     differ, counts = None, None
     for i, bits in enumerate(levels):
         at = F.shiftrightunsigned("leaf", levels[-1] - bits)
