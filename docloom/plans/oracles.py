@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from docloom.operators.governance import SECOND_LEVEL
 from docloom.plans.queries import ANSWER_SQL
 from docloom.schemas import ANALYSIS_VERSIONS, LEGAL_EDGES, RUN_STATES, SYSTEM_POLICY, TASK_INSTRUCTION
@@ -50,6 +52,16 @@ _RESPONSE = f"""CASE WHEN c = 3 OR c = 9 THEN '{{malformed' WHEN ordinal = 1 AND
     WHEN ordinal = 1 AND c = 5 THEN '{{"summary":"doc ' || run_id || '","key_points":[{{"text":"p","source_block_indexes":[999999]}}]}}' ELSE {_VALID} END"""
 _ENDED = f"""{_ATTEMPTS}, e AS (SELECT run_id, CASE WHEN bool_or(outcome = 'accepted') THEN 'completed' ELSE 'failed' END AS state, count(*) AS attempts, max_by(coalesce(error, ''), ordinal) AS error FROM a GROUP BY run_id)"""
 
+#: g: page_id, title, language, i, text, heading: blocks of the test pages, whose markup is known.
+_PAGES = r"""t AS (SELECT page_id, regexp_replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '[ \t\n\f\r]+', ' ', 'g') AS raw_title, regexp_extract(html, '<html lang="([a-z]+)"', 1) AS language,
+        regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?s)<script.*?</script>|<style.*?</style>|<title.*?</title>|<nav>.*?</nav>|<footer>.*?</footer>', chr(1), 'g') AS body FROM pages),
+    x AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(body, '<h1>', chr(1) || chr(2), 'g'), '</?(?:p|h1|div|article|body|html|head|ul|li)(?: [^>]*)?>', chr(1), 'g'), '<br>', ' ', 'g'), '<[^>]*>', '', 'g') AS marked FROM t),
+    y AS (SELECT page_id, raw_title, language, unnest(string_split(marked, chr(1))) AS piece, generate_subscripts(string_split(marked, chr(1)), 1) AS n FROM x),
+    z AS (SELECT *, contains(piece, chr(2)) AS heading, trim(regexp_replace(replace(replace(replace(piece, chr(2), ''), '&quot;', '"'), '&amp;', '&'), '[ \t\n\f\r]+', ' ', 'g')) AS text FROM y),
+    g0 AS (SELECT page_id, replace(replace(trim(raw_title), '&quot;', '"'), '&amp;', '&') AS title, language, heading, text, row_number() OVER (PARTITION BY page_id ORDER BY n) - 1 AS i FROM z WHERE text <> ''),
+    g AS (SELECT *, max(CASE WHEN heading THEN i END) OVER (PARTITION BY page_id ORDER BY i) AS section FROM g0)"""
+
+
 def _key(*parts: str) -> str:
     return "sha256(" + " || ".join(f"length({x}) || ':' || {x}" for x in parts) + ")"
 
@@ -272,6 +284,17 @@ ORACLES: dict[str, str] = {
     "chunk_documents": """WITH b AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS i FROM documents),
         s AS (SELECT *, CAST(floor((sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i) - length(line) - 1) / 800) AS BIGINT) AS chunk FROM b)
         SELECT doc_id, chunk, CAST(min(i) AS BIGINT) AS first_block, CAST(max(i) AS BIGINT) AS last_block, CAST(sum(length(line)) AS BIGINT) AS n_chars, sha256(string_agg(line, chr(10) ORDER BY i)) AS content_hash FROM s GROUP BY ALL""",
+    "page_blocks": f"WITH {_PAGES} SELECT page_id, title, language, i AS block_index, CASE WHEN heading THEN 'heading' ELSE 'paragraph' END AS kind, CASE WHEN heading THEN 1 END AS level, sha256(text) AS text_hash, coalesce(CAST(section AS VARCHAR), '') AS path FROM g",
+    "page_context_pack": f"""WITH {_PAGES},
+        r AS (SELECT *, 'title: ' || coalesce(CAST(to_json(title) AS VARCHAR), 'null') || chr(10) || 'language: ' || coalesce(CAST(to_json(language) AS VARCHAR), 'null') || chr(10) AS header,
+            'block ' || i || CASE WHEN heading THEN ' heading 1: ' ELSE ' paragraph: ' END || CAST(to_json(text) AS VARCHAR) || chr(10) AS rendered FROM g),
+        s AS (SELECT *, length(header) + sum(length(rendered)) OVER (PARTITION BY page_id ORDER BY i) <= 1000 AS included FROM r)
+        SELECT page_id, {_FOLD_TOTALS}, sha256({_SOURCE}) AS source_hash, CAST(NULL AS VARCHAR) AS budget_error FROM s GROUP BY page_id""",
+    "page_sections": f"""WITH {_PAGES},
+        b AS (SELECT *, coalesce(section, -1) AS sec, CAST(floor((sum(length(text) + 1) OVER (PARTITION BY page_id, coalesce(section, -1) ORDER BY i) - length(text) - 1) / 800) AS BIGINT) AS stretch FROM g),
+        c AS (SELECT page_id, sec, stretch, min(i) AS first_block, max(i) AS last_block, CAST(sum(length(text)) AS BIGINT) AS n_chars, sha256(string_agg(text, chr(10) ORDER BY i)) AS content_hash FROM b GROUP BY ALL)
+        SELECT c.page_id, row_number() OVER (PARTITION BY c.page_id ORDER BY first_block) - 1 AS chunk, CASE WHEN sec < 0 THEN '' ELSE CAST(sec AS VARCHAR) END AS path, sha256(h.text) AS title_hash, first_block, last_block, n_chars, content_hash
+        FROM c LEFT JOIN g h ON h.page_id = c.page_id AND h.i = c.sec""",
     "conversation_windows": """WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
         w AS (SELECT DISTINCT conv_id, s.first_turn FROM t JOIN (SELECT unnest(range(0, (SELECT max(turn) + 1 FROM conversations), 2)) AS first_turn) s ON turn BETWEEN s.first_turn AND s.first_turn + 3)
         SELECT w.conv_id, w.first_turn, count(*) AS n_turns, CAST(sum(length(text)) AS BIGINT) AS n_chars, string_agg(role, ',' ORDER BY turn) AS roles, sha256(string_agg(text, chr(10) ORDER BY turn)) AS content_hash
@@ -324,3 +347,20 @@ ORACLES: dict[str, str] = {
         w AS (SELECT least((SELECT max(ts) FROM r), (SELECT max(ts) FROM a)) - INTERVAL 1 HOUR AS mark)
         SELECT * FROM m UNION ALL SELECT request_id, NULL, NULL FROM r, w WHERE r.ts + INTERVAL 1 HOUR < mark AND request_id NOT IN (SELECT request_id FROM m)""",
 }
+
+#: Draws of a Poisson number of mean 1 by 32 hashed bits: as many as bounds are reached.
+_POISSON = " + ".join(f"CAST(u >= floor(4294967296 * exp(-1) * ({' + '.join(f'1.0 / {math.factorial(i)}' for i in range(n + 1))})) AS INT)" for n in range(12))
+ORACLES["evaluation_intervals"] = rf"""WITH ev AS ({ORACLES["search_evaluation"]}), hs AS ({ORACLES["hybrid_signals"]}),
+    d AS (SELECT doc_id, ' ' || array_to_string(regexp_extract_all(lower(coalesce(text, '')), '\p{{L}}+'), ' ') || ' ' AS said FROM documents),
+    i AS (SELECT item_id AS query_id, regexp_extract_all(lower(coalesce(text, '')), '\p{{L}}+') AS t FROM benchmark),
+    rel AS (SELECT DISTINCT query_id, doc_id FROM i JOIN d ON contains(said, ' ' || array_to_string(i.t, ' ') || ' ') WHERE len(i.t) >= 5),
+    known AS (SELECT query_id, count(*) AS known FROM rel GROUP BY 1), found AS (SELECT query_id, count(*) AS n FROM hs JOIN rel USING (query_id, doc_id) GROUP BY 1),
+    j AS (SELECT query_id, 'precision' AS metric, ev.precision AS ours, coalesce(n, 0) * 1000000 // 10 AS theirs FROM ev LEFT JOIN found USING (query_id)
+        UNION ALL SELECT query_id, 'recall', ev.recall, coalesce(n, 0) * 1000000 // known FROM ev JOIN known USING (query_id) LEFT JOIN found USING (query_id)),
+    u AS (SELECT j.*, replica, CAST('0x' || md5('1:' || query_id || ':' || replica)[1:8] AS BIGINT) AS u FROM j, (SELECT unnest(range(1000)) AS replica)),
+    w AS (SELECT *, {_POISSON} AS w FROM u),
+    r AS (SELECT metric, replica, CAST(floor(sum(w * ours) / sum(w)) AS BIGINT) AS mean, CAST(floor(sum(w * (ours - theirs)) / sum(w)) AS BIGINT) AS difference FROM w WHERE w > 0 GROUP BY ALL),
+    s AS (SELECT metric, count(*) AS n, list_sort(list(mean)) AS m, list_sort(list(difference)) AS d FROM r GROUP BY 1),
+    a AS (SELECT metric, count(*) AS queries, CAST(floor(avg(ours)) AS BIGINT) AS mean, CAST(floor(sum(ours - theirs) / count(*)) AS BIGINT) AS difference FROM j GROUP BY 1),
+    b AS (SELECT metric, queries, mean, m[n * 25 // 1000 + 1] AS low, m[n - n * 25 // 1000] AS high, difference, d[n * 25 // 1000 + 1] AS difference_low, d[n - n * 25 // 1000] AS difference_high, CAST(CASE metric WHEN 'precision' THEN 500000 ELSE 300000 END AS BIGINT) AS least FROM a JOIN s USING (metric))
+    SELECT *, low >= least AS passes, CASE WHEN difference_low > 0 THEN 'better' WHEN difference_high < 0 THEN 'worse' ELSE 'undecided' END AS verdict FROM b"""

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from docloom.config import Limits
 from docloom.functions import answers, text
-from docloom.operators import context, digest_tree, governance, identity, latency, mentions, runs, search, state, text_index, vector_index
+from docloom.operators import context, digest_tree, evaluation, governance, identity, latency, mentions, runs, search, sections, state, text_index, vector_index
 from docloom.schemas import ANALYSIS_VERSIONS, RUN_KEY, RUN_STATES, SOURCE_KEY, legal_edges
 from docloom.sources import documents as src
+from docloom.sources import pages as web
 from docloom.sources import providers, store
 from docloom.sources.stage import staged, work_path
 from docloom.streaming import streams
@@ -606,6 +607,17 @@ def search_evaluation(spark, sf_dir):
     return search.search_quality(search.bm25(docs(spark, sf_dir), questions, TOP), relevant, questions, TOP)
 
 
+@query
+def evaluation_intervals(spark, sf_dir):
+    """Precision and recall of text search against the same fused with quality and recency, with intervals of 1,000
+    resamplings of the judged queries; text search has to reach a recall of 0.3 and a precision of 0.5."""
+    questions = _questions(spark, sf_dir)
+    relevant = search.holding(docs(spark, sf_dir), questions)
+    quality = [search.search_quality(found, relevant, questions, TOP) for found in (search.bm25(docs(spark, sf_dir), questions, TOP), QUERIES["hybrid_signals"](spark, sf_dir))]
+    compared = evaluation.compared(*quality, ["precision", "recall"])
+    return evaluation.thresholds(evaluation.intervals(compared, 1000), {"precision": 500_000, "recall": 300_000})
+
+
 @query
 def dedup_exact(spark, sf_dir):
     hashed = docs(spark, sf_dir).select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("content_hash"))
@@ -620,6 +632,26 @@ def chunk_documents(spark, sf_dir):
     return governance.chunked(docs(spark, sf_dir), 800)
 
 
+@query
+def page_blocks(spark, sf_dir):
+    """Blocks of all pages outside nav, aside and footer, each with the headings that it stands under."""
+    blocks = web.page_ir(src.table(spark, sf_dir, "pages")).select("page_id", "title", "language", F.posexplode("blocks").alias("i", "b"))
+    return blocks.select("page_id", "title", "language", F.col("i").cast("long").alias("block_index"), "b.kind", "b.level", F.sha2("b.text", 256).alias("text_hash"), listed("b.path").alias("path"))
+
+
+@query
+def page_context_pack(spark, sf_dir):
+    """Pages packed into contexts as documents are."""
+    out = context.pack_context(web.page_ir(src.table(spark, sf_dir, "pages")), BUDGET)
+    return out.select("page_id", F.size("included_block_indexes").cast("long").alias("n_included"), F.size("omitted_block_indexes").cast("long").alias("n_omitted"), "truncated", F.col("used_characters").alias("used"), F.sha2("source_content", 256).alias("source_hash"), "budget_error")
+
+
+@query
+def page_sections(spark, sf_dir):
+    """Pages in chunks by section and stretches of 800 characters."""
+    return sections.section_chunks(web.page_ir(src.table(spark, sf_dir, "pages")), 800).withColumn("path", listed("path"))
+
+
 @query
 def conversation_windows(spark, sf_dir):
     return governance.conversation_windows(src.table(spark, sf_dir, "conversations"), size=4, stride=2)
