@@ -169,9 +169,16 @@ _DEADLINES = f"""WITH RECURSIVE o AS (SELECT user_id || '/' || strftime(ts, '%Y-
     e AS (SELECT *, reason IS NULL AND due <= (SELECT max((epoch_us(ts) // 1000)) - {_HOUR} FROM events) AS over FROM f QUALIFY n = max(n) OVER (PARTITION BY run_id))
     SELECT run_id, CASE WHEN over THEN 'failed' ELSE state END AS state, moves, rejected, CASE WHEN over THEN 'deadline' ELSE reason END AS reason, CASE WHEN over THEN due ELSE ended_ms END AS ended_ms FROM e"""
 
-_REDACT = "coalesce(text, '')"
-for _pattern, _name in (("[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[.][A-Za-z]{2,}", "[email]"), ("[0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}", "[ip]"), ("[0-9a-f]{32,}", "[secret]"), ("[+][0-9]{1,2} [(][0-9]{3}[)] [0-9]{3}-[0-9]{4}", "[phone]"), ("[0-9]{13,19}", "[number]")):
-    _REDACT = f"regexp_replace({_REDACT}, '{_pattern}', '{_name}', 'g')"
+_PERSONAL = (("[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[.][A-Za-z]{2,}", "[email]"), ("[0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}", "[ip]"), ("[0-9a-f]{32,}", "[secret]"), ("[+][0-9]{1,2} [(][0-9]{3}[)] [0-9]{3}-[0-9]{4}", "[phone]"), ("[0-9]{13,19}", "[number]"))
+
+
+def _redacted(x: str) -> str:
+    for pattern, name in _PERSONAL:
+        x = f"regexp_replace({x}, '{pattern}', '{name}', 'g')"
+    return x
+
+
+_REDACT = _redacted("coalesce(text, '')")
 
 ORACLES: dict[str, str] = {
     "context_pack": f"WITH {_pack(1000)} SELECT doc_id, {_FOLD_TOTALS}, sha256({_SOURCE}) AS source_hash FROM p GROUP BY doc_id",
@@ -348,6 +355,12 @@ ORACLES: dict[str, str] = {
         SELECT * FROM m UNION ALL SELECT request_id, NULL, NULL FROM r, w WHERE r.ts + INTERVAL 1 HOUR < mark AND request_id NOT IN (SELECT request_id FROM m)""",
 }
 
+ORACLES["remote_attempts"] = f"""WITH {_pack(1000)}, k AS (SELECT doc_id, {_SOURCE} AS packed FROM p GROUP BY doc_id),
+    c AS (SELECT doc_id AS run_id, lang, CASE doc_id % 6 WHEN 1 THEN {_redacted("packed")} WHEN 2 THEN packed END AS sent FROM k JOIN documents USING (doc_id)),
+    t AS (SELECT *, coalesce((length(sent) + 3) // 4, 0) AS estimated_tokens FROM c),
+    u AS (SELECT *, CASE WHEN sent IS NULL THEN 'privacy' WHEN sum(estimated_tokens) OVER (PARTITION BY lang ORDER BY run_id) > 3000 THEN 'budget' END AS refused FROM t)
+    SELECT run_id, estimated_tokens, refused, CASE WHEN refused IS NULL THEN sha256(sent) END AS seen_hash FROM u"""
+
 #: Draws of a Poisson number of mean 1 by 32 hashed bits: as many as bounds are reached.
 _POISSON = " + ".join(f"CAST(u >= floor(4294967296 * exp(-1) * ({' + '.join(f'1.0 / {math.factorial(i)}' for i in range(n + 1))})) AS INT)" for n in range(12))
 ORACLES["evaluation_intervals"] = rf"""WITH ev AS ({ORACLES["search_evaluation"]}), hs AS ({ORACLES["hybrid_signals"]}),

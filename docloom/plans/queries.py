@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -248,10 +249,26 @@ def provider_attempts(spark, sf_dir):
         given = {"valid": point % (request["run_id"], 0), "far_citation": point % (request["run_id"], 999999), "empty": '{"summary":"","key_points":[]}', "malformed": "{malformed", "oversized": "x" * 3030}
         return {"call_kind": "response", "response": given[script], "provider_request_id": "repair" if "Repair validation code" in request["task_instruction"] else "first"}
 
-    found = providers.provided_attempts(requests, providers.FunctionProvider("function", ask), RESPONSE_CAP, LIMITS.provider_timeout_ms)
+    found = providers.provided_attempts(requests, providers.FunctionProvider("function", ask, remote=False), RESPONSE_CAP, LIMITS.provider_timeout_ms)
     return found.select("run_id", F.col("ordinal").cast("int").alias("ordinal"), "reason", "provider", "model_policy", "outcome", "validation_code", "stored", F.when(F.col("stored"), F.col("provider_request_id")).alias("asked"))
 
 
+@query
+def remote_attempts(spark, sf_dir):
+    """What a remote provider was sent of each run, behind the privacy gate and a budget of 3,000 tokens a language."""
+    packed = context.pack_context(src.document_ir(docs(spark, sf_dir)), BUDGET)
+    requests = context.generation_request(packed).withColumn("privacy_policy", _policy()).withColumnRenamed("doc_id", "run_id").withColumn("model_policy", F.lit(ANALYSIS_VERSIONS["model_policy"]))
+    admitted = staged(providers.gated_requests(requests, scope="language", tokens=3000), "requests")
+
+    def ask(request: dict) -> dict:
+        seen = hashlib.sha256(request["source_content"].encode()).hexdigest()
+        return {"call_kind": "response", "response": '{"summary":"s","key_points":[{"text":"p","source_block_indexes":[0]}]}', "provider_request_id": seen}
+
+    made = providers.provided_attempts(admitted, providers.FunctionProvider("far", ask), RESPONSE_CAP, LIMITS.provider_timeout_ms)
+    first = made.where("ordinal = 1").select("run_id", F.col("provider_request_id").alias("seen_hash"))
+    return admitted.select("run_id", "estimated_tokens", "refused").join(first, "run_id", "left")
+
+
 @query
 def attempt_guard(spark, sf_dir):
     """Provider request ids of many kinds: absent ones may be, empty and long ones may not."""

@@ -221,7 +221,7 @@ def test_a_provider_is_asked_once_for_each_call(spark, tmp_path):
             return {"call_kind": "response", "response": "{" if "code: json_syntax" not in request["task_instruction"] else good, "provider_request_id": f"q{ordinal}"}
         return None if run == 4 else {"call_kind": "permanent"} if run == 5 else {"call_kind": "response", "response": good, "input_tokens": 7}
 
-    made = providers.provided_attempts(requests, providers.FunctionProvider("mine", ask), 100, 200)
+    made = providers.provided_attempts(requests, providers.FunctionProvider("mine", ask, remote=False), 100, 200)
     for _ in range(2):
         got = sorted((r.run_id, r.ordinal, r.reason, r.outcome, r.error) for r in made.collect())
     assert got == [(0, 1, "initial", "accepted", None), (1, 1, "initial", "transient_failure", "transient"), (1, 2, "retry", "accepted", None), (2, 1, "initial", "transient_failure", "timeout"), (2, 2, "retry", "accepted", None), (3, 1, "initial", "invalid", "invalid"), (3, 2, "repair", "accepted", None), (4, 1, "initial", "permanent_failure", "exhausted"), (5, 1, "initial", "permanent_failure", "permanent")]
