@@ -851,7 +851,7 @@ def eval_precision_recall(spark, sf_dir):
     return governance.precision_recall(judged, F.col("n_chars") >= 1000, F.col("quality") == 1, "lang")
 
 
-def _calls(spark, sf_dir):
+def _timed_calls(spark, sf_dir):
     """The events as calls of their type, value as a latency: ten minutes long for each unit."""
     took = F.round(F.col("value") * 1000).cast("long")
     return src.table(spark, sf_dir, "events").select("event_type", "ts", took.alias("latency_ms"), F.unix_millis(F.col("ts").cast("timestamp")).alias("start_ms")).withColumn("end_ms", F.col("start_ms") + F.col("latency_ms") * 600)
@@ -860,20 +860,20 @@ def _calls(spark, sf_dir):
 @query
 def concurrency_peaks(spark, sf_dir):
     """Most calls of each type at once, and when that was first."""
-    return latency.peaks(_calls(spark, sf_dir), "event_type")
+    return latency.peaks(_timed_calls(spark, sf_dir), "event_type")
 
 
 @query
 def concurrency_periods(spark, sf_dir):
     """When more than eight calls of a type run at once."""
-    return latency.periods_over(_calls(spark, sf_dir), "event_type", 8)
+    return latency.periods_over(_timed_calls(spark, sf_dir), "event_type", 8)
 
 
 SHARES = (0.5, 0.9, 0.99)
 
 
 def _day_sketches(spark, sf_dir):
-    hours = latency.sketches(_calls(spark, sf_dir), "event_type", "ts", "latency_ms")
+    hours = latency.sketches(_timed_calls(spark, sf_dir), "event_type", "ts", "latency_ms")
     return latency.merged_sketches(staged(hours, "sketches"), "event_type", F.date_format("window_start", "yyyy-MM-dd").alias("day"))
 
 
@@ -887,7 +887,7 @@ def latency_quantiles(spark, sf_dir):
 def latency_rank_error(spark, sf_dir):
     """Whether quantiles of each type over all days, from sketches of days, have the rank that they should."""
     found = latency.quantiles(latency.merged_sketches(_day_sketches(spark, sf_dir), "event_type"), SHARES)
-    errors = latency.rank_errors(_calls(spark, sf_dir), "event_type", "latency_ms", staged(found, "quantiles"), SHARES)
+    errors = latency.rank_errors(_timed_calls(spark, sf_dir), "event_type", "latency_ms", staged(found, "quantiles"), SHARES)
     return errors.select("event_type", "quantile", "n", (F.col("error") <= latency.RANK_ERROR).alias("within"))
 
 
