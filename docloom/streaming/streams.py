@@ -9,7 +9,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -143,36 +143,48 @@ def rocksdb(spark: SparkSession) -> Iterator[None]:
 
 
 LIVE = "state string, moves long, rejected long, reason string, ended_ms long"
+#: Parts of the runs' state. A part is read and written whole, in a few calls, where a run each would take as many.
+BUCKETS = 4096
 
 
 class Deadlines(StatefulProcessor):
-    """A run's state with a timer: without a legal move for ``deadline_ms`` a run fails, whether by the next move, which
-    comes too late, or by the watermark. An ended run is kept for ``keep_ms`` to reject what still comes, then forgotten."""
+    """Runs' states with timers: without a legal move for ``deadline_ms`` a run fails, whether by the next move, which
+    comes too late, or by the watermark. An ended run is kept for ``keep_ms`` to reject what still comes, then forgotten.
 
-    def __init__(self, deadline_ms: int, keep_ms: int) -> None:
-        self.deadline_ms, self.keep_ms = deadline_ms, keep_ms
+    The key is a bucket of runs. Its state is a list of them, its timer the first of theirs."""
+
+    def __init__(self, deadline_ms: int, keep_ms: int, id_type: str) -> None:
+        self.deadline_ms, self.keep_ms, self.id_type = deadline_ms, keep_ms, id_type
         self.legal = set(LEGAL_EDGES)
         self.open = {a for a, _ in LEGAL_EDGES}
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.run = handle.getValueState("run", f"{LIVE}, due_ms long")
-
-    def set_timer(self, at: int) -> None:
-        for old in list(self.handle.listTimers()):
-            self.handle.deleteTimer(old)
-        self.handle.registerTimer(at)
-
-    def row(self, key: tuple, run: list) -> pd.DataFrame:
-        columns = ["run_id", *(c.split()[0] for c in LIVE.split(", "))]
-        return pd.DataFrame([[key[0], *run[:5]]], columns=columns).astype({"ended_ms": "Int64"})
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        frames = pd.concat(list(rows)).sort_values(["at_ms", "seq"])  # one trigger's moves of one run
-        run = list(self.run.get()) if self.run.exists() else None
-        for at, to in zip(frames["at_ms"].tolist(), frames["to_state"].tolist(), strict=True):
-            if run is None:
-                run = ["queued", 0, 0, None, None, at + self.deadline_ms]
+        self.run = handle.getListState("run", f"run_id {self.id_type}, {LIVE}, due_ms long")
+
+    def held(self) -> dict:
+        return {r[0]: list(r[1:]) for r in self.run.get()} if self.run.exists() else {}
+
+    def next(self, run: list) -> int:
+        return run[5] if run[3] is None else run[4] + self.keep_ms
+
+    def hold(self, runs: dict) -> int | None:
+        """Writes the bucket; the time of its timer."""
+        if not runs:
+            self.run.clear()
+            return None
+        self.run.put([(name, *run) for name, run in runs.items()])
+        return min(map(self.next, runs.values()))
+
+    def row(self, name, run: list) -> Row:
+        return Row(**dict(zip(["run_id", *(c.split()[0] for c in LIVE.split(", "))], [name, *run[:5]], strict=True)))
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
+        mark, runs, moved = timerValues.getCurrentWatermarkInMs(), self.held(), {}
+        moves = sorted(((r["at_ms"], r["seq"], r["run_id"], r["to_state"]) for r in rows), key=lambda m: (m[0], m[1] is None, m[1]))  # one trigger's moves of one bucket
+        for at, _, name, to in moves:
+            run = runs.setdefault(name, ["queued", 0, 0, None, None, at + self.deadline_ms])
+            moved[name] = run
             if run[3] is None and at > run[5]:
                 run[0], run[3], run[4] = "failed", "deadline", run[5]
             if run[3] is None and (run[0], to) in self.legal:
@@ -181,30 +193,41 @@ class Deadlines(StatefulProcessor):
                     run[3], run[4] = "move", at
             else:
                 run[2] += 1
-        if run[3] is None and run[5] <= timerValues.getCurrentWatermarkInMs():  # over already: one row of a run a trigger
-            run[0], run[3], run[4] = "failed", "deadline", run[5]
-        self.run.update(tuple(run))
-        self.set_timer(run[5] if run[3] is None else run[4] + self.keep_ms)
-        yield self.row(key, run)
-
-    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        run = list(self.run.get())
-        if run[3] is not None:
-            self.run.clear()
-            return
-        run[0], run[3], run[4] = "failed", "deadline", run[5]
-        self.run.update(tuple(run))
-        self.handle.registerTimer(run[4] + self.keep_ms)
-        yield self.row(key, run)
+        for name, run in moved.items():
+            if run[3] is None and run[5] <= mark:  # over already: one row of a run a trigger
+                run[0], run[3], run[4] = "failed", "deadline", run[5]
+            yield self.row(name, run)
+        due = self.hold(runs)
+        timers = list(self.handle.listTimers())
+        for old in timers:
+            if old != due:
+                self.handle.deleteTimer(old)
+        if due not in timers:
+            self.handle.registerTimer(due)
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
+        mark, runs = timerValues.getCurrentWatermarkInMs(), {}
+        for name, run in self.held().items():
+            if self.next(run) > mark:
+                runs[name] = run
+            elif run[3] is None:
+                run[0], run[3], run[4] = "failed", "deadline", run[5]
+                runs[name] = run
+                yield self.row(name, run)
+        due = self.hold(runs)
+        if due is not None:
+            self.handle.registerTimer(due)
 
 
-def with_deadlines(moves: DataFrame, deadline_ms: int, keep_ms: int, lateness: str = "1 hour") -> DataFrame:
+def with_deadlines(moves: DataFrame, deadline_ms: int, keep_ms: int, lateness: str = "1 hour", buckets: int = BUCKETS) -> DataFrame:
     """run_id, state, moves, rejected, reason (how the run ended: deadline or move; null while it is open), ended_ms, to
     be written in update mode, of a stream of (run_id, ts, seq, to_state). A run begins with its first move; moves of one
     trigger are taken by time and seq. Moves later than ``lateness`` behind the watermark are dropped, so ``keep_ms`` of
-    at least the span of a run's moves beyond its end keeps a run from beginning again."""
-    late = moves.withWatermark("ts", lateness).withColumn("at_ms", F.unix_millis("ts"))
-    return late.groupBy("run_id").transformWithStateInPandas(Deadlines(deadline_ms, keep_ms), f"run_id {dict(moves.dtypes)['run_id']}, {LIVE}", "update", "eventTime")
+    at least the span of a run's moves beyond its end keeps a run from beginning again. ``buckets`` is fixed for the life
+    of a stream; a bucket has to hold its live runs in a task."""
+    kind = dict(moves.dtypes)["run_id"]
+    late = moves.withWatermark("ts", lateness).select("run_id", "ts", "seq", "to_state", F.unix_millis("ts").alias("at_ms"), F.pmod(F.xxhash64("run_id"), F.lit(buckets)).alias("bucket"))
+    return late.groupBy("bucket").transformWithState(Deadlines(deadline_ms, keep_ms, kind), f"run_id {kind}, {LIVE}", "update", "eventTime")
 
 
 def run_deadlines(spark: SparkSession, sf_dir: str) -> DataFrame:

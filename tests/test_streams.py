@@ -80,6 +80,33 @@ def test_runs_fail_by_their_timer_and_are_forgotten(spark, tmp_path):
     assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") == before
 
 
+def test_runs_of_a_bucket_share_calls_but_not_timers(spark, tmp_path):
+    moves, out = (f"file://{tmp_path}/{n}" for n in ("moves", "out"))
+
+    def run():
+        with streams.rocksdb(spark):
+            rows = streams.drained(streams.with_deadlines(spark.readStream.schema(MOVES).parquet(moves), 3_600_000, 7_200_000, "10 minutes", buckets=2), "update", ["run_id"], out)
+        return {r.run_id: (r.state, r.moves, r.rejected, r.reason, r.ended_ms and r.ended_ms // 60_000 - START) for r in rows.collect()}
+
+    first = [(i, i, i, "context_prepared") for i in range(60)] + [(None, 59, None, "context_prepared"), (None, 59, 99, "completed")]
+    put(spark, moves, MOVES, first, "ts")
+    assert run() == {i: ("context_prepared", 1, 0 if i is not None else 1, None, None) for i in [*range(60), None]}
+    with streams.rocksdb(spark):
+        state = spark.read.format("statestore").options(stateVarName="run").load(f"{out}/checkpoint")
+        assert (state.count(), state.select("key").distinct().count()) == (61, 2)
+    put(spark, moves, MOVES, [(50, 100, 100, "model_requested")], "ts")  # the mark is at 90: runs up to 30 are over
+    now = run()
+    assert all(now[i] == (("failed", 1, 0, "deadline", i + 60) if i <= 30 else ("context_prepared", 1, 0, None, None)) for i in range(60) if i != 50)
+    assert now[50] == ("model_requested", 2, 0, None, None) and now[None] == ("context_prepared", 1, 1, None, None)
+    put(spark, moves, MOVES, [(10, 101, 101, "model_requested"), (99, 250, 102, "queued")], "ts")  # the mark is at 240
+    now = run()
+    assert now[10] == ("failed", 1, 1, "deadline", 70) and now[50] == ("failed", 2, 0, "deadline", 160) and now[None][3:] == ("deadline", 119)
+    put(spark, moves, MOVES, [(99, 260, 103, "queued")], "ts")
+    run()
+    with streams.rocksdb(spark):  # runs that ended up to 120 minutes before the mark are forgotten: 60 to 119 and None
+        assert sorted(r.run for r in spark.read.format("statestore").options(stateVarName="run").load(f"{out}/checkpoint").selectExpr("list_element.run_id as run").collect()) == [50, 99]
+
+
 @pytest.mark.parametrize("query", [streams.request_answers, streams.run_deadlines])
 def test_streams_of_no_events(spark, sf_dir, tmp_path, query):
     spark.read.parquet(f"{sf_dir}/events.parquet").limit(0).write.parquet(f"file://{tmp_path}/events.parquet")
