@@ -11,12 +11,16 @@ Texts are read whole. Trigram vectors depend on nothing but the seed and are kep
 
 from __future__ import annotations
 
+import math
+from bisect import bisect_right
+from itertools import accumulate
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm._shared import free_name, frugal, keep_only, ship_package, small_batches
+from docloom.llm._shared import free_name, frugal, keep_only, remove, ship_package, small_batches, staged
 
 DIMENSIONS = 512
 #: The code of a word's border, where letters have their code points, and bits of a code.
@@ -24,6 +28,8 @@ BORDER, CODE_BITS = 0, 21
 UNDETERMINED = "und"
 #: Prototypes are sums of integers, so that the order of partial sums changes nothing.
 SCALE = 1 << 20
+#: Bins in which scores are counted.
+BINS = 1 << 16
 
 
 class Profiles:
@@ -100,16 +106,35 @@ def held_out(doc_id: Column, folds: int = 5) -> Column:
     return F.coalesce(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % folds == 0, F.lit(False))
 
 
-def labelled_sample(docs: DataFrame, wanted: Column, id_col: str, text_col: str, lang_col: str, per_language: int, max_languages: int) -> DataFrame | None:
-    """About ``per_language`` rows of each language that have an id, a text and a language and are wanted; None if there are none."""
+def labelled(docs: DataFrame, wanted: Column, id_col: str, text_col: str, lang_col: str, max_languages: int) -> DataFrame | None:
+    """All rows that have an id, a text and a language and are wanted; None if there are none."""
     rows = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & wanted)
-    sizes = {r[0]: r[1] for r in rows.groupBy(lang_col).count().limit(max_languages + 1).collect()}
-    if len(sizes) > max_languages:
+    languages = rows.select(lang_col).distinct().limit(max_languages + 1).count()
+    if languages > max_languages:
         raise ValueError(f"over {max_languages} languages")
-    if not sizes:
+    return rows if languages else None
+
+
+def percentile(scores: DataFrame, share: float) -> float | None:
+    """The exact percentile (interpolated) of all of ``score``, from 0 to 1; None if there is none.
+
+    Scores are counted in BINS bins, and only the bins of the one or two wanted ranks are looked at score by score, so
+    that no task or driver holds them all."""
+    within = F.least(F.floor(F.col("score") * BINS), F.lit(BINS - 1)).cast("int")
+    counts = sorted(tuple(r) for r in scores.groupBy(within.alias("bin")).agg(F.count("score")).where("bin is not null").collect())  # BINS at most
+    n = sum(c for _, c in counts)
+    if not n:
         return None
-    share = F.element_at(F.create_map(*(x for n in sorted(sizes) for x in (F.lit(n), F.lit(min(1.0, per_language / sizes[n]))))), F.col(lang_col))
-    return rows.where(F.pmod(F.xxhash64(F.col(id_col), F.lit("train")), F.lit(1_000_000)) < share * 1_000_000)
+    place = share * (n - 1)
+    below, wanted, found = 0, sorted({math.floor(place), math.ceil(place)}), []
+    for number, count in counts:
+        ranks = [r - below for r in wanted if below <= r < below + count]
+        if ranks:
+            each = sorted(tuple(r) for r in scores.where(within == number).groupBy("score").count().collect())  # one bin's different scores
+            until = list(accumulate(c for _, c in each))
+            found += [each[bisect_right(until, r)][0] for r in ranks]
+        below += count
+    return found[0] + (found[-1] - found[0]) * (place - math.floor(place))
 
 
 class LanguageModel:
@@ -121,16 +146,15 @@ class LanguageModel:
         self.prototypes = centred / np.maximum(np.linalg.norm(centred, axis=1, keepdims=True), 1e-12) if languages else centred
 
     @classmethod
-    def fit(cls, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 4000, max_languages: int = 2000, seed: int = 17, dimensions: int = DIMENSIONS) -> LanguageModel:
+    def fit(cls, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_languages: int = 2000, seed: int = 17, dimensions: int = DIMENSIONS) -> LanguageModel:
         """Learns from rows that are not held out and have an id, a text and a language.
 
-        Of each language about ``per_language`` rows are taken, all of them if it has no more: those with the smallest
-        hashes of their ids, whatever their order. ``max_languages`` bounds the model, which every task gets; more raise
-        an error. Repeated rows count each; without any such row the model is empty."""
+        All of them are taken, whatever their order. ``max_languages`` bounds the model, which every task gets; more
+        raise an error. Repeated rows count each; without any such row the model is empty."""
         ship_package(docs.sparkSession)
         small_batches(docs.sparkSession)
-        sample = labelled_sample(docs, ~held_out(F.col(id_col)), id_col, text_col, lang_col, per_language, max_languages)
-        if sample is None:
+        known = labelled(docs, ~held_out(F.col(id_col)), id_col, text_col, lang_col, max_languages)
+        if known is None:
             return cls([], np.zeros((0, dimensions)), seed, dimensions)
 
         def run(batches):
@@ -142,7 +166,7 @@ class LanguageModel:
             for lang, v in sums.items():
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * dimensions), pa.array(np.arange(dimensions, dtype=np.int32)), pa.array(v)], names=["lang", "at", "value"])
 
-        found = sample.select(F.col(lang_col).alias("lang"), text_col).mapInArrow(frugal(run, "profiles"), "lang string, at int, value long").groupBy("lang", "at").agg(F.sum("value").alias("value")).collect()
+        found = known.select(F.col(lang_col).alias("lang"), text_col).mapInArrow(frugal(run, "profiles"), "lang string, at int, value long").groupBy("lang", "at").agg(F.sum("value").alias("value")).collect()
         learned = sorted({r["lang"] for r in found})
         out = np.zeros((len(learned), dimensions))
         for r in found:
@@ -178,23 +202,25 @@ class LanguageModel:
         return out.withColumn(lang, F.col(p)["lang"]).withColumn(score, F.col(p)["score"]).drop(p)
 
 
-def accepted(docs: DataFrame, lost_share: float = 0.0005, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 4000, max_languages: int = 2000, **parameters) -> DataFrame:
+def accepted(docs: DataFrame, lost_share: float = 0.0005, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_languages: int = 2000, **parameters) -> DataFrame:
     """The rows of ``docs`` whose text is in a language that was learned, with all their columns.
 
     A row goes if it is und or scores less than all but ``lost_share`` of the labelled rows do that were held out and
-    are predicted right (about ``per_language`` of each language are scored): texts in other languages or of no
+    are predicted right, all of which are scored: texts in other languages or of no
     language, while clean ones stay. Where nothing was learned, every text with a letter stays; where nothing was held
     out, every score does. Null and empty texts go; repeated rows and rows of null id are judged like any other; an
     empty table stays empty."""
-    columns = dict(id_col=id_col, text_col=text_col, lang_col=lang_col, per_language=per_language, max_languages=max_languages)
+    columns = dict(id_col=id_col, text_col=text_col, lang_col=lang_col, max_languages=max_languages)
     model = LanguageModel.fit(docs, **columns, **parameters)
     if not model.languages:
         return docs.where(F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)))
-    known = labelled_sample(docs, held_out(F.col(id_col)), **columns)
+    known = labelled(docs, held_out(F.col(id_col)), **columns)
     least = 0.0
     if known is not None:
         scored = model.predicted(known.select(text_col, F.col(lang_col).alias("told")), text_col).where("told = lang_pred")
-        least = scored.agg(F.percentile("score", F.lit(lost_share))).first()[0] or 0.0
+        scores, path = staged(scored.select("score"), "held-out-scores")
+        least = percentile(scores, lost_share) or 0.0
+        remove(docs.sparkSession, path)
     lang, score = free_name(docs, "lang_pred", "score")
     out = model.predicted(docs, text_col, lang, score)
     return out.where((F.col(lang) != UNDETERMINED) & (F.col(score) >= least)).select(*docs.columns)

@@ -314,6 +314,22 @@ def test_language_id(spark, sf_dir, empty):
     assert {r.doc_id for r in got if r.lang_pred == "und"}.isdisjoint(left) and len(left) >= 0.99 * len(got)
 
 
+def test_language_id_learns_from_all_rows(spark):
+    rows = [(i, "abc" if i < 10_000 else "xyz", "aa") for i in range(10_100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    learned = [i for i, _, _ in rows if zlib.crc32(str(i).encode()) % 5]
+    model, made = language_id.LanguageModel.fit(docs), language_id.profiles(17, language_id.DIMENSIONS)
+    total = sum(np.rint(made.unit(rows[i][1]) * language_id.SCALE).astype(np.int64) for i in learned)
+    assert np.allclose(model.prototypes[0], total / np.linalg.norm(total), atol=1e-12)
+    assert set(language_id.labelled(docs, ~language_id.held_out(docs.doc_id), "doc_id", "text", "lang", 5).select("doc_id").toPandas()["doc_id"]) == set(learned)
+    rnd = random.Random(3)
+    for values in ([], [0.25], [0.0, 1.0, 1.0], [0.5] * 40, [rnd.choice([rnd.random(), 0.75, 0.75 + rnd.random() * 1e-7]) for _ in range(3000)]):
+        scores = spark.createDataFrame([(v,) for v in values], "score double")
+        for share in (0, 0.0005, 0.3, 0.5, 1):
+            expected = float(np.percentile(values, share * 100)) if values else None
+            assert language_id.percentile(scores, share) == pytest.approx(expected, abs=1e-12)
+
+
 def test_language_id_is_the_plain_version_s(spark, sf_dir):
     docs = queries.table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     rows = docs.collect()
