@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions.text import search_tokens
-from docloom.sources.stage import staged
+from docloom.sources.stage import small_batches, staged
 
 K1, B = 1.2, 0.75
 RRF = 60
@@ -103,6 +103,7 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int, scope: str | None = None)
 
 def _bm25_block(docs: DataFrame, words: DataFrame, k: int, on: Column) -> DataFrame:
     spark = docs.sparkSession
+    small_batches(spark)
     tokens = words.select("token").distinct().orderBy("token").toArrow()["token"].combine_chunks()  # ASKED at most
     sent = spark.sparkContext.broadcast(tokens)
 
@@ -206,6 +207,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_i
                 yield from flush()
         yield from flush()
 
+    small_batches(vectors.sparkSession)
     rows = lambda df: df.where(F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long"), vector_col)
     asked = rows(queries).mapInArrow(pack(QUERY_BLOCK), PACK).select(F.col("ids").alias("query_ids"), F.col("vectors").alias("query_vectors"))
     pairs = rows(vectors).mapInArrow(pack(VECTOR_BLOCK), PACK).crossJoin(asked)  # blocks with blocks of the stated query set

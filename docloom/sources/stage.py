@@ -26,3 +26,13 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path = work_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def small_batches(spark: SparkSession, rows: int = 1000, mb: int = 8) -> None:
+    """Arrow batches of few rows and bytes for the session, so that what a Python worker holds at once doesn't grow with
+    the input: a batch of long texts or of blocks of vectors has few rows."""
+    for name, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", mb << 20)):
+        name = f"spark.sql.execution.arrow.{name}"
+        known = spark.conf.get(name, None)
+        if known is None or not 0 < int(re.match(r"-?[0-9]+", known)[0]) <= most:
+            spark.conf.set(name, str(most))

@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -187,3 +188,22 @@ def test_streams_read_tables_in_folders_and_of_nothing(spark, sf_dir, tmp_path):
     (tmp_path / "none").mkdir()
     waiting = spark.readStream.schema("user_id long, event_type string, ts timestamp, value double").parquet(f"file://{tmp_path}/none")
     assert streams.drained(streams.count_windows(waiting), "update", ["window_start", "event_type"]).count() == 0
+
+
+def test_python_workers_get_small_batches(spark):
+    names = [f"spark.sql.execution.arrow.{n}" for n in ("maxRecordsPerBatch", "maxBytesPerBatch")]
+    docs = spark.createDataFrame([(i, "new york") for i in range(4)], "doc_id long, text string")
+    vectors = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(4)], "vec_id long, embedding array<float>")
+    calls = [lambda: search.bm25(docs, docs.withColumnRenamed("doc_id", "query_id"), 2), lambda: search.nearest(vectors, vectors, 2), lambda: mentions.matches(docs, docs.select(F.col("text").alias("alias")))]
+    for call in calls:
+        for name in names:
+            spark.conf.set(name, str(1 << 30))
+        assert call().count() and all(int(spark.conf.get(n)) <= most for n, most in zip(names, (1000, 8 << 20), strict=True))
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], names=["n", "size"])
+
+    for wide, rows in ((1, 3000), (1 << 20, 40)):
+        found = spark.range(0, rows, 1, 1).select(F.repeat(F.lit("x"), wide).alias("text")).mapInArrow(sizes, "n long, size long").collect()
+        assert sum(r.n for r in found) == rows and max(r.n for r in found) <= 1000 and max(r.size for r in found) <= 10 << 20
