@@ -16,9 +16,9 @@ from pyspark.sql import functions as F
 
 from docloom.functions.text import search_tokens
 from docloom.operators.governance import host_of, registered_domain
-from docloom.sources.stage import staged
+from docloom.sources.stage import small_batches, staged
 
-#: Aliases of an automaton: about 100 MB in a task.
+#: Aliases of an automaton over tokens: about 150 MB in a task with ten tokens each.
 ALIASES = 200_000
 MATCHES = "doc_id long, first int, last int, alias string"
 
@@ -57,6 +57,7 @@ def maximal(found: list[tuple[int, int, str]]) -> Iterator[tuple[int, int, str]]
 def matches(docs: DataFrame, aliases: DataFrame, most: int = ALIASES) -> DataFrame:
     """MATCHES rows: the maximal matches of aliases (alias: tokens joined by blanks) in documents (doc_id, text), by the
     numbers of their first and last token. Null and empty texts have none; documents are told apart by doc_id."""
+    small_batches(docs.sparkSession)
     names = staged(aliases.select("alias").where("alias <> ''").distinct(), "aliases")
     parts = max(1, -(-names.count() // most))
     part = F.pmod(F.xxhash64(F.substring_index("alias", " ", 1)), F.lit(parts))
@@ -75,20 +76,18 @@ def matches(docs: DataFrame, aliases: DataFrame, most: int = ALIASES) -> DataFra
 
 def _finder(held):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = ahocorasick.Automaton()
+        automaton, numbers = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE), {}
         for alias in held.value:
-            automaton.add_word(f" {alias} ", alias)
+            tokens = alias.split(" ")
+            automaton.add_word(tuple(numbers.setdefault(t, len(numbers) + 1) for t in tokens), (len(tokens), alias))
         if not len(automaton):
             return
         automaton.make_automaton()
         for b in batches:
             rows = []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                padded, found, at, place = f" {text} ", [], 0, -1
-                for end, alias in automaton.iter(padded):
-                    place += padded.count(" ", at, end)  # tokens that end before this blank
-                    at = end
-                    found.append((place - alias.count(" "), place, alias))
+                tokens = tuple(numbers.get(t, 0) for t in text.split(" "))  # 0: in no alias
+                found = [(last - n + 1, last, alias) for last, (n, alias) in automaton.iter(tokens)]
                 rows += [(doc, *m) for m in maximal(found)]
             if rows:
                 doc, first, last, alias = zip(*rows, strict=True)
