@@ -92,6 +92,42 @@ def test_text_index_equals_bm25_through_segments_deletions_and_merges(spark):
     assert found(index.search(queries, 5)[0]) == found(search.bm25(now.where("doc_id <> 100"), queries, 5))
 
 
+def shuffled(spark, step):
+    """Records that the step's stages wrote to shuffles."""
+    sc = spark.sparkContext
+    gateway, context = sc._gateway, sc._jsc.sc()
+
+    def written():
+        context.listenerBus().waitUntilEmpty()
+        lists = gateway.jvm.java.util.ArrayList
+        stages = context.statusStore().stageList(lists(), False, False, gateway.new_array(gateway.jvm.double, 0), lists())
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    before = written()
+    step()
+    return written() - before
+
+
+def test_text_index_shuffles_documents_and_blocks_not_terms_and_hits(spark):
+    docs = spark.createDataFrame(corpus(400, 6), "doc_id long, text string, lang string")
+    queries = spark.createDataFrame([(i, t) for i, t, _ in corpus(60, 7)], "query_id long, text string")
+    terms = search.postings(docs).count()
+    index = text_index.TextIndex(spark)
+    assert shuffled(spark, lambda: index.add(docs, 1, "lang")) <= 4 * 400 < terms / 2  # before: twice the terms and more
+    index.add(docs.where("doc_id % 5 = 0"), 2, "lang")
+    assert shuffled(spark, lambda: index.search(queries, 5)[0].collect()) < 60 * 400 / 2  # nearly all pairs are hits
+    assert shuffled(spark, lambda: index.merge([1, 2], 3)) < terms / 2
+
+
+def test_text_index_takes_rows_of_one_document_as_one(spark):
+    rows = [(1, "b a b", "en"), (1, "a c", "de"), (1, None, "en"), (2, None, None), (2, "", "x"), (3, "c", "en"), (None, "a", "en")]
+    index = text_index.TextIndex(spark)
+    index.add(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 1, "lang")
+    found = {(r.token, i, tf, n) for r in index._read("postings").collect() for i, tf, n in zip(r.ids, r.tfs, r.lengths, strict=True)}
+    assert found == {("a", 1, 2, 5), ("b", 1, 2, 5), ("c", 1, 1, 5), ("c", 3, 1, 1)}
+    assert {(r.doc_id, r.length) for r in index.documents().collect()} == {(1, 5), (2, 0), (3, 1)}
+
+
 def test_queries_of_many_words_go_in_blocks(spark, monkeypatch):
     docs = spark.createDataFrame(corpus(120, 3), "doc_id long, text string, source string")
     queries = spark.createDataFrame([(i, t, s) for i, t, s in corpus(20, 4)], "query_id long, text string, source string")
