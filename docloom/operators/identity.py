@@ -11,13 +11,18 @@ from docloom.functions.text import key_id, valid_version
 from docloom.schemas import ATTEMPT_OUTCOMES, ATTEMPT_REASONS, DIGEST_PATTERN, MAX_ATTEMPTS, OWNER_PATTERN, RUN_KEY, RUN_STATES, SOURCE_KEY
 
 
+#: Both sides of these joins grow with the tables, so neither is collected at the driver to be sent to all tasks, which
+#: Spark does with what is small enough for its threshold.
+NOT_SENT = "merge"
+
+
 def get_or_create(existing: DataFrame, incoming: DataFrame, key: Sequence[str], id_col: str) -> DataFrame:
     """The key, its id and ``created`` for each distinct incoming key: the existing id, or one made of the key.
 
     Keys with a null part take part in no identity and are left out."""
     asked = incoming.select(*key).dropna().distinct()
     known = existing.select(*key, F.col(id_col).alias("_known"))
-    found = asked.join(known, list(key), "left")
+    found = asked.join(known.hint(NOT_SENT), list(key), "left")
     return found.select(F.coalesce("_known", key_id(*(F.col(k) for k in key))).alias(id_col), *key, F.col("_known").isNull().alias("created"))
 
 
@@ -44,13 +49,13 @@ def repeated_keys(table: DataFrame, key: Sequence[str], rule: str) -> DataFrame:
 
 
 def missing_parent(child: DataFrame, parent: DataFrame, column: str, rule: str) -> DataFrame:
-    return child.join(parent.select(column).distinct(), column, "left_anti").select(F.lit(rule).alias("rule"), F.col(column).alias("at")).distinct()
+    return child.join(parent.select(column).distinct().hint(NOT_SENT), column, "left_anti").select(F.lit(rule).alias("rule"), F.col(column).alias("at")).distinct()
 
 
 def wrong_policies(attempts: DataFrame, runs: DataFrame) -> DataFrame:
     """Attempts of known runs that carry another model policy than their run."""
     known = runs.select("run_id", "model_policy").distinct()
-    return attempts.join(known.select("run_id").distinct(), "run_id", "left_semi").join(known, ["run_id", "model_policy"], "left_anti")
+    return attempts.join(known.select("run_id").distinct().hint(NOT_SENT), "run_id", "left_semi").join(known.hint(NOT_SENT), ["run_id", "model_policy"], "left_anti")
 
 
 def constraint_violations(sources: DataFrame, runs: DataFrame, attempts: DataFrame, outputs: DataFrame) -> DataFrame:

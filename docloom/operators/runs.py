@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions.answers import validated
+from docloom.operators.identity import NOT_SENT
 
 ATTEMPT = ["run_id", "ordinal", "reason", "provider", "model_policy", "provider_request_id", "outcome", "validation_code", "error", "stored", "input_tokens", "output_tokens", "latency_ms", "response", "analysis"]
 CALL = ["call_kind", "response", "input_tokens", "output_tokens", "provider_request_id", "latency_ms"]
@@ -39,7 +40,7 @@ def run_attempts(contexts: DataFrame, first: DataFrame, second: DataFrame, respo
     may be retried or repaired."""
     called = contexts.select("run_id", "included_block_indexes", "provider", "model_policy")
     for ordinal, calls in ((1, first), (2, second)):
-        called = called.join(calls.select("run_id", *(F.col(c).alias(f"{c}_{ordinal}") for c in CALL)), "run_id", "left")
+        called = called.join(calls.select("run_id", *(F.col(c).alias(f"{c}_{ordinal}") for c in CALL)).hint(NOT_SENT), "run_id", "left")
     both = judged(judged(called, 1, response_bytes, timeout_ms), 2, response_bytes, timeout_ms)
     one = F.col("attempt_1.outcome")
     with_reason = lambda ordinal, reason: F.struct(reason.alias("reason"), F.col(f"attempt_{ordinal}").alias("a"))

@@ -197,6 +197,12 @@ def test_whole_tables_hold_all_rules(spark, sf_dir):
     assert identity.constraint_violations(sources, all_runs, attempts, outputs).count() == 0
 
 
+def test_rules_send_no_table_through_the_driver(spark, sf_dir):
+    found = queries.constraint_violations(spark, sf_dir)
+    assert found.count() > 0 and found.collect()
+    assert "BroadcastExchange" not in found._jdf.queryExecution().executedPlan().toString()  # as it ran
+
+
 def test_keys_are_told_apart(spark):
     rows = spark.createDataFrame([("a\nb", "c"), ("a", "b\nc"), ("1:a", ""), ("1", "a"), ("", "1:a"), (None, "a")], "x string, y string")
     ids = [r[0] for r in rows.select(text.key_id(F.col("x"), F.col("y"))).collect()]
