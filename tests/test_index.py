@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -160,6 +161,45 @@ def test_mentions_are_the_longest(spark, most):
     assert mentions.matches(docs, table.limit(0), most).count() == 0
 
 
+def test_mentions_take_time_apart_from_the_number_of_aliases(spark, tmp_path):
+    rnd = random.Random(5)
+    n, edge = 100_000, 1 << 16  # where the finder begins anew in a long text
+    name = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(4))
+    texts = []
+    for doc in range(20):
+        words = [w for i in (rnd.randrange(2, 2 * n) for _ in range(50_000)) for w in (name(i), name(i + rnd.choice([1, 2])))]
+        words[edge - 1 : edge + 1] = [name(0), name(1)]
+        texts.append((doc, words))
+    spark.createDataFrame([(i, " ".join(w)) for i, w in texts], "doc_id long, text string").repartition(8).write.parquet(f"file://{tmp_path}/docs")
+    spark.createDataFrame([(f"{name(i)} {name(i + 1)}",) for i in range(0, 2 * n, 2)], "alias string").write.parquet(f"file://{tmp_path}/aliases")
+    second = {name(i): name(i + 1) for i in range(0, 2 * n, 2)}
+    wanted = [(doc, i, i + 1, f"{w} {words[i + 1]}") for doc, words in texts for i, w in enumerate(words[:-1]) if second.get(w) == words[i + 1]]
+    docs, table = (spark.read.parquet(f"file://{tmp_path}/{t}") for t in ("docs", "aliases"))
+    took = []
+    for aliases in (table.where("alias like 'aaa%'"), table):
+        began = time.monotonic()
+        got = mentions.matches(docs, aliases).toPandas()
+        took.append(time.monotonic() - began)
+    assert sorted(got.itertuples(index=False, name=None)) == wanted and sum(m[1] == edge - 1 for m in wanted) == 20
+    assert took[1] < 3 * took[0]  # an automaton's root has 100,000 branches, looked at one by one for each token
+
+
+@pytest.mark.parametrize("most", [10**6, 4])
+def test_mentions_read_texts_once(spark, most):
+    docs = spark.createDataFrame([(i, "a b c d") for i in range(3)], "doc_id long, text string")
+    table = spark.createDataFrame([(a,) for a in "abcdefghij"], "alias string")
+    found = mentions.matches(docs, table, most)
+    assert found.count() == 12
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+
+
+def test_mentions_apart_and_meeting_are_counted(spark):
+    docs = spark.createDataFrame([(1, "a b c x a y c b a b c a"), (2, "b c b"), (3, "x"), (4, "A b-C")], "doc_id long, text string")
+    table = spark.createDataFrame([("a", "A"), ("a b", "AB"), ("b c", "BC"), ("c", "C"), ("c", "C2"), ("d", "D"), ("", "E"), (None, "F")], "alias string, entity string")
+    got = sorted(tuple(r) for r in mentions.text_mentions(docs, table).collect())
+    assert got == [(1, "a", "A", 2), (1, "a b", "AB", 2), (1, "b c", "BC", 2), (1, "c", "C", 1), (1, "c", "C2", 1), (2, "b c", "BC", 1), (4, "a b", "AB", 1), (4, "b c", "BC", 1)]
+
+
 def test_page_aliases(spark):
     pages = spark.createDataFrame([("http://a.shop.co.uk/x?q", "<title>Red Fish</title><a href=\"/in\">The Inn</a><a href=\"https://www.other.org/y\">other</a>"), ("http://b.shop.co.uk/z", "<a href=\"/out\">the inn</a><a href=\"/out\">the INN!</a>"), ("nothing", None), ("http://c.org", None)], "url string, html string")
     got = {(r["alias"], r["entity"]) for r in mentions.page_aliases(pages).collect()}
